@@ -1,3 +1,10 @@
 """riskframe: supply-chain risk analytics as PySpark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Helpers used inside tasks travel with the task, so executors need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -13,10 +13,10 @@ WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f " + "".join(
 SEVERITIES = ("HIGH", "MEDIUM", "LOW")
 
 # Sentences of an order document.
-DELAY_SENTENCE = "Shipment took %d days vs %d scheduled (%s%d days)."
+DELAY_SENTENCE = "Shipment took {} days vs {} scheduled ({}{} days)."
 LATE_SENTENCE = "This order was flagged with late-delivery risk."
 NOT_LATE_SENTENCE = "No late-delivery risk was flagged."
-PROFIT_SENTENCE = "Order generated profit of %.2f (ratio %.2f); sales %.2f, discount %.2f."
+PROFIT_SENTENCE = "Order generated profit of {} (ratio {}); sales {}, discount {}."
 
 
 def col(c: Column | str) -> Column:
@@ -56,14 +56,24 @@ def doc_id(prefix: str, *parts: Column) -> Column:
 def fixed(c: Column, digits: int) -> Column:
     """Number as text with a fixed count of decimals.
 
-    Exact ties follow Java's formatter (away from zero), so the last digit can
-    differ from a half-even formatter on values such as 0.125.
+    Exact decimal ties round away from zero, so the last digit can differ from
+    a half-even formatter on values such as 0.125. Decimals are rendered in
+    generated code; only what no decimal can hold goes through a formatter.
     """
-    return F.format_string(f"%.{digits}f", c)
+    d = c.try_cast(f"decimal(38,{digits})")
+    sign = F.when((c < 0) & (d == 0), "-").otherwise("")
+    return F.coalesce(F.concat(sign, d.cast("string")), F.format_string(f"%.{digits}f", c))
 
 
-def percent(c: Column, digits: int) -> Column:
-    return F.concat(fixed(c * 100, digits), F.lit("%"))
+def fill(template: str, *args: Column) -> Column:
+    """``template`` with each ``{}`` replaced by the next column."""
+    parts: list[Column] = []
+    for i, piece in enumerate(template.split("{}")):
+        if piece:
+            parts.append(F.lit(piece))
+        if i < len(args):
+            parts.append(args[i].cast("string"))
+    return F.concat(*parts)
 
 
 def order_severity(late: Column, profit: Column, delivery_status: Column) -> Column:
@@ -88,7 +98,7 @@ def delay_days(real: Column, scheduled: Column) -> Column:
 def delay_phrase(real: Column, scheduled: Column) -> Column:
     delay = delay_days(real, scheduled)
     sign = F.when(delay > 0, "+").otherwise("")
-    return F.format_string(DELAY_SENTENCE, real, scheduled, sign, delay)
+    return fill(DELAY_SENTENCE, real, scheduled, sign, delay)
 
 
 def late_phrase(late: Column) -> Column:
@@ -96,7 +106,7 @@ def late_phrase(late: Column) -> Column:
 
 
 def profit_phrase(profit: Column, ratio: Column, sales: Column, discount: Column) -> Column:
-    return F.format_string(PROFIT_SENTENCE, profit, ratio, sales, discount)
+    return fill(PROFIT_SENTENCE, *[fixed(c, 2) for c in (profit, ratio, sales, discount)])
 
 
 def day_gap(real: Column | str, scheduled: Column | str) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe import schemas
-from riskframe.functions.columns import as_double, day_gap, fixed, flag, percent, severity_rank, to_numeric_or_null
+from riskframe.functions.columns import as_double, day_gap, severity_rank, to_numeric_or_null
 from riskframe.sources.readers import empty_frame, normalise_headers
 
 
@@ -123,120 +123,119 @@ def prepare_orders(orders: DataFrame) -> DataFrame:
     return df.withColumns(new)
 
 
-def _row_sums(have: set[str]) -> list[Column]:
-    """Sums over order rows; a column the table lacks contributes nothing."""
-
-    def value(name: str) -> Column:
-        return F.col(name).cast("double") if name in have else F.lit(None).cast("double")
-
-    def is_status(name: str) -> Column:
-        return flag(F.col("order_status") == name) if "order_status" in have else F.lit(0)
-
-    def spread(x: Column, name: str) -> list[Column]:
-        return [
-            F.count(x).alias(f"{name}_n"),
-            F.sum(x).alias(f"{name}_sum"),
-            F.sum(x * x).alias(f"{name}_sq"),
-            F.min(x).alias(f"{name}_min"),
-            F.max(x).alias(f"{name}_max"),
-        ]
-
-    profit = value("profit")
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.sum(value("late_delivery_risk")).alias("late_sum"),
-        F.sum(is_status("CANCELED")).alias("cancel_n"),
-        F.sum(is_status("SUSPECTED_FRAUD")).alias("fraud_n"),
-        F.sum(flag(profit < 0)).alias("loss_n"),
-        F.count(profit).alias("profit_n"),
-        F.sum(profit).alias("profit_sum"),
-        *spread(value("day_gap"), "gap"),
-        *spread(value("quantity"), "qty"),
-    ]
-
-
 _SPREADS = ("gap", "qty")
 _SUMS = ["n", "late_sum", "cancel_n", "fraud_n", "loss_n", "profit_n", "profit_sum"] + [
     f"{s}_{part}" for s in _SPREADS for part in ("n", "sum", "sq")
 ]
 
 
+def _row_sums(have: set[str]) -> list[Column]:
+    """Sums over order rows; a column the table lacks contributes nothing."""
+
+    def value(name: str) -> str:
+        return f"CAST({name if name in have else 'NULL'} AS DOUBLE)"
+
+    def status(name: str) -> str:
+        return f"count_if(order_status = '{name}')" if "order_status" in have else "0L"
+
+    sums = {
+        "n": "count(1)",
+        "late_sum": f"sum({value('late_delivery_risk')})",
+        "cancel_n": status("CANCELED"),
+        "fraud_n": status("SUSPECTED_FRAUD"),
+        "loss_n": f"count_if({value('profit')} < 0)",
+        "profit_n": f"count({value('profit')})",
+        "profit_sum": f"sum({value('profit')})",
+    }
+    for name, source in (("gap", "day_gap"), ("qty", "quantity")):
+        x = value(source)
+        sums |= {
+            f"{name}_n": f"count({x})",
+            f"{name}_sum": f"sum({x})",
+            f"{name}_sq": f"sum({x} * {x})",
+            f"{name}_min": f"min({x})",
+            f"{name}_max": f"max({x})",
+        }
+    return [F.expr(f"{sql} AS {name}") for name, sql in sums.items()]
+
+
 def _merged_sums() -> list[Column]:
     """The same sums over rows that already are sums."""
-    return [
-        *[F.sum(c).alias(c) for c in _SUMS],
-        *[F.min(f"{s}_min").alias(f"{s}_min") for s in _SPREADS],
-        *[F.max(f"{s}_max").alias(f"{s}_max") for s in _SPREADS],
-    ]
+    edges = [f"{fn}({s}_{fn}) AS {s}_{fn}" for s in _SPREADS for fn in ("min", "max")]
+    return [F.expr(sql) for sql in [f"sum({c}) AS {c}" for c in _SUMS] + edges]
 
 
-def _add_totals(segments: DataFrame, name: str, pick: Column | None = None) -> DataFrame:
+def _add_totals(segments: DataFrame, name: str, pick: str = "true") -> DataFrame:
     """Overall mean and sample deviation of one measure, on every segment row.
 
     ``pick`` marks the grand-total row; without it the segments themselves add
     up to the total. The deviation is null unless there are enough values and
     they are not all equal (min and max settle that without rounding doubt).
     """
-    w = Window.partitionBy()
-
-    def total(part: str) -> Column:
-        c = F.col(f"{name}_{part}")
-        fn = {"min": F.min, "max": F.max}.get(part, F.sum)
-        return fn(c if pick is None else F.when(pick, c)).over(w)
-
-    n, s, sq = total("n"), total("sum"), total("sq")
-    usable = (n >= MIN_VALUES_FOR_ZSCORE) & (total("max") > total("min"))
-    variance = F.greatest(sq - s * s / n, F.lit(0.0)) / (n - 1)
-    return segments.withColumns(
-        {f"{name}_mean_all": F.try_divide(s, n), f"{name}_std_all": F.when(usable, F.sqrt(variance))}
+
+    def total(part: str) -> str:
+        fn = part if part in ("min", "max") else "sum"
+        return f"{fn}(CASE WHEN {pick} THEN {name}_{part} END) OVER ()"
+
+    totals = segments.selectExpr("*", *[f"{total(part)} AS _{part}" for part in ("n", "sum", "sq", "min", "max")])
+    usable = f"_n >= {MIN_VALUES_FOR_ZSCORE} AND _max > _min"
+    return totals.selectExpr(
+        *segments.columns,
+        f"try_divide(_sum, _n) AS {name}_mean_all",
+        f"CASE WHEN {usable} THEN sqrt(greatest(_sq - _sum * _sum / _n, 0D) / (_n - 1)) END AS {name}_std_all",
     )
 
 
 # --------------------------------------------------------------------------
-# rules: one segment row -> anomaly struct or null
+# rules: SQL that turns the sums of one segment into an anomaly struct or null
 # --------------------------------------------------------------------------
-def _text(template: str, *args: Column) -> Column:
-    """``template`` with each ``{}`` replaced by the next column."""
-    parts: list[Column] = []
-    for i, piece in enumerate(template.split("{}")):
-        parts.append(F.lit(piece))
-        if i < len(args):
-            parts.append(args[i].cast("string"))
-    return F.concat(*parts)
+def _literal(value: str | float) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{float(value)!r}D"
+
+
+def _text(template: str, *args: str) -> str:
+    """``template`` with each ``{}`` replaced by the next SQL expression."""
+    return f"format_string({', '.join([_literal(template.replace('%', '%%').replace('{}', '%s')), *args])})"
+
+
+def _number(sql: str, digits: int, unit: str = "") -> str:
+    return f"format_string('%.{digits}f{unit}', {sql})"
+
+
+def _percent(sql: str, digits: int) -> str:
+    return _number(f"({sql}) * 100", digits, "%%")
 
 
 def _anomaly(
     kind: str,
-    fires: Column,
-    metric: Column,
-    threshold: Column,
-    n: Column,
-    segment: Column,
-    described_by: list[Column],
-    advised_by: list[Column],
-    supporting: dict[str, Column],
-    graded: Column | None = None,
-) -> Column:
+    fires: str,
+    metric: str,
+    threshold: str,
+    n: str,
+    segment: str,
+    described_by: list[str],
+    advised_by: list[str],
+    supporting: dict[str, str],
+    graded: str | None = None,
+) -> str:
     """The anomaly of a segment for which ``fires`` holds; severity grades the metric (or ``graded``)."""
     cuts, lowest, full_confidence_at = SEVERITY_CUTS[kind]
-    severity = F.lit(lowest)
-    for level, cut in reversed(cuts):
-        severity = F.when((metric if graded is None else graded) > cut, level).otherwise(severity)
+    grades = " ".join(f"WHEN {graded or metric} > {_literal(cut)} THEN '{level}'" for level, cut in cuts)
     description, recommendation = REPORT_TEXTS[kind]
-    pairs = [x for k, v in supporting.items() for x in (F.lit(k), v.cast("double"))]
-    found = F.struct(
-        F.lit(kind).alias("anomaly_type"),
-        severity.alias("severity"),
-        _text(description, *described_by).alias("description"),
-        segment.alias("affected_segment"),
-        metric.cast("double").alias("metric_value"),
-        threshold.cast("double").alias("threshold"),
-        F.least(F.lit(1.0), n / F.lit(float(full_confidence_at))).alias("confidence"),
-        _text(recommendation, *advised_by).alias("recommendation"),
-        F.create_map(*pairs).alias("supporting_data"),
-        n.cast("bigint").alias("n"),
-    )
-    return F.when(fires, found)
+    pairs = ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in supporting.items())
+    return f"""CASE WHEN {fires} THEN named_struct(
+        'anomaly_type', '{kind}',
+        'severity', CASE {grades} ELSE '{lowest}' END,
+        'description', {_text(description, *described_by)},
+        'affected_segment', {segment},
+        'metric_value', CAST({metric} AS DOUBLE),
+        'threshold', CAST({threshold} AS DOUBLE),
+        'confidence', least(1D, {n} / {_literal(full_confidence_at)}),
+        'recommendation', {_text(recommendation, *advised_by)},
+        'supporting_data', map({pairs}),
+        'n', CAST({n} AS BIGINT)) END"""
 
 
 def _rate_rule(
@@ -244,49 +243,44 @@ def _rate_rule(
     count: str,
     limit: float,
     t: Thresholds,
-    segment: Column,
+    segment: str,
     digits: int,
-    advised_by: list[Column],
+    advised_by: list[str],
     names: tuple[str, str],
-) -> Column:
+) -> str:
     """Fires where the share of orders counted in ``count`` is above ``limit``."""
-    n = F.col("n")
-    rate = F.col(count) / n
+    rate, cut = f"({count} / n)", _literal(limit)
     return _anomaly(
         kind,
-        fires=(n >= t.min_segment_orders) & (rate > limit),
+        fires=f"n >= {t.min_segment_orders} AND {rate} > {cut}",
         metric=rate,
-        threshold=F.lit(float(limit)),
-        n=n,
+        threshold=cut,
+        n="n",
         segment=segment,
-        described_by=[percent(rate, digits), percent(F.lit(float(limit)), digits), segment],
+        described_by=[_percent(rate, digits), _percent(cut, digits), segment],
         advised_by=advised_by,
-        supporting={names[0]: F.col(count), names[1]: n},
+        supporting={names[0]: count, names[1]: "n"},
     )
 
 
-def _late_rule(t: Thresholds) -> Column:
-    market, mode = F.col("market"), F.col("shipping_mode")
-    segment = _text("Market={}, Shipping Mode={}", market, mode)
+def _late_rule(t: Thresholds) -> str:
+    segment = _text("Market={}, Shipping Mode={}", "market", "shipping_mode")
     names = ("late_orders", "segment_order_count")
-    return _rate_rule(
-        "late_delivery_spike", "late_sum", t.late_delivery_rate, t, segment, 1, [mode, market], names
-    )
+    advised_by = ["shipping_mode", "market"]
+    return _rate_rule("late_delivery_spike", "late_sum", t.late_delivery_rate, t, segment, 1, advised_by, names)
 
 
-def _cancel_rule(t: Thresholds) -> Column:
-    segment = _text("Market={}", F.col("market"))
+def _cancel_rule(t: Thresholds) -> str:
+    segment = _text("Market={}", "market")
     names = ("canceled_orders", "total_orders")
-    return _rate_rule(
-        "cancellation_surge", "cancel_n", t.cancellation_rate, t, segment, 1, [F.col("market")], names
-    )
+    return _rate_rule("cancellation_surge", "cancel_n", t.cancellation_rate, t, segment, 1, ["market"], names)
 
 
-def _fraud_rule(t: Thresholds, by_region: bool) -> Column:
-    market, region = F.col("market"), F.col("region")
-    segment = _text("Market={}", market)
+def _fraud_rule(t: Thresholds, by_region: bool) -> str:
+    segment = _text("Market={}", "market")
     if by_region:
-        segment = F.when(region == market, segment).otherwise(_text("Market={}, Region={}", market, region))
+        both = _text("Market={}, Region={}", "market", "region")
+        segment = f"CASE WHEN region = market THEN {segment} ELSE {both} END"
     names = ("fraud_orders", "total_orders")
     return _rate_rule("fraud_cluster", "fraud_n", t.fraud_rate, t, segment, 2, [segment], names)
 
@@ -295,63 +289,59 @@ def _fraud_rule(t: Thresholds, by_region: bool) -> Column:
 SEGMENT_LABELS = {"category": "Category Name", "shipping_mode": "Shipping Mode"}
 
 
-def _profit_rule(t: Thresholds, key: str) -> Column:
-    value, label, n = F.col(key), F.lit(SEGMENT_LABELS[key]), F.col("n")
-    rate = F.col("loss_n") / n
-    mean = F.try_divide(F.col("profit_sum"), F.col("profit_n"))
+def _profit_rule(t: Thresholds, key: str) -> str:
+    label, rate, mean = SEGMENT_LABELS[key], "(loss_n / n)", "try_divide(profit_sum, profit_n)"
     return _anomaly(
         "profit_erosion",
-        fires=(n >= t.min_segment_orders) & (rate > t.profit_negative_rate),
+        fires=f"n >= {t.min_segment_orders} AND {rate} > {_literal(t.profit_negative_rate)}",
         metric=rate,
-        threshold=F.lit(t.profit_negative_rate),
-        n=n,
-        segment=_text("{}={}", label, value),
-        described_by=[percent(rate, 1), label, value, fixed(mean, 2)],
-        advised_by=[value],
-        supporting={"avg_profit": F.bround(mean, 2), "loss_order_count": F.col("loss_n"), "total_orders": n},
+        threshold=_literal(t.profit_negative_rate),
+        n="n",
+        segment=_text(label + "={}", key),
+        described_by=[_percent(rate, 1), _literal(label), key, _number(mean, 2)],
+        advised_by=[key],
+        supporting={"avg_profit": f"bround({mean}, 2)", "loss_order_count": "loss_n", "total_orders": "n"},
     )
 
 
 def _zscore_rule(
-    kind: str, spread: str, limit: float, t: Thresholds, key: str, n: Column, names: tuple[str, str]
-) -> Column:
+    kind: str, spread: str, limit: float, t: Thresholds, key: str, n: str, names: tuple[str, str]
+) -> str:
     """Fires where a segment mean lies more than ``limit`` overall deviations above the overall mean."""
-    value = F.col(key)
-    mean = F.try_divide(F.col(f"{spread}_sum"), F.col(f"{spread}_n"))
-    overall, std = F.col(f"{spread}_mean_all"), F.col(f"{spread}_std_all")
-    z = F.try_divide(mean - overall, std)
+    mean, overall, std = f"try_divide({spread}_sum, {spread}_n)", f"{spread}_mean_all", f"{spread}_std_all"
+    z = f"try_divide({mean} - {overall}, {std})"
     return _anomaly(
         kind,
-        fires=(n >= t.min_segment_orders) & (z > limit),
+        fires=f"{n} >= {t.min_segment_orders} AND {z} > {_literal(limit)}",
         metric=mean,
-        threshold=overall + F.lit(float(limit)) * std,
+        threshold=f"{overall} + {_literal(limit)} * {std}",
         n=n,
-        segment=_text("{}={}", F.lit(SEGMENT_LABELS[key]), value),
-        described_by=[value, fixed(mean, 1), fixed(z, 2), fixed(overall, 1)],
-        advised_by=[value],
+        segment=_text(SEGMENT_LABELS[key] + "={}", key),
+        described_by=[key, _number(mean, 1), _number(z, 2), _number(overall, 1)],
+        advised_by=[key],
         supporting={
-            names[0]: F.bround(mean, 2),
-            names[1]: F.bround(overall, 2),
-            "z_score": F.bround(z, 3),
+            names[0]: f"bround({mean}, 2)",
+            names[1]: f"bround({overall}, 2)",
+            "z_score": f"bround({z}, 3)",
             "segment_order_count": n,
         },
         graded=z,
     )
 
 
-def _gap_rule(t: Thresholds) -> Column:
+def _gap_rule(t: Thresholds) -> str:
     # size counts all orders of the mode, with or without a known gap
     names = ("segment_avg_gap", "overall_avg_gap")
-    return _zscore_rule("shipping_gap_outlier", "gap", t.shipping_gap_zscore, t, "shipping_mode", F.col("n"), names)
+    return _zscore_rule("shipping_gap_outlier", "gap", t.shipping_gap_zscore, t, "shipping_mode", "n", names)
 
 
-def _demand_rule(t: Thresholds, key: str) -> Column:
+def _demand_rule(t: Thresholds, key: str) -> str:
     # size counts only orders with a known quantity
     names = ("segment_avg_qty", "overall_avg_qty")
-    return _zscore_rule("demand_spike", "qty", t.quantity_zscore, t, key, F.col("qty_n"), names)
+    return _zscore_rule("demand_spike", "qty", t.quantity_zscore, t, key, "qty_n", names)
 
 
-def _detect(orders: DataFrame, keys: list[str], needed: list[str], rule: Column, spread: str | None = None):
+def _detect(orders: DataFrame, keys: list[str], needed: list[str], rule: str, spread: str | None = None) -> DataFrame:
     """One detector on its own: aggregate to its segments, apply its rule."""
     have = set(orders.columns)
     if not {*keys, *needed} <= have:
@@ -359,9 +349,8 @@ def _detect(orders: DataFrame, keys: list[str], needed: list[str], rule: Column,
     segments = orders.groupBy(*keys).agg(*_row_sums(have))
     if spread:
         segments = _add_totals(segments, spread)
-    for key in keys:
-        segments = segments.filter(F.col(key).isNotNull())
-    return segments.select(rule.alias("a")).filter(F.col("a").isNotNull()).select("a.*")
+    known = " AND ".join(f"{key} IS NOT NULL" for key in keys)
+    return segments.filter(known).selectExpr(f"{rule} AS a").filter("a IS NOT NULL").select("a.*")
 
 
 def late_delivery_spikes(orders: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -444,35 +433,31 @@ def run_all(orders: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         return sum(1 << (len(dims) - 1 - i) for i, c in enumerate(dims) if c not in grouped)
 
     for name in _SPREADS:
-        segments = _add_totals(segments, name, F.col("gid") == gid_of(()))
+        segments = _add_totals(segments, name, f"gid = {gid_of(())}")
 
     candidates = []
     for number, grouped, _, rule in plan:
-        applies = F.col("gid") == gid_of(grouped)
-        for c in grouped:
-            applies = applies & F.col(c).isNotNull()
-        second = F.col(grouped[1]) if len(grouped) > 1 else F.lit("")
+        applies = " AND ".join([f"gid = {gid_of(grouped)}", *[f"{c} IS NOT NULL" for c in grouped]])
+        second = grouped[1] if len(grouped) > 1 else "''"
         candidates.append(
-            F.when(
-                applies & rule.isNotNull(),
-                F.struct(
-                    F.lit(number).alias("ord"),
-                    F.col(grouped[0]).cast("string").alias("k1"),
-                    second.cast("string").alias("k2"),
-                    rule.alias("a"),
-                ),
-            )
+            f"CASE WHEN {applies} THEN named_struct('ord', {number}, 'k1', CAST({grouped[0]} AS STRING), "
+            f"'k2', CAST({second} AS STRING), 'a', {rule}) END"
         )
-    found = segments.select(F.explode(F.array_compact(F.array(*candidates))).alias("c")).select("c.ord", "c.k1", "c.k2", "c.a.*")
+    found = (
+        segments.selectExpr(f"explode(array({', '.join(candidates)})) AS c")
+        .filter("c.a IS NOT NULL")
+        .selectExpr("c.ord", "c.k1", "c.k2", "c.a.*")
+    )
 
-    prefix = F.element_at(F.array(*[F.lit(p) for p in ANOMALY_TYPES.values()]), F.col("ord") + 1)
-    number = F.row_number().over(Window.orderBy("ord", "k1", "k2"))
-    position = F.row_number().over(Window.orderBy(F.desc(severity_rank("severity")), "_number"))
+    prefixes = ", ".join(_literal(p) for p in ANOMALY_TYPES.values())
     return (
-        found.withColumn("_number", number)
-        .withColumn("anomaly_id", F.concat(prefix, F.lit("_"), F.format_string("%04d", F.col("_number"))))
-        .withColumn("position", position)
-        .select("anomaly_id", *schemas.ANOMALY.names, "position")
+        found.withColumn("_number", F.row_number().over(Window.orderBy("ord", "k1", "k2")))
+        .withColumn("position", F.row_number().over(Window.orderBy(F.desc(severity_rank("severity")), "_number")))
+        .selectExpr(
+            f"format_string('%s_%04d', element_at(array({prefixes}), ord + 1), _number) AS anomaly_id",
+            *schemas.ANOMALY.names,
+            "position",
+        )
     )
 
 
@@ -501,7 +486,7 @@ def correlate(anomalies: DataFrame) -> DataFrame:
             F.col("items.anomaly_type").alias("anomaly_types"),
             F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), F.col("_rank")).alias("max_severity"),
             F.lit(True).alias("compound_risk"),
-            _text(CORRELATION_NOTE, F.size("items")).alias("note"),
+            F.expr(f"{_text(CORRELATION_NOTE, 'size(items)')} AS note"),
             F.col("items")[0]["o"].alias("first_position"),
         )
         .orderBy(F.desc(severity_rank("max_severity")), "first_position")

@@ -95,8 +95,9 @@ def dense_search(
     ``queries`` has (query_id, vec), ``corpus`` (doc_id, vec, ...). Vectors
     need not have unit length; a zero vector scores 0.
     """
-    docs = metadata_filter(corpus, where).filter(F.col("vec").isNotNull()).select("doc_id", "vec")
-    asked = queries.filter(F.col("vec").isNotNull()).select("query_id", "vec")
+    # missing vectors are dropped inside the tasks: a filter here would compute vectors twice
+    docs = metadata_filter(corpus, where).select("doc_id", "vec")
+    asked = queries.select("query_id", "vec")
     first = asked.select(F.size("vec")).first()
     schema = _hit_schema(asked, docs)
     if first is None:
@@ -104,6 +105,7 @@ def dense_search(
     max_queries = max(1, max_block_values // max(first[0], 1))
     block = asked.limit(max_queries + 1).toArrow()
     if block.num_rows <= max_queries:
+        block = block.filter(block.column("vec").is_valid())
         return top_hits(_against_block(block, docs, k, schema), k)
     return top_hits(_grid(asked, docs, k, schema, max_queries, max_cell_rows), k)
 
@@ -117,7 +119,8 @@ def _against_block(block: pa.Table, docs: DataFrame, k: int, schema: T.StructTyp
         kept: list[pd.DataFrame] = []
         rows, room = 0, 16 * len(ids) * k
         for batch in batches:
-            if batch.num_rows == 0:
+            batch = batch.filter(batch.column(1).is_valid())
+            if batch.num_rows == 0 or len(ids) == 0:
                 continue
             hits = _block_hits(ids, q, batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), k)
             kept.append(hits)
@@ -150,6 +153,7 @@ def _grid(
     )
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left[left["vec"].notna()], right[right["vec"].notna()]
         if left.empty or right.empty:
             return pd.DataFrame({name: [] for name in schema.names})
         q = _unit_rows(np.stack(left["vec"].to_list()).astype(np.float64))
@@ -242,8 +246,8 @@ def cache_lookup(
     the tasks: queries are matched where they are, without a shuffle. A larger
     table goes through `dense_search`.
     """
-    asked = queries.filter(F.col("vec").isNotNull()).select("query_id", "vec")
-    entries = cache.select("entry_id", "vec").filter(F.col("vec").isNotNull())
+    asked = queries.select("query_id", "vec")
+    entries = cache.select("entry_id", "vec")
     block = entries.limit(max_items + 1).toArrow()
     if block.num_rows > max_items:
         hits = dense_search(asked, entries.withColumnRenamed("entry_id", "doc_id"), 1)
@@ -255,7 +259,7 @@ def cache_lookup(
 
 
 def _best_entry(queries: DataFrame, block: pa.Table, id_type: T.DataType) -> DataFrame:
-    block = block.sort_by("entry_id")
+    block = block.filter(block.column("vec").is_valid()).sort_by("entry_id")
     ids = block.column("entry_id").to_numpy()
     matrix = _matrix(block.column("vec").combine_chunks()) if len(ids) else np.zeros((0, 0))
     shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -270,6 +274,7 @@ def _best_entry(queries: DataFrame, block: pa.Table, id_type: T.DataType) -> Dat
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry_ids, entries = shared.value
         for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
             if batch.num_rows == 0 or len(entry_ids) == 0:
                 continue
             scores = np.round(_matrix(batch.column(1)) @ entries.T, SCORE_DIGITS) + 0.0

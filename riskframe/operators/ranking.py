@@ -54,11 +54,14 @@ def rerank(
     texts: DataFrame | None = None,
     k: int = RERANK_TOP_K,
     dim: int = 64,
+    known: Column | None = None,
 ) -> DataFrame:
     """RET10: top ``k`` candidates by cosine with the query vector; keeps the base score.
 
     Stored vectors come from ``doc_vecs`` (doc_id, vec). Where a candidate has
-    none, the hashed vector of its text (``texts``: doc_id, text) stands in.
+    none, the hashed vector of its text (``texts``: doc_id, text) stands in,
+    computed once per document; for that the candidates are read twice. Where
+    ``known`` holds, the base score already is the cosine and is taken over.
     Equal scores keep the candidates' order.
     """
     df = candidates.join(query_vecs.select("query_id", F.col("vec").alias("_qv")), "query_id")
@@ -67,13 +70,16 @@ def rerank(
         df = df.join(doc_vecs.select("doc_id", F.col("vec").cast("array<double>").alias("_dv")), "doc_id", "left")
         vec = F.col("_dv")
     if texts is not None:
-        df = df.join(texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-        df = df.withColumn("_hv", hashed_vector("_text", dim))
+        needed = texts.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+        df = df.join(needed.select("doc_id", hashed_vector("text", dim).alias("_hv")), "doc_id", "left")
         vec = F.coalesce(vec, F.col("_hv"))
-    df = df.withColumn("rerank_score", F.coalesce(F.round(cosine("_qv", vec), SCORE_DIGITS), F.lit(0.0)))
+    score = F.round(cosine("_qv", vec), SCORE_DIGITS)
+    if known is not None:
+        score = F.when(known, F.col("score")).otherwise(score)
+    df = df.withColumn("rerank_score", F.coalesce(score, F.lit(0.0)))
     w = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     return (
-        df.drop("_qv", "_dv", "_text", "_hv")
+        df.drop("_qv", "_dv", "_hv")
         .withColumn("_new", F.row_number().over(w))
         .filter(F.col("_new") <= k)
         .withColumn("rank", F.col("_new"))

@@ -4,36 +4,84 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.operators.evaluation import SUITE_METRICS
+from riskframe.session import spread
 
 INTENTS = ("supplier_risk", "shipment_analysis", "inventory_intelligence", "general")
 NODES = ("orchestrator", "supplier_risk", "shipment_analysis", "inventory_intelligence", "recommendation")
 GOLDEN_CATEGORIES = ("supplier_risk", "shipment", "inventory")
 
-ORDER_ITEM_COLUMNS = (
-    "order_id order_item_id part_id supplier_id product department category customer_segment market region "
-    "shipping_mode days_scheduled days_real late_delivery_risk order_status delivery_status quantity sales "
-    "discount profit profit_ratio order_date ship_date"
-).split()
+_MODE = (
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'Same Day' WHEN '2-HIGH' THEN 'First Class' "
+    "WHEN '3-MEDIUM' THEN 'Second Class' ELSE 'Standard Class' END"
+)
+_SCHEDULED = "CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 4 END"
+_REAL = "pmod(datediff(l_shipdate, o_orderdate), 7)"
+_STATUS = (
+    "CASE WHEN o_orderstatus = 'P' AND l_returnflag = 'R' AND l_linestatus = 'O' THEN 'SUSPECTED_FRAUD' "
+    "WHEN o_orderstatus = 'F' AND l_returnflag = 'A' THEN 'CANCELED' WHEN o_orderstatus = 'P' THEN 'PENDING' "
+    "WHEN o_orderstatus = 'O' THEN 'PROCESSING' ELSE 'COMPLETE' END"
+)
+_DELIVERY = (
+    "CASE WHEN o_orderstatus = 'F' AND l_returnflag = 'A' THEN 'Shipping canceled' "
+    f"WHEN {_REAL} > {_SCHEDULED} THEN 'Late delivery' WHEN {_REAL} < {_SCHEDULED} THEN 'Advance shipping' "
+    "ELSE 'Shipping on time' END"
+)
+_PROFIT = "(l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice)"
+ORDER_ITEM_SQL = {
+    "order_id": "l_orderkey",
+    "order_item_id": "l_linenumber",
+    "part_id": "l_partkey",
+    "supplier_id": "l_suppkey",
+    "product": "p_name",
+    "department": "p_brand",
+    "category": "p_type",
+    "customer_segment": "c_mktsegment",
+    "market": "r_name",
+    "region": "n_name",
+    "shipping_mode": _MODE,
+    "days_scheduled": _SCHEDULED,
+    "days_real": _REAL,
+    "late_delivery_risk": f"CAST({_REAL} > {_SCHEDULED} AS INT)",
+    "order_status": _STATUS,
+    "delivery_status": _DELIVERY,
+    "quantity": "l_quantity",
+    "sales": "l_extendedprice",
+    "discount": "l_extendedprice * l_discount",
+    "profit": _PROFIT,
+    "profit_ratio": f"CASE WHEN l_extendedprice <> 0 THEN {_PROFIT} / l_extendedprice END",
+    "order_date": "date_format(o_orderdate, 'yyyy-MM-dd')",
+    "ship_date": "date_format(l_shipdate, 'yyyy-MM-dd')",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_items(spark: SparkSession, sf_dir: str, columns: Iterable[str] = ORDER_ITEM_COLUMNS) -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of long texts, spread over the cores if it comes in few splits."""
+    return spread(table(spark, sf_dir, name))
+
+
+def order_items(
+    spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None, dealt: bool = False
+) -> DataFrame:
     """The order-item table, joining only the dimensions the wanted columns need.
 
     Every key of the fact table has exactly one match in each dimension, so
     leaving a dimension out changes no row. Nation and region have a fixed size
     (25 and 5 rows) and are broadcast; for the rest Spark chooses by size.
+    ``dealt`` spreads a fact table of few splits over all cores, which pays
+    where the work per row is large.
     """
-    wanted = list(columns)
+    wanted = list(columns or ORDER_ITEM_SQL)
     need = set(wanted)
-    items = table(spark, sf_dir, "lineitem").join(
+    facts = table(spark, sf_dir, "lineitem")
+    items = (spread(facts) if dealt else facts).join(
         table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     if need & {"market", "region", "customer_segment"}:
@@ -46,62 +94,12 @@ def order_items(spark: SparkSession, sf_dir: str, columns: Iterable[str] = ORDER
     if need & {"product", "department", "category", "profit", "profit_ratio"}:
         items = items.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
 
-    priority = F.col("o_orderpriority")
-    mode = (
-        F.when(priority == "1-URGENT", "Same Day")
-        .when(priority == "2-HIGH", "First Class")
-        .when(priority == "3-MEDIUM", "Second Class")
-        .otherwise("Standard Class")
-    )
-    scheduled = F.when(mode == "Same Day", 0).when(mode == "First Class", 1).when(mode == "Second Class", 2).otherwise(4)
-    real = F.pmod(F.datediff("l_shipdate", "o_orderdate"), F.lit(7))
-    status, returned = F.col("o_orderstatus"), F.col("l_returnflag")
-    order_status = (
-        F.when((status == "P") & (returned == "R") & (F.col("l_linestatus") == "O"), "SUSPECTED_FRAUD")
-        .when((status == "F") & (returned == "A"), "CANCELED")
-        .when(status == "P", "PENDING")
-        .when(status == "O", "PROCESSING")
-        .otherwise("COMPLETE")
-    )
-    delivery = (
-        F.when(order_status == "CANCELED", "Shipping canceled")
-        .when(real > scheduled, "Late delivery")
-        .when(real < scheduled, "Advance shipping")
-        .otherwise("Shipping on time")
-    )
-    sales = F.col("l_extendedprice")
-    profit = sales * (1 - F.col("l_discount")) - F.col("l_quantity") * F.col("p_retailprice")
-    expressions = {
-        "order_id": F.col("l_orderkey"),
-        "order_item_id": F.col("l_linenumber"),
-        "part_id": F.col("l_partkey"),
-        "supplier_id": F.col("l_suppkey"),
-        "product": F.col("p_name"),
-        "department": F.col("p_brand"),
-        "category": F.col("p_type"),
-        "customer_segment": F.col("c_mktsegment"),
-        "market": F.col("r_name"),
-        "region": F.col("n_name"),
-        "shipping_mode": mode,
-        "days_scheduled": scheduled,
-        "days_real": real,
-        "late_delivery_risk": (real > scheduled).cast("int"),
-        "order_status": order_status,
-        "delivery_status": delivery,
-        "quantity": F.col("l_quantity"),
-        "sales": sales,
-        "discount": sales * F.col("l_discount"),
-        "profit": profit,
-        "profit_ratio": F.when(sales != 0, profit / sales),
-        "order_date": F.date_format("o_orderdate", "yyyy-MM-dd"),
-        "ship_date": F.date_format("l_shipdate", "yyyy-MM-dd"),
-    }
-    return items.select([expressions[name].alias(name) for name in wanted])
+    return items.selectExpr(*[f"{ORDER_ITEM_SQL[name]} AS {name}" for name in wanted])
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as (doc_id, text, source, lang); source and lang are the metadata."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return texts(spark, sf_dir).select("doc_id", "text", "source", "lang")
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +163,17 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+# Event type, then node and payload; ``event_id`` deals the values out.
+_TYPE = """CASE event_type
+  WHEN 'view' THEN 'node_start' WHEN 'purchase' THEN 'node_end'
+  WHEN 'error' THEN IF(event_id % 2 = 0, 'node_error', 'faithfulness')
+  WHEN 'click' THEN IF(event_id % 4 <> 0, 'retrieval', 'crag_retry')
+  ELSE element_at(array('orchestrator_decision', 'final', 'cached', 'guard_block'), CAST(event_id % 4 + 1 AS INT)) END"""
+
+
+def _pick(values: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), CAST(event_id % {len(values)} + 1 AS INT))"
 
 
 def run_events(events: DataFrame) -> DataFrame:
@@ -175,49 +182,26 @@ def run_events(events: DataFrame) -> DataFrame:
     (run_id, t, event_id, type, node, elapsed_ms, docs, max_score, faithful,
     pii_redacted, intent, severity, reason)
     """
-    kind, eid, value = F.col("event_type"), F.col("event_id"), F.col("value")
-    type_ = (
-        F.when(kind == "view", "node_start")
-        .when(kind == "purchase", "node_end")
-        .when((kind == "error") & (eid % 2 == 0), "node_error")
-        .when(kind == "error", "faithfulness")
-        .when((kind == "click") & (eid % 4 != 0), "retrieval")
-        .when(kind == "click", "crag_retry")
-        .otherwise(_pick(("orchestrator_decision", "final", "cached", "guard_block"), eid % 4))
-    )
-    run_id = F.concat_ws(
-        "/", F.col("user_id").cast("string"), F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
-    )
-    score = (F.floor(value * 100) % 101) / 100.0
-    staged = events.select(
-        run_id.alias("run_id"),
-        F.col("ts").alias("t"),
+    return events.selectExpr(
+        "concat_ws('/', CAST(user_id AS STRING), date_format(date_trunc('week', ts), 'yyyy-MM-dd')) AS run_id",
+        "ts AS t",
         "event_id",
-        type_.alias("type"),
-        _pick(NODES, eid % 5).alias("_node"),
-        value.alias("_value"),
-        score.alias("_score"),
-        _pick(INTENTS, eid % 4).alias("_intent"),
-        _pick(("HIGH", "MEDIUM", "LOW"), eid % 3).alias("_severity"),
-    )
-    is_node = F.col("type").isin("node_start", "node_end", "node_error")
-    closes = F.col("type").isin("node_end", "node_error")
-    verdict = F.col("type").isin("final", "cached", "guard_block", "orchestrator_decision")
-    return staged.select(
+        f"{_TYPE} AS type",
+        "value",
+    ).selectExpr(
         "run_id",
         "t",
         "event_id",
         "type",
-        F.when(is_node, F.col("_node")).alias("node"),
-        F.when(closes | (F.col("type") == "retrieval"), F.col("_value")).alias("elapsed_ms"),
-        F.when(F.col("type") == "retrieval", F.floor("_value").cast("bigint") % 6).alias("docs"),
-        F.when(F.col("type") == "retrieval", F.col("_score")).alias("max_score"),
-        F.when(F.col("type") == "faithfulness", F.col("_value") < 50).alias("faithful"),
-        F.when(
-            F.col("type") == "faithfulness",
-            F.when(F.col("event_id") % 3 == 0, F.array(F.lit("email"))).otherwise(F.array().cast("array<string>")),
-        ).alias("pii_redacted"),
-        F.when(F.col("type") == "orchestrator_decision", F.col("_intent")).alias("intent"),
-        F.when(verdict, F.col("_severity")).alias("severity"),
-        F.when(F.col("type") == "guard_block", "off-topic").alias("reason"),
+        f"IF(type IN ('node_start', 'node_end', 'node_error'), {_pick(NODES)}, NULL) AS node",
+        "IF(type IN ('node_end', 'node_error', 'retrieval'), value, NULL) AS elapsed_ms",
+        "IF(type = 'retrieval', CAST(floor(value) AS BIGINT) % 6, NULL) AS docs",
+        "IF(type = 'retrieval', (floor(value * 100) % 101) / 100.0D, NULL) AS max_score",
+        "IF(type = 'faithfulness', value < 50, NULL) AS faithful",
+        "IF(type = 'faithfulness', IF(event_id % 3 = 0, array('email'), CAST(array() AS ARRAY<STRING>)), NULL) "
+        "AS pii_redacted",
+        f"IF(type = 'orchestrator_decision', {_pick(INTENTS)}, NULL) AS intent",
+        f"IF(type IN ('final', 'cached', 'guard_block', 'orchestrator_decision'), {_pick(('HIGH', 'MEDIUM', 'LOW'))}, "
+        "NULL) AS severity",
+        "IF(type = 'guard_block', 'off-topic', NULL) AS reason",
     )

@@ -18,6 +18,7 @@ from riskframe.operators import anomaly, dense, evaluation, guards, incidents, k
 from riskframe.operators.anomaly import Thresholds
 from riskframe.plans import fixtures as fx
 from riskframe.plans.hybrid import embed, hybrid_search
+from riskframe.session import materialise, spread
 from riskframe.sources.readers import category_filter
 from riskframe.sources.sampling import sample_n
 from riskframe.sources.tables import last_write_wins, pending_sources
@@ -53,7 +54,7 @@ ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
 
 @query
 def sample_orders(spark, sf):
-    items = fx.table(spark, sf, "lineitem").select(*ITEM_KEY, "l_quantity")
+    items = spread(fx.table(spark, sf, "lineitem").select(*ITEM_KEY, "l_quantity"))
     return sample_n(items, 2500, ITEM_KEY)
 
 
@@ -82,7 +83,7 @@ def order_severity(spark, sf):
 
 @query
 def order_incidents(spark, sf):
-    docs = incidents.orders_to_incidents(fx.order_items(spark, sf))
+    docs = incidents.orders_to_incidents(fx.order_items(spark, sf, dealt=True))
     money = F.regexp_extract("text", r"^(.*)Order generated profit", 1)
     return docs.select(
         "id",
@@ -229,24 +230,24 @@ def high_severity_anomalies(spark, sf):
 # ------------------------------------------------------------------ guards
 def _conversations(spark, sf):
     verdict = F.when(F.col("role") == "user", "yes").when(F.col("role") == "assistant", "NO")
-    return fx.table(spark, sf, "conversations").withColumn("verdict", verdict)
+    return fx.texts(spark, sf, "conversations").withColumn("verdict", verdict)
 
 
 @query
 def guard_length(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf)
     return docs.select("doc_id", guards.length_reason("text").alias("reason"))
 
 
 @query
 def guard_injection(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf)
     return docs.select("doc_id", guards.injection_match("text").alias("matched"))
 
 
 @query
 def guard_domain(spark, sf):
-    docs = fx.table(spark, sf, "documents")
+    docs = fx.texts(spark, sf)
     return docs.select("doc_id", guards.has_domain_keyword("text").alias("on_topic"))
 
 
@@ -258,7 +259,7 @@ def guard_verdicts(spark, sf):
 
 def _redacted(category: str) -> Query:
     def run(spark, sf):
-        docs = fx.table(spark, sf, "documents").filter(guards.contains_pii("text", category))
+        docs = fx.texts(spark, sf).filter(guards.contains_pii("text", category))
         return docs.select("doc_id", guards.redact("text", category).alias("clean_text"))
 
     return run
@@ -270,23 +271,23 @@ for _category in guards.PII_PATTERNS:
 
 @query
 def pii_scrub(spark, sf):
-    docs = guards.scrub_pii(fx.table(spark, sf, "documents"))
+    docs = guards.scrub_pii(fx.texts(spark, sf))
     return docs.select("doc_id", "clean_text", F.array_join("pii_found", ",").alias("pii_found"))
 
 
 @query
 def pii_by_source(spark, sf):
-    return guards.pii_profile(fx.table(spark, sf, "documents"), "source")
+    return guards.pii_profile(fx.texts(spark, sf), "source")
 
 
 @query
 def token_estimate_(spark, sf):
-    return fx.table(spark, sf, "documents").select("doc_id", token_estimate("text").alias("tokens"))
+    return fx.texts(spark, sf).select("doc_id", token_estimate("text").alias("tokens"))
 
 
 @query
 def context_pack(spark, sf):
-    docs = fx.table(spark, sf, "documents").select(
+    docs = fx.texts(spark, sf).select(
         F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), "text"
     )
     return guards.pack_context(docs)
@@ -306,7 +307,7 @@ def bm25_term_stats(spark, sf):
 
 @query
 def bm25_topk(spark, sf):
-    index = lexical.build_bm25(fx.corpus(spark, sf)).prepared()
+    index = lexical.build_bm25(fx.corpus(spark, sf), compute=True)
     return rounded(lexical.bm25_search(fx.search_queries(spark, sf), index), "score")
 
 
@@ -357,7 +358,7 @@ def _dense_text(spark, sf, queries=None, k=20):
 
 
 def _fused(spark, sf):
-    index = lexical.build_bm25(fx.corpus(spark, sf)).prepared()
+    index = lexical.build_bm25(fx.corpus(spark, sf), compute=True)
     sparse = lexical.bm25_search(fx.search_queries(spark, sf), index)
     return ranking.rrf([_dense_text(spark, sf), sparse])
 
@@ -369,7 +370,7 @@ def rrf_fusion(spark, sf):
 
 @query
 def rerank_topk(spark, sf):
-    hits = ranking.rerank(_fused(spark, sf), embed(fx.search_queries(spark, sf)), texts=fx.corpus(spark, sf))
+    hits = ranking.rerank(materialise(_fused(spark, sf)), embed(fx.search_queries(spark, sf)), texts=fx.corpus(spark, sf))
     return rounded(hits.select("query_id", "doc_id", "rank", "score", "rerank_score"), "score", "rerank_score")
 
 
@@ -429,7 +430,7 @@ def hybrid_search_(spark, sf):
 @query
 def semantic_cache_hits(spark, sf):
     asked = embed(
-        fx.table(spark, sf, "conversations").select(
+        fx.texts(spark, sf, "conversations").select(
             F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "text"
         )
     )

@@ -9,7 +9,6 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", memory: str = "8g", app: str = "riskframe") -> SparkSession:
@@ -54,9 +53,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint, given only after the row count is known to be within ``max_rows``.
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores, dealt over all cores.
 
-    Beyond it the frame is returned as it is and Spark picks a shuffle join.
+    For small inputs of costly rows (long texts in one file). An input of many
+    splits is returned as it is, without a shuffle.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
