@@ -154,9 +154,11 @@ def scrub_pii(df: DataFrame, text: str = "text") -> DataFrame:
 
 def pii_profile(df: DataFrame, by: str, text: str = "text") -> DataFrame:
     """GRD11: number of texts per group and PII category."""
+    # explode would infer a filter on the list and run the patterns a second time
     return (
         scrub_pii(df, text)
-        .select(by, F.explode("pii_found").alias("category"))
+        .select(by, F.explode_outer("pii_found").alias("category"))
+        .filter(F.col("category").isNotNull())
         .groupBy(by, "category")
         .agg(F.count(F.lit(1)).alias("texts"))
     )

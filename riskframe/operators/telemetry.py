@@ -34,39 +34,37 @@ def _spans(df: DataFrame, span: str) -> DataFrame:
 def carry(
     df: DataFrame,
     keys: Sequence[str],
-    value: Column,
-    name: str,
+    values: dict[str, Column],
     forward: bool = False,
     include_self: bool = True,
     span: str = SPAN,
 ) -> DataFrame:
-    """Adds ``name``: the last non-null ``value`` at or before each row of its key group.
+    """Adds each of ``values``: its last non-null value at or before the row, within the key group.
 
     ``forward`` looks ahead instead (first value at or after the row);
-    ``include_self=False`` leaves out the row itself.
+    ``include_self=False`` leaves out the row itself. All values share one
+    shuffle of the rows and one of the span summaries.
     """
     keys = list(keys)
-    order = [F.col(c) for c in ORDER]
-    staged = _spans(df.withColumn("_v", value), span)
-    present = F.when(F.col("_v").isNotNull(), F.struct(*ORDER))
-    pick = F.min_by if forward else F.max_by
-    summary = staged.groupBy(*keys, "_span").agg(pick("_v", present).alias("_edge"))
-
+    staged = _spans(df.withColumns({f"_v_{n}": v for n, v in values.items()}), span)
+    edge, scan = (F.min_by, F.first) if forward else (F.max_by, F.last)
+    edges = [
+        edge(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*ORDER))).alias(f"_e_{n}") for n in values
+    ]
     over_spans = Window.partitionBy(*keys).orderBy("_span")
-    inside = Window.partitionBy(*keys, "_span").orderBy(*order)
-    self_or_next = 0 if include_self else 1
+    inside = Window.partitionBy(*keys, "_span").orderBy(*ORDER)
+    near = 0 if include_self else 1
     if forward:
-        handed = F.first("_edge", ignorenulls=True).over(over_spans.rowsBetween(1, Window.unboundedFollowing))
-        local = F.first("_v", ignorenulls=True).over(inside.rowsBetween(self_or_next, Window.unboundedFollowing))
+        over_spans = over_spans.rowsBetween(1, Window.unboundedFollowing)
+        inside = inside.rowsBetween(near, Window.unboundedFollowing)
     else:
-        handed = F.last("_edge", ignorenulls=True).over(over_spans.rowsBetween(Window.unboundedPreceding, -1))
-        local = F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -self_or_next))
-    handed_on = summary.select(*keys, "_span", handed.alias("_handed"))
-    return (
-        staged.join(handed_on, [*keys, "_span"])
-        .withColumn(name, F.coalesce(local, F.col("_handed")))
-        .drop("_v", "_span", "_handed")
-    )
+        over_spans = over_spans.rowsBetween(Window.unboundedPreceding, -1)
+        inside = inside.rowsBetween(Window.unboundedPreceding, -near)
+    handed = [scan(f"_e_{n}", ignorenulls=True).over(over_spans).alias(f"_h_{n}") for n in values]
+    summary = staged.groupBy(*keys, "_span").agg(*edges).select(*keys, "_span", *handed)
+    found = {n: F.coalesce(scan(f"_v_{n}", ignorenulls=True).over(inside), F.col(f"_h_{n}")) for n in values}
+    joined = staged.join(summary, [*keys, "_span"])
+    return joined.select(*df.columns, *[c.alias(n) for n, c in found.items()])
 
 
 def numbered(df: DataFrame, keys: Sequence[str], name: str, span: str = SPAN) -> DataFrame:
@@ -97,15 +95,28 @@ def session_extents(events: DataFrame, key: str, gap: str = "30 minutes", time:
     """STR6 in batch: activity sessions of a key, split where nothing happens for ``gap``.
 
     (key, session_start, session_end, events), where the end is the last event
-    plus the gap, as `session_window` has it.
+    plus the gap, as `session_window` has it. Events of one gap-long span
+    always share a session, so spans are aggregated first (no sort, combined
+    before the shuffle) and only span rows are put in order.
     """
     length = F.expr(f"interval {gap}")
-    df = events.select(key, F.col(time).alias("t"), "event_id")
-    seen = carry(df, [key], F.struct("t"), "_before", include_self=False)
-    opens = F.col("_before").isNull() | (F.col("t") >= F.col("_before.t") + length)
-    marked = carry(seen.withColumn("_opens", opens), [key], F.when(F.col("_opens"), F.struct("t")), "_start")
-    return marked.groupBy(key, F.col("_start.t").alias("session_start")).agg(
-        (F.max("t") + length).alias("session_end"), F.count(F.lit(1)).alias("events")
+    spans = (
+        events.groupBy(key, F.window(time, gap).alias("w"))
+        .agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n"))
+        .select(key, "first", "last", "n")
+    )
+    w = Window.partitionBy(key).orderBy("first")
+    before = F.lag("last").over(w)
+    opens = F.when(before.isNull() | (F.col("first") >= before + length), 1).otherwise(0)
+    numbered_spans = spans.withColumn("_opens", opens).withColumn("_session", F.sum("_opens").over(w))
+    return (
+        numbered_spans.groupBy(key, "_session")
+        .agg(
+            F.min("first").alias("session_start"),
+            (F.max("last") + length).alias("session_end"),
+            F.sum("n").alias("events"),
+        )
+        .drop("_session")
     )
 
 
@@ -123,14 +134,8 @@ def node_spans(events: DataFrame) -> DataFrame:
     A start that is followed by another start, or by nothing, is still running.
     """
     steps = events.filter(F.col("type").isin("node_start", "node_end", "node_error"))
-    following = carry(
-        steps,
-        ["run_id", "node"],
-        F.struct("type", "t", "elapsed_ms"),
-        "_next",
-        forward=True,
-        include_self=False,
-    )
+    step = F.struct("type", "t", "elapsed_ms")
+    following = carry(steps, ["run_id", "node"], {"_next": step}, forward=True, include_self=False)
     closed = F.col("_next.type").isin("node_end", "node_error")
     return following.filter(F.col("type") == "node_start").select(
         "run_id",
@@ -206,18 +211,26 @@ def attribute_retrieval(events: DataFrame) -> DataFrame:
     A start opens its node; an end or error closes it only if that very node
     is the open one.
     """
-    kind = F.col("type")
-    opened = carry(
-        events.filter(kind.isin("node_start", "node_end", "node_error", "retrieval", "crag_retry")),
-        ["run_id"],
-        F.when(kind == "node_start", F.struct("node")),
-        "_opened",
+    kind, place = F.col("type"), F.struct(*ORDER)
+    closing = kind.isin("node_end", "node_error")
+    marks = {"_start": F.when(kind == "node_start", F.struct(place.alias("at"), "node"))}
+    marks |= {f"_end_{i}": F.when(closing & (F.col("node") == n), place) for i, n in enumerate(NODES)}
+    seen = carry(
+        events.filter(kind.isin("node_start", "node_end", "node_error", "retrieval", "crag_retry")), ["run_id"], marks
     )
-    closes = kind.isin("node_end", "node_error") & (F.col("node") == F.col("_opened.node"))
-    change = F.when(kind == "node_start", F.struct("node")).when(closes, F.struct(F.lit(None).cast("string").alias("node")))
-    active = carry(opened, ["run_id"], change, "_active")
-    return active.filter(kind.isin("retrieval", "crag_retry")).select(
-        "run_id", "t", "event_id", "type", F.col("_active.node").alias("node"), "docs", "max_score", "elapsed_ms"
+    ended = F.lit(None)
+    for i, n in enumerate(NODES):
+        ended = F.when(F.col("_start.node") == n, F.col(f"_end_{i}")).otherwise(ended)
+    still_open = ended.isNull() | (ended < F.col("_start.at"))
+    return seen.filter(kind.isin("retrieval", "crag_retry")).select(
+        "run_id",
+        "t",
+        "event_id",
+        "type",
+        F.when(still_open, F.col("_start.node")).alias("node"),
+        "docs",
+        "max_score",
+        "elapsed_ms",
     )
 
 

@@ -302,7 +302,7 @@ def token_counts(spark, sf):
 
 @query
 def bm25_term_stats(spark, sf):
-    return rounded(lexical.build_bm25(fx.corpus(spark, sf)).term_stats, "idf")
+    return rounded(lexical.build_bm25(fx.corpus(spark, sf), compute=True).term_stats, "idf")
 
 
 @query
