@@ -34,7 +34,7 @@ def _plain(v):
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     """Columns by name, rows sorted; numbers as float, flags as text, missing values alike."""
-    df = df[sorted(df.columns)].copy()
+    df = df[sorted(df.columns)].reset_index(drop=True)
     for c in df.columns:
         kind = df[c].dtype.kind
         if kind in "iuf":
