@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskframe.functions.topk import SCORE_DIGITS, block_hits, hit_schema, keep_best, top_hits
 from riskframe.functions.vectors import cosine, dot, unit
-from riskframe.operators.lexical import SCORE_DIGITS, top_hits
 
 # Default number of hits, cache threshold and cache size.
 DENSE_TOP_K, CACHE_THRESHOLD, CACHE_MAX_ITEMS = 20, 0.92, 500
@@ -45,41 +45,13 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length > 0, length, 1.0)
 
 
-def _best(hits: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = hits.sort_values(["query_id", "score", "doc_id"], ascending=[True, False, True], kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
-def _block_hits(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, docs: np.ndarray, k: int) -> pd.DataFrame:
-    """Rows of one document block that can be in the top ``k`` of a query of one query block.
-
-    All rows at or above the k-th score are taken, then cut to k by document
-    id, so equal scores are settled the same way everywhere.
-    """
-    scores = np.round(q @ docs.T, SCORE_DIGITS) + 0.0
-    m = scores.shape[1]
-    if m > k:
-        kth = np.partition(scores, m - k, axis=1)[:, m - k]
-        rows, cols = np.nonzero(scores >= kth[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones_like(scores, dtype=bool))
-    hits = pd.DataFrame({"query_id": qids[rows], "doc_id": ids[cols], "score": scores[rows, cols]})
-    return _best(hits, k) if m > k else hits
-
-
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return _unit_rows(values.reshape(len(vectors), -1))
 
 
 def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("doc_id", corpus.schema["doc_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    return hit_schema(queries.schema["query_id"].dataType, corpus.schema["doc_id"].dataType)
 
 
 def dense_search(
@@ -116,20 +88,14 @@ def _against_block(block: pa.Table, docs: DataFrame, k: int, schema: T.StructTyp
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
-        kept: list[pd.DataFrame] = []
-        rows, room = 0, 16 * len(ids) * k
-        for batch in batches:
+
+        def hits(batch: pa.RecordBatch) -> Iterator[pd.DataFrame]:
             batch = batch.filter(batch.column(1).is_valid())
-            if batch.num_rows == 0 or len(ids) == 0:
-                continue
-            hits = _block_hits(ids, q, batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)), k)
-            kept.append(hits)
-            rows += len(hits)
-            if rows > room:
-                kept = [_best(pd.concat(kept), k)]
-                rows = len(kept[0])
-        if kept:
-            yield pa.RecordBatch.from_pandas(_best(pd.concat(kept), k), preserve_index=False)
+            if batch.num_rows and len(ids):
+                doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
+                yield block_hits(ids, doc_ids, q @ _matrix(batch.column(1)).T, k)
+
+        return keep_best(batches, hits, len(ids), k)
 
     return docs.mapInArrow(score, schema)
 
@@ -158,7 +124,7 @@ def _grid(
             return pd.DataFrame({name: [] for name in schema.names})
         q = _unit_rows(np.stack(left["vec"].to_list()).astype(np.float64))
         d = _unit_rows(np.stack(right["vec"].to_list()).astype(np.float64))
-        return _block_hits(left["query_id"].to_numpy(), q, right["doc_id"].to_numpy(), d, k)
+        return block_hits(left["query_id"].to_numpy(), right["doc_id"].to_numpy(), q @ d.T, k)
 
     return asked.groupBy("block", "cell").cogroup(placed.groupBy("block", "cell")).applyInPandas(score, schema)
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskframe.functions.topk import SCORE_DIGITS
 from riskframe.functions.vectors import cosine, hashed_vector
-from riskframe.operators.lexical import SCORE_DIGITS, top_hits
 
 # Fusion constant, hits kept after reranking, relevance threshold.
 RRF_K, RERANK_TOP_K, RELEVANCE_THRESHOLD = 60, 5, 0.6
@@ -200,9 +200,3 @@ def routed(intent: Column) -> Column:
     name = F.lower(intent)
     everyone = F.array(*[F.lit(s) for s in SPECIALISTS])
     return F.when(name.isin(*SPECIALISTS), F.array(name)).otherwise(everyone)
-
-
-__all__ = [
-    "best_of_two", "cache_retain", "format_context", "max_scores", "rerank", "response_docs", "retry_gate",
-    "route_specialists", "rrf", "top_hits",
-]

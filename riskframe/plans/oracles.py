@@ -333,6 +333,8 @@ bm25 AS (
 ORACLES["bm25_term_stats"] = f"WITH {BM25} SELECT token, df, round(idf, 6) AS idf FROM terms"
 ORACLES["bm25_topk"] = f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm25"
 
+ORACLES["bm25_postings_topk"] = ORACLES["bm25_topk"]
+
 ORACLES["hashed_embedding"] = f"""
 WITH {_hashed("hv", "doc_id", "documents")} SELECT doc_id, b AS dim, round(v, 6) AS value FROM hv"""
 

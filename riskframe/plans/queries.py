@@ -18,7 +18,7 @@ from riskframe.operators import anomaly, dense, evaluation, guards, incidents, k
 from riskframe.operators.anomaly import Thresholds
 from riskframe.plans import fixtures as fx
 from riskframe.plans.hybrid import embed, hybrid_search
-from riskframe.session import materialise, spread
+from riskframe.session import materialise
 from riskframe.sources.readers import category_filter
 from riskframe.sources.sampling import sample_n
 from riskframe.sources.tables import last_write_wins, pending_sources
@@ -54,7 +54,7 @@ ITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
 
 @query
 def sample_orders(spark, sf):
-    items = spread(fx.table(spark, sf, "lineitem").select(*ITEM_KEY, "l_quantity"))
+    items = fx.table(spark, sf, "lineitem").select(*ITEM_KEY, "l_quantity")
     return sample_n(items, 2500, ITEM_KEY)
 
 
@@ -305,8 +305,18 @@ def bm25_term_stats(spark, sf):
     return rounded(lexical.build_bm25(fx.corpus(spark, sf), compute=True).term_stats, "idf")
 
 
+def _sparse(spark, sf):
+    docs = fx.corpus(spark, sf)
+    return lexical.bm25_scan(fx.search_queries(spark, sf), docs, lexical.build_bm25(docs, compute=True))
+
+
 @query
 def bm25_topk(spark, sf):
+    return rounded(_sparse(spark, sf), "score")
+
+
+@query
+def bm25_postings_topk(spark, sf):
     index = lexical.build_bm25(fx.corpus(spark, sf), compute=True)
     return rounded(lexical.bm25_search(fx.search_queries(spark, sf), index), "score")
 
@@ -358,9 +368,7 @@ def _dense_text(spark, sf, queries=None, k=20):
 
 
 def _fused(spark, sf):
-    index = lexical.build_bm25(fx.corpus(spark, sf), compute=True)
-    sparse = lexical.bm25_search(fx.search_queries(spark, sf), index)
-    return ranking.rrf([_dense_text(spark, sf), sparse])
+    return ranking.rrf([_dense_text(spark, sf), _sparse(spark, sf)])
 
 
 @query
