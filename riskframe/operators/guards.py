@@ -181,6 +181,7 @@ def validate_output(
 # ------------------------------------------------------------------ context budget
 # Context budget in tokens, smallest part worth adding, characters per token.
 MAX_CONTEXT_TOKENS, MIN_PARTIAL_TOKENS, CHARS_PER_TOKEN = 6000, 50, 4
+RANKS_PER_BUCKET = 256
 
 
 def pack_context(
@@ -189,26 +190,36 @@ def pack_context(
     """GRD16: per query, the ranked chunks that fit in ``cap`` tokens, joined by blank lines.
 
     The first chunk that does not fit is cut to what is left, if that is more
-    than 50 tokens; nothing after it is used. Every chunk counts at least one
-    token, so only the first ``cap + 1`` chunks of a query can matter: the rank
-    filter drops the rest before the shuffle, whatever a query's size, and
-    changes no result. ``rank`` must be unique within a query.
+    than 50 tokens; nothing after it is used. ``rank`` is a number, unique
+    within a query.
+
+    Chunks are summed per bucket of ranks first. Running totals of those sums
+    tell which buckets begin within the budget; only their chunks are put in
+    order, each bucket by itself. A query of any size is therefore never
+    sorted in one task, and since every chunk counts a token, at most ``cap``
+    of them are gathered.
     """
-    w = Window.partitionBy(query).orderBy(rank)
+    counted = chunks.select(query, rank, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumns(
+        {"_tokens": token_estimate("_text"), "_bucket": F.floor(F.col(rank) / RANKS_PER_BUCKET)}
+    )
+    earlier = Window.partitionBy(query).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reached = (
+        counted.groupBy(query, "_bucket")
+        .agg(F.sum("_tokens").alias("_sum"))
+        .select(query, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+        .filter(F.col("_before") <= cap)
+    )
+    inside = Window.partitionBy(query, "_bucket").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
     counted = (
-        chunks.select(query, rank, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-        .withColumn("_pos", F.row_number().over(w))
-        .filter(F.col("_pos") <= cap + 1)
-        .withColumn("_tokens", token_estimate("_text"))
-        .withColumn("_used", F.sum("_tokens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        counted.join(reached, [query, "_bucket"])
+        .withColumn("_used", F.sum("_tokens").over(inside) + F.col("_before"))
+        .withColumn("_pos", F.col(rank))
     )
     before = F.col("_used") - F.col("_tokens")
     left = F.lit(cap) - before
     # totals only grow, so the first overflowing chunk is the one that starts within the budget
-    part = (
-        F.when(F.col("_used") <= cap, F.col("_text"))
-        .when((before <= cap) & (left > MIN_PARTIAL_TOKENS), F.substring(F.col("_text"), F.lit(1), (left * CHARS_PER_TOKEN).cast("int")))
-    )
+    cut = F.substring(F.col("_text"), F.lit(1), (left * CHARS_PER_TOKEN).cast("int"))
+    part = F.when(F.col("_used") <= cap, F.col("_text")).when((before <= cap) & (left > MIN_PARTIAL_TOKENS), cut)
     taken = F.when(F.col("_used") <= cap, F.col("_tokens"))
     return (
         counted.withColumn("_part", part)

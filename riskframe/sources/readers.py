@@ -63,28 +63,45 @@ def _read_known(spark: SparkSession, path: str, encoding: str, types: dict[str,
     """A delimited file whose columns are matched by trimmed, case-insensitive name.
 
     Files differ in column order and in stray blanks around names, so the
-    schema is put together from the file's own header; unknown columns are
-    strings. Bad cells become null and the row is kept with its raw line in
+    schema follows the file's own header; unknown columns are strings. Cells
+    are read as text and cast, so a cell that does not parse becomes null and
+    its row stays; a line with the wrong number of cells is kept whole in
     ``_corrupt_record``.
     """
     known = {name.strip().lower(): (name, dtype) for name, dtype in types.items()}
-    schema_fields = []
+    named = []
     for raw in _header(spark, path, encoding):
-        name, dtype = known.get(raw.strip(WHITESPACE).lower(), (raw.strip(WHITESPACE), T.StringType()))
-        schema_fields.append(T.StructField(name, dtype))
-    schema_fields.append(T.StructField("_corrupt_record", T.StringType()))
+        plain = raw.strip(WHITESPACE)
+        named.append(known.get(plain.lower(), (plain, T.StringType())))
     reader = (
-        spark.read.schema(T.StructType(schema_fields))
+        spark.read.schema(text_schema([name for name, _ in named]))
         .option("header", True)
         .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("enforceSchema", True)
-        .option("quote", '"')
+        # a parser that skips unused cells would not notice lines with too few or too many
+        .option("columnPruning", False)
         .option("escape", '"')
-        .option("multiLine", False)
     )
-    return blank_missing(reader.csv(path))
+    return cast_columns(blank_missing(reader.csv(path)), dict(named))
+
+
+def text_schema(names: list[str]) -> T.StructType:
+    """All columns as text, with a place for lines that have the wrong number of cells."""
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt_record"]])
+
+
+def cast_columns(df: DataFrame, types: dict[str, T.DataType]) -> DataFrame:
+    """Text columns to their types; what does not parse becomes null. Whole numbers may be written "5.0"."""
+
+    def typed(name: str, dtype: T.DataType):
+        c = F.col(f"`{name}`")
+        if isinstance(dtype, (T.IntegerType, T.LongType)):
+            return F.coalesce(c.try_cast(dtype), c.try_cast("double").try_cast(dtype))
+        return c.try_cast(dtype)
+
+    changes = {n: typed(n, t) for n, t in types.items() if not isinstance(t, T.StringType)}
+    return df.withColumns(changes) if changes else df
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
@@ -103,25 +120,26 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that parsed, and the raw lines of those that did not."""
     if "_corrupt_record" not in df.columns:
         return df, empty_frame(df.sparkSession, "_corrupt_record string")
-    bad = F.col("_corrupt_record").isNotNull()
-    return df.filter(~bad).drop("_corrupt_record"), df.filter(bad).select("_corrupt_record")
+    # text sources refuse to answer from the raw line alone, so the test also looks at a cell
+    first = F.coalesce(F.col(f"`{df.columns[0]}`").cast("string"), F.lit(""))
+    bad = F.col("_corrupt_record").isNotNull() & (F.length(first) >= 0)
+    good = F.col("_corrupt_record").isNull() & (F.length(first) >= 0)
+    return df.filter(good).drop("_corrupt_record"), df.filter(bad).select("_corrupt_record")
 
 
 def read_csv_with_fallback(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """SRC5: utf-8, or latin-1 when any cell or header does not decode.
+    """SRC5: utf-8, or latin-1 when some line is not valid utf-8.
 
-    Spark marks undecodable bytes with U+FFFD instead of failing, so one
-    aggregate over the file tells which encoding to use.
+    One aggregate over the lines, whose bytes are kept as they are, tells
+    which encoding to use.
     """
 
     def read(encoding: str) -> DataFrame:
         options = {"header": True, "sep": sep, "encoding": encoding, "inferSchema": True, "quote": '"', "escape": '"'}
         return spark.read.options(**options).csv(path)
 
-    mark = chr(0xFFFD)
-    lines = spark.read.text(path)
-    undecodable = lines.agg(F.max(F.col("value").contains(mark))).first()[0]
-    return normalise_headers(blank_missing(read("ISO-8859-1" if undecodable else "UTF-8")))
+    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
+    return normalise_headers(blank_missing(read("ISO-8859-1" if valid is False else "UTF-8")))
 
 
 def read_json_any(spark: SparkSession, path: str) -> DataFrame:

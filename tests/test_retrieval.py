@@ -1,0 +1,264 @@
+"""Search operators against brute force on small corpora."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from riskframe.operators import dense, lexical, ranking
+from riskframe.plans.hybrid import embed, hybrid_search
+
+WORDS = [f"w{i}" for i in range(40)]
+
+
+def make_texts(n, seed, longest=30):
+    r = random.Random(seed)
+    return [" ".join(r.choices(WORDS, weights=[1 / (i + 1) for i in range(40)], k=r.randint(0, longest))) for _ in range(n)]
+
+
+def okapi(queries, docs, k):
+    """The published formula, written out."""
+    tokens = [d.split() for d in docs]
+    n, avg = len(docs), sum(map(len, tokens)) / len(docs)
+    tfs = [Counter(t) for t in tokens]
+    df = Counter(t for c in tfs for t in c)
+    idf = {t: math.log((n - f + 0.5) / (f + 0.5)) for t, f in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    idf = {t: (v if v >= 0 else floor) for t, v in idf.items()}
+    hits = {}
+    for qid, q in enumerate(queries):
+        scores = []
+        for i, c in enumerate(tfs):
+            s = sum(
+                idf.get(t, 0) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * len(tokens[i]) / avg)) for t in q.split() if c[t]
+            )
+            scores.append((-round(s, 9), i))
+        hits[qid] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return hits
+
+
+def frames(spark, queries, docs):
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return q, d
+
+
+def collected(hits):
+    out = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        out.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6) + 0.0))
+    return out
+
+
+def rounded(hits):
+    return {q: [(i, round(s, 6) + 0.0) for i, s in rows] for q, rows in hits.items()}
+
+
+@pytest.mark.parametrize("road", ["scan", "postings"])
+def test_bm25_equals_formula(spark, road):
+    docs, queries = make_texts(60, 1), make_texts(8, 2, 6) + ["zz unknown", "w39 w39 w38"]
+    q, d = frames(spark, queries, docs)
+    index = lexical.build_bm25(d, compute=True)
+    got = lexical.bm25_scan(q, d, index, 7) if road == "scan" else lexical.bm25_search(q, index, 7)
+    assert collected(got) == rounded(okapi(queries, docs, 7))
+
+
+@pytest.mark.parametrize("road", ["scan", "postings"])
+def test_bm25_with_negative_weights_pads_exactly(spark, road):
+    # every word is in most documents, so weights are below zero and unmatched documents rank first
+    docs = ["a b c"] * 30 + ["a b"] * 5 + ["d"] + ["c"] * 3 + [""] * 4
+    q, d = frames(spark, ["a b c", "b", "d"], docs)
+    index = lexical.build_bm25(d, compute=True)
+    got = lexical.bm25_scan(q, d, index, 6) if road == "scan" else lexical.bm25_search(q, index, 6)
+    assert collected(got) == rounded(okapi(["a b c", "b", "d"], docs, 6))
+
+
+def test_bm25_falls_back_beyond_the_matrix(spark, monkeypatch):
+    docs, queries = make_texts(40, 3), make_texts(5, 4, 6)
+    q, d = frames(spark, queries, docs)
+    index = lexical.build_bm25(d, compute=True)
+    want = collected(lexical.bm25_scan(q, d, index, 5))
+    monkeypatch.setattr(lexical, "MAX_SCAN_WEIGHTS", 3)
+    assert collected(lexical.bm25_scan(q, d, index, 5)) == want
+    monkeypatch.setattr(lexical, "MAX_BROADCAST_TERMS", 2)
+    assert collected(lexical.bm25_scan(q, d, index, 5)) == want
+
+
+def test_bm25_without_padding_and_small_blocks(spark, monkeypatch):
+    docs, queries = make_texts(50, 5), ["w30 w31", "nothing"]
+    q, d = frames(spark, queries, docs)
+    index = lexical.build_bm25(d)
+    got = collected(lexical.bm25_search(q, index, 50, pad=False))
+    assert set(got) == {0} and all("w30" in docs[i].split() or "w31" in docs[i].split() for i, _ in got[0])
+    monkeypatch.setattr(lexical, "BLOCK_VALUES", 7)
+    assert collected(lexical.bm25_scan(q, d, index, 4)) == rounded(okapi(queries, docs, 4))
+
+
+def test_index_round_trip(spark, tmp_path):
+    docs, queries = make_texts(30, 6), make_texts(3, 7, 5)
+    q, d = frames(spark, queries, docs)
+    lexical.write_index(lexical.build_bm25(d), str(tmp_path))
+    stored = lexical.read_index(spark, str(tmp_path))
+    assert collected(lexical.bm25_search(q, stored, 5)) == rounded(okapi(queries, docs, 5))
+
+
+# ------------------------------------------------------------------ dense
+def vectors(n, dim, seed):
+    v = np.random.default_rng(seed).standard_normal((n, dim))
+    v[n // 2 :: 7] = v[0]  # copies: equal scores
+    if n > 3:
+        v[3] = 0.0
+    return v
+
+
+def brute(q, d, k):
+    unit = lambda m: m / np.where(np.linalg.norm(m, axis=1, keepdims=True) > 0, np.linalg.norm(m, axis=1, keepdims=True), 1)
+    s = np.round(unit(q) @ unit(d).T, 9) + 0.0
+    return {i: [(int(j), round(float(s[i, j]), 6) + 0.0) for j in np.lexsort((np.arange(len(d)), -s[i]))[:k]] for i in range(len(q))}
+
+
+def vector_frames(spark, q, d):
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, vec array<double>")
+    ds = spark.createDataFrame(
+        [(i, v.tolist(), f"s{i % 3}") for i, v in enumerate(d)], "doc_id long, vec array<double>, source string"
+    )
+    return qs, ds
+
+
+@pytest.mark.parametrize("limits", [{}, {"max_block_values": 16, "max_cell_rows": 9}])
+def test_dense_equals_brute_force_on_both_roads(spark, limits):
+    q, d = vectors(9, 8, 1), vectors(70, 8, 2)
+    qs, ds = vector_frames(spark, q, d)
+    assert collected(dense.dense_search(qs, ds.repartition(5), 6, **limits)) == brute(q, d, 6)
+
+
+def test_dense_filter_missing_vectors_and_empty_inputs(spark):
+    q, d = vectors(3, 4, 3), vectors(20, 4, 4)
+    qs, ds = vector_frames(spark, q, d)
+    ds = ds.unionByName(ds.limit(1).select(F.lit(99).cast("long").alias("doc_id"), F.lit(None).cast("array<double>").alias("vec"), F.lit("s1").alias("source")))
+    got = dense.dense_search(qs, ds, 50, where={"source": "s1"})
+    assert {r.doc_id for r in got.collect()} == {i for i in range(20) if i % 3 == 1}
+    assert dense.dense_search(qs.limit(0), ds, 5).count() == 0
+    assert dense.dense_search(qs, ds.filter("doc_id < 0"), 5).count() == 0
+
+
+def test_dense_keeps_k_rows_per_task(spark):
+    q, d = vectors(2, 4, 5), vectors(30, 4, 6)
+    qs, ds = vector_frames(spark, q, d)
+    plan = dense.dense_search(qs, ds, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and plan.count("WindowGroupLimit") == 2
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert plan.count("Exchange hashpartitioning(query_id") == 1
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_ann_recall(spark, broadcast, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 16))
+    d = np.repeat(centres, 25, axis=0) + 0.15 * rng.standard_normal((300, 16))
+    q = centres + 0.15 * rng.standard_normal((12, 16))
+    qs, ds = vector_frames(spark, q, d)
+    if not broadcast:
+        monkeypatch.setattr(dense, "MAX_BLOCK_VALUES", 128)
+    found = collected(dense.dense_search_ann(qs, ds, 10))
+    exact = brute(q, d, 10)
+    hit = sum(len({i for i, _ in exact[x]} & {i for i, _ in found.get(x, [])}) for x in exact)
+    assert hit / sum(map(len, exact.values())) >= 0.8
+    assert all(len(v) == len({i for i, _ in v}) for v in found.values())
+
+
+def test_cache_lookup(spark):
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [-1.0, 0.0]), (4, [0.0, 0.0])], "query_id int, vec array<double>")
+    cache = spark.createDataFrame([(7, [1.0, 0.0], "a"), (5, [2.0, 0.0], "b"), (9, [0.0, 1.0], "c")], "entry_id int, vec array<double>, payload string")
+    for limit in (500, 2):
+        got = {r.query_id: (r.entry_id, r.similarity, r.payload) for r in dense.cache_lookup(qs, cache, 0.8, limit).collect()}
+        assert got == {1: (5, 1.0, "b"), 2: (9, 0.8, "c")}
+    assert dense.cache_lookup(qs, cache.limit(0), 0.1).count() == 0
+
+
+# ------------------------------------------------------------------ ranking
+def test_rrf_order_and_payload(spark):
+    hits = "query_id int, doc_id string, rank int, score double"
+    a = spark.createDataFrame([(1, "x", 1, 0.9), (1, "y", 2, 0.8)], hits)
+    b = spark.createDataFrame([(1, "z", 1, 7.0), (1, "y", 2, 6.0), (1, "x", 3, 5.0)], hits)
+    got = ranking.rrf([a, b]).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == ["x", "y", "z"]
+    assert got[0].rrf_score == pytest.approx(1 / 61 + 1 / 63) and got[0].score == 0.9 and got[2].score == 7.0
+    tie = ranking.rrf([a.filter("doc_id = 'x'"), b.filter("doc_id = 'z'")]).orderBy("rank").collect()
+    assert [r.doc_id for r in tie] == ["x", "z"]
+
+
+def test_rerank_uses_stored_vector_else_text(spark):
+    cands = spark.createDataFrame([(1, "x", 1, 0.1), (1, "y", 2, 0.2), (1, "n", 3, 0.3)], "query_id int, doc_id string, rank int, score double")
+    q = embed(spark.createDataFrame([(1, "alpha beta")], "query_id int, text string"))
+    stored = embed(spark.createDataFrame([("x", "gamma")], "doc_id string, text string"))
+    texts = spark.createDataFrame([("y", "alpha beta"), ("x", "alpha beta")], "doc_id string, text string")
+    got = ranking.rerank(cands, q, stored, texts, 3).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == ["y", "x", "n"]
+    assert [round(r.rerank_score, 6) for r in got] == [1.0, 0.0, 0.0] and [r.score for r in got] == [0.2, 0.1, 0.3]
+
+
+def test_retry_gate_is_strict_and_counts_queries_without_hits(spark):
+    hits = spark.createDataFrame([(1, 0.6), (2, 0.59)], "query_id int, rerank_score double")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    maxima = ranking.max_scores(hits, asked)
+    assert {r.query_id: r.max_score for r in maxima.collect()} == {1: 0.6, 2: 0.59, 3: 0.0}
+    assert sorted(r.query_id for r in ranking.retry_gate(maxima).collect()) == [2, 3]
+
+
+def test_best_of_two(spark):
+    hits = "query_id int, doc_id string, rerank_score double"
+    first = spark.createDataFrame([(i, "f", 0.5) for i in (1, 2, 3, 4)], hits)
+    second = spark.createDataFrame([(1, "s", 0.6), (2, "s", 0.5), (3, "s", 0.9), (5, "s", 0.1)], hits)
+    asked = spark.createDataFrame(
+        [(1, "a", "b"), (2, "a", "b"), (3, "Same", "sAME"), (4, "a", None), (5, "a", "b")], "query_id int, text string, rewritten string"
+    )
+    got = {r.query_id: (r.doc_id, r.max_score, r.reformulated_from) for r in ranking.best_of_two(first, second, asked).collect()}
+    assert got == {1: ("s", 0.6, "a"), 2: ("f", 0.5, None), 3: ("f", 0.5, None), 4: ("f", 0.5, None), 5: ("s", 0.1, "a")}
+
+
+def test_response_docs(spark):
+    rows = [(1, d, i, s, r) for i, (d, s, r) in enumerate([("a", 0.1, 0.9), ("b", 0.2, None), ("a", 0.3, 0.1), ("c", None, None)])]
+    hits = spark.createDataFrame(rows, "query_id int, doc_id string, rank int, score double, rerank_score double")
+    got = ranking.response_docs(hits, 2).orderBy("position").collect()
+    assert [(r.doc_id, r.score) for r in got] == [("a", 0.9), ("b", 0.2)]
+    assert ranking.response_docs(hits, 5).filter("doc_id = 'c'").first().score == 0.0
+
+
+def test_format_context(spark):
+    hits = spark.createDataFrame([(1, 2, "b", "tb", None), (1, 1, "a", "ta", "HIGH"), (1, 3, "c", "tc", "LOW")], "query_id int, rank int, doc_id string, text string, severity string")
+    assert ranking.format_context(hits, 2).first().context == (
+        "[Doc 1 | id=a | severity=HIGH | source=?]\nta\n\n[Doc 2 | id=b | severity=? | source=?]\ntb"
+    )
+
+
+def test_cache_retain(spark):
+    rows = [("q1", "old", 1.0, None), ("q1", "new", 5.0, None), ("q2", "p", 2.0, 9.0), ("q3", "p", 3.0, None)]
+    entries = spark.createDataFrame(rows, "query string, payload string, store_ts double, hit_ts double")
+    got = ranking.cache_retain(entries, 2).collect()
+    assert [(r["query"], r.payload) for r in got] == [("q2", "p"), ("q3", "p")]
+    assert {r["query"]: r.payload for r in ranking.cache_retain(entries, 3).collect()}["q1"] == "new"
+
+
+@pytest.mark.parametrize("intent, n", [("supplier_risk", 1), ("Shipment_Analysis", 1), ("general", 3), ("odd", 3), (None, 3)])
+def test_routing(spark, intent, n):
+    assert ranking.route_specialists(spark.createDataFrame([(intent,)], "intent string")).count() == n
+
+
+def test_hybrid_with_hot_copies_filter_and_stored_index(spark, tmp_path):
+    docs = ["late shipment port"] * 30 + make_texts(60, 8)
+    q = spark.createDataFrame([(1, "late port"), (2, "w1 w2"), (3, "zz")], "query_id int, text string")
+    d = spark.createDataFrame([(i, t, f"s{i % 2}") for i, t in enumerate(docs)], "doc_id long, text string, source string")
+    again = spark.createDataFrame([(3, "w1 w2 w3"), (2, "W1 W2")], "query_id int, rewritten string")
+    hits = hybrid_search(q, d, again, threshold=0.99).orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in hits} == {1, 2, 3} and max(r.rank for r in hits) == 5
+    assert [r.doc_id for r in hits if r.query_id == 1] == [0, 1, 2, 3, 4]
+    assert {r.query_id: r.reformulated_from for r in hits} == {1: None, 2: None, 3: "zz"}
+    only = hybrid_search(q, d, where={"source": "s1"}).collect()
+    assert only and all(r.doc_id % 2 == 1 for r in only)
+    lexical.write_index(lexical.build_bm25(d), str(tmp_path))
+    stored = hybrid_search(q, embed(d), again, threshold=0.99, index=lexical.read_index(spark, str(tmp_path)))
+    assert sorted(map(str, stored.collect())) == sorted(map(str, hits))
