@@ -76,15 +76,17 @@ def test_bm25_with_negative_weights_pads_exactly(spark, road):
     assert collected(got) == rounded(okapi(["a b c", "b", "d"], docs, 6))
 
 
-def test_bm25_falls_back_beyond_the_matrix(spark, monkeypatch):
-    docs, queries = make_texts(40, 3), make_texts(5, 4, 6)
+@pytest.mark.parametrize("limit", ["MAX_SCAN_WEIGHTS", "MAX_BROADCAST_TERMS"])
+def test_bm25_beyond_every_size_check(spark, monkeypatch, limit):
+    docs, queries = make_texts(40, 3) + ["", "w0 w0 w0"], make_texts(5, 4, 6) + ["unknown"]
     q, d = frames(spark, queries, docs)
     index = lexical.build_bm25(d, compute=True)
-    want = collected(lexical.bm25_scan(q, d, index, 5))
-    monkeypatch.setattr(lexical, "MAX_SCAN_WEIGHTS", 3)
-    assert collected(lexical.bm25_scan(q, d, index, 5)) == want
-    monkeypatch.setattr(lexical, "MAX_BROADCAST_TERMS", 2)
+    want = rounded(okapi(queries, docs, 5))
+    monkeypatch.setattr(lexical, limit, 3)
+    monkeypatch.setattr(lexical, "BLOCK_WEIGHTS", 8)
+    monkeypatch.setattr(lexical, "CELL_DOCS", 10)
     assert collected(lexical.bm25_scan(q, d, index, 5)) == want
+    assert collected(lexical.bm25_search(q, index, 5)) == want
 
 
 def test_bm25_without_padding_and_small_blocks(spark, monkeypatch):
