@@ -13,11 +13,11 @@ def duck(sf):
 
 def test_every_query_has_a_twin_or_a_reason():
     # approximate search depends on random projections; recall is tested in test_retrieval
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"dense_topk_approx"}
+    assert set(entry.QUERIES) - set(entry.ORACLES) == {"dense_topk_approx"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.ORACLES))
 def test_query_matches_twin(spark, sf, duck, name):
     got = entry.queries()[name](spark, sf).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).df()
