@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import minhash, packing, ring
+from riskframe.llm import decontaminate, metric_join, minhash, packing, ring
 from riskframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,20 @@ def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors linked at a cosine of 0.95 or more."""
+    return metric_join.range_join(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all windows of 10 words of the benchmark."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.report(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 2048."""
