@@ -6,8 +6,9 @@ replacement (each shingle offers its rank j at the j-th place of its own
 permutation), so ranks already held by every place stop the work early.
 Signatures are cut into bands; classes that share a band are compared with the
 band's smallest class on their full shingle sets. What did not link there is
-compared with the band's other members as far as the triangle inequality of
-the Jaccard distance leaves a link possible. Links are united by components.
+compared with the other members of that class's bands, block by block, as far
+as the triangle inequality of the Jaccard distance leaves a link possible.
+Links are united by components.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import LOWER, WordHashes, fresh, mix, utf8, windows
-from riskframe.llm.graph import components
+from riskframe.llm.graph import Forest, components
 from riskframe.session import materialise
 
 SHINGLE = 5
@@ -29,6 +30,8 @@ SHINGLE = 5
 BANDS, ROWS = 32, 6
 #: Shingles signed at a time, and members compared with one centre in a run of rows.
 CHUNK, RUN = 16_384, 256
+#: Documents and shingles of a block, and shingles multiplied at a time.
+BLOCK, BLOCK_SHINGLES, STRETCH = 256, 400_000, 8192
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -134,6 +137,74 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long, common long, total long")
 
 
+def linked_in_blocks(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): a forest of the links inside each group of ``members`` (grp, doc_id, n).
+
+    A group is dealt into blocks of bounded rows and shingles; each pair of
+    blocks is compared in one task by matrix products of set membership, and
+    only united links leave it, so nothing emitted grows with the square of a
+    group.
+    """
+    size = members.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = members.join(size, "grp").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = dealt.select("doc_id", "grp", "own", other)
+    dealt = dealt.select("doc_id", "grp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = docs.select("doc_id", "text").join(dealt, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        at, held = None, []
+
+        def give() -> pa.RecordBatch:
+            forest = Forest()
+            for x, y in block_links([h for h in held if h[1] == at[1]], [h for h in held if h[1] == at[2]], at[1] == at[2], percent):
+                forest.join(x, y)
+            nodes = list(forest.parent)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            ids, groups, own, i, j = (batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5))
+            for r, text in enumerate(utf8(batch.column(1))):
+                if at != (groups[r], i[r], j[r]):
+                    if held:
+                        yield give()
+                    at, held = (groups[r], i[r], j[r]), []
+                held.append((ids[r], own[r], shingle_set(text, hashes, k)))
+        if held:
+            yield give()
+
+    together = texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return together.mapInArrow(run, "a long, b long")
+
+
+def block_links(left: list[tuple], right: list[tuple], same: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """Linked pairs of (id, block, set) rows of two blocks; all intersections at once, a stretch of shingles at a time."""
+    if not left or not right:
+        return
+    sides = [left] if same else [left, right]
+    values = np.concatenate([x for side in sides for _, _, x in side])
+    _, number = np.unique(values, return_inverse=True)
+    rows = np.repeat(np.arange(sum(map(len, sides))), [len(x) for side in sides for _, _, x in side])
+    order = np.argsort(number, kind="stable")
+    number, rows = number[order], rows[order]
+    n_left, total = len(left), int(number[-1]) + 1 if len(number) else 0
+    common = np.zeros((n_left, len(right)), np.float32)
+    edges = np.searchsorted(number, np.arange(0, total + STRETCH, STRETCH))
+    for c, (s, e) in enumerate(zip(edges, edges[1:])):
+        held = np.zeros((sum(map(len, sides)), STRETCH), np.float32)
+        held[rows[s:e], number[s:e] - c * STRETCH] = 1
+        common += held[:n_left] @ (held if same else held[n_left:]).T
+    common = common.astype(np.int64)
+    size = lambda side: np.array([len(x) for _, _, x in side])
+    union = size(left)[:, None] + size(right)[None, :] - common
+    hit = (100 * common >= percent * union) & (common > 0)
+    if same:
+        hit = np.triu(hit, 1)
+    for x, y in zip(*np.nonzero(hit)):
+        yield left[x][0], right[y][0]
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = SHINGLE, percent: int = 85, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -149,7 +220,7 @@ def near_duplicates(
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     marks = materialise(signed(plain, k, bands, rows))
     known = marks.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = materialise(known.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     keys = materialise(
         known.join(classes.withColumnRenamed("digest", "own"), F.col("doc_id") == F.col("rep"), "left_semi")
         .select(F.explode("bands").alias("key"), F.col("doc_id").alias("b"))
@@ -160,21 +231,16 @@ def near_duplicates(
     link = F.expr(f"100 * common >= {percent} * total")
     united = components(tested.where(link).select("a", "b"))
 
-    # Members that did not link with their band's centre may link with one another.
-    far = tested.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"), link.alias("linked"))
-    members = starred.join(far, ["a", "b"]).join(united, F.col("b") == F.col("node"), "left")
-    members = members.select("key", "b", "d", "linked", F.coalesce("component", "b").alias("part"))
-    x, y = members.alias("x"), members.where(~F.col("linked")).alias("y")
+    # Members that did not link with their centre may link with one another, or with those that did and lie near enough.
     reach = 1 - percent / 100 + 1e-9
-    open_pairs = (
-        y.join(x, F.expr(f"x.key = y.key AND x.part <> y.part AND abs(x.d - y.d) <= {reach} AND (x.linked OR x.b < y.b)"))
-        .select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
-        .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    open_pairs = materialise(open_pairs)
-    if not open_pairs.isEmpty():
-        more = verified(plain, open_pairs, k).where(link).select("a", "b")
+    far = tested.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"), link.alias("linked"))
+    open_groups = far.where("NOT linked").groupBy("a").agg(F.min("d").alias("least"))
+    members = far.join(open_groups, "a").where(f"NOT linked OR d >= least - {reach}").select(F.col("a").alias("grp"), F.col("b").alias("doc_id"))
+    crowd = members.groupBy("grp").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    sizes = known.groupBy("doc_id").agg(F.max("n").alias("n"))
+    members = materialise(members.join(crowd, "grp").join(sizes, "doc_id").select("grp", "doc_id", "n"))
+    if not members.isEmpty():
+        more = linked_in_blocks(plain, members, k, percent)
         united = components(more.union(united.select("node", "component")))
 
     rep, comp, own = fresh(marks, "rep", "component", "own")
