@@ -1,0 +1,86 @@
+"""Counts after edits against counting the whole text anew."""
+
+import random
+
+import numpy as np
+import pytest
+from helpers import docs_of, no_docs
+from pyspark.sql import functions as F
+
+from riskframe.llm import token_tree as TT
+from riskframe.llm.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return TT.Counter()
+
+
+def whole(counter, text):
+    return len(counter.encoding.encode_ordinary(text or ""))
+
+
+def tree_of(counter, text, leaf):
+    sizes = TT.leaves(text, leaf)
+    ends = np.cumsum([0, *sizes]).tolist()
+    return TT.Tree(sizes, [counter.count(text[a:b]) for a, b in zip(ends, ends[1:])])
+
+
+@pytest.mark.parametrize("text", ["", "a", "  ", " \n\n x ", "It's 12 o'clock　now", "x" * 900, "a\x1cb \x85c", "日本 語 テスト " * 30])
+def test_counts_add_up(counter, text):
+    assert tree_of(counter, text, 16).tokens[1] == whole(counter, text)
+
+
+def test_random_edits(counter, spark, sf):
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()] + ["", " ", "ab"]
+    for text in texts:
+        tree = tree_of(counter, text, 64)
+        for _ in range(25):
+            a = rng.randint(0, len(text))
+            b = min(len(text), a + rng.choice([0, 0, 1, 3, 30, 300]))
+            new = rng.choice(["", "x", " ", "\n\n", "hello world ", "'s", " 12 3", "  "])
+            want = text[:a] + new + text[b:]
+            text, again = tree.edit(text, a, b, new, counter)
+            assert text == want and tree.chars[1] == len(text) and tree.tokens[1] == whole(counter, text)
+            for i in range(1, tree.width):
+                assert tree.tokens[i] == tree.tokens[2 * i] + tree.tokens[2 * i + 1]
+
+
+def test_only_the_touched_region_is_counted(counter):
+    text = "some words of a text " * 2000
+    tree = tree_of(counter, text, 512)
+    _, again = tree.edit(text, 20_000, 20_003, "other", counter)
+    assert again < 1100
+
+
+def test_edits_beyond_the_text_nulls_and_clashes(spark, counter):
+    docs = docs_of(spark, ["hello big world", None, "", "abc def"]).withColumn("tree", F.lit("mine")).withColumn("tokens_after", F.lit(0))
+    edits = "array(struct(500L AS start, 900L AS stop, ' more' AS new), struct(-5L AS start, 2L AS stop, CAST(NULL AS STRING) AS new))"
+    docs = docs.withColumn("edits", F.when(F.col("doc_id") < 3, F.expr(edits)))
+    trees, name = TT.built(docs)
+    assert name == "tree_"
+    done, names = TT.edited(trees, name, "edits")
+    assert names == ["tokens_before", "tokens_after_", "chars_recounted"]
+    rows = {r.doc_id: r for r in done.collect()}
+    assert [rows[i].text for i in range(4)] == ["llo big world more", None, "more"[0:0] + "ore", "abc def"]
+    assert all(rows[i].tokens_after_ == whole(counter, rows[i].text) for i in range(4)) and rows[3].chars_recounted == 0
+
+
+def test_empty_table(spark):
+    trees, name = TT.built(no_docs(spark).withColumn("edits", TT.revisions(F.col("text"), F.col("source"))))
+    assert TT.edited(trees, name, "edits")[0].count() == 0
+
+
+def test_query(spark, sf, counter):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    edits = {r.doc_id: (r.text, r.edits) for r in docs.withColumn("edits", TT.revisions(F.col("text"), F.col("source"))).collect()}
+    rows = QUERIES["op5_edited_token_counts"](spark, sf).collect()
+    assert len(rows) == len(edits)
+    for r in rows:
+        text, todo = edits[r.doc_id]
+        before = whole(counter, text)
+        for e in todo:
+            start = min(e.start, len(text))
+            text = text[:start] + e.new + text[max(start, min(e.stop, len(text))) :]
+        assert (r.tokens_before, r.tokens_after, r.chars_after) == (before, whole(counter, text), len(text))
