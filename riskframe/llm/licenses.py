@@ -17,22 +17,28 @@ from pyspark.sql import functions as F
 
 from riskframe.session import materialise
 
-# A licence's usual notice and the opening of its text, by SPDX identifier.
+# licences' usual notices and the openings of their texts, by SPDX identifier.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
-    "BSD-3-Clause": "BSD 3-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-2.0": "This program is licensed under the GNU General Public License, version 2",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
-    "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "CC-BY-4.0": "Licensed under CC BY 4.0. Creative Commons Attribution 4.0 International License",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0. Creative Commons Attribution ShareAlike 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0. Creative Commons Attribution NonCommercial 4.0 International License",
-    "CC0-1.0": "CC0 1.0 Universal. No rights reserved, dedicated to the public domain",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
-    "Proprietary": "All rights reserved. Unauthorized copying of this file is strictly prohibited",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004"),
+    "MIT": (
+        "Released under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+    ),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+    ),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3",),
+    "GPL-2.0": ("This program is licensed under the GNU General Public License, version 2",),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3",),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0", "Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "Creative Commons Attribution ShareAlike 4.0 International License"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "Creative Commons Attribution NonCommercial 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0 Universal", "No rights reserved, dedicated to the public domain"),
+    "Unlicense": ("This is free and unencumbered software released into the public domain",),
+    "Proprietary": ("All rights reserved", "Unauthorized copying of this file is strictly prohibited"),
 }
 COSINE = 0.5
 #: What a line must contain to be looked at, and the share of a file's words that makes it a licence file.
@@ -45,30 +51,35 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
-def template_terms(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(license, term, weight, norm) of the templates, weighed by ln(1 + templates / templates with the term) * count."""
-    rows = spark.createDataFrame(list(templates.items()), "license string, words string")
-    counts = rows.select("license", F.explode(terms(F.col("words"))).alias("term")).groupBy("license", "term").agg(F.count(F.lit(1)).alias("tf"))
+def template_terms(spark: SparkSession, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """(license, template, term, weight, norm, idf); idf is ln(1 + templates / templates with the term), weight is count * idf."""
+    listed = [(name, f"{name} {i}", text) for name, texts in templates.items() for i, text in enumerate(texts)]
+    rows = spark.createDataFrame(listed, "license string, template string, words string")
+    counts = rows.select("license", "template", F.explode(terms(F.col("words"))).alias("term"))
+    counts = counts.groupBy("license", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = counts.join(df, "term").withColumn("weight", F.col("tf") * F.log(1 + F.lit(float(len(templates))) / F.col("df")))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("license")))
-    return weighed.withColumn("norm", norm).withColumn("idf", F.col("weight") / F.col("tf")).select("license", "term", "weight", "norm", "idf")
+    weighed = counts.join(df, "term").withColumn("idf", F.log(1 + F.lit(float(len(listed))) / F.col("df")))
+    weighed = weighed.withColumn("weight", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("template")))
+    return weighed.select("license", "template", "term", "weight", norm.alias("norm"), "idf")
 
 
-def matched(lines: DataFrame, cosine: float = COSINE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def matched(lines: DataFrame, cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """(line, license, score) of each distinct ``line`` whose best template reaches ``cosine``.
 
     A term that no template has is weighed like one that a single template
     has; equal scores go to the first identifier.
     """
     own = template_terms(lines.sparkSession, templates)
-    rare = math.log(1 + len(templates))
+    rare = math.log(1 + sum(map(len, templates.values())))
     counts = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = own.select("term", "idf").distinct()
     weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
     norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("line_norm"))
-    dots = weighed.join(F.broadcast(own.select("license", "term", "weight", "norm")), "term").groupBy("line", "license", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "line").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("line_norm")), 6)).where(F.col("score") >= cosine)
+    shared = weighed.join(F.broadcast(own.drop("idf")), "term").groupBy("line", "license", "template", "norm")
+    dots = shared.agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    score = F.round(F.col("dot") / (F.col("norm") * F.col("line_norm")), 6)
+    scored = dots.join(norms, "line").withColumn("score", score).where(F.col("score") >= cosine)
     best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
     return best.select("line", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
@@ -81,7 +92,7 @@ def ancestors(path: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, path: Column, text: str = "text", id_col: str = "doc_id", cosine: float = COSINE, templates: dict[str, str] = TEMPLATES
+    docs: DataFrame, path: Column, text: str = "text", id_col: str = "doc_id", cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES
 ) -> DataFrame:
     """(id, path, own_license, score, license, licensed_by, is_license_file) for every row of ``docs``.
 

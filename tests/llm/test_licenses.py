@@ -19,15 +19,16 @@ def words(text):
 
 
 def cosines(line):
-    df = Counter(t for text in L.TEMPLATES.values() for t in set(words(text)))
-    idf = lambda t: math.log(1 + len(L.TEMPLATES) / df.get(t, 1))
+    every = [(name, text) for name, texts in L.TEMPLATES.items() for text in texts]
+    df = Counter(t for _, text in every for t in set(words(text)))
+    idf = lambda t: math.log(1 + len(every) / df.get(t, 1))
     vector = lambda text: {t: n * idf(t) for t, n in Counter(words(text)).items()}
     x = vector(line)
     out = {}
-    for name, text in L.TEMPLATES.items():
+    for name, text in every:
         y = vector(text)
         norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
-        out[name] = sum(v * y.get(t, 0) for t, v in x.items()) / norm
+        out[name] = max(out.get(name, 0), sum(v * y.get(t, 0) for t, v in x.items()) / norm)
     return out
 
 
