@@ -13,7 +13,7 @@ def ranked(df: DataFrame, key: str, priority: str, counts: dict[int, int]) -> Da
     """``df`` with ``rank``: 0, 1, ... inside each ``key`` in the order of ``priority``.
 
     ``counts`` has the rows of each key; keys come from a small fixed domain.
-    ``priority`` is a well-mixed long, so equal ranges of it hold about equal
+    ``priority`` is a well-mixed long, taken as unsigned, so equal ranges of it hold about equal
     rows. Each key is cut into ranges, a range is ordered on its own, and the
     rows of the ranges before it are added. The result does not depend on how
     many ranges there are. Rows that share a priority are ordered arbitrarily.
@@ -28,7 +28,7 @@ def ranked(df: DataFrame, key: str, priority: str, counts: dict[int, int]) -> Da
     offsets = (
         df.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n")).select(key, "part", F.coalesce(before, F.lit(0)).alias("before"))
     )
-    inside = F.row_number().over(Window.partitionBy(key, "part").orderBy(priority))
+    inside = F.row_number().over(Window.partitionBy(key, "part").orderBy(F.col(priority) < 0, priority))
     return (
         df.withColumn("inside", inside)
         .join(offsets, [key, "part"])
