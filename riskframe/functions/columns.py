@@ -49,8 +49,8 @@ def as_int(c: Column | str, default: int = 0) -> Column:
 
 
 def doc_id(prefix: str, *parts: Column) -> Column:
-    """First 16 hex digits of the md5 of ``prefix::part::part``."""
-    return F.substring(F.md5(F.concat_ws("::", F.lit(prefix), *[p.cast("string") for p in parts])), 1, 16)
+    """The md5 of ``prefix::part::part`` in hex: all 128 bits, so ids stay distinct for any number of rows."""
+    return F.md5(F.concat_ws("::", F.lit(prefix), *[p.cast("string") for p in parts]))
 
 
 def fixed(c: Column, digits: int) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.operators.evaluation import SUITE_METRICS
-from riskframe.session import spread
 
 INTENTS = ("supplier_risk", "shipment_analysis", "inventory_intelligence", "general")
 NODES = ("orchestrator", "supplier_risk", "shipment_analysis", "inventory_intelligence", "recommendation")
@@ -82,8 +81,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Test files of one row group come as one split; a table of more splits than this is never dealt anew.
+FEW_SPLITS = 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a few splits dealt over the cores; what can move is bounded by those few splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of long texts, spread over the cores if it comes in few splits."""
+    """A table of long texts, spread over the cores if it comes in a few splits."""
     return spread(table(spark, sf_dir, name))
 
 

@@ -92,7 +92,7 @@ FROM items GROUP BY ALL"""
 
 ORACLES["order_incidents"] = f"""
 WITH {ITEMS}
-SELECT substr(md5('dataco::' || order_id || '::' || order_item_id), 1, 16) AS id,
+SELECT md5('dataco::' || order_id || '::' || order_item_id) AS id,
        'Order ' || order_id || ' placed on ' || order_date || ', shipped on ' || ship_date || '. Product: '
        || product || ' (category ' || category || ', department ' || department || '). Customer segment '
        || customer_segment || '; destination unknown, unknown (region ' || region || ', market ' || market
@@ -111,7 +111,7 @@ ORACLES["generic_incidents"] = """
 WITH t AS (
   SELECT p_partkey, p_type, 'p_name: ' || p_name || '; p_brand: ' || p_brand || '; p_type: ' || p_type
          || '; p_size: ' || p_size AS text FROM part)
-SELECT substr(md5('custom::' || p_partkey || '::' || substr(text, 1, 64)), 1, 16) AS id, text, p_type,
+SELECT md5('custom::' || p_partkey || '::' || text) AS id, text, p_type,
        p_partkey::VARCHAR AS row_index FROM t"""
 
 # ------------------------------------------------------------------ dashboard

@@ -32,17 +32,31 @@ def local_session(cores: str | int = "*", memory: str = "8g", app: str = "riskfr
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and stream state.
 
-    Read from ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) is a folder made locally.
+    Read from ``spark.checkpoint.dir``. Only a session of one process
+    (``local[...]``) may go without: there a folder is made. On a cluster a
+    local folder would be another one on each machine, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="riskframe-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def is_local(master: str) -> bool:
+    """Driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, whatever file system it names; errors of the file system are raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once and keep on the shared checkpoint folder.
 
@@ -52,12 +66,3 @@ def materialise(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than the cluster has cores, dealt over all cores.
-
-    For small inputs of costly rows (long texts in one file). An input of many
-    splits is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,19 +63,23 @@ def _read_known(spark: SparkSession, path: str, encoding: str, types: dict[str,
     """A delimited file whose columns are matched by trimmed, case-insensitive name.
 
     Files differ in column order and in stray blanks around names, so the
-    schema follows the file's own header; unknown columns are strings. Cells
+    schema follows the file's own header; unknown columns are strings. In a
+    folder every file's header is compared with the first one's, and one that
+    differs is an error, never a swap of columns. Cells
     are read as text and cast, so a cell that does not parse becomes null and
     its row stays; a line with the wrong number of cells is kept whole in
     ``_corrupt_record``.
     """
     known = {name.strip().lower(): (name, dtype) for name, dtype in types.items()}
     named = []
-    for raw in _header(spark, path, encoding):
+    header = _header(spark, path, encoding)
+    for raw in header:
         plain = raw.strip(WHITESPACE)
         named.append(known.get(plain.lower(), (plain, T.StringType())))
     reader = (
-        spark.read.schema(text_schema([name for name, _ in named]))
+        spark.read.schema(text_schema(header))
         .option("header", True)
+        .option("enforceSchema", False)
         .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -83,7 +87,8 @@ def _read_known(spark: SparkSession, path: str, encoding: str, types: dict[str,
         .option("columnPruning", False)
         .option("escape", '"')
     )
-    return cast_columns(blank_missing(reader.csv(path)), dict(named))
+    df = reader.csv(path).withColumnsRenamed({h: name for h, (name, _) in zip(header, named)})
+    return cast_columns(blank_missing(df), dict(named))
 
 
 def text_schema(names: list[str]) -> T.StructType:
@@ -174,6 +179,17 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
         raise ValueError(f"Unsupported file type: .{kind}") from error
 
 
+def read_order() -> Column:
+    """Where a row stands in the files read: file time, file, split, place in the split."""
+    meta = F.col("_metadata")
+    return F.struct(
+        meta["file_modification_time"].alias("time"),
+        meta["file_path"].alias("file"),
+        meta["file_block_start"].alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+
+
 def category_filter(orders: DataFrame, category: str) -> DataFrame:
     """SRC11: the orders of one category (the predicate reaches the scan)."""
     if "category" not in orders.columns:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe import schemas
+from riskframe.session import exists
 from riskframe.sources.readers import empty_frame
 
 
@@ -83,13 +84,10 @@ def metadata_map(df: DataFrame, columns: list[str]) -> Column:
 
 # ------------------------------------------------------------------ manifest
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest as one row per key; empty when there is none yet."""
-    try:
-        marks = spark.read.schema(manifest_log_schema()).parquet(path)
-        marks.limit(0).count()
-    except Exception:
+    """The manifest as one row per key; empty only when there is none yet, any other trouble is raised."""
+    if not exists(spark, path):
         return empty_frame(spark, schemas.MANIFEST)
-    return current_manifest(marks)
+    return current_manifest(spark.read.schema(manifest_log_schema()).parquet(path))
 
 
 def manifest_log_schema() -> T.StructType:

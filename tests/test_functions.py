@@ -41,7 +41,7 @@ def test_to_numeric_or_null(spark):
 
 
 def test_doc_id(spark):
-    want = hashlib.md5(b"dataco::7::unknown").hexdigest()[:16]
+    want = hashlib.md5(b"dataco::7::unknown").hexdigest()
     assert _one(spark, C.doc_id("dataco", F.lit(7), F.lit("unknown")), "") == want
 
 
@@ -159,7 +159,7 @@ def test_order_incident_with_missing_cells(spark):
         "order_id long, order_item_id string, product string, profit double, quantity double",
     )
     row = incidents.orders_to_incidents(df).first()
-    assert row.id == hashlib.md5(b"dataco::10::unknown").hexdigest()[:16]
+    assert row.id == hashlib.md5(b"dataco::10::unknown").hexdigest()
     assert row.metadata.severity == "HIGH" and row.metadata.source == "dataco" and len(row.metadata) == 23
     assert row.text == (
         "Order 10 placed on unknown, shipped on unknown. Product: Chair (category unknown, department unknown). "
@@ -177,7 +177,7 @@ def test_sku_incident(spark):
         "defect_rate double, inspection string",
     )
     rows = incidents.skus_to_incidents(df, "row").collect()
-    assert rows[0].id != rows[1].id and rows[0].id == hashlib.md5(b"fashion::SKU0::0").hexdigest()[:16]
+    assert rows[0].id != rows[1].id and rows[0].id == hashlib.md5(b"fashion::SKU0::0").hexdigest()
     assert [r.metadata.severity for r in rows] == ["LOW", "MEDIUM"] and len(rows[0].metadata) == 19
     assert "SKU SKU0 (haircare) supplied by unknown" in rows[0].text and "Price 69.81;" in rows[0].text
     assert "defect rate 0.23%." in rows[0].text
@@ -191,7 +191,7 @@ def test_generic_incident_limits(spark):
     parts = row.text.split("; ")
     assert len(parts) == 30 and parts[0] == "c00: v0" and parts[1] == "c03: v3"
     assert len(row.metadata) == 22 and row.metadata["source"] == "custom" and "c01" not in row.metadata
-    assert row.id == hashlib.md5(f"custom::k::{row.text[:64]}".encode()).hexdigest()[:16]
+    assert row.id == hashlib.md5(f"custom::k::{row.text[:64]}".encode()).hexdigest()
 
 
 def test_dispatch_splits_rejects(spark, tmp_path):

@@ -164,3 +164,74 @@ def test_ingest_end_to_end(spark, tmp_path):
     assert runs.filter("state = 'error'").count() == 1 and runs.count() == 5
     ing.clear_corpus(spark, root)
     assert ing.read_corpus(spark, root).count() == 0 and tables.read_manifest(spark, f"{root}/manifest").count() == 0
+
+
+def test_an_unreadable_log_stops_the_run_and_loses_nothing(spark, tmp_path):
+    root = f"{tmp_path}/store"
+    (tmp_path / "a.csv").write_text("name\nx\ny\n")
+    (tmp_path / "b.csv").write_text("name\nz\n")
+    ing.ingest(spark, "custom", f"{tmp_path}/a.csv", root)
+    logs = {f: f.read_bytes() for f in (tmp_path / "store" / "snapshots").glob("part-*.parquet")}
+    for f in logs:
+        f.write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        ing.ingest(spark, "custom", f"{tmp_path}/b.csv", root)
+    for f, whole in logs.items():
+        f.write_bytes(whole)
+    assert ing.read_corpus(spark, root).count() == 2
+    ing.ingest(spark, "custom", f"{tmp_path}/b.csv", root)
+    assert ing.read_corpus(spark, root).count() == 3
+
+
+def test_a_failed_index_leaves_the_former_corpus_in_force(spark, tmp_path, monkeypatch):
+    root = f"{tmp_path}/store"
+    (tmp_path / "a.csv").write_text("name\nx\ny\n")
+    ing.ingest(spark, "custom", f"{tmp_path}/a.csv", root)
+    (tmp_path / "b.csv").write_text("name\nz\n")
+
+    def fail(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(ing, "write_index", fail)
+    with pytest.raises(OSError):
+        ing.ingest(spark, "custom", f"{tmp_path}/b.csv", root)
+    assert ing.read_corpus(spark, root).count() == 2
+    assert tables.read_manifest(spark, f"{root}/manifest").count() == 1
+
+
+def test_rows_without_a_key_keep_their_ids_however_they_are_split(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("a", 1), ("b", None), ("c", 2)], "n string, v int")
+    keys = [sorted(r.row_key for r in ing.numbered_rows(df.repartition(n)).collect()) for n in (1, 5)]
+    assert keys[0] == keys[1] and len(set(keys[0])) == 5
+
+
+def test_the_last_row_of_an_id_wins(spark, tmp_path):
+    root = f"{tmp_path}/store"
+    rows = [{"Order Id": 1, "Order Item Id": 1, "Market": m} for m in ("Z", "M", "A")]
+    order_csv(tmp_path / "o.csv", rows)
+    ing.ingest(spark, ORDER_SOURCE, f"{tmp_path}/o.csv", root)
+    assert [r.metadata["market"] for r in ing.read_corpus(spark, root).collect()] == ["A"]
+
+
+def test_forty_fields_all_count(spark):
+    from riskframe.operators.incidents import rows_to_incidents
+
+    df = spark.createDataFrame([(0, *range(40)), (1, *range(39), 99)], "k int, " + ", ".join(f"f{i} int" for i in range(40)))
+    rows = rows_to_incidents(df, "k").collect()
+    assert all("f39: " in r.text and len(r.metadata) == 42 and len(r.id) == 32 for r in rows)
+    capped = rows_to_incidents(df, "k", text_fields=30, metadata_fields=20).first()
+    assert "f30" not in capped.text and len(capped.metadata) == 22
+
+
+def test_a_file_with_another_header_is_refused(spark, tmp_path):
+    names = [f.name for f in schemas.ORDER_FILE.fields]
+    for file, order in (("a", names), ("b", names[::-1])):
+        (tmp_path / f"{file}.csv").write_text(",".join(order) + "\n" + ",".join("1" for _ in order) + "\n")
+    with pytest.raises(Exception):
+        readers.read_orders(spark, str(tmp_path)).collect()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from riskframe.session import is_local
+
+    assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
