@@ -19,40 +19,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import utf8
+from riskframe.llm.common import LOWER, parts, utf8
 from riskframe.llm.ranks import ranked
 from riskframe.session import materialise
 
 LENGTH = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Remembered words per task and their greatest length in bytes; others are encoded each time.
-WORDS, WORD_BYTES = 200_000, 64
+#: Words remembered by a Python worker in each of two generations, and new words encoded in one go.
+WORDS, NEW = 150_000, 5_000
+#: ASCII punctuation that may follow a word of letters; the tokenizer parts the two.
+_TAIL = b".,!?;:|#$%&*()-+=/"
+_WORKERS: dict[str, WordIds] = {}
 
 
 class WordIds(dict):
     """Words as packed token ids (little-endian unsigned 32 bit).
 
     White space is dropped by the tokenizer and no token spans it, so the ids
-    of a text are those of its words one after the other.
+    of a text are those of its words one after the other; likewise those of a
+    word of letters and the punctuation after it. When a generation of words
+    is full it becomes the older one, from which what is used again returns.
     """
 
     def __init__(self, tokenizer: str):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.older: dict[bytes, bytes] = {}
         self.encoder = Tokenizer.from_file(tokenizer)
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.encoder.encode(word.decode("utf-8"), add_special_tokens=False).ids
-        packed = np.array(ids, "<u4").tobytes()
-        if len(word) <= WORD_BYTES:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
-
-    def of(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split()))
+        vocabulary = self.encoder.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _letters(self, words: list[bytes]) -> None:
+        """Encode words of letters only: each is one run of tokens, the last of which ends a word."""
+        for start in range(0, len(words), NEW):
+            some = words[start : start + NEW]
+            ids = self._ids(" ".join(w.decode() for w in some))
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(some):
+                for w, a, b in zip(some, [0, *ends], ends):
+                    self[w] = ids[a:b].tobytes()
+            else:  # a letter whose lower case is more than letters
+                for w in some:
+                    self[w] = self._ids(w.decode()).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure that all of ``words`` are known."""
+        if len(self) > WORDS:
+            self.older = dict(self)
+            self.clear()
+        split, letters = [], set()
+        for w in words.difference(self):
+            if w in self.older:
+                self[w] = self.older[w]
+                continue
+            stem = w.rstrip(_TAIL)
+            small = stem.translate(LOWER)
+            if stem and _of_letters(stem.decode()):
+                split.append((w, small, w[len(stem) :]))
+                if small not in self:
+                    letters.add(small)
+            else:
+                self[w] = self._ids(w.decode()).tobytes()
+        self._letters([w for w in letters if not self._again(w)])
+        for w, stem, tail in split:
+            if tail and tail not in self:
+                self[tail] = self._ids(tail.decode()).tobytes()
+            self[w] = self[stem] + self[tail] if tail else self[stem]
+
+    def _again(self, word: bytes) -> bool:
+        if word in self.older:
+            self[word] = self.older[word]
+        return word in self
+
+    def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The packed ids of each text."""
+        words = [(t or b"").split() for t in texts]
+        self.learn(set().union(*words))
+        for own in words:
+            yield b"".join(map(self.__getitem__, own))
+
+
+def _of_letters(word: str) -> bool:
+    """Letters only, also in lower case (a capital may come apart into a letter and a mark)."""
+    return word.isalpha() and word.lower().isalpha()
+
+
+def word_ids(tokenizer: str) -> WordIds:
+    """The words known to this Python worker, whatever task it runs."""
+    if tokenizer not in _WORKERS:
+        _WORKERS[tokenizer] = WordIds(tokenizer)
+    return _WORKERS[tokenizer]
 
 
 def tokenizer_path(path: str | None) -> str:
@@ -70,11 +131,11 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None)
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path(tokenizer))
-        for batch in batches:
+        words = word_ids(tokenizer_path(tokenizer))
+        for batch in parts(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, text in enumerate(utf8(batch.column(1))):
-                ids = words.of(text) + b"\0\0\0\0"
+            for i, ids in enumerate(words.of(utf8(batch.column(1)))):
+                ids += b"\0\0\0\0"
                 for piece, start in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[start : start + 4 * length]
                     for column, value in zip(out, (i, piece, start // 4, len(part) // 4, zlib.crc32(part))):
