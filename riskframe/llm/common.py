@@ -32,6 +32,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Rows that Python looks at together; what it holds at a time is bounded by them, not by Spark's batches.
+ROWS = 256
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8 bytes, without decoding them."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -50,7 +61,7 @@ def with_columns(
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, *fn(*(b.column(i) for i in at))], names=names)
 
     return df.mapInArrow(run, schema)
@@ -68,7 +79,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered for the most recent ``limit`` of them."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

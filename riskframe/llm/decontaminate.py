@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import fresh, lookup, mix, utf8, with_columns
+from riskframe.llm.common import fresh, lookup, mix, parts, utf8, with_columns
 from riskframe.session import materialise
 
 WINDOW = 10
@@ -87,7 +87,7 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
     """(words, items): each distinct window with the items it comes from. Fewer words than ``width`` are one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             ids, out = [], []
             for i, raw in enumerate(utf8(b.column(1))):
                 w = words(raw)
@@ -208,6 +208,8 @@ def clean(
     With the default 0 every hit document goes; with 1 only spans go.
     """
     found, name = find(docs, benchmark, text, **options)
+    if drop_share <= 0:
+        return found.where(F.size(f"{name}.spans") == 0).select(*docs.columns)
 
     def cut(column: pa.Array, marks: pa.Array) -> list[pa.Array]:
         out, share = [], []

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import LOWER, WordHashes, fresh, mix, utf8, windows
+from riskframe.llm.common import LOWER, WordHashes, fresh, mix, parts, utf8, windows
 from riskframe.llm.graph import Forest, components
 from riskframe.session import materialise
 
@@ -87,7 +87,7 @@ def signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in parts(batches):
             digests, sizes, keys = [], [], []
             for text in utf8(batch.column(1)):
                 words = (text or b"").translate(LOWER).split()
@@ -120,7 +120,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         at, centre = None, None
-        for batch in batches:
+        for batch in parts(batches):
             out: tuple[list, ...] = ([], [], [], [])
             ids, a, part, role = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             for i, text in enumerate(utf8(batch.column(1))):
@@ -163,7 +163,7 @@ def linked_in_blocks(docs: DataFrame, members: DataFrame, k: int, percent: int)
             nodes = list(forest.parent)
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in parts(batches):
             ids, groups, own, i, j = (batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5))
             for r, text in enumerate(utf8(batch.column(1))):
                 if at != (groups[r], i[r], j[r]):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import LOWER, WordHashes, fresh, mix, utf8, with_columns
+from riskframe.llm.common import LOWER, WordHashes, fresh, mix, parts, utf8, with_columns
 from riskframe.session import materialise
 
 MIN_WORDS = 20
@@ -56,7 +56,7 @@ def _emitted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in parts(batches):
             all_d, all_at, rows = [], [], []
             for i, raw in enumerate(utf8(b.column(1))):
                 d, at = np.unique(digests(units(raw, hashes)[1]), return_index=True)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import fresh, utf8, with_columns
+from riskframe.llm.common import fresh, parts, utf8, with_columns
 from riskframe.session import materialise
 
 KEY = b"change this key"
@@ -239,7 +239,7 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
     """(kind, entity): the distinct entities of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             seen = {(k, e) for raw in utf8(b.column(0)) if raw for _, _, k, e in detect(raw.decode())}
             yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.string()), "entity": pa.array([e for _, e in seen], pa.string())})
 
@@ -306,7 +306,7 @@ def _told(docs: DataFrame, redrawn: DataFrame, text: str, id_col: str, name: str
     """Per document the draws of its own entities."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows = [(i, k, e) for i, raw in enumerate(utf8(b.column(1))) if raw for k, e in {f[2:] for f in detect(raw.decode())}]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[c] for r in rows], pa.string()) for c in (1, 2))],
