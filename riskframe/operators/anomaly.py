@@ -520,5 +520,16 @@ def high_only(anomalies: DataFrame) -> DataFrame:
     return anomalies.filter(F.col("severity") == "HIGH")
 
 
+def high_summary(orders: DataFrame, t: Thresholds = Thresholds()) -> dict[str, DataFrame]:
+    """AN11: the short report: header, counts per severity, HIGH anomalies in full, all correlated risks."""
+    report = run_all(orders, t)
+    return {
+        "header": report_header(orders, report),
+        "summary": severity_summary(report),
+        "high_severity_anomalies": high_only(report),
+        "correlated_risks": correlate(report),
+    }
+
+
 def thresholds_as_dict(t: Thresholds = Thresholds()) -> dict[str, float]:
     return asdict(t)

@@ -62,8 +62,9 @@ PII_PATTERNS = {
     "phone": r"\b(?:\+?\d{1,3}[\s.-]?)?(?:\(?\d{3}\)?[\s.-]?)?\d{3}[\s.-]?\d{4}\b",
 }
 
-INJECTION_RE = "(?i)" + "|".join(INJECTION_PATTERNS)
-DOMAIN_RE = r"(?i)\b(" + "|".join(DOMAIN_KEYWORDS) + r")\b"
+# Letters of any script are folded; digits, blanks and word edges are those of Unicode.
+INJECTION_RE = "(?iU)" + "|".join(INJECTION_PATTERNS)
+DOMAIN_RE = r"(?iU)\b(" + "|".join(DOMAIN_KEYWORDS) + r")\b"
 
 
 # ------------------------------------------------------------------ input
@@ -81,7 +82,7 @@ def injection_match(c: Column | str) -> Column:
 
 def is_greeting(c: Column | str) -> Column:
     """GRD3: the whole text is a greeting or small talk."""
-    return strip(col(c)).rlike("(?i)" + GREETING_PATTERN)
+    return strip(col(c)).rlike("(?iU)" + GREETING_PATTERN)
 
 
 def has_domain_keyword(c: Column | str) -> Column:
@@ -125,12 +126,12 @@ def validate_input(df: DataFrame, text: str = "text", verdict_col: str | None =
 
 # ------------------------------------------------------------------ output
 def contains_pii(c: Column | str, category: str) -> Column:
-    return col(c).rlike(PII_PATTERNS[category])
+    return col(c).rlike("(?U)" + PII_PATTERNS[category])
 
 
 def redact(c: Column | str, category: str) -> Column:
     """GRD6-GRD9: one category masked as ``[REDACTED_<CATEGORY>]``."""
-    return F.regexp_replace(col(c), PII_PATTERNS[category], f"[REDACTED_{category.upper()}]")
+    return F.regexp_replace(col(c), "(?U)" + PII_PATTERNS[category], f"[REDACTED_{category.upper()}]")
 
 
 def scrub_pii(df: DataFrame, text: str = "text") -> DataFrame:

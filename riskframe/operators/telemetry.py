@@ -23,12 +23,14 @@ from riskframe.operators.ranking import SPECIALISTS, routed
 ORDER = ("t", "event_id")
 # Nodes of a run.
 NODES = ("orchestrator", *SPECIALISTS, "recommendation")
-SPAN = "10 minutes"
+#: Seconds of a span, and the span of events that have no time (they come first).
+SPAN, TIMELESS = 600, -(2**62)
 
 
 # ------------------------------------------------------------------ ordered helpers
-def _spans(df: DataFrame, span: str) -> DataFrame:
-    return df.withColumn("_span", F.window("t", span)["start"])
+def _spans(df: DataFrame, span: int) -> DataFrame:
+    at = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / (span * 1_000_000))
+    return df.withColumn("_span", F.coalesce(at, F.lit(TIMELESS)))
 
 
 def carry(
@@ -37,7 +39,7 @@ def carry(
     values: dict[str, Column],
     forward: bool = False,
     include_self: bool = True,
-    span: str = SPAN,
+    span: int = SPAN,
 ) -> DataFrame:
     """Adds each of ``values``: its last non-null value at or before the row, within the key group.
 
@@ -67,7 +69,7 @@ def carry(
     return joined.select(*df.columns, *[c.alias(n) for n, c in found.items()])
 
 
-def numbered(df: DataFrame, keys: Sequence[str], name: str, span: str = SPAN) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], name: str, span: int = SPAN) -> DataFrame:
     """Adds ``name``: position of each row within its key group, from 1, in time order."""
     keys = list(keys)
     staged = _spans(df, span)
@@ -319,16 +321,20 @@ def recent_feedback(feedback: DataFrame, n: int = 50) -> DataFrame:
 
 
 def guard_events(guarded: DataFrame) -> DataFrame:
-    """The guard events of a table from `validate_input`: (stage, ok, reason)."""
+    """The guard events of a table from `validate_input`: (stage, ok, reason).
+
+    Every message has one event of the instant check; one that passed it and
+    was then found off topic has a second, of the domain check. A classifier
+    that was not available leaves no event of its own.
+    """
     from riskframe.operators.guards import REASONS
 
     g = F.col("guard")
-    domain = g["reason"].isin(REASONS["off_topic"], REASONS["unavailable"])
-    return guarded.select(
-        F.when(domain, "domain").otherwise("instant").alias("stage"),
-        g["ok"].alias("ok"),
-        g["reason"].alias("reason"),
-    )
+    passed = g["ok"] | g["reason"].isin(REASONS["off_topic"], REASONS["unavailable"])
+    event = lambda stage, ok, reason: F.struct(F.lit(stage).alias("stage"), ok.alias("ok"), reason.alias("reason"))
+    instant = event("instant", passed, F.when(passed, F.lit("")).otherwise(g["reason"]))
+    domain = F.when(g["reason"] == REASONS["off_topic"], event("domain", F.lit(False), g["reason"]))
+    return guarded.select(F.explode(F.array_compact(F.array(instant, domain))).alias("e")).select("e.*")
 
 
 def guard_outcomes(events: DataFrame) -> DataFrame:

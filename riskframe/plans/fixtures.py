@@ -126,6 +126,19 @@ def order_items(
     return items.selectExpr(*[f"{ORDER_ITEM_SQL[name]} AS {name}" for name in wanted])
 
 
+def sku_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as SKUs; what the table lacks is dealt out by the key."""
+    kind = "element_at(array('Pass', 'Fail', 'Pending'), CAST(p_partkey % 3 + 1 AS INT))"
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS row_key", "concat('SKU', p_partkey) AS sku", "p_type AS product_type", "p_brand AS supplier",
+        "p_retailprice AS price", "p_size * 10.25D AS revenue", "p_size * 3 AS units_sold", "p_size AS stock_levels",
+        "CAST(p_partkey % 40 AS INT) AS lead_time", "CAST(p_partkey % 30 AS INT) AS manufacturing_lead_time",
+        "CAST(p_partkey % 9 AS INT) AS shipping_time", "concat('Carrier ', p_partkey % 3) AS carrier",
+        "'Road' AS transport_mode", "p_size / 4.0D AS shipping_cost", f"{kind} AS inspection",
+        "p_partkey % 50 / 10.0D AS defect_rate",
+    )
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as (doc_id, text, source, lang); source and lang are the metadata."""
     return texts(spark, sf_dir).select("doc_id", "text", "source", "lang")

@@ -90,10 +90,13 @@ WITH {ITEMS}
 SELECT shipping_mode, delivery_status, {SEVERITY} AS severity, count(*) AS orders
 FROM items GROUP BY ALL"""
 
-ORACLES["order_incidents"] = f"""
-WITH {ITEMS}
-SELECT md5('dataco::' || order_id || '::' || order_item_id) AS id,
-       'Order ' || order_id || ' placed on ' || order_date || ', shipped on ' || ship_date || '. Product: '
+def _fixed(x: str) -> str:
+    """Two decimals of the number as it is written, ties away from zero."""
+    rounded = f"({x})::VARCHAR::DECIMAL(38, 2)"
+    return f"(CASE WHEN {x} < 0 AND {rounded} = 0 THEN '-' ELSE '' END || {rounded}::VARCHAR)"
+
+
+ORDER_TEXT = f"""'Order ' || order_id || ' placed on ' || order_date || ', shipped on ' || ship_date || '. Product: '
        || product || ' (category ' || category || ', department ' || department || '). Customer segment '
        || customer_segment || '; destination unknown, unknown (region ' || region || ', market ' || market
        || '). Shipping mode: ' || shipping_mode || '. Delivery status: ' || delivery_status || '. Order status: '
@@ -101,18 +104,86 @@ SELECT md5('dataco::' || order_id || '::' || order_item_id) AS id,
        || CASE WHEN days_real > days_scheduled THEN '+' ELSE '' END || (days_real - days_scheduled) || ' days). '
        || CASE WHEN late = 1 THEN 'This order was flagged with late-delivery risk.'
                ELSE 'No late-delivery risk was flagged.' END
-       || ' Quantity ' || quantity::BIGINT || '. ' AS text,
-       {SEVERITY} AS severity, (days_real - days_scheduled)::BIGINT AS delay_days,
-       round(profit, 4) AS profit, round(profit_ratio, 6) AS profit_ratio, customer_segment,
-       'unknown' AS order_city
-FROM items"""
+       || ' Quantity ' || quantity::BIGINT || '. Order generated profit of ' || {_fixed("profit")} || ' (ratio '
+       || {_fixed("coalesce(profit_ratio, 0)")} || '); sales ' || {_fixed("sales")} || ', discount ' || {_fixed("discount")}
+       || '. Severity: ' || {SEVERITY} || '.'"""
+ORACLES["order_incidents"] = f"""
+WITH {ITEMS}
+SELECT md5('dataco::' || order_id || '::' || order_item_id) AS id, {ORDER_TEXT} AS text, 'dataco' AS source,
+       order_id::BIGINT AS order_id, product, category, department, market, region, 'unknown' AS order_country,
+       'unknown' AS order_city, customer_segment, shipping_mode, delivery_status, order_status,
+       days_real::BIGINT AS days_real, days_scheduled::BIGINT AS days_scheduled,
+       (days_real - days_scheduled)::BIGINT AS delay_days, late::BIGINT AS late_delivery_risk, round(sales, 4) AS sales,
+       round(profit, 4) AS profit, round(coalesce(profit_ratio, 0), 6) AS profit_ratio, {SEVERITY} AS severity,
+       order_date, ship_date FROM items"""
 
 ORACLES["generic_incidents"] = """
 WITH t AS (
-  SELECT p_partkey, p_type, 'p_name: ' || p_name || '; p_brand: ' || p_brand || '; p_type: ' || p_type
-         || '; p_size: ' || p_size AS text FROM part)
-SELECT md5('custom::' || p_partkey || '::' || text) AS id, text, p_type,
-       p_partkey::VARCHAR AS row_index FROM t"""
+  SELECT *, 'p_name: ' || p_name || '; p_brand: ' || p_brand || '; p_type: ' || p_type
+         || '; p_size: ' || p_size || '; p_retailprice: ' || p_retailprice AS text FROM part)
+SELECT md5('custom::' || p_partkey || '::' || text) AS id, text,
+       concat_ws(',', 'p_brand=' || p_brand, 'p_name=' || p_name, 'p_retailprice=' || p_retailprice, 'p_size=' || p_size,
+                 'p_type=' || p_type, 'row_index=' || p_partkey, 'source=custom') AS metadata FROM t"""
+
+SKUS = """
+skus AS (
+  SELECT *, CASE WHEN defect_rate > 3 OR lower(inspection) = 'fail' THEN 'HIGH'
+                 WHEN defect_rate > 1 OR stock_levels < 20 OR lead_time > 25 THEN 'MEDIUM' ELSE 'LOW' END AS severity
+  FROM (SELECT p_partkey, 'SKU' || p_partkey AS sku, p_type AS product_type, p_brand AS supplier, 'unknown' AS location,
+               p_retailprice AS price, p_size * 10.25::DOUBLE AS revenue, (p_size * 3)::BIGINT AS units_sold,
+               p_size::BIGINT AS stock_levels, (p_partkey % 40)::BIGINT AS lead_time,
+               (p_partkey % 30)::BIGINT AS manufacturing_lead_time, (p_partkey % 9)::BIGINT AS shipping_time,
+               'Carrier ' || (p_partkey % 3) AS carrier, 'Road' AS transport_mode, 'unknown' AS route,
+               p_size / 4.0::DOUBLE AS shipping_cost, ['Pass', 'Fail', 'Pending'][p_partkey % 3 + 1] AS inspection,
+               (p_partkey % 50) / 10.0::DOUBLE AS defect_rate FROM part))"""
+ORACLES["sku_incidents"] = f"""
+WITH {SKUS}
+SELECT md5('fashion::' || sku || '::' || p_partkey) AS id,
+       'SKU ' || sku || ' (' || product_type || ') supplied by ' || supplier || ' from ' || location || '. Price '
+       || {_fixed("price")} || '; revenue ' || {_fixed("revenue")} || '; ' || units_sold || ' units sold; stock level '
+       || stock_levels || '. Lead time ' || lead_time || ' days (manufacturing ' || manufacturing_lead_time
+       || ' days); shipping ' || shipping_time || ' days via ' || carrier || ' (' || transport_mode || ', route ' || route
+       || '); shipping cost ' || {_fixed("shipping_cost")} || '. Inspection: ' || inspection || '; defect rate '
+       || {_fixed("defect_rate")} || '%. Severity: ' || severity || '.' AS text,
+       'fashion' AS source, sku, product_type, supplier, location, price, revenue, stock_levels, units_sold, lead_time,
+       manufacturing_lead_time, shipping_time, shipping_cost, carrier, transport_mode, route, defect_rate, inspection,
+       severity FROM skus"""
+ORACLES["csv_skus"] = f"""
+WITH {SKUS}
+SELECT sku, product_type, supplier, price, revenue, units_sold::INT AS units_sold, stock_levels::INT AS stock_levels,
+       lead_time::INT AS lead_time, shipping_cost, inspection, defect_rate FROM skus"""
+ORACLES["csv_orders"] = f"""
+WITH {ITEMS}
+SELECT order_id, order_item_id::BIGINT AS order_item_id, product, category, department, customer_segment, market, region,
+       shipping_mode, delivery_status, order_status, days_real::INT AS days_real, days_scheduled::INT AS days_scheduled,
+       late::INT AS late_delivery_risk, quantity, round(sales, 4) AS sales, round(discount, 4) AS discount,
+       round(profit, 4) AS profit, order_date, ship_date FROM items"""
+ORACLES["stream_incidents"] = f"""
+WITH {ITEMS} SELECT DISTINCT md5('dataco::' || order_id || '::' || order_item_id) AS id FROM items"""
+ORACLES["text_cells"] = """
+SELECT conv_id, turn, trim(text, E' \\t\\n\\r\\u00a0\\u3000') AS stripped,
+       CASE WHEN role = 'user' THEN 'unknown' ELSE trim(text, E' \\t\\n\\r\\u00a0\\u3000') END AS cell FROM conversations"""
+ORACLES["numeric_cells"] = """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN n_chars % 7 WHEN 1 THEN n_chars % 7 + 0.5 WHEN 2 THEN -1
+                               ELSE (n_chars % 7) * 100 END::DOUBLE AS number,
+       CASE doc_id % 4 WHEN 0 THEN n_chars % 7 WHEN 1 THEN n_chars % 7 WHEN 2 THEN -1 ELSE (n_chars % 7) * 100 END::BIGINT
+         AS whole FROM documents"""
+ORACLES["severity_cells"] = """
+SELECT o_orderkey, CASE o_custkey % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+       CASE o_custkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS rank FROM orders"""
+ORACLES["row_metadata"] = """
+SELECT c_custkey, concat_ws(',', 'c_mktsegment=' || nullif(c_mktsegment, 'BUILDING'), 'c_name=' || c_name,
+                            'c_nationkey=' || c_nationkey) AS metadata FROM customer"""
+ORACLES["manifest_state"] = """
+SELECT key, rows, docs, loaded_at FROM (
+  SELECT source AS key, n_chars AS rows, doc_id AS docs, doc_id::DOUBLE AS loaded_at, doc_id % 7 = 0 AS removed,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents)
+WHERE r = 1 AND NOT removed"""
+ORACLES["feedback_accepted"] = """
+SELECT conv_id::VARCHAR AS session_id, turn::VARCHAR AS message_id, CASE WHEN turn % 4 = 1 THEN 'up' ELSE 'down' END AS rating
+FROM conversations WHERE role = 'assistant' AND conv_id % 3 <> 0"""
+ORACLES["json_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+ORACLES["csv_suppliers"] = "SELECT s_suppkey::INT AS s_suppkey, * EXCLUDE (s_suppkey) FROM supplier"
 
 # ------------------------------------------------------------------ dashboard
 ORACLES["kpi_summary"] = f"""
@@ -153,43 +224,83 @@ FROM items GROUP BY shipping_mode"""
 
 
 # ------------------------------------------------------------------ anomalies
-def _detectors(late=0.40, gap_z=2.5, cancel=0.15, fraud=0.02, loss=0.30, qty_z=2.5, source="items") -> str:
+def _detectors(late=0.40, gap_z=2.5, cancel=0.15, fraud=0.02, loss=0.30, qty_z=2.5, source="items", least=50) -> str:
     """CTE ``found`` with one row per anomaly; ord and keys give the run order."""
+    pct = lambda x, digits=1: f"printf('%.{digits}f%%', ({x}) * 100)"
+    num = lambda x, digits: f"printf('%.{digits}f', {x})"
+    held = lambda *kv: " || ',' || ".join(f"'{k}=' || printf('%.3f', ({v})::DOUBLE)" for k, v in sorted(kv))
+    gap_z_of = "((avg(days_real - days_scheduled) - any_value(m)) / any_value(s))"
+    qty_z_of = "((avg(quantity) - any_value(qm)) / any_value(qs))"
+    late_held = held(("late_orders", "sum(late)"), ("segment_order_count", "count(*)"))
+    gap_held = held(
+        ("segment_avg_gap", "round_even(avg(days_real - days_scheduled), 2)"),
+        ("overall_avg_gap", "round_even(any_value(m), 2)"),
+        ("z_score", f"round_even({gap_z_of}, 3)"),
+        ("segment_order_count", "count(*)"),
+    )
+    qty_held = held(
+        ("segment_avg_qty", "round_even(avg(quantity), 2)"),
+        ("overall_avg_qty", "round_even(any_value(qm), 2)"),
+        ("z_score", f"round_even({qty_z_of}, 3)"),
+        ("segment_order_count", "count(quantity)"),
+    )
+    loss_held = held(("avg_profit", "round_even(p, 2)"), ("loss_order_count", "c"), ("total_orders", "n"))
     return f"""
 d1 AS (SELECT 0 AS ord, market AS k1, shipping_mode AS k2, 'late_delivery_spike' AS anomaly_type,
          CASE WHEN avg(late) > 0.6::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END AS severity,
          'Market=' || market || ', Shipping Mode=' || shipping_mode AS affected_segment,
          avg(late) AS metric_value, {late}::DOUBLE AS threshold, least(1.0::DOUBLE, count(*) / 500.0::DOUBLE) AS confidence,
-         count(*) AS n
-       FROM {source} GROUP BY market, shipping_mode HAVING count(*) >= 50 AND avg(late) > {late}::DOUBLE),
+         count(*) AS n,
+         'Late delivery rate ' || {pct("avg(late)")} || ' exceeds ' || {pct(f"{late}::DOUBLE")} || ' threshold for Market='
+           || market || ', Shipping Mode=' || shipping_mode AS description,
+         'Audit carrier performance for ' || shipping_mode || ' routes in ' || market || '. Consider alternative carriers '
+           || 'or upgraded shipping mode for critical orders.' AS recommendation, {late_held} AS supporting
+       FROM {source} GROUP BY market, shipping_mode HAVING count(*) >= {least} AND avg(late) > {late}::DOUBLE),
 g AS (SELECT avg(days_real - days_scheduled) AS m, stddev_samp(days_real - days_scheduled) AS s,
         avg(quantity) AS qm, stddev_samp(quantity) AS qs FROM {source}),
-d2 AS (SELECT 1, shipping_mode, '', 'shipping_gap_outlier',
-         CASE WHEN (avg(days_real - days_scheduled) - any_value(m)) / any_value(s) > 3.5::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END,
+d2 AS (SELECT 1, shipping_mode, '', 'shipping_gap_outlier', CASE WHEN {gap_z_of} > 3.5::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END,
          'Shipping Mode=' || shipping_mode, avg(days_real - days_scheduled), any_value(m) + {gap_z}::DOUBLE * any_value(s),
-         least(1.0::DOUBLE, count(*) / 300.0::DOUBLE), count(*)
+         least(1.0::DOUBLE, count(*) / 300.0::DOUBLE), count(*),
+         'Shipping mode ''' || shipping_mode || ''' has avg day gap ' || {num("avg(days_real - days_scheduled)", 1)}
+           || ' days (z=' || {num(gap_z_of, 2)} || ') vs overall mean ' || {num("any_value(m)", 1)},
+         'Review carrier SLAs for ''' || shipping_mode || '''. Investigate root cause of extended transit times.', {gap_held}
        FROM {source}, g GROUP BY shipping_mode
-       HAVING count(*) >= 50 AND (avg(days_real - days_scheduled) - any_value(m)) / any_value(s) > {gap_z}::DOUBLE),
+       HAVING count(*) >= {least} AND {gap_z_of} > {gap_z}::DOUBLE),
 d3 AS (SELECT 2, market, '', 'cancellation_surge', CASE WHEN r > 0.25::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END,
-         'Market=' || market, r, {cancel}::DOUBLE, least(1.0::DOUBLE, n / 500.0::DOUBLE), n
-       FROM (SELECT market, avg(CASE WHEN order_status = 'CANCELED' THEN 1.0::DOUBLE ELSE 0 END) AS r, count(*) AS n
-             FROM {source} GROUP BY market) WHERE n >= 50 AND r > {cancel}::DOUBLE),
-d4 AS (SELECT 3, market, region, 'fraud_cluster', CASE WHEN r > 0.05::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END,
-         CASE WHEN market = region THEN 'Market=' || market ELSE 'Market=' || market || ', Region=' || region END,
-         r, {fraud}::DOUBLE, least(1.0::DOUBLE, n / 200.0::DOUBLE), n
+         'Market=' || market, r, {cancel}::DOUBLE, least(1.0::DOUBLE, n / 500.0::DOUBLE), n,
+         'Cancellation rate ' || {pct("r")} || ' exceeds ' || {pct(f"{cancel}::DOUBLE")} || ' threshold for Market=' || market,
+         'Investigate cancellation drivers in ' || market || '. Check for shipping delays, out-of-stock events, or payment '
+           || 'failures.', {held(("canceled_orders", "c"), ("total_orders", "n"))}
+       FROM (SELECT market, avg(CASE WHEN order_status = 'CANCELED' THEN 1.0::DOUBLE ELSE 0 END) AS r, count(*) AS n,
+                    count_if(order_status = 'CANCELED') AS c
+             FROM {source} GROUP BY market) WHERE n >= {least} AND r > {cancel}::DOUBLE),
+d4 AS (SELECT 3, market, region, 'fraud_cluster', CASE WHEN r > 0.05::DOUBLE THEN 'HIGH' ELSE 'MEDIUM' END, seg,
+         r, {fraud}::DOUBLE, least(1.0::DOUBLE, n / 200.0::DOUBLE), n,
+         'Suspected fraud rate ' || {pct("r", 2)} || ' exceeds ' || {pct(f"{fraud}::DOUBLE", 2)} || ' threshold for ' || seg,
+         'Escalate ' || seg || ' for fraud review. Implement additional verification for new orders in this segment.',
+         {held(("fraud_orders", "c"), ("total_orders", "n"))}
        FROM (SELECT market, region, avg(CASE WHEN order_status = 'SUSPECTED_FRAUD' THEN 1.0::DOUBLE ELSE 0 END) AS r,
-                    count(*) AS n FROM {source} GROUP BY market, region) WHERE n >= 50 AND r > {fraud}::DOUBLE),
+                    count(*) AS n, count_if(order_status = 'SUSPECTED_FRAUD') AS c,
+                    CASE WHEN market = region THEN 'Market=' || market ELSE 'Market=' || market || ', Region=' || region END AS seg
+             FROM {source} GROUP BY market, region) WHERE n >= {least} AND r > {fraud}::DOUBLE),
 d5 AS (SELECT 4, category, '', 'profit_erosion',
          CASE WHEN r > 0.5::DOUBLE THEN 'HIGH' WHEN r > 0.3::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END,
-         'Category Name=' || category, r, {loss}::DOUBLE, least(1.0::DOUBLE, n / 500.0::DOUBLE), n
-       FROM (SELECT category, avg(CASE WHEN profit < 0 THEN 1.0::DOUBLE ELSE 0 END) AS r, count(*) AS n
-             FROM {source} GROUP BY category) WHERE n >= 50 AND r > {loss}::DOUBLE),
-d6 AS (SELECT 5, category, '', 'demand_spike',
-         CASE WHEN (avg(quantity) - any_value(qm)) / any_value(qs) > 3.0::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END,
+         'Category Name=' || category, r, {loss}::DOUBLE, least(1.0::DOUBLE, n / 500.0::DOUBLE), n,
+         {pct("r")} || ' of orders in Category Name=''' || category || ''' are loss-making. Avg profit: ' || {num("p", 2)},
+         'Cost audit required for ''' || category || '''. Review pricing, discount rates, and fulfillment cost structure.',
+         {loss_held}
+       FROM (SELECT category, avg(CASE WHEN profit < 0 THEN 1.0::DOUBLE ELSE 0 END) AS r, count(*) AS n,
+                    avg(profit) AS p, count_if(profit < 0) AS c
+             FROM {source} GROUP BY category) WHERE n >= {least} AND r > {loss}::DOUBLE),
+d6 AS (SELECT 5, category, '', 'demand_spike', CASE WHEN {qty_z_of} > 3.0::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END,
          'Category Name=' || category, avg(quantity), any_value(qm) + {qty_z}::DOUBLE * any_value(qs),
-         least(1.0::DOUBLE, count(quantity) / 300.0::DOUBLE), count(quantity)
+         least(1.0::DOUBLE, count(quantity) / 300.0::DOUBLE), count(quantity),
+         'Order quantity spike in ''' || category || ''': avg ' || {num("avg(quantity)", 1)} || ' units (z='
+           || {num(qty_z_of, 2)} || ') vs overall ' || {num("any_value(qm)", 1)},
+         'Verify inventory levels for ''' || category || '''. Demand spike may indicate pre-positioning or promotional surge.',
+         {qty_held}
        FROM {source}, g GROUP BY category
-       HAVING count(quantity) >= 50 AND (avg(quantity) - any_value(qm)) / any_value(qs) > {qty_z}::DOUBLE),
+       HAVING count(quantity) >= {least} AND {qty_z_of} > {qty_z}::DOUBLE),
 found AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3
           UNION ALL SELECT * FROM d4 UNION ALL SELECT * FROM d5 UNION ALL SELECT * FROM d6),
 numbered AS (
@@ -202,7 +313,7 @@ report AS (
 
 LOW = dict(gap_z=0.5, cancel=0.11, loss=0.235, qty_z=0.01)
 SHOWN = """anomaly_type, severity, affected_segment, round(metric_value, 6) AS metric_value,
-       round(threshold, 6) AS threshold, round(confidence, 6) AS confidence, n"""
+       round(threshold, 6) AS threshold, round(confidence, 6) AS confidence, n, description, recommendation, supporting"""
 
 for _name, _kind, _t in [
     ("late_delivery_spikes", "late_delivery_spike", {}),
@@ -222,7 +333,8 @@ ORACLES["correlated_risks"] = f"""
 WITH {ITEMS}, {_detectors(loss=0.20, qty_z=0.0)}
 SELECT affected_segment AS segment, string_agg(anomaly_id, ',' ORDER BY position) AS anomaly_ids,
        string_agg(anomaly_type, ',' ORDER BY position) AS anomaly_types,
-       ['HIGH', 'MEDIUM', 'LOW'][min(sev) + 1] AS max_severity
+       ['HIGH', 'MEDIUM', 'LOW'][min(sev) + 1] AS max_severity, true AS compound_risk,
+       count(*) || ' anomaly types detected in the same segment — compound risk; escalate for immediate review.' AS note
 FROM report GROUP BY affected_segment HAVING count(*) > 1"""
 ORACLES["severity_summary"] = f"""
 WITH {ITEMS}, {_detectors(**LOW)}
@@ -235,13 +347,25 @@ SELECT (SELECT count(*) FROM items) AS total_orders_analyzed, count(*) AS anomal
 ORACLES["high_severity_anomalies"] = f"""
 WITH {ITEMS}, {_detectors(**LOW)} SELECT anomaly_id, {SHOWN} FROM report WHERE severity = 'HIGH'"""
 
+ORACLES["threshold_report"] = f"""
+WITH {ITEMS}, {_detectors(late=0.5, fraud=0.001, loss=0.2, least=200)} SELECT anomaly_id, position, {SHOWN} FROM report"""
+ORACLES["high_risk_summary"] = f"""
+WITH {ITEMS}, {_detectors(loss=0.20, qty_z=0.0)},
+risks AS (SELECT affected_segment, string_agg(anomaly_id, ',' ORDER BY position) AS ids,
+                 ['HIGH', 'MEDIUM', 'LOW'][min(sev) + 1] AS worst FROM report GROUP BY 1 HAVING count(*) > 1)
+SELECT 'total_orders_analyzed' AS section, count(*)::VARCHAR AS item, '' AS detail FROM items
+UNION ALL SELECT 'anomaly_count', count(*)::VARCHAR, '' FROM report
+UNION ALL SELECT 'summary', s, count_if(severity = s)::VARCHAR FROM report, (SELECT unnest(['HIGH', 'MEDIUM', 'LOW']) AS s) GROUP BY s
+UNION ALL SELECT 'high_severity_anomalies', anomaly_id, description FROM report WHERE severity = 'HIGH'
+UNION ALL SELECT 'correlated_risks', affected_segment, worst || ': ' || ids FROM risks"""
+
 # ------------------------------------------------------------------ guards
 ORACLES["guard_length"] = """
 SELECT doc_id, CASE WHEN text IS NULL OR trim(text, E' \\t\\n\\r') = '' THEN 'Empty query'
                     WHEN length(text) > 4000 THEN 'Query exceeds 4000 characters' END AS reason FROM documents"""
-_INJECTION = _quote(guards.INJECTION_RE)
+_INJECTION = _quote("(?i)" + "|".join(guards.INJECTION_PATTERNS))
 _GREETING = _quote("(?i)" + guards.GREETING_PATTERN)
-_DOMAIN = _quote(guards.DOMAIN_RE)
+_DOMAIN = _quote(r"(?i)\b(" + "|".join(guards.DOMAIN_KEYWORDS) + r")\b")
 ORACLES["guard_injection"] = f"""
 SELECT doc_id, CASE WHEN regexp_matches(text, {_INJECTION}) THEN regexp_extract(text, {_INJECTION}, 0) END AS matched
 FROM documents"""
@@ -266,14 +390,22 @@ SELECT conv_id, turn, ok, reason, CASE WHEN rule IN (1, 2) THEN 'MEDIUM' WHEN ru
          AS severity, CASE WHEN rule = 4 THEN {_quote(guards.GREETING_REPLY)} ELSE '' END AS fast_reply FROM guarded"""
 ORACLES["guard_outcomes"] = f"""
 WITH {_VERDICT}
-SELECT CASE WHEN rule IN (6, 7) THEN 'domain' ELSE 'instant' END AS stage, ok, reason, count(*) AS events
-FROM guarded GROUP BY ALL"""
+SELECT stage, ok, reason, count(*) AS events FROM (
+  SELECT 'instant' AS stage, rule > 3 AS ok, CASE WHEN rule > 3 THEN '' ELSE reason END AS reason FROM guarded
+  UNION ALL SELECT 'domain', false, reason FROM guarded WHERE rule = 7) GROUP BY ALL"""
 
 for _category, _pattern in guards.PII_PATTERNS.items():
     ORACLES[f"pii_{_category}"] = f"""
 SELECT doc_id, regexp_replace(text, {_quote(_pattern)}, '[REDACTED_{_category.upper()}]', 'g') AS clean_text
 FROM documents WHERE regexp_matches(text, {_quote(_pattern)})"""
 
+_SSN = _quote(guards.PII_PATTERNS["ssn"])
+ORACLES["pii_ssn"] = f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN concat_ws(' ', text, 'id', lpad((doc_id % 1000)::VARCHAR, 3, '0') || '-'
+             || lpad((n_chars % 100)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 10000)::VARCHAR, 4, '0')) ELSE text END AS text
+           FROM documents)
+SELECT doc_id, regexp_replace(text, {_SSN}, '[REDACTED_SSN]', 'g') AS clean_text FROM d WHERE regexp_matches(text, {_SSN})"""
+
 _P = {k: _quote(v) for k, v in guards.PII_PATTERNS.items()}
 _SCRUB = f"""
 s1 AS (SELECT doc_id, source, regexp_matches(text, {_P["email"]}) AS email,
@@ -562,6 +694,7 @@ SELECT conv_id::VARCHAR AS session_id, turn::VARCHAR AS message_id,
 FROM conversations WHERE role = 'assistant' ORDER BY ts DESC, session_id, message_id LIMIT 50"""
 
 # ------------------------------------------------------------------ streams
+ORACLES["stream_dedup"] = "SELECT event_id, user_id, event_type, ts FROM events"
 ORACLES["hourly_events"] = """
 SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS events,
        count_if(event_type = 'error')::BIGINT AS errors FROM events GROUP BY ALL"""
@@ -580,6 +713,8 @@ golden AS (
   FROM labels JOIN documents USING (doc_id))"""
 ORACLES["eval_samples"] = f"""
 WITH {GOLDEN} SELECT pos, question, category, ground_truth FROM golden WHERE category = 'shipment' ORDER BY pos LIMIT 50"""
+ORACLES["default_contexts"] = f"""
+WITH {GOLDEN} SELECT pos, CASE WHEN quality = 1 THEN source ELSE ground_truth END AS contexts FROM golden"""
 ORACLES["eval_resolve"] = f"""
 WITH {GOLDEN}
 SELECT pos, CASE WHEN quality = 1 THEN 'Live: ' || question ELSE ground_truth END AS answer,
@@ -628,3 +763,24 @@ t AS (SELECT m AS metric, avg(score) FILTER (tool = 'deepeval') AS deepeval, avg
 SELECT metric, round(deepeval, 6) AS deepeval, round(ragas, 6) AS ragas, threshold,
        CASE WHEN low THEN deepeval <= threshold ELSE deepeval >= threshold END AS deepeval_passed,
        CASE WHEN low THEN ragas <= threshold ELSE ragas >= threshold END AS ragas_passed FROM t"""
+
+# ------------------------------------------------------------------ output guard, verdicts, stored and streamed results
+ORACLES["output_guard"] = """
+SELECT doc_id,
+       CASE WHEN doc_id % 3 = 0 THEN true WHEN doc_id % 4 = 0 THEN false WHEN doc_id % 4 = 2 THEN false ELSE true END AS faithful,
+       CASE WHEN doc_id % 3 = 0 THEN 'no-context-skip' WHEN doc_id % 4 = 3 THEN 'check-skipped' END AS faithful_reason
+FROM documents"""
+ORACLES["verdict_json"] = """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source ELSE 'general' END AS intent,
+       CASE doc_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+       CASE doc_id % 4 WHEN 0 THEN 'because ' || lang WHEN 1 THEN '' ELSE 'parse-failed' END AS rationale FROM documents"""
+ORACLES["stream_guarded"] = f"""
+WITH {_VERDICT}
+SELECT conv_id, turn, rule IN (4, 5) AS ok, CASE WHEN rule > 5 THEN {_quote(guards.REASONS["unavailable"])} ELSE reason END AS reason
+FROM guarded"""
+ORACLES["stream_hourly_events"] = ORACLES["hourly_events"]
+ORACLES["stream_runs"] = ORACLES["run_status"]
+ORACLES["stream_sessions"] = f"""
+SELECT * FROM ({ORACLES["event_sessions"]})
+WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+ORACLES["bm25_stored_topk"] = ORACLES["bm25_postings_topk"]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import columns as C
 from riskframe.functions.text import token_estimate
+from riskframe.functions.verdicts import parse_verdict_json
 from riskframe.functions.vectors import hashed_vector
 from riskframe.operators import anomaly, dense, evaluation, guards, incidents, kpi, lexical, ranking, telemetry
 from riskframe.operators.anomaly import Thresholds
@@ -21,7 +22,7 @@ from riskframe.plans.hybrid import embed, hybrid_search
 from riskframe.session import materialise
 from riskframe.sources.readers import category_filter
 from riskframe.sources.sampling import sample_n
-from riskframe.sources.tables import last_write_wins, pending_sources
+from riskframe.sources.tables import current_manifest, last_write_wins, metadata_map, pending_sources, valid_feedback
 from riskframe.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,27 +84,71 @@ def order_severity(spark, sf):
 
 @query
 def order_incidents(spark, sf):
-    docs = incidents.orders_to_incidents(fx.order_items(spark, sf, dealt=True))
-    money = F.regexp_extract("text", r"^(.*)Order generated profit", 1)
-    return docs.select(
-        "id",
-        money.alias("text"),
-        F.col("metadata.severity").alias("severity"),
-        F.col("metadata.delay_days").alias("delay_days"),
-        F.round("metadata.profit", 4).alias("profit"),
-        F.round("metadata.profit_ratio", 6).alias("profit_ratio"),
-        F.col("metadata.customer_segment").alias("customer_segment"),
-        F.col("metadata.order_city").alias("order_city"),
-    )
+    docs = incidents.orders_to_incidents(fx.order_items(spark, sf, dealt=True)).select("id", "text", "metadata.*")
+    return docs.withColumns({"sales": F.round("sales", 4), "profit": F.round("profit", 4), "profit_ratio": F.round("profit_ratio", 6)})
 
 
 @query
 def generic_incidents(spark, sf):
-    parts = fx.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
-    docs = incidents.rows_to_incidents(parts, "p_partkey")
-    return docs.select(
-        "id", "text", F.col("metadata")["p_type"].alias("p_type"), F.col("metadata")["row_index"].alias("row_index")
+    docs = incidents.rows_to_incidents(fx.table(spark, sf, "part"), "p_partkey")
+    return docs.select("id", "text", _entries("metadata").alias("metadata"))
+
+
+def _entries(name: str):
+    """A map as "key=value" parts in the order of keys."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+
+
+@query
+def sku_incidents(spark, sf):
+    docs = incidents.skus_to_incidents(fx.sku_rows(spark, sf), "row_key")
+    return docs.select("id", "text", "metadata.*")
+
+
+@query
+def text_cells(spark, sf):
+    padded = F.concat(F.lit("\u3000 \t"), F.col("text"), F.lit("\n\u00a0"))
+    cell = C.as_text(F.when(F.col("role") != "user", padded).otherwise(F.lit(" \t")))
+    return fx.table(spark, sf, "conversations").select("conv_id", "turn", C.strip(padded).alias("stripped"), cell.alias("cell"))
+
+
+@query
+def numeric_cells(spark, sf):
+    ending = F.element_at(F.array(*[F.lit(x) for x in ("", ".5", "x", "e2")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    cell = F.concat((F.col("n_chars") % 7).cast("string"), ending)
+    return fx.table(spark, sf, "documents").select("doc_id", C.as_double(cell, -1).alias("number"), C.as_int(cell, -1).alias("whole"))
+
+
+@query
+def severity_cells(spark, sf):
+    values = F.array(*[F.lit(x) for x in ("high", "Medium", "LOW", "odd", None)])
+    severity = C.normalise_severity(F.get(values, (F.col("o_custkey") % 5).cast("int")))
+    return fx.table(spark, sf, "orders").select("o_orderkey", severity.alias("severity"), C.severity_rank(severity).alias("rank"))
+
+
+@query
+def row_metadata(spark, sf):
+    named = fx.table(spark, sf, "customer").withColumn("c_mktsegment", F.nullif("c_mktsegment", F.lit("BUILDING")))
+    kept = named.withColumn("metadata", metadata_map(named, ["c_name", "c_nationkey", "c_mktsegment"]))
+    return kept.select("c_custkey", _entries("metadata").alias("metadata"))
+
+
+@query
+def manifest_state(spark, sf):
+    marks = fx.table(spark, sf, "documents").select(
+        F.col("source").alias("key"),
+        F.col("n_chars").alias("rows"),
+        F.col("doc_id").alias("docs"),
+        F.col("doc_id").cast("double").alias("loaded_at"),
+        (F.col("doc_id") % 7 == 0).alias("removed"),
     )
+    return current_manifest(marks)
+
+
+@query
+def feedback_accepted(spark, sf):
+    given = fx.feedback(spark, sf).withColumn("rating", F.when(F.col("session_id").cast("long") % 3 == 0, "meh").otherwise(F.col("rating")))
+    return valid_feedback(given).select("session_id", "message_id", "rating")
 
 
 # ------------------------------------------------------------------ dashboard
@@ -154,7 +199,10 @@ def _prepared(spark, sf, columns=DETECTOR_COLUMNS):
 
 
 def _shown(found: DataFrame, *extra: str) -> DataFrame:
-    return rounded(found.select(*extra, *SHOWN), "metric_value", "threshold", "confidence")
+    pairs = F.transform(F.map_entries("supporting_data"), lambda e: F.format_string("%s=%.3f", e["key"], e["value"]))
+    supporting = F.array_join(F.array_sort(pairs), ",").alias("supporting")
+    shown = found.select(*extra, *SHOWN, "description", "recommendation", supporting)
+    return rounded(shown, "metric_value", "threshold", "confidence")
 
 
 @query
@@ -208,6 +256,33 @@ def correlated_risks(spark, sf):
         F.array_join("correlated_anomaly_ids", ",").alias("anomaly_ids"),
         F.array_join("anomaly_types", ",").alias("anomaly_types"),
         "max_severity",
+        "compound_risk",
+        "note",
+    )
+
+
+@query
+def threshold_report(spark, sf):
+    own = Thresholds(late_delivery_rate=0.5, fraud_rate=0.001, profit_negative_rate=0.2, min_segment_orders=200)
+    return _shown(anomaly.run_all(_prepared(spark, sf), own), "anomaly_id", "position")
+
+
+@query
+def high_risk_summary(spark, sf):
+    parts = anomaly.high_summary(_prepared(spark, sf), SHARED)
+    c = F.col
+
+    def line(name, section, item, detail):
+        return parts[name].select(F.lit(section).alias("section"), item.cast("string").alias("item"), detail.cast("string").alias("detail"))
+
+    parts["counts"] = parts["summary"].select(F.stack(F.lit(3), *[x for s in C.SEVERITIES for x in (F.lit(s), c(s))]).alias("s", "n"))
+    risks = F.concat("max_severity", F.lit(": "), F.array_join("correlated_anomaly_ids", ","))
+    return (
+        line("header", "total_orders_analyzed", c("total_orders_analyzed"), F.lit(""))
+        .union(line("header", "anomaly_count", c("anomaly_count"), F.lit("")))
+        .union(line("counts", "summary", c("s"), c("n")))
+        .union(line("high_severity_anomalies", "high_severity_anomalies", c("anomaly_id"), c("description")))
+        .union(line("correlated_risks", "correlated_risks", c("segment"), risks))
     )
 
 
@@ -259,7 +334,13 @@ def guard_verdicts(spark, sf):
 
 def _redacted(category: str) -> Query:
     def run(spark, sf):
-        docs = fx.texts(spark, sf).filter(guards.contains_pii("text", category))
+        docs = fx.texts(spark, sf)
+        if category == "ssn":  # the texts have none of their own
+            parts = [("doc_id", 1000, 3), ("n_chars", 100, 2), ("doc_id", 10000, 4)]
+            number = F.concat_ws("-", *[F.lpad((F.col(c) % m).cast("string"), n, "0") for c, m, n in parts])
+            marked = F.concat_ws(" ", "text", F.lit("id"), number)
+            docs = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, marked).otherwise(F.col("text")))
+        docs = docs.filter(guards.contains_pii("text", category))
         return docs.select("doc_id", guards.redact("text", category).alias("clean_text"))
 
     return run
@@ -285,6 +366,23 @@ def token_estimate_(spark, sf):
     return fx.texts(spark, sf).select("doc_id", token_estimate("text").alias("tokens"))
 
 
+@query
+def output_guard(spark, sf):
+    verdicts = ('{"faithful": false}', "It is faithful: true.", "FAITHFUL? no", None)
+    said = F.get(F.array(*[F.lit(v) for v in verdicts]), (F.col("doc_id") % 4).cast("int"))
+    answers = fx.texts(spark, sf).withColumns({"context": F.when(F.col("doc_id") % 3 != 0, F.col("lang")), "verdict": said})
+    done = guards.validate_output(answers, "text", "context", "verdict")
+    return done.select("doc_id", "faithful", "faithful_reason")
+
+
+@query
+def verdict_json(spark, sf):
+    strict = F.concat(F.lit('{"intent": "'), "source", F.lit('", "severity": "high", "rationale": "because '), "lang", F.lit('"}'))
+    wrapped = F.lit('Sure: {"severity": "medium"} as asked')
+    said = F.get(F.array(strict, wrapped, F.lit("no object"), F.lit(None).cast("string")), (F.col("doc_id") % 4).cast("int"))
+    return fx.table(spark, sf, "documents").select("doc_id", parse_verdict_json(said).alias("v")).select("doc_id", "v.*")
+
+
 @query
 def context_pack(spark, sf):
     docs = fx.texts(spark, sf).select(
@@ -473,6 +571,13 @@ def eval_samples(spark, sf):
     return picked.select("pos", "question", "category", "ground_truth")
 
 
+@query
+def default_contexts(spark, sf):
+    golden = fx.golden_samples(spark, sf)
+    some = golden.withColumn("contexts", F.when(F.col("quality") == 1, F.col("contexts")))
+    return evaluation.default_contexts(some).select("pos", F.array_join("contexts", "|").alias("contexts"))
+
+
 @query
 def eval_resolve(spark, sf):
     golden = fx.golden_samples(spark, sf)

@@ -179,14 +179,14 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
         raise ValueError(f"Unsupported file type: .{kind}") from error
 
 
-def read_order() -> Column:
-    """Where a row stands in the files read: file time, file, split, place in the split."""
+def read_order(place: bool = True) -> Column:
+    """Where a row stands in the files read: file time, file, split and, unless on a stream, place in the split."""
     meta = F.col("_metadata")
     return F.struct(
         meta["file_modification_time"].alias("time"),
         meta["file_path"].alias("file"),
         meta["file_block_start"].alias("block"),
-        F.monotonically_increasing_id().alias("place"),
+        *([F.monotonically_increasing_id().alias("place")] if place else []),
     )
 
 
