@@ -1,4 +1,4 @@
-"""Vector search (RET5-RET8, RET17): exact top-k, LSH top-k, cache lookup.
+"""Vector search (RET5-RET8, RET17): exact top-k, top-k by sketches, cache lookup.
 
 Exact search has to score every query against every document; what can be
 avoided is shuffling or emitting those pairs. A query set of checked size
@@ -21,16 +21,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.functions.topk import SCORE_DIGITS, block_hits, hit_schema, keep_best, top_hits
-from riskframe.functions.vectors import cosine, dot, unit
+from riskframe.functions.topk import SCORE_DIGITS, best, block_hits, hit_schema, keep_best, top_hits
+from riskframe.functions.vectors import cosine
 
 # Default number of hits, cache threshold and cache size.
 DENSE_TOP_K, CACHE_THRESHOLD, CACHE_MAX_ITEMS = 20, 0.92, 500
 
-# Vectors sent to every task stay within this size (64 MB as float64).
-MAX_BLOCK_VALUES = 8_000_000
+# Vectors sent to every task stay within this size (8 MB as float64), and with them the hits a task keeps.
+MAX_BLOCK_VALUES = 1_000_000
 # Documents of one grid cell, held by one task at a time.
-MAX_CELL_ROWS = 100_000
+MAX_CELL_ROWS = 20_000
+# Scores a task holds at a time (16 MB as float64).
+MAX_SCORES, QUERY_ROWS = 2_000_000, 1024
+
+
+def scored_blocks(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """Best hits of every stretch of queries x documents; no more than ``MAX_SCORES`` scores exist at once."""
+    for a in range(0, len(qids), QUERY_ROWS):
+        part = q[a : a + QUERY_ROWS]
+        step = max(1, MAX_SCORES // len(part))
+        for b in range(0, len(ids), step):
+            yield block_hits(qids[a : a + QUERY_ROWS], ids[b : b + step], part @ d[b : b + step].T, k)
 
 
 def metadata_filter(corpus: DataFrame, where: Mapping[str, Any] | None) -> DataFrame:
@@ -93,7 +104,7 @@ def _against_block(block: pa.Table, docs: DataFrame, k: int, schema: T.StructTyp
             batch = batch.filter(batch.column(1).is_valid())
             if batch.num_rows and len(ids):
                 doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
-                yield block_hits(ids, doc_ids, q @ _matrix(batch.column(1)).T, k)
+                yield from scored_blocks(ids, q, doc_ids, _matrix(batch.column(1)), k)
 
         return keep_best(batches, hits, len(ids), k)
 
@@ -124,28 +135,20 @@ def _grid(
             return pd.DataFrame({name: [] for name in schema.names})
         q = _unit_rows(np.stack(left["vec"].to_list()).astype(np.float64))
         d = _unit_rows(np.stack(right["vec"].to_list()).astype(np.float64))
-        return block_hits(left["query_id"].to_numpy(), right["doc_id"].to_numpy(), q @ d.T, k)
+        return best(pd.concat(scored_blocks(left["query_id"].to_numpy(), q, right["doc_id"].to_numpy(), d, k)), k)
 
     return asked.groupBy("block", "cell").cogroup(placed.groupBy("block", "cell")).applyInPandas(score, schema)
 
 
-def _bucket_keys(dim: int, tables: int, width: int, bucket_length: float, seed: int):
-    """Column function: one bucket key per hash table from random projections of a vector."""
-    rng = np.random.default_rng(seed)
-    directions = rng.standard_normal((dim, tables * width))
-    offsets = rng.uniform(0.0, bucket_length, tables * width)
-    mix = rng.integers(1, 2**62, width) | 1
+# Candidates of the sketch that are scored exactly, per hit wanted.
+OVERSAMPLE = 1.25
 
-    @F.pandas_udf("array<bigint>")
-    def keys(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        v = np.stack(vectors.to_list()).astype(np.float64)
-        cells = np.floor((v @ directions + offsets) / bucket_length).astype(np.int64)
-        with np.errstate(over="ignore"):
-            return pd.Series(list((cells.reshape(len(v), tables, width) * mix).sum(axis=2)))
 
-    return keys
+def sketched(corpus: DataFrame) -> DataFrame:
+    """``corpus`` with ``sketch``: the vector in one byte per component, scaled to its own largest; to be stored with it."""
+    top = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
+    sketch = F.transform("vec", lambda x: F.when(top > 0, F.round(x.cast("double") / top * 127)).otherwise(0).cast("tinyint"))
+    return corpus.withColumn("sketch", sketch)
 
 
 def dense_search_ann(
@@ -153,49 +156,21 @@ def dense_search_ann(
     corpus: DataFrame,
     k: int = DENSE_TOP_K,
     where: Mapping[str, Any] | None = None,
-    tables: int = 8,
-    width: int = 3,
-    bucket_length: float = 1.0,
-    splits: int = 16,
-    seed: int = 42,
+    oversample: float = OVERSAMPLE,
 ) -> DataFrame:
-    """RET7: approximate top ``k``: random-projection LSH buckets, then exact cosines.
-
-    Each of ``tables`` bucket keys joins ``width`` projections of the unit
-    vector; query and document meet on the key. A query set of checked size is
-    broadcast, so documents are not shuffled at all; a larger one is repeated
-    over ``splits`` sub-keys, over which the documents of every bucket are
-    dealt, so a bucket that holds much of the corpus is shared out. A pair
-    that meets in several tables is kept in the first one only, which needs
-    no distinct.
-    """
+    """RET7: approximate top ``k``: candidates by one-byte sketches, then exact cosines of those alone.
 
-    def prepared(df: DataFrame, key: str) -> DataFrame:
-        return df.filter(F.col("vec").isNotNull()).select(key, unit("vec").alias("vec"))
-
-    docs = prepared(metadata_filter(corpus, where), "doc_id")
-    asked = prepared(queries, "query_id")
-    first = asked.select(F.size("vec")).first()
-    schema = _hit_schema(asked, docs)
-    if first is None:
-        return top_hits(queries.sparkSession.createDataFrame([], schema), k)
-    dim = first[0]
-    keys = _bucket_keys(dim, tables, width, bucket_length, seed)
-    q = asked.select("query_id", F.col("vec").alias("qv"), keys("vec").alias("qk"))
-    d = docs.select("doc_id", F.col("vec").alias("dv"), keys("vec").alias("dk"))
-    q = q.select("*", F.posexplode("qk").alias("table", "bucket"))
-    d = d.select("*", F.posexplode("dk").alias("table", "bucket"))
-    if asked.limit(MAX_BLOCK_VALUES // (dim * tables) + 1).count() <= MAX_BLOCK_VALUES // (dim * tables):
-        pairs = d.join(F.broadcast(q), ["table", "bucket"])
-    else:
-        q = q.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-        d = d.withColumn("split", F.pmod(F.xxhash64("doc_id"), F.lit(splits)).cast("int"))
-        pairs = d.join(q, ["table", "bucket", "split"])
-    first_table = F.array_position(F.zip_with("qk", "dk", lambda a, b: a == b), True) - 1
-    scored = pairs.filter(first_table == F.col("table")).select(
-        "query_id", "doc_id", F.round(dot("qv", "dv"), SCORE_DIGITS).alias("score")
-    )
-    return top_hits(scored, k)
+    Only the sketches are read for the whole corpus (a quarter of the bytes of
+    single-precision vectors when ``corpus`` has the column ``sketch`` stored);
+    ``oversample`` * ``k`` vectors per query are fetched and scored.
+    """
+    docs = metadata_filter(corpus, where)
+    short = docs if "sketch" in docs.columns else sketched(docs)
+    near = dense_search(queries, short.select("doc_id", F.col("sketch").alias("vec")), math.ceil(oversample * k))
+    exact = docs.where("vec IS NOT NULL").select("doc_id", F.col("vec").alias("dv"))
+    asked = queries.where("vec IS NOT NULL").select("query_id", F.col("vec").alias("qv"))
+    pairs = near.select("query_id", "doc_id").join(exact, "doc_id").join(asked, "query_id")
+    return top_hits(pairs.select("query_id", "doc_id", F.round(cosine("qv", "dv"), SCORE_DIGITS).alias("score")), k)
 
 
 def cache_lookup(

@@ -12,8 +12,7 @@ def duck(sf):
 
 
 def test_every_query_has_a_twin_or_a_reason():
-    # approximate search depends on random projections; recall is tested in test_retrieval
-    assert set(entry.QUERIES) - set(entry.ORACLES) == {"dense_topk_approx"}
+    assert set(entry.QUERIES) == set(entry.ORACLES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

@@ -156,20 +156,28 @@ def test_dense_keeps_k_rows_per_task(spark):
     assert plan.count("Exchange hashpartitioning(query_id") == 1
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_ann_recall(spark, broadcast, monkeypatch):
-    rng = np.random.default_rng(7)
-    centres = rng.standard_normal((12, 16))
-    d = np.repeat(centres, 25, axis=0) + 0.15 * rng.standard_normal((300, 16))
-    q = centres + 0.15 * rng.standard_normal((12, 16))
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ann_recall_on_the_embeddings(spark, scale):
+    rows = spark.read.parquet(f"/root/testdata/{scale}/embeddings.parquet").orderBy("vec_id").collect()
+    d = np.array([r.embedding for r in rows], float)
+    label = np.array([r.label for r in rows])
+    q = np.array([d[label == x].mean(axis=0) for x in sorted(set(label))])
     qs, ds = vector_frames(spark, q, d)
-    if not broadcast:
-        monkeypatch.setattr(dense, "MAX_BLOCK_VALUES", 128)
-    found = collected(dense.dense_search_ann(qs, ds, 10))
-    exact = brute(q, d, 10)
-    hit = sum(len({i for i, _ in exact[x]} & {i for i, _ in found.get(x, [])}) for x in exact)
-    assert hit / sum(map(len, exact.values())) >= 0.8
-    assert all(len(v) == len({i for i, _ in v}) for v in found.values())
+    found = collected(dense.dense_search_ann(qs, dense.sketched(ds), 20))
+    exact = brute(q, d, 20)
+    hit = sum(len({i for i, _ in exact[x]} & {i for i, _ in found[x]}) for x in exact)
+    assert hit / sum(map(len, exact.values())) >= 0.95
+    assert all(len(v) == 20 for v in found.values()) and 20 * dense.OVERSAMPLE <= 0.05 * len(d)
+
+
+def test_many_queries_stay_within_a_bounded_score_matrix():
+    rng = np.random.default_rng(0)
+    q, d = rng.standard_normal((2100, 8)), rng.standard_normal((3000, 8))
+    parts = list(dense.scored_blocks(np.arange(2100), q, np.arange(3000), d, 3))
+    assert len(parts) >= 5
+    got = dense.best(dense.pd.concat(parts), 3).groupby("query_id")["doc_id"].apply(list)
+    want = np.argsort(-(q @ d.T), axis=1)[:, :3]
+    assert all(got[i] == want[i].tolist() for i in range(2100))
 
 
 def test_cache_lookup(spark):
