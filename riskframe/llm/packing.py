@@ -11,6 +11,7 @@ places by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,10 +27,12 @@ from riskframe.session import materialise
 LENGTH = 2048
 VOCABULARY = "word_bpe_49k.json"
 #: Words remembered by a Python worker in each of two generations, and new words encoded in one go.
-WORDS, NEW = 150_000, 5_000
+WORDS, NEW = 300_000, 5_000
 #: ASCII punctuation that may follow a word of letters; the tokenizer parts the two.
 _TAIL = b".,!?;:|#$%&*()-+=/"
 _WORKERS: dict[str, WordIds] = {}
+#: A full stop or comma between a letter and a blank: a token run of its own, so a blank may be put before it.
+_STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
 
 
 class WordIds(dict):
@@ -77,12 +80,14 @@ class WordIds(dict):
             if w in self.older:
                 self[w] = self.older[w]
                 continue
+            if _of_letters(w.decode()):
+                letters.add(w)
+                continue
             stem = w.rstrip(_TAIL)
-            small = stem.translate(LOWER)
             if stem and _of_letters(stem.decode()):
-                split.append((w, small, w[len(stem) :]))
-                if small not in self:
-                    letters.add(small)
+                split.append((w, stem, w[len(stem) :]))
+                if stem not in self:
+                    letters.add(stem)
             else:
                 self[w] = self._ids(w.decode()).tobytes()
         self._letters([w for w in letters if not self._again(w)])
@@ -98,12 +103,19 @@ class WordIds(dict):
 
     def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The packed ids of each text."""
-        words = [(t or b"").split() for t in texts]
+        words = [_words(t or b"") for t in texts]
         self.learn(set().union(*words))
         for own in words:
             yield b"".join(map(self.__getitem__, own))
 
 
+def _words(text: bytes) -> list[bytes]:
+    """What is encoded apart; lower case and blanks before stops leave the ids as they are but for special tokens."""
+    if b"<|" in text:
+        return text.split()
+    return _STOP.sub(rb" \g<0>", text.translate(LOWER)).split()
+
+
 def _of_letters(word: str) -> bool:
     """Letters only, also in lower case (a capital may come apart into a letter and a mark)."""
     return word.isalpha() and word.lower().isalpha()
