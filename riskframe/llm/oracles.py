@@ -1,5 +1,99 @@
-"""SQL twins of the operators' queries, where SQL can express them."""
+"""SQL twins of the operators' queries, where SQL can express them.
+
+Sharding hashes, trained models, tokenizers and keyed digests are beyond SQL;
+those queries are tested against brute-force versions in ``tests/llm``.
+"""
 
 from __future__ import annotations
 
+from riskframe.llm.licenses import COSINE, SHARE, SPEAKS, TEMPLATES
+
 ORACLES: dict[str, str] = {}
+
+
+def _low(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components(nodes: str, links: str) -> str:
+    """CTE ``least``: (x, component) from a table of nodes (x) and one of links (a, b)."""
+    return f"""
+reach AS (SELECT x, x AS y FROM {nodes}
+          UNION SELECT r.x, l.b FROM reach r JOIN (SELECT a, b FROM {links} UNION ALL SELECT b, a FROM {links}) l ON l.a = r.y),
+least AS (SELECT x, min(y) AS component FROM reach GROUP BY x)"""
+
+
+ORACLES["op3_metric_range_join"] = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS x, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT p.x AS a, q.x AS b FROM v p JOIN v q ON p.x < q.x WHERE list_cosine_similarity(p.e, q.e) >= 0.95::DOUBLE),
+{_components("v", "links").strip()},
+degree AS (SELECT x, count(*) AS n FROM (SELECT a AS x FROM links UNION ALL SELECT b FROM links) GROUP BY x)
+SELECT x AS vec_id, coalesce(n, 0) AS n_links, component AS component_id, x = component AS kept
+FROM least LEFT JOIN degree USING (x)"""
+
+_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+ORACLES["op4_decontamination"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_low("text")}, {_WORD}) AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM
+        (SELECT item_id, regexp_extract_all({_low("text")}, {_WORD}) AS w FROM benchmark) WHERE len(w) > 0),
+grams AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g
+          FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM b)),
+wins AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS g
+         FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+               FROM d, (SELECT DISTINCT n FROM grams) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, k, n, item_id FROM wins JOIN grams USING (n, g)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+ORACLES["op10_superminhash"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id AS x, regexp_extract_all({_low("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT x, array_to_string(w[k:k + 4], ' ') AS g
+         FROM (SELECT x, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+sizes AS (SELECT x, count(*) AS n FROM sets GROUP BY x),
+links AS (SELECT a, b FROM (SELECT p.x AS a, q.x AS b, count(*) AS c FROM sets p JOIN sets q ON p.g = q.g AND p.x < q.x GROUP BY 1, 2)
+          JOIN sizes s ON s.x = a JOIN sizes t ON t.x = b WHERE 100 * c >= 85 * (s.n + t.n - c)),
+{_components("d", "links").strip()}
+SELECT x AS doc_id, coalesce(n, 0) AS n_shingles, component AS component_id, x = component AS kept
+FROM least LEFT JOIN sizes USING (x)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LISTED = [(name, f"{name} {i}", text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
+_TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+ORACLES["op8_license_scan"] = rf"""
+WITH templates(license, template, words) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(c)})" for a, b, c in _LISTED)}),
+tt AS (SELECT license, template, unnest({_TERMS.format("words")}) AS term FROM templates),
+tc AS (SELECT license, template, term, count(*) AS tf FROM tt GROUP BY ALL),
+idf AS (SELECT term, ln(1 + {len(_LISTED)}::DOUBLE / count(*)) AS idf FROM tc GROUP BY term),
+tw AS (SELECT license, template, term, tf * idf AS w, sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY template)) AS norm
+       FROM tc JOIN idf USING (term)),
+spoken AS (SELECT DISTINCT doc_id, words, trim(l) AS line
+           FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words,
+                        unnest(string_split(text, chr(10))) AS l FROM documents)
+           WHERE regexp_matches(l, {_quoted(SPEAKS)})),
+lc AS (SELECT line, term, count(*) AS tf
+       FROM (SELECT line, unnest({_TERMS.format("line")}) AS term FROM (SELECT DISTINCT line FROM spoken)) GROUP BY ALL),
+lw AS (SELECT line, term, tf * coalesce(idf, ln(1 + {len(_LISTED)}::DOUBLE)) AS w FROM lc LEFT JOIN idf USING (term)),
+ln AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line),
+scored AS (SELECT line, license, template, round(sum(lw.w * tw.w) / (any_value(tw.norm) * any_value(ln.norm)), 6) AS score
+           FROM lw JOIN tw USING (term) JOIN ln USING (line) GROUP BY ALL),
+best AS (SELECT line, license, score FROM scored WHERE score >= {COSINE}
+         QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
+own AS (SELECT doc_id, words, line, license, score FROM spoken JOIN best USING (line)
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, line) = 1),
+files AS (SELECT doc_id, source || '/' || lang AS folder, license AS own_license, score,
+                 license IS NOT NULL AND coalesce(len({_TERMS.format("line")}) >= {SHARE} * words, false) AS is_license_file
+          FROM documents LEFT JOIN own USING (doc_id)),
+speaks AS (SELECT folder, own_license AS said FROM files WHERE is_license_file
+           QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, own_license) = 1)
+SELECT doc_id, folder || '/' || doc_id || '.txt' AS path, own_license, score, coalesce(own_license, said) AS license,
+       CASE WHEN own_license IS NOT NULL THEN folder || '/' || doc_id || '.txt' WHEN said IS NOT NULL THEN folder END AS licensed_by,
+       is_license_file
+FROM files LEFT JOIN speaks USING (folder)"""
