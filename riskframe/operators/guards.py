@@ -198,10 +198,11 @@ def pack_context(
     tell which buckets begin within the budget; only their chunks are put in
     order, each bucket by itself. A query of any size is therefore never
     sorted in one task, and since every chunk counts a token, at most ``cap``
-    of them are gathered.
+    of them are gathered. Until a chunk is taken its text is not carried.
     """
-    counted = chunks.select(query, rank, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumns(
-        {"_tokens": token_estimate("_text"), "_bucket": F.floor(F.col(rank) / RANKS_PER_BUCKET)}
+    body = F.coalesce(F.col(text), F.lit(""))
+    counted = chunks.select(query, rank, token_estimate(body).alias("_tokens")).withColumn(
+        "_bucket", F.floor(F.col(rank) / RANKS_PER_BUCKET)
     )
     earlier = Window.partitionBy(query).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     reached = (
@@ -211,28 +212,21 @@ def pack_context(
         .filter(F.col("_before") <= cap)
     )
     inside = Window.partitionBy(query, "_bucket").orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    counted = (
-        counted.join(reached, [query, "_bucket"])
-        .withColumn("_used", F.sum("_tokens").over(inside) + F.col("_before"))
-        .withColumn("_pos", F.col(rank))
-    )
     before = F.col("_used") - F.col("_tokens")
-    left = F.lit(cap) - before
     # totals only grow, so the first overflowing chunk is the one that starts within the budget
-    cut = F.substring(F.col("_text"), F.lit(1), (left * CHARS_PER_TOKEN).cast("int"))
-    part = F.when(F.col("_used") <= cap, F.col("_text")).when((before <= cap) & (left > MIN_PARTIAL_TOKENS), cut)
-    taken = F.when(F.col("_used") <= cap, F.col("_tokens"))
-    return (
-        counted.withColumn("_part", part)
-        .groupBy(query)
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("_part").isNotNull(), F.struct("_pos", "_part")))).alias("_parts"),
-            F.coalesce(F.sum(taken), F.lit(0)).alias("used_tokens"),
-        )
-        .select(
-            query,
-            F.array_join(F.col("_parts._part"), "\n\n").alias("context"),
-            F.size("_parts").alias("chunks"),
-            "used_tokens",
-        )
+    placed = counted.join(reached, [query, "_bucket"]).withColumn("_used", F.sum("_tokens").over(inside) + F.col("_before"))
+    placed = placed.select(query, rank, "_tokens", "_used", (F.lit(cap) - before).alias("_left"))
+    whole = F.col("_used") <= cap
+    used = placed.groupBy(query).agg(F.coalesce(F.sum(F.when(whole, F.col("_tokens"))), F.lit(0)).alias("used_tokens"))
+    taken = placed.filter(whole | ((F.col("_left") >= 0) & (F.col("_left") > MIN_PARTIAL_TOKENS)))
+    # so far rows were a few numbers; only now the texts that were taken are fetched
+    texts = chunks.select(query, rank, body.alias("_text")).join(taken.select(query, rank, "_used", "_left"), [query, rank])
+    cut = F.substring(F.col("_text"), F.lit(1), (F.col("_left") * CHARS_PER_TOKEN).cast("int"))
+    part = F.struct(F.col(rank).alias("_pos"), F.when(whole, F.col("_text")).otherwise(cut).alias("_part"))
+    parts = texts.groupBy(query).agg(F.array_sort(F.collect_list(part)).alias("_parts"))
+    return used.join(parts, query, "left").select(
+        query,
+        F.coalesce(F.array_join(F.col("_parts._part"), "\n\n"), F.lit("")).alias("context"),
+        F.coalesce(F.size("_parts"), F.lit(0)).alias("chunks"),
+        "used_tokens",
     )
