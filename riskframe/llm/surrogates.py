@@ -36,7 +36,7 @@ _SECRET = re.compile(r"(?i)\b(?:token|api[_-]?key|secret|password|passwd|access[
 _KEY_ID = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|ghp_\w{20,}|sk-[A-Za-z0-9]{20,})\b")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")
 _IP = re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
-_CARD = re.compile(r"(?<![\w-])(?:\d{13,19}|(\d{4}([ -]))(?:\d{4}\2){2}\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?![\w])")
+_CARD = re.compile(r"(?<![\w+-])(?:\d{13,19}|(\d{4}([ -]))(?:\d{4}\2){2}\d{1,7}|\d{4}([ -])\d{6}\3\d{5})(?![\w])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _PHONE = re.compile(r"(?<![\w])(?:\+\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?|\d{2,4}[\s.-])\d{3,4}[\s.-]\d{3,4}(?![\w])|(?<![\w])\+\d{7,15}(?!\w)")
 _DIGIT = re.compile(r"\d")
