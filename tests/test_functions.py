@@ -187,11 +187,11 @@ def test_generic_incident_limits(spark):
     columns = ["key"] + [f"c{i:02d}" for i in range(35)]
     values = ["k"] + [("unknown" if i == 1 else "" if i == 2 else f"v{i}") for i in range(35)]
     df = spark.createDataFrame([tuple(values)], ", ".join(f"{c} string" for c in columns))
-    row = incidents.rows_to_incidents(df, "key").first()
+    row = incidents.rows_to_incidents(df, "key", text_fields=30, metadata_fields=20).first()
     parts = row.text.split("; ")
     assert len(parts) == 30 and parts[0] == "c00: v0" and parts[1] == "c03: v3"
     assert len(row.metadata) == 22 and row.metadata["source"] == "custom" and "c01" not in row.metadata
-    assert row.id == hashlib.md5(f"custom::k::{row.text[:64]}".encode()).hexdigest()
+    assert row.id == hashlib.md5(f"custom::k::{row.text}".encode()).hexdigest()
 
 
 def test_dispatch_splits_rejects(spark, tmp_path):
