@@ -100,17 +100,24 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start(), m.end(), known[m.group()], m.group().casefold()
 
 
+def _filled(value: str) -> bool:
+    """Whether a value says anything: the blank of a form has neither letter nor digit."""
+    return any(c.isalnum() for c in value)
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities in a text, in order, none overlapping.
 
     Of overlapping finds the kind that comes first here stands: address,
     secret, account, IP address, card, social security number, phone, name.
+    Secrets, and addresses up to their last label, have a letter or digit:
+    blanks to be filled in are left alone.
     """
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", m.group().lower()) for m in _EMAIL.finditer(text)]
+        found += [(m.start(), m.end(), "email", m.group().lower()) for m in _EMAIL.finditer(text) if _filled(m.group().rpartition(".")[0])]
     if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "secret", m.group(1)) for m in _SECRET.finditer(text)]
+        found += [(m.start(1), m.end(1), "secret", m.group(1)) for m in _SECRET.finditer(text) if _filled(m.group(1))]
     if _DIGIT.search(text):
         found += [(m.start(), m.end(), "secret", m.group()) for m in _KEY_ID.finditer(text)]
         found += _numbers(text)
@@ -153,6 +160,8 @@ class Stream:
 
 
 _HEX = set("0123456789abcdef")
+#: After so many draws a surrogate may differ in form (longer, another private range), so that no set of entities uses up its values.
+WIDER = 8
 
 
 def _swap(s: Stream, text: str, hexes: bool = False) -> str:
@@ -165,6 +174,8 @@ def _swap(s: Stream, text: str, hexes: bool = False) -> str:
             out.append(s.pick("abcdef"))
         elif c.isalpha():
             out.append(s.pick("abcdefghijklmnopqrstuvwxyz"))
+        elif c.isnumeric():
+            out.append(str(s.below(10)))
         else:
             out.append(c)
     return "".join(x.upper() if c.isupper() else x for x, c in zip(out, text))
@@ -173,15 +184,17 @@ def _swap(s: Stream, text: str, hexes: bool = False) -> str:
 def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
     """The canonical surrogate of a canonical entity."""
     s = Stream(key, kind, entity, draw)
+    wider = draw // WIDER
     if kind == "email":
         local, _, domain = entity.partition("@")
         labels = domain.split(".")
-        # Labels of a domain are keyed by themselves, so addresses that share one still do.
-        host = [_swap(Stream(key, "domain", x, 0), x) for x in labels[:-1]]
-        return f"{_swap(s, local)}@{'.'.join([*host, labels[-1]])}"
+        # Labels of a domain are keyed by themselves, so addresses that share one still do, but for those that meet again and again.
+        host = [_swap(Stream(key, "domain", x, wider), x) for x in labels[:-1]]
+        name = _swap(s, local if _filled(local) else "x" * len(local))
+        return f"{name}{_swap(s, 'x' * wider)}@{'.'.join([*host, labels[-1]])}"
     if kind == "ip":
         a, b, *_ = map(int, entity.split("."))
-        fixed = [10] if a == 10 else [192, 168] if (a, b) == (192, 168) else [127] if a == 127 else []
+        fixed = [10] if a == 10 or (a, b) == (192, 168) and wider else [192, 168] if (a, b) == (192, 168) else [127] if a == 127 else []
         rest = [str(1 + s.below(223 if i == 0 and not fixed else 254)) for i in range(4 - len(fixed))]
         return ".".join([*map(str, fixed), *rest])
     if kind == "card":
@@ -199,9 +212,10 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
         number = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
         return f"{entity[:2]}{98 - number % 97:02d}{body}"
     if kind == "secret":
-        return _swap(s, entity, hexes=set(entity.lower()) <= _HEX)
+        hexes = set(entity.lower()) <= _HEX
+        return _swap(s, entity, hexes) + _swap(s, ("a" if hexes else "x") * wider, hexes)
     role, _, alphabet = kind.partition(":")
-    word = "".join(s.pick(_CONSONANTS[alphabet]) + s.pick(_VOWELS[alphabet]) for _ in range(2 + s.below(2) + draw // 8))
+    word = "".join(s.pick(_CONSONANTS[alphabet]) + s.pick(_VOWELS[alphabet]) for _ in range(2 + s.below(2) + wider))
     sex = role.rpartition("-")[2]
     if sex == "m":
         return word + s.pick(_ENDINGS["m", alphabet])

@@ -83,6 +83,28 @@ def test_collisions_draw_again_until_all_differ(spark):
     assert draws and len(set(new)) == len(rows) and not set(new) & {e for _, e in rows}
 
 
+@pytest.mark.parametrize("blank", ["Password: ________", "secret:\n--------", "mail: ____@____.com", "token = ....____"])
+def test_a_blank_to_be_filled_in_is_no_entity(blank):
+    assert kinds(blank) == [] and S.replace(blank, KEY, {}) == (blank, [])
+
+
+def test_a_corpus_with_blank_forms_settles(spark):
+    texts = ["Password: ________", "secret:\n--------", "__@ab.example.com and __@cd.example.com", "password: ½½½½½½½½", "mail a@b.example.com"]
+    rows = {r.doc_id: r for r in S.pseudonymised(docs_of(spark, texts), key=KEY).collect()}
+    assert [rows[i].text for i in (0, 1)] == texts[:2] and [rows[i].pii_kinds for i in range(5)] == [[], [], ["email"] * 2, ["secret"], ["email"]]
+    assert "__@" not in rows[2].text and "½" not in rows[3].text
+
+
+def test_entities_with_all_values_of_their_form_settle(spark):
+    # All ten of one form, and addresses whose domains take all 26 values, leave no free value of the same form.
+    rows = [("secret", f"-------{i}") for i in range(10)] + [("email", f"{a}@b.com") for a in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [("email", f"__@{a}.com") for a in "abcdefghijklmnopqrstuvwxyz"]
+    draws = {(r.kind, r.entity): r.draw for r in S.settle(spark.createDataFrame(rows, "kind string, entity string"), KEY).collect()}
+    new = [(k, S.surrogate(KEY, k, e, draws.get((k, e), 0))) for k, e in rows]
+    assert len(set(new)) == len(rows) and not set(new) & set(rows)
+    assert S.surrogate(KEY, "ip", "192.168.1.9", S.WIDER).startswith("10.")
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_both_ways_of_telling_draws_agree(spark, limit, monkeypatch):
     texts = [f"call +1 (017) 555-{i:04d} or mail u{i}@a.example.com" for i in range(30)] + [None, "", "plain"]
