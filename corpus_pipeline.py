@@ -18,6 +18,10 @@ from riskframe.llm.queries import site
 from riskframe.session import checkpoint_dir
 
 
+#: Percent of shared 5-word shingles from which two documents are near duplicates here.
+SIMILAR = 80
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier and their site's record do not reject; null texts are judged by their site."""
     found = quality.judged(docs, table(spark, sf_dir, "labels"), **site(docs))
@@ -25,8 +29,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group; documents without words or id all stay."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    """The document of the smallest id of each group linked at ``SIMILAR``; documents without words or id all stay."""
+    gone = minhash.near_duplicates(docs, percent=SIMILAR).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from helpers import near_components
+from helpers import docs_of, near_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -45,6 +45,19 @@ def test_one_of_each_group(stages):
     assert set(after) == {i for i in before if component[i] == i}
 
 
+def test_groups_link_at_eighty_percent(spark, sf, stages):
+    # One word changed inside 45 to 70 distinct ones: Jaccard values of 0.78 to 0.87.
+    made = []
+    for n in range(45, 71):
+        words = [f"w{n}x{i}" for i in range(n)]
+        made += [" ".join(words), " ".join([*words[:20], "other", *words[21:]])]
+    docs = docs_of(spark, made, first=1_000_000).unionByName(stages[1].select("doc_id", "text", "lang", "source", "n_chars"))
+    before, after = texts(docs), texts(corpus_pipeline.one_of_each_group(spark, docs, sf))
+    component = near_components(list(before.items()), percent=80)
+    assert set(after) == {i for i in before if component[i] == i}
+    assert set(after) < {i for i, c in near_components(list(before.items())).items() if c == i}
+
+
 def test_no_benchmark_window_is_left(stages, spark, sf):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t))
     grams = set()
