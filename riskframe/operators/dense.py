@@ -140,8 +140,10 @@ def _grid(
     return asked.groupBy("block", "cell").cogroup(placed.groupBy("block", "cell")).applyInPandas(score, schema)
 
 
-# Candidates of the sketch that are scored exactly, per hit wanted.
+# Hits of the sketch that are scored exactly to find the bound every hit has to reach, per hit wanted.
 OVERSAMPLE = 1.25
+# Room for the rounding of scores and of the arithmetic behind them.
+SLACK = 1e-8
 
 
 def sketched(corpus: DataFrame) -> DataFrame:
@@ -151,6 +153,19 @@ def sketched(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("sketch", sketch)
 
 
+def sketch_errors(sketches: np.ndarray) -> np.ndarray:
+    """Per sketch (a row of whole numbers) how far the cosine with it can be from the cosine with its vector.
+
+    A component is off by half a step at most, so the scaled vector lies within
+    half a root of the dimension from its sketch; the chord between the two
+    directions bounds the difference of cosines with any unit vector.
+    """
+    off = 0.5 * math.sqrt(sketches.shape[1])
+    sine = np.minimum(off / np.maximum(np.sqrt((sketches * sketches).sum(axis=1)), 1e-300), 1.0)
+    chord = np.where(sine < 1, 2 * np.sin(np.arcsin(sine) / 2), 2.0)
+    return np.where(sketches.any(axis=1), chord, 0.0) + SLACK
+
+
 def dense_search_ann(
     queries: DataFrame,
     corpus: DataFrame,
@@ -158,19 +173,55 @@ def dense_search_ann(
     where: Mapping[str, Any] | None = None,
     oversample: float = OVERSAMPLE,
 ) -> DataFrame:
-    """RET7: approximate top ``k``: candidates by one-byte sketches, then exact cosines of those alone.
-
-    Only the sketches are read for the whole corpus (a quarter of the bytes of
-    single-precision vectors when ``corpus`` has the column ``sketch`` stored);
-    ``oversample`` * ``k`` vectors per query are fetched and scored.
+    """RET7: top ``k`` by one-byte sketches, then exact cosines of the documents they leave.
+
+    The exact cosines of the first ``oversample`` * ``k`` by sketch give a
+    score that the k-th hit reaches at least. Every document whose sketch comes
+    within its error of that score for any query is kept, near copies and equal
+    sketches included, and goes through `dense_search`. Only the sketches are
+    read for the whole corpus (a quarter of the bytes of single-precision
+    vectors when ``corpus`` has the column ``sketch`` stored). Query sets
+    beyond one block are searched without sketches.
     """
     docs = metadata_filter(corpus, where)
-    short = docs if "sketch" in docs.columns else sketched(docs)
-    near = dense_search(queries, short.select("doc_id", F.col("sketch").alias("vec")), math.ceil(oversample * k))
+    asked = queries.select("query_id", "vec")
+    first = asked.select(F.size("vec")).first()
+    if first is None or asked.limit((most := max(1, MAX_BLOCK_VALUES // max(first[0], 1))) + 1).count() > most:
+        return dense_search(asked, docs, k)
+    short = (docs if "sketch" in docs.columns else sketched(docs)).select("doc_id", F.col("sketch").alias("vec"))
+    near = dense_search(asked, short, math.ceil(oversample * k))
     exact = docs.where("vec IS NOT NULL").select("doc_id", F.col("vec").alias("dv"))
-    asked = queries.where("vec IS NOT NULL").select("query_id", F.col("vec").alias("qv"))
-    pairs = near.select("query_id", "doc_id").join(exact, "doc_id").join(asked, "query_id")
-    return top_hits(pairs.select("query_id", "doc_id", F.round(cosine("qv", "dv"), SCORE_DIGITS).alias("score")), k)
+    pairs = near.select("query_id", "doc_id").join(exact, "doc_id").join(asked.where("vec IS NOT NULL").withColumnRenamed("vec", "qv"), "query_id")
+    scored = top_hits(pairs.select("query_id", "doc_id", F.round(cosine("qv", "dv"), SCORE_DIGITS).alias("score")), k)
+    # fewer than k hits bound nothing
+    bounds = scored.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
+    block = asked.where("vec IS NOT NULL").join(bounds, "query_id", "left").select("vec", F.coalesce("bound", F.lit(-2.0)).alias("bound")).toArrow()
+    return dense_search(asked, docs.join(_within(block, short).distinct(), "doc_id", "left_semi"), k)
+
+
+def _within(block: pa.Table, short: DataFrame) -> DataFrame:
+    """(doc_id) of the documents whose sketch comes within its error of the bound of a query of ``block`` (vec, bound)."""
+    if not block.num_rows:
+        return short.select("doc_id").limit(0)
+    shared = short.sparkSession.sparkContext.broadcast((_matrix(block.column("vec").combine_chunks()), block.column("bound").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, bound = shared.value
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows:
+                continue
+            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            d, error = _unit_rows(raw), sketch_errors(raw)
+            keep = np.zeros(len(d), bool)
+            for a in range(0, len(q), QUERY_ROWS):
+                step = max(1, MAX_SCORES // len(q[a : a + QUERY_ROWS]))
+                for b in range(0, len(d), step):
+                    least = q[a : a + QUERY_ROWS] @ d[b : b + step].T + error[b : b + step] - bound[a : a + QUERY_ROWS, None]
+                    keep[b : b + step] |= (least >= 0).any(axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep))], names=["doc_id"])
+
+    return short.mapInArrow(run, T.StructType([short.schema["doc_id"]]))
 
 
 def cache_lookup(

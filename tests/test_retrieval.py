@@ -170,6 +170,28 @@ def test_ann_recall_on_the_embeddings(spark, scale):
     assert all(len(v) == 20 for v in found.values()) and 20 * dense.OVERSAMPLE <= 0.05 * len(d)
 
 
+@pytest.mark.parametrize("spread", [1e-2, 1e-3, 3e-4])
+def test_ann_finds_all_hits_in_a_group_of_near_copies(spark, spread):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    d = np.array([r.embedding for r in rows], float)
+    rng = np.random.default_rng(7)
+    copies = d[0] / np.linalg.norm(d[0]) + spread * rng.standard_normal((len(d) // 2, d.shape[1])) / np.sqrt(d.shape[1])
+    d = np.concatenate([d, copies, np.zeros((1, d.shape[1]))])
+    q = np.concatenate([d[::100], copies[:5]])
+    qs, ds = vector_frames(spark, q, d)
+    exact, found = brute(q, d, 20), collected(dense.dense_search_ann(qs, dense.sketched(ds), 20))
+    assert found == exact
+
+
+def test_sketch_errors_bound_the_difference_of_cosines():
+    rng = np.random.default_rng(3)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    d = rng.standard_normal((500, 16)) * np.exp(2 * rng.standard_normal((500, 16)))
+    sketch = np.round(d / np.abs(d).max(axis=1, keepdims=True) * 127)
+    worst = np.linalg.norm(unit(d) - unit(sketch), axis=1)
+    assert (worst <= dense.sketch_errors(sketch)).all() and (dense.sketch_errors(sketch) < 0.05).all()
+
+
 def test_many_queries_stay_within_a_bounded_score_matrix():
     rng = np.random.default_rng(0)
     q, d = rng.standard_normal((2100, 8)), rng.standard_normal((3000, 8))
