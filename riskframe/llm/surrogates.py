@@ -296,7 +296,7 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = KEY, id_col:
     entities comes back as it is. Text between entities is not touched.
     """
     redrawn = materialise(settle(entities(docs, text), key))
-    new, kinds, told = fresh(docs, "new_text", "pii_kinds", "draws_")
+    new, kinds, told, row = fresh(docs, "new_text", "pii_kinds", "draws_", "row_")
     fields = [T.StructField(new, T.StringType()), T.StructField(kinds, T.ArrayType(T.StringType()))]
     if redrawn.count() <= limit:
         share = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.draw for r in redrawn.collect()})
@@ -306,18 +306,20 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = KEY, id_col:
 
         out = with_columns(docs, [text], fields, run)
     else:
-        told_rows = _told(docs, redrawn, text, id_col, told)
+        # By id and text: never null, and rows that meet by chance only learn of each other's draws.
+        keyed = docs.withColumn(row, F.xxhash64(F.col(id_col), F.col(text).cast("string")))
+        told_rows = _told(keyed, redrawn, text, row, told)
 
         def run_told(column: pa.Array, draws: pa.Array) -> list[pa.Array]:
             return _replaced(column, [{(d["kind"], d["entity"]): d["draw"] for d in ds or []} for ds in draws.to_pylist()], key)
 
-        out = with_columns(docs.join(told_rows, id_col, "left"), [text, told], fields, run_told)
+        out = with_columns(keyed.join(told_rows, row, "left"), [text, told], fields, run_told)
     columns = [F.col(new).alias(c) if c == text else F.col(c) for c in docs.columns]
     return out.select(*columns, kinds)
 
 
-def _told(docs: DataFrame, redrawn: DataFrame, text: str, id_col: str, name: str) -> DataFrame:
-    """Per document the draws of its own entities."""
+def _told(docs: DataFrame, redrawn: DataFrame, text: str, row: str, name: str) -> DataFrame:
+    """Per key ``row`` the draws of the entities of its texts."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -327,9 +329,8 @@ def _told(docs: DataFrame, redrawn: DataFrame, text: str, id_col: str, name: str
                 names=["id_", "kind", "entity"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    pairs = docs.select(F.col(id_col).alias("id_"), F.col(text).cast("string")).mapInArrow(own, f"id_ {kind}, kind string, entity string").distinct()
-    return pairs.join(redrawn, ["kind", "entity"]).groupBy(F.col("id_").alias(id_col)).agg(F.collect_list(F.struct("kind", "entity", "draw")).alias(name))
+    pairs = docs.select(F.col(row).alias("id_"), F.col(text).cast("string")).mapInArrow(own, "id_ long, kind string, entity string").distinct()
+    return pairs.join(redrawn, ["kind", "entity"]).groupBy(F.col("id_").alias(row)).agg(F.collect_list(F.struct("kind", "entity", "draw")).alias(name))
 
 
 def _replaced(column: pa.Array, draws: list[dict], key: bytes) -> list[pa.Array]:

@@ -118,6 +118,19 @@ def test_both_ways_of_telling_draws_agree(spark, limit, monkeypatch):
     assert rows[3].pii_kinds == ["phone", "email"] and rows[30].pii_kinds == []
 
 
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_rows_without_an_id_learn_of_draws(spark, limit, monkeypatch):
+    real = S.surrogate
+    fake = lambda key, kind, e, draw=0: "10000000000" if kind == "phone" and not draw else real(key, kind, e, draw)
+    monkeypatch.setattr(S, "surrogate", fake)
+    texts = [f"call +1 (017) 555-{i:04d}" for i in range(12)]
+    df = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    out = S.pseudonymised(df, key=KEY, limit=limit)
+    rows = out.collect()
+    assert out.columns == [*df.columns, "pii_kinds"] and len(rows) == len({r.text for r in rows}) == 12
+    assert sum(r.doc_id is None for r in rows) == 4
+
+
 def test_empty_clashing_long_and_repeated(spark):
     assert S.pseudonymised(no_docs(spark)).count() == 0
     df = docs_of(spark, ["x " * 200_000 + "a@b.example.com"] * 2).withColumn("pii_kinds", F.lit("mine"))
