@@ -1,8 +1,8 @@
 """Licence scan: sparse TF-IDF cosine of licence lines to templates, then inheritance along directories.
 
-Lines that speak of licences are cut into terms; each distinct line is
-compared once with the templates by a join on terms, and the best template is
-taken if its cosine reaches the bound. A file whose name or whole content is a
+Lines with a term that any match of a template needs are cut into terms; each
+distinct line is compared once with the templates by a join on terms, and the
+best template is taken if its cosine reaches the bound. A file whose name or whole content is a
 licence speaks for its directory. A file without a licence of its own takes
 that of the nearest directory above it that has one: directories are resolved
 once each, by joins of path prefixes.
@@ -11,6 +11,8 @@ once each, by joins of path prefixes.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,7 +43,8 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved", "Unauthorized copying of this file is strictly prohibited"),
 }
 COSINE = 0.5
-#: What a line must contain to be looked at, and the share of a file's words that makes it a licence file.
+#: What most notices contain (the SQL twin reads these lines alone; `needed` has the lines that are compared), and the share
+#: of a file's words that makes it a licence file.
 SPEAKS = r"(?i)licen[sc]e|copyright|spdx|public domain|rights reserved"
 SHARE = 0.2
 
@@ -64,6 +67,27 @@ def template_terms(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
     return weighed.select("license", "template", "term", "weight", norm.alias("norm"), "idf")
 
 
+def needed(cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> str:
+    """A pattern that lower-case text contains if a template's cosine with it can reach ``cosine``.
+
+    The cosine is at most the length of the part of the template that the text
+    shares. So the shortest terms of each template are left out as long as they
+    are too light together: a text with none of the others stays below the bound.
+    """
+    counts = [Counter(re.findall(r"[^\W_]+", text.lower())) for texts in templates.values() for text in texts]
+    df = Counter(t for c in counts for t in c)
+    asked: set[str] = set()
+    for c in counts:
+        squares = {t: (n * math.log(1 + len(counts) / df[t])) ** 2 for t, n in c.items()}
+        room = max(cosine - 1e-5, 0) ** 2 * sum(squares.values())
+        for t in sorted(squares, key=lambda t: (len(t), t)):
+            if squares[t] < room:
+                room -= squares[t]
+            else:
+                asked.add(t)
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(sorted(map(re.escape, asked)))})(?:$|[^\p{{L}}\p{{N}}])"
+
+
 def matched(lines: DataFrame, cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """(line, license, score) of each distinct ``line`` whose best template reaches ``cosine``.
 
@@ -96,16 +120,17 @@ def scan(
 ) -> DataFrame:
     """(id, path, own_license, score, license, licensed_by, is_license_file) for every row of ``docs``.
 
-    ``own_license`` is the best of a document's licence lines, ``license`` that
+    ``own_license`` is the best of a document's lines, ``license`` that
     or the one inherited; ``licensed_by`` is the path of the document or
     directory it comes from. Of several licence files in a directory the one
     with the highest score speaks, then the first identifier. Null and empty
     texts have no licence of their own; a null path lies in the root; ids name
     rows, so rows that repeat an id share the best line of all of them.
     """
-    speaking = F.col("text").rlike(SPEAKS)
+    pattern = needed(cosine, templates)
+    speaking = F.lower("text").rlike(pattern)
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).cast("string").alias("text"))
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(SPEAKS))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.lower(x).rlike(pattern))
     size = F.size(F.filter(F.split("text", "\\s+"), lambda w: w != ""))
     found = plain.where(speaking).select("id", "path", size.alias("words"), F.explode(F.array_distinct(lines)).alias("line"))
     found = materialise(found)

@@ -1,6 +1,7 @@
 """Licence lines, scores and inheritance."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -83,6 +84,28 @@ def test_scores_are_cosines(spark):
             assert line not in got
 
 
+def test_every_template_is_found_by_its_own_text(spark):
+    every = [(name, text) for name, texts in L.TEMPLATES.items() for text in texts]
+    prose = "some prose about nothing at all\n" * 40
+    rows = {r.doc_id: r for r in L.scan(docs_of(spark, [f"{prose}{x.upper() if i % 2 else x}\n{prose}" for i, (_, x) in enumerate(every)]), F.lit("a/b")).collect()}
+    assert [rows[i].own_license for i in range(len(every))] == [name for name, _ in every]
+    assert all(abs(rows[i].score - 1) < 1e-6 for i in rows)
+
+
+def test_no_line_within_the_bound_is_left_out():
+    rng = random.Random(5)
+    every = [text for texts in L.TEMPLATES.values() for text in texts]
+    pattern = re.compile(L.needed().replace("[^\\p{L}\\p{N}]", r"[\W_]"))
+    hits = 0
+    for _ in range(3000):
+        text = words(rng.choice(every))
+        line = " ".join(rng.sample(text, rng.randint(1, len(text))) + ["word"] * rng.randint(0, 2))
+        if max(cosines(line).values()) >= L.COSINE:
+            hits += 1
+            assert pattern.search(line), line
+    assert hits > 1000
+
+
 def test_empty_repeated_and_long(spark):
     assert L.scan(no_docs(spark), F.lit("x")).count() == 0
     df = docs_of(spark, [("word " * 100_000) + "\n" + MIT] * 2).withColumn("doc_id", F.lit(1))
