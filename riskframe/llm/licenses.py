@@ -2,9 +2,11 @@
 
 Lines with a term that any match of a template needs are cut into terms; each
 distinct line is compared once with the templates by a join on terms, and the
-best template is taken if its cosine reaches the bound. A file whose name or whole content is a
-licence speaks for its directory. A file without a licence of its own takes
-that of the nearest directory above it that has one: directories are resolved
+best template is taken if its cosine reaches the bound. Whole files are compared
+with whole licence texts in the same way. A file that is such a text, is named
+as a licence or consists of a notice for a fifth of its words speaks for its
+directory. A file without a licence of its own takes that of the nearest
+directory above it that has one: directories are resolved
 once each, by joins of path prefixes.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +46,11 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved", "Unauthorized copying of this file is strictly prohibited"),
 }
 COSINE = 0.5
+#: Whole texts of licences, one file each; a file with this cosine to one of them is that licence.
+TEXTS = Path(__file__).resolve().parent / "license_texts"
+WHOLE = 0.8
+#: Distinct licence files whose digests are broadcast (about 100 bytes each).
+MANY = 10_000
 #: What most notices contain (the SQL twin reads these lines alone; `needed` has the lines that are compared), and the share
 #: of a file's words that makes it a licence file.
 SPEAKS = r"(?i)licen[sc]e|copyright|spdx|public domain|rights reserved"
@@ -88,6 +96,32 @@ def needed(cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPL
     return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(sorted(map(re.escape, asked)))})(?:$|[^\p{{L}}\p{{N}}])"
 
 
+def near_lines(lines: DataFrame, cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """The rows of ``lines`` (line, ...) that can reach ``cosine`` with a template, judged row by row.
+
+    The cosine is computed with every term that no template has counted once,
+    which can only make it larger.
+    """
+    counts = [Counter(re.findall(r"[^\W_]+", text.lower())) for texts in templates.values() for text in texts]
+    idf = {t: math.log(1 + len(counts) / n) for t, n in Counter(t for c in counts for t in c).items()}
+    rare = math.log(1 + len(counts))
+    table = lambda weights: F.create_map(*(F.lit(x) for item in weights.items() for x in item))
+    rows = lines.withColumn("x_", terms(F.col("line"))).withColumn("own_", F.array_intersect("x_", F.array(*map(F.lit, idf))))
+    weigh = lambda t: F.struct(t.alias("t"), (F.size(F.filter("x_", lambda y: y == t)) * F.element_at(table(idf), t)).alias("w"))
+    rows = rows.withColumn("w_", F.transform("own_", weigh)).withColumn("alien_", F.size(F.array_distinct("x_")) - F.size("own_"))
+    zero = F.lit(0.0)
+    rows = rows.withColumn("length_", F.sqrt(F.aggregate("w_", zero, lambda a, s: a + s["w"] * s["w"]) + F.col("alien_") * rare * rare))
+    dot = lambda known: F.aggregate("w_", zero, lambda a, s: a + s["w"] * F.coalesce(F.element_at(known, s["t"]), zero))
+    can = F.lit(False)
+    for c in counts:
+        weights = {t: n * idf[t] for t, n in c.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        can = can | (dot(table(weights)) >= F.col("length_") * (norm * (cosine - 1e-5)))
+    # by explode, as a filter would be pushed below the columns and compute them anew for every template
+    kept = F.explode(F.when(can & (F.size("own_") > 0), F.array("line"))).alias("line")
+    return rows.select(*[c for c in lines.columns if c != "line"], kept)
+
+
 def matched(lines: DataFrame, cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """(line, license, score) of each distinct ``line`` whose best template reaches ``cosine``.
 
@@ -108,6 +142,47 @@ def matched(lines: DataFrame, cosine: float = COSINE, templates: dict[str, tuple
     return best.select("line", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
+def whole_texts() -> dict[str, dict[str, float]]:
+    """Per licence the weight of each term of its whole text: (1 + ln of its count) * ln(1 + texts / texts with it)."""
+    counts = {p.stem: Counter(re.findall(r"[^\W_]+", p.read_text().lower())) for p in sorted(TEXTS.glob("*.txt"))}
+    df = Counter(t for c in counts.values() for t in c)
+    return {name: {t: (1 + math.log(n)) * math.log(1 + len(counts) / df[t]) for t, n in c.items()} for name, c in counts.items()}
+
+
+def whole_licenses(plain: DataFrame, bound: float = WHOLE) -> DataFrame:
+    """(digest, license, score) of the distinct texts of ``plain`` (text) whose best whole licence text reaches ``bound``.
+
+    The terms shared hold at least the square of the bound of the licence's
+    squared length, so a text has at least as many of its terms as the
+    heaviest that make up this share; only such texts are weighed. A term that
+    no licence has counts as one of a single licence.
+    """
+    spark, texts = plain.sparkSession, whole_texts()
+    own = F.array_distinct(terms(F.col("text")))
+    enough = F.lit(False)
+    for weights in texts.values():
+        squares = sorted((w * w for w in weights.values()), reverse=True)
+        total, least = 0.0, 0
+        while least < len(squares) and total < (bound - 1e-5) ** 2 * sum(squares):
+            total += squares[least]
+            least += 1
+        shared = F.array_intersect(F.col("own"), F.array(*map(F.lit, sorted(weights))))
+        enough = enough | ((F.size("own") >= least) & (F.size(shared) >= least))
+    near = plain.where("text IS NOT NULL").select("text", own.alias("own")).where(enough)
+    near = near.select(F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["digest"])
+    counts = near.select("digest", F.explode(terms(F.col("text"))).alias("term")).groupBy("digest", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
+    df = Counter(t for weights in texts.values() for t in weights)
+    idf = spark.createDataFrame([(t, math.log(1 + len(texts) / n)) for t, n in df.items()], "term string, idf double")
+    rows = [(name, t, w, math.sqrt(sum(x * x for x in weights.values()))) for name, weights in texts.items() for t, w in weights.items()]
+    listed = spark.createDataFrame(rows, "license string, term string, weight double, norm double")
+    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log(1 + len(texts)))))
+    norms = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
+    dots = weighed.join(F.broadcast(listed), "term").groupBy("digest", "license", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "digest").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 6)).where(F.col("score") >= bound)
+    best = scored.groupBy("digest").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
+    return best.select("digest", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
+
+
 def ancestors(path: Column) -> Column:
     """The directories above a path, nearest first, "" (the root) last."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
@@ -120,7 +195,7 @@ def scan(
 ) -> DataFrame:
     """(id, path, own_license, score, license, licensed_by, is_license_file) for every row of ``docs``.
 
-    ``own_license`` is the best of a document's lines, ``license`` that
+    ``own_license`` is the licence whose whole text a document is, else the best of its lines, ``license`` that
     or the one inherited; ``licensed_by`` is the path of the document or
     directory it comes from. Of several licence files in a directory the one
     with the highest score speaks, then the first identifier. Null and empty
@@ -132,8 +207,8 @@ def scan(
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).cast("string").alias("text"))
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.lower(x).rlike(pattern))
     size = F.size(F.filter(F.split("text", "\\s+"), lambda w: w != ""))
-    found = plain.where(speaking).select("id", "path", size.alias("words"), F.explode(F.array_distinct(lines)).alias("line"))
-    found = materialise(found)
+    found = plain.where(speaking).select("id", size.alias("words"), F.explode(F.array_distinct(lines)).alias("line"))
+    found = materialise(near_lines(found, cosine, templates))
     best = matched(found.select("line").distinct(), cosine, templates)
     top = F.min(F.struct((-F.col("score")).alias("minus"), "license", "line"))
     own = found.join(best, "line").groupBy("id").agg(top.alias("top"), F.max("words").alias("words"))
@@ -141,8 +216,18 @@ def scan(
     own = own.select(
         "id", F.col("top.license").alias("own_license"), (-F.col("top.minus")).alias("score"), F.size(terms(F.col("top.line"))).alias("said"), "words"
     )
-    marked = plain.select("id", "path").join(own, "id", "left")
-    marked = marked.withColumn("is_license_file", F.col("own_license").isNotNull() & (named | (F.col("said") >= SHARE * F.col("words"))))
+    files = materialise(whole_licenses(plain))
+    if files.isEmpty():
+        whole = plain.select("id").limit(0).select("id", F.lit(None).cast("string").alias("text_license"), F.lit(None).cast("double").alias("text_score"))
+    else:
+        licensed = plain.select("id", F.sha2("text", 256).alias("digest")).join(F.broadcast(files) if files.count() <= MANY else files, "digest")
+        top = licensed.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("top"))
+        whole = top.select("id", F.col("top.license").alias("text_license"), (-F.col("top.minus")).alias("text_score"))
+    marked = plain.select("id", "path").join(own, "id", "left").join(whole, "id", "left")
+    text = F.col("text_license").isNotNull()
+    marked = marked.withColumn("own_license", F.coalesce("text_license", "own_license")).withColumn("score", F.coalesce("text_score", "score"))
+    speaks_alone = named | F.coalesce(F.col("said") >= SHARE * F.col("words"), F.lit(False)) | text
+    marked = marked.withColumn("is_license_file", F.col("own_license").isNotNull() & speaks_alone).drop("text_license", "text_score")
     marked = materialise(marked.withColumn("above", ancestors(F.col("path"))).withColumn("folder", F.element_at("above", 1)).drop("above"))
 
     speaks = (

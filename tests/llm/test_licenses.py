@@ -106,6 +106,32 @@ def test_no_line_within_the_bound_is_left_out():
     assert hits > 1000
 
 
+def test_whole_licence_texts_speak_for_their_directory(spark):
+    names = sorted(p.stem for p in L.TEXTS.glob("*.txt"))
+    text = {n: (L.TEXTS / f"{n}.txt").read_text() for n in names}
+    docs = [(n, f"Copyright (c) 2021 Some Body\n\n{text[n]}") for n in names] + [("flat", " ".join(text["MIT"].split()))] * 2
+    docs += [("half", text["MIT"][:400] + "\n" + "some prose about nothing at all " * 60)]
+    rows = [(2 * i, t, f"{n}/{i}.txt") for i, (n, t) in enumerate(docs)] + [(2 * i + 1, "no notice", f"{n}/deep/{i}.txt") for i, (n, _) in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, file string")
+    got = scanned(df)
+    want = [*names, "MIT", "MIT"]
+    assert [got[2 * i].own_license for i in range(len(want))] == want and all(got[2 * i].is_license_file for i in range(len(want)))
+    assert [got[2 * i + 1].license for i in range(len(want))] == want
+    assert not got[2 * len(want)].is_license_file and got[2 * len(want) + 1].license is None
+
+
+def test_near_lines_hold_all_that_match(spark):
+    rng = random.Random(6)
+    every = [text for texts in L.TEMPLATES.values() for text in texts]
+    lines = []
+    for _ in range(400):
+        text = words(rng.choice(every))
+        lines.append(" ".join(rng.sample(text, rng.randint(1, len(text))) + rng.choices(["word", "the", "Text", "of"], k=rng.randint(0, 9))))
+    got = {r.line for r in L.near_lines(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
+    want = {x for x in lines if max(cosines(x).values()) >= L.COSINE}
+    assert want <= got and len(got) < len(set(lines))
+
+
 def test_empty_repeated_and_long(spark):
     assert L.scan(no_docs(spark), F.lit("x")).count() == 0
     df = docs_of(spark, [("word " * 100_000) + "\n" + MIT] * 2).withColumn("doc_id", F.lit(1))
