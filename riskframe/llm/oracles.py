@@ -97,3 +97,28 @@ SELECT doc_id, folder || '/' || doc_id || '.txt' AS path, own_license, score, co
        CASE WHEN own_license IS NOT NULL THEN folder || '/' || doc_id || '.txt' WHEN said IS NOT NULL THEN folder END AS licensed_by,
        is_license_file
 FROM files LEFT JOIN speaks USING (folder)"""
+
+
+_BYTES = "list_transform(range(len(h) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)"
+ORACLES["op11_importance_resampling"] = rf"""
+WITH RECURSIVE steps AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+          UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+d AS (SELECT doc_id, coalesce(regexp_extract_all({_low("text")}, {_WORD}), []) AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_low("text")}, {_WORD})) AS word FROM benchmark),
+f AS (SELECT doc_id, unnest(w) AS word FROM d),
+hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}),
+                                        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+           FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM f UNION SELECT word FROM b)), crc),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN hashed USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)
+                              / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS g FROM s LEFT JOIN t USING (bucket)),
+sums AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM f JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+                  (('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+           FROM d LEFT JOIN sums USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT count(*) FROM placed) * 10 // 100 THEN place END::BIGINT AS rank
+FROM scored LEFT JOIN placed USING (doc_id)"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import (
     decontaminate,
+    importance,
     licenses,
     metric_join,
     minhash,
@@ -16,7 +17,9 @@ from riskframe.llm import (
     passages,
     quality,
     ring,
+    sentence_pieces,
     surrogates,
+    token_pairs,
     token_tree,
 )
 from riskframe.llm.common import table
@@ -105,3 +108,21 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents, 5-word shingles, similarity 0.85 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark's words, a tenth of them drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the byte-level and the SentencePiece tokens of all documents."""
+    return token_pairs.alignment(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of all documents, and what they decode to."""
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"))
