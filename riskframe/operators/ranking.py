@@ -191,6 +191,24 @@ def cache_retain(entries: DataFrame, max_items: int = 500) -> DataFrame:
     )
 
 
+def cache_folds() -> list[Column]:
+    """Aggregates over some of a query's stores and hits that merge to those of all (RET18)."""
+    stored = F.when(F.col("store_ts").isNotNull(), F.struct("store_ts", "payload"))
+    return [F.max(stored).alias("stored"), F.min("store_ts").alias("first_store"), F.max("hit_ts").alias("last_hit")]
+
+
+def cache_of_folds(parts: DataFrame, max_items: int = 500) -> DataFrame:
+    """RET18 (`cache_retain`) from the folds of its entries' parts."""
+    position = F.greatest(F.min("first_store"), F.max("last_hit"))
+    return (
+        parts.groupBy("query")
+        .agg(F.max("stored").alias("stored"), position.alias("position"))
+        .select("query", F.col("stored.payload").alias("payload"), "position")
+        .orderBy(F.desc("position"), "query")
+        .limit(max_items)
+    )
+
+
 def route_specialists(df: DataFrame, intent: str = "intent") -> DataFrame:
     """RET19: one row per specialist to run; general, unknown and missing intents go to all."""
     return df.withColumn("specialist", F.explode(routed(F.col(intent))))

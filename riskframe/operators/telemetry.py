@@ -164,6 +164,40 @@ def node_latency(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
     )
 
 
+#: Size of stored latency sketches: a quantile's rank is off by about 0.3 % at most.
+SKETCH_K, SKETCH_ERROR = 1000, 0.01
+
+
+def latency_sketches(events: DataFrame, k: int = SKETCH_K) -> DataFrame:
+    """TEL3 to be stored: sums and a mergeable sketch of elapsed milliseconds per node and hour."""
+    closing = events.filter(F.col("type").isin("node_end", "node_error"))
+    return closing.groupBy("node", F.date_trunc("hour", "t").alias("hour")).agg(
+        F.count(F.lit(1)).alias("spans"),
+        F.count_if(F.col("type") == "node_error").alias("errors"),
+        F.count("elapsed_ms").alias("timed"),
+        F.sum("elapsed_ms").alias("sum_ms"),
+        F.max("elapsed_ms").alias("max_ms"),
+        F.kll_sketch_agg_double(F.col("elapsed_ms").cast("double"), F.lit(k)).alias("sketch"),
+    )
+
+
+def latency_of_sketches(sketches: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """TEL3 of any nodes and hours from their stored rows, without the events.
+
+    The quantile's rank is off by less than ``SKETCH_ERROR``; the rest is exact.
+    """
+    merged = sketches.groupBy("node").agg(
+        F.sum("spans").alias("spans"),
+        F.sum("errors").alias("errors"),
+        F.try_divide(F.sum("sum_ms"), F.sum("timed")).alias("mean_ms"),
+        F.max("max_ms").alias("max_ms"),
+        F.sum("timed").alias("timed"),
+        F.kll_merge_agg_double("sketch").alias("sketch"),
+    )
+    p = F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(quantile)))
+    return merged.withColumn("p95_ms", p).drop("timed", "sketch")
+
+
 def node_status(events: DataFrame) -> DataFrame:
     """TEL4: final status of all five nodes of every run: idle, running, done, error or skipped.
 
@@ -185,7 +219,11 @@ def node_status(events: DataFrame) -> DataFrame:
                 f"out_{i}"
             ),
         ]
-    per_run = events.groupBy("run_id").agg(*folded)
+    return _unfolded(events.groupBy("run_id").agg(*folded))
+
+
+def _unfolded(per_run: DataFrame) -> DataFrame:
+    """One row per run and node from the nodes' columns side by side."""
     rows = []
     for i, name in enumerate(NODES):
         last = F.col(f"kind_{i}")
@@ -265,6 +303,65 @@ def run_status(events: DataFrame) -> DataFrame:
     )
 
 
+# ------------------------------------------------------------------ mergeable folds
+def _placed(value: Column | str, condition: Column) -> Column:
+    """The value of the last event for which the condition holds, with its place; the greatest of two such is that of both."""
+    return F.max(F.when(condition, F.struct(*ORDER, (F.col(value) if isinstance(value, str) else value).alias("value"))))
+
+
+def run_folds() -> list[Column]:
+    """Aggregates over any part of a run's events that merge to those of the whole run (TEL4, TEL7).
+
+    Each is a least or greatest time, a flag, or a last value with its place.
+    """
+    node, kind = F.col("node"), F.col("type")
+    ends = kind.isin(*TERMINAL)
+    folds = [
+        F.min("t").alias("started_at"),
+        F.max(F.when(ends, F.col("t"))).alias("finished_at"),
+        _placed(_status(kind), ends).alias("status"),
+        _placed("intent", F.col("intent").isNotNull()).alias("intent"),
+        _placed("severity", F.col("severity").isNotNull()).alias("severity"),
+        _placed("reason", kind == "guard_block").alias("reason"),
+    ]
+    decision = (kind == "orchestrator_decision") & F.col("intent").isNotNull()
+    for i, name in enumerate(NODES):
+        mine = (node == name) & kind.isin("node_start", "node_end", "node_error")
+        left_out = decision & ~F.array_contains(routed(F.col("intent")), name)
+        folds += [
+            _placed(kind, mine).alias(f"kind_{i}"),
+            _placed("elapsed_ms", mine & (kind != "node_start")).alias(f"ms_{i}"),
+            F.coalesce(F.bool_or(left_out), F.lit(False)).alias(f"out_{i}"),
+        ]
+    return folds
+
+
+def merge_folds(parts: DataFrame) -> DataFrame:
+    """One row per run from the folds of its parts."""
+    merged = []
+    for name in (c for c in parts.columns if c != "run_id"):
+        merge = F.min if name == "started_at" else F.bool_or if name.startswith("out_") else F.max
+        merged.append(merge(name).alias(name))
+    return parts.groupBy("run_id").agg(*merged)
+
+
+def status_of_folds(folds: DataFrame) -> DataFrame:
+    """TEL7 (`run_status`) of runs given as folds."""
+    return folds.select(
+        "run_id",
+        F.coalesce("status.value", F.lit("running")).alias("status"),
+        *[F.col(f"{n}.value").alias(n) for n in ("intent", "severity", "reason")],
+        *[F.col(n).cast("timestamp_ntz").alias(n) for n in ("started_at", "finished_at")],
+    ).withColumn("elapsed_ms", millis_between(F.col("started_at"), F.col("finished_at")))
+
+
+def nodes_of_folds(folds: DataFrame) -> DataFrame:
+    """TEL4 (`node_status`) of runs given as folds."""
+    n = range(len(NODES))
+    last = [F.col(f"{c}_{i}.value").alias(f"{c}_{i}") for i in n for c in ("kind", "ms")]
+    return _unfolded(folds.select("run_id", *last, *[f"out_{i}" for i in n]))
+
+
 def millis_between(start: Column, end: Column) -> Column:
     """Milliseconds from start to end, with fractions."""
     return F.timestamp_diff("MICROSECOND", start, end) / 1000.0

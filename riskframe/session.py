@@ -57,6 +57,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _file(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is no such folder."""
+    where, fs = _file(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that must not be there yet; False if it is."""
+    where, fs = _file(spark, path)
+    try:
+        out = fs.create(where, False)
+    except Exception as error:  # the file systems name this differently
+        if fs.exists(where):
+            return False
+        raise error
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    where, fs = _file(spark, path)
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute once and keep on the shared checkpoint folder.
 

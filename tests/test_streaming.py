@@ -1,6 +1,7 @@
 """Streams run to completion and compared with their batch twins."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,7 +133,36 @@ def test_ingest_stream_equals_batch_and_skips_seen_files(spark, tmp_path):
 
 def test_run_state_equals_batch(spark, sf, event_files, tmp_path):
     source = fx.run_events(jobs.event_source(spark, event_files))
-    _done(jobs.stream_run_state(source, f"{tmp_path}/out", f"{tmp_path}/ckpt", shards=2))
+    query = _done(jobs.stream_run_state(source, f"{tmp_path}/out", f"{tmp_path}/ckpt"))
+    events = fx.run_events(fx.table(spark, sf, "events"))
     got = jobs.read_run_state(spark, f"{tmp_path}/out").toPandas()
-    want = telemetry.run_status(fx.run_events(fx.table(spark, sf, "events"))).toPandas()
-    assert compare(got, want) is None
+    assert compare(got, telemetry.run_status(events).toPandas()) is None
+    nodes = jobs.read_node_state(spark, f"{tmp_path}/out").toPandas()
+    assert compare(nodes, telemetry.node_status(events).toPandas()) is None
+    plan = query._jsq.explainInternal(True)
+    assert "StateStoreSave" in plan and not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_run_state_is_dropped_after_silence(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for i, day in enumerate((1, 2, 9, 10)):
+        rows = [(100 * i + u, dt.datetime(2024, 1, day, 6), u, "view", 1.0, "{}") for u in range(5)]
+        path = folder / f"events{i}.parquet"
+        spark.createDataFrame(rows, schema).toPandas().astype({"ts": "datetime64[us]"}).to_parquet(path, index=False)
+        os.utime(path, (1_700_000_000 + i * 60,) * 2)
+    query = _done(jobs.stream_run_state(fx.run_events(jobs.event_source(spark, str(folder))), f"{tmp_path}/out", f"{tmp_path}/ckpt"))
+    states = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    assert sum(s.numRowsRemoved for s in states) >= 10 and states[-1].numRowsTotal <= 10
+    assert jobs.read_run_state(spark, f"{tmp_path}/out").count() == telemetry.run_status(fx.run_events(spark.read.parquet(str(folder)))).count()
+
+
+def test_folds_of_parts_merge_to_the_whole(spark, sf):
+    events = fx.run_events(fx.table(spark, sf, "events"))
+    parts = events.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(7))).groupBy("run_id", "part").agg(*telemetry.run_folds()).drop("part")
+    folds = telemetry.merge_folds(parts)
+    assert compare(telemetry.status_of_folds(folds).toPandas(), telemetry.run_status(events).toPandas()) is None
+    assert compare(telemetry.nodes_of_folds(folds).toPandas(), telemetry.node_status(events).toPandas()) is None

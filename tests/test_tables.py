@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from riskframe import schemas
 from riskframe.operators.incidents import ORDER_SOURCE, SKU_SOURCE
 from riskframe.plans import fixtures as fx
+from riskframe.operators import segments
 from riskframe.plans import ingest as ing
+from riskframe.plans import store
 from riskframe.sources import inventory, readers, tables
 from riskframe.sources.sampling import sample_n
 
@@ -152,8 +154,7 @@ def test_ingest_end_to_end(spark, tmp_path):
     ing.ingest(spark, "custom", f"{tmp_path}/extra.csv", root)
     assert ing.read_corpus(spark, root).count() == 10
     assert tables.read_manifest(spark, f"{root}/manifest").count() == 2
-    name = ing.snapshot_path(spark, root).rsplit("/", 1)[1]
-    assert spark.read.parquet(f"{root}/index-{name}/docs").count() == 10
+    assert segments.postings_index(store.read_index(spark, root)).docs.count() == 10
 
     again = ing.ingest(spark, ORDER_SOURCE, str(path), root, key="orders", reset=True, sample=5).first()
     assert (again.state, ing.read_corpus(spark, root).count()) == ("done", 5)
@@ -171,9 +172,11 @@ def test_an_unreadable_log_stops_the_run_and_loses_nothing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("name\nx\ny\n")
     (tmp_path / "b.csv").write_text("name\nz\n")
     ing.ingest(spark, "custom", f"{tmp_path}/a.csv", root)
-    logs = {f: f.read_bytes() for f in (tmp_path / "store" / "snapshots").glob("part-*.parquet")}
+    logs = {f: f.read_bytes() for f in (tmp_path / "store" / "commits").glob("*.json")}
+    for f in (tmp_path / "store" / "commits").glob(".*.crc"):
+        f.unlink()
     for f in logs:
-        f.write_bytes(b"not parquet")
+        f.write_bytes(b"not JSON")
     with pytest.raises(Exception):
         ing.ingest(spark, "custom", f"{tmp_path}/b.csv", root)
     for f, whole in logs.items():
@@ -192,7 +195,7 @@ def test_a_failed_index_leaves_the_former_corpus_in_force(spark, tmp_path, monke
     def fail(*_):
         raise OSError("disk full")
 
-    monkeypatch.setattr(ing, "write_index", fail)
+    monkeypatch.setattr(segments, "write_segment", fail)
     with pytest.raises(OSError):
         ing.ingest(spark, "custom", f"{tmp_path}/b.csv", root)
     assert ing.read_corpus(spark, root).count() == 2
