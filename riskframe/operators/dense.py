@@ -51,14 +51,14 @@ def metadata_filter(corpus: DataFrame, where: Mapping[str, Any] | None) -> DataF
     return corpus
 
 
-def _unit_rows(matrix: np.ndarray) -> np.ndarray:
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
     length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
     return matrix / np.where(length > 0, length, 1.0)
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return _unit_rows(values.reshape(len(vectors), -1))
+    return unit_rows(values.reshape(len(vectors), -1))
 
 
 def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
@@ -133,8 +133,8 @@ def _grid(
         left, right = left[left["vec"].notna()], right[right["vec"].notna()]
         if left.empty or right.empty:
             return pd.DataFrame({name: [] for name in schema.names})
-        q = _unit_rows(np.stack(left["vec"].to_list()).astype(np.float64))
-        d = _unit_rows(np.stack(right["vec"].to_list()).astype(np.float64))
+        q = unit_rows(np.stack(left["vec"].to_list()).astype(np.float64))
+        d = unit_rows(np.stack(right["vec"].to_list()).astype(np.float64))
         return best(pd.concat(scored_blocks(left["query_id"].to_numpy(), q, right["doc_id"].to_numpy(), d, k)), k)
 
     return asked.groupBy("block", "cell").cogroup(placed.groupBy("block", "cell")).applyInPandas(score, schema)
@@ -212,7 +212,7 @@ def _within(block: pa.Table, short: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            d, error = _unit_rows(raw), sketch_errors(raw)
+            d, error = unit_rows(raw), sketch_errors(raw)
             keep = np.zeros(len(d), bool)
             for a in range(0, len(q), QUERY_ROWS):
                 step = max(1, MAX_SCORES // len(q[a : a + QUERY_ROWS]))
