@@ -375,19 +375,19 @@ def fraud_clusters(orders: DataFrame, t: Thresholds = Thresholds()) -> DataFrame
     return _detect(orders, keys, ["order_status"], _fraud_rule(t, by_region))
 
 
-def _segment_key(orders: DataFrame) -> str:
-    return "category" if "category" in orders.columns else "shipping_mode"
+def _segment_key(columns: set[str] | list[str]) -> str:
+    return "category" if "category" in columns else "shipping_mode"
 
 
 def profit_erosion(orders: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """AN5: categories (modes when there is no category) with too many loss-making orders."""
-    key = _segment_key(orders)
+    key = _segment_key(orders.columns)
     return _detect(orders, [key], ["profit"], _profit_rule(t, key))
 
 
 def demand_spikes(orders: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """AN6: categories (modes when there is no category) whose mean quantity stands out."""
-    key = _segment_key(orders)
+    key = _segment_key(orders.columns)
     return _detect(orders, [key], ["quantity"], _demand_rule(t, key), "qty")
 
 
@@ -401,9 +401,36 @@ def run_all(orders: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     ascending) and ``position`` (stable order by severity, then id).
     """
     have = set(orders.columns)
-    key = _segment_key(orders)
+    dims = [c for c in DIMENSIONS if any(c in p[1] for p in _plan(have, t))]
+    return report(orders.groupBy(*dims).agg(*_row_sums(have)), have, t)
+
+
+#: Columns by which orders are summed up.
+DIMENSIONS = ("market", "shipping_mode", "region", "category")
+
+
+def span_cells(orders: DataFrame, span: str = "day", day: str = "order_date") -> DataFrame:
+    """AN8 to be stored: the sums of prepared orders per span of days and cell of `DIMENSIONS` (those that the table has)."""
+    have = set(orders.columns)
+    begins = F.date_trunc(span, F.col(day).cast("date")).cast("date").cast("string").alias("span")
+    return orders.groupBy(begins, *[c for c in DIMENSIONS if c in have]).agg(*_row_sums(have))
+
+
+def write_cells(cells: DataFrame, path: str) -> None:
+    """Store the cells of some spans in place of those spans' former ones; the files of other spans stay as they are."""
+    by_span = cells.repartition("span").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    by_span.partitionBy("span").parquet(path)
+
+
+def report_of_cells(cells: DataFrame, columns: set[str], t: Thresholds = Thresholds()) -> DataFrame:
+    """AN8 of any spans from their stored cells, without the orders; ``columns`` are those that the prepared orders had."""
+    return report(cells, set(columns), t)
+
+
+def _plan(have: set[str], t: Thresholds) -> list[tuple]:
+    """(rule number, grouping columns, columns the detector needs, rule) of the detectors that the columns allow."""
+    key = _segment_key(have)
     by_region = "region" in have
-    # (rule number, grouping columns, columns the detector needs, rule)
     plan = [
         (0, ("market", "shipping_mode"), {"late_delivery_risk"}, _late_rule(t)),
         (1, ("shipping_mode",), {"day_gap"}, _gap_rule(t)),
@@ -412,17 +439,20 @@ def run_all(orders: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
         (4, (key,), {"profit"}, _profit_rule(t, key)),
         (5, (key,), {"quantity"}, _demand_rule(t, key)),
     ]
-    plan = [p for p in plan if {*p[1], *p[2]} <= have]
+    return [p for p in plan if {*p[1], *p[2]} <= have]
+
+
+def report(cells: DataFrame, have: set[str], t: Thresholds) -> DataFrame:
+    """The report of orders that are summed up in cells; ``have`` are the columns of the orders."""
+    plan = _plan(have, t)
     if not plan:
         ids = "anomaly_id string, position int"
-        empty = empty_frame(orders.sparkSession, schemas.ANOMALY)
-        return empty_frame(orders.sparkSession, ids).join(empty, F.lit(True), "left").select(
+        empty = empty_frame(cells.sparkSession, schemas.ANOMALY)
+        return empty_frame(cells.sparkSession, ids).join(empty, F.lit(True), "left").select(
             "anomaly_id", *empty.columns, "position"
         )
 
-    dims = [c for c in ("market", "shipping_mode", "region", "category") if any(c in p[1] for p in plan)]
-    cells = orders.groupBy(*dims).agg(*_row_sums(have))
-
+    dims = [c for c in DIMENSIONS if any(c in p[1] for p in plan)]
     sets = sorted({p[1] for p in plan}) + [()]
     grouping_id = F.grouping_id(*dims)
     segments = cells.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in dims]).agg(

@@ -81,14 +81,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Test files of one row group come as one split; a table of more splits than this is never dealt anew.
-FEW_SPLITS = 4
+#: Bytes that one task reads from a file at most, by Spark's default.
+SPLIT = 128 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of a few splits dealt over the cores; what can move is bounded by those few splits."""
+    """A scan of fewer files than cores dealt over the cores, unless it has a full split for each of them.
+
+    A file of one row group is read by one task, however many splits it has;
+    what moves here is less than one split per core.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT else df
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -148,6 +155,27 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as (doc_id, vec, label)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, vec): every row whose id is divisible by 100."""
+    return vectors(spark, sf_dir).where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "vec")
+
+
+def cache_entries(turns: DataFrame) -> DataFrame:
+    """Turns of conversations as stores and hits of an answer cache; works on batch and streaming frames."""
+    stamp = (F.col("conv_id") * 1000 + F.col("turn")).cast("double")
+    return turns.select(
+        F.col("text").alias("query"),
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("payload"),
+        stamp.alias("store_ts"),
+        F.when(F.col("role") == "assistant", stamp + 5000).alias("hit_ts"),
+    )
+
+
 def rewritten_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rewritten text of a query is the text of the next item; the last wraps to the first."""
     items = search_queries(spark, sf_dir)

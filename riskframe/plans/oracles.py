@@ -158,8 +158,20 @@ SELECT order_id, order_item_id::BIGINT AS order_item_id, product, category, depa
        shipping_mode, delivery_status, order_status, days_real::INT AS days_real, days_scheduled::INT AS days_scheduled,
        late::INT AS late_delivery_risk, quantity, round(sales, 4) AS sales, round(discount, 4) AS discount,
        round(profit, 4) AS profit, order_date, ship_date FROM items"""
-ORACLES["stream_incidents"] = f"""
-WITH {ITEMS} SELECT DISTINCT md5('dataco::' || order_id || '::' || order_item_id) AS id FROM items"""
+_ONE_ITEM = f"""{ITEMS},
+one AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY order_id, order_item_id
+                                                       ORDER BY ship_date DESC, sales DESC, product DESC, department DESC) = 1)"""
+ORACLES["stream_incidents"] = ORACLES["stream_store"] = ORACLES["ingest_corpus"] = f"""
+WITH {_ONE_ITEM}
+SELECT md5('dataco::' || order_id || '::' || order_item_id) AS id, {ORDER_TEXT} AS text, 'dataco' AS source, market,
+       order_status, {SEVERITY} AS severity, ship_date, round(sales, 4) AS sales, round(profit, 4) AS profit,
+       days_real::DOUBLE AS days_real FROM one"""
+ORACLES["ingest_log"] = """
+SELECT 'parts' AS run_key, unnest(['done', 'already_loaded']) AS state, count(*) AS rows_loaded, count(*) AS docs_built FROM part"""
+ORACLES["store_upsert"] = """
+SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' second edition' ELSE '' END AS text, source, 64 AS dim
+FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"""
+ORACLES["store_cleared"] = "SELECT doc_id, text FROM documents WHERE lang = 'en'"
 ORACLES["text_cells"] = """
 SELECT conv_id, turn, trim(text, E' \\t\\n\\r\\u00a0\\u3000') AS stripped,
        CASE WHEN role = 'user' THEN 'unknown' ELSE trim(text, E' \\t\\n\\r\\u00a0\\u3000') END AS cell FROM conversations"""
@@ -183,6 +195,14 @@ ORACLES["feedback_accepted"] = """
 SELECT conv_id::VARCHAR AS session_id, turn::VARCHAR AS message_id, CASE WHEN turn % 4 = 1 THEN 'up' ELSE 'down' END AS rating
 FROM conversations WHERE role = 'assistant' AND conv_id % 3 <> 0"""
 ORACLES["json_documents"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
+ORACLES["json_array"] = ORACLES["json_documents"]
+ORACLES["csv_encodings"] = r"SELECT doc_id, source, trim(regexp_replace(text, '[\s\\]+', ' ', 'g')) AS text FROM documents"
+ORACLES["source_listing"] = """
+SELECT 'source=' || source AS folder, '.csv' AS ext, 13 * count(*) AS length, source < 'src2' AS loaded,
+       CASE WHEN source < 'src2' THEN count(*) ELSE 0 END AS loaded_docs FROM documents GROUP BY source"""
+ORACLES["source_choice"] = """
+SELECT 'orders' AS dataset, 'source=' || arg_max(source, (n, source)) AS folder FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)
+UNION ALL SELECT 'skus', 'source=' || min(source) FROM documents"""
 ORACLES["csv_suppliers"] = "SELECT s_suppkey::INT AS s_suppkey, * EXCLUDE (s_suppkey) FROM supplier"
 
 # ------------------------------------------------------------------ dashboard
@@ -774,10 +794,13 @@ ORACLES["verdict_json"] = """
 SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source ELSE 'general' END AS intent,
        CASE doc_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
        CASE doc_id % 4 WHEN 0 THEN 'because ' || lang WHEN 1 THEN '' ELSE 'parse-failed' END AS rationale FROM documents"""
+_SCRUBBED_TURNS = _SCRUB.replace("doc_id, source", "conv_id, turn").replace("FROM documents", "FROM conversations")
 ORACLES["stream_guarded"] = f"""
-WITH {_VERDICT}
-SELECT conv_id, turn, rule IN (4, 5) AS ok, CASE WHEN rule > 5 THEN {_quote(guards.REASONS["unavailable"])} ELSE reason END AS reason
-FROM guarded"""
+WITH {_VERDICT}, {_SCRUBBED_TURNS.strip()}
+SELECT conv_id, turn, rule IN (4, 5) AS ok, CASE WHEN rule > 5 THEN {_quote(guards.REASONS["unavailable"])} ELSE reason END AS reason,
+       clean_text, concat_ws(',', CASE WHEN email THEN 'email' END, CASE WHEN ssn THEN 'ssn' END,
+                             CASE WHEN card THEN 'card' END, CASE WHEN phone THEN 'phone' END) AS pii_found
+FROM guarded JOIN scrubbed USING (conv_id, turn)"""
 ORACLES["stream_hourly_events"] = ORACLES["hourly_events"]
 ORACLES["stream_runs"] = ORACLES["run_status"]
 ORACLES["stream_sessions"] = f"""
@@ -786,3 +809,33 @@ WHERE session_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 ORACLES["bm25_stored_topk"] = ORACLES["bm25_postings_topk"]
 # the sketch finds the exact top on these tables; what it may miss is tested as recall
 ORACLES["dense_topk_approx"] = ORACLES["dense_topk"]
+
+ORACLES["stream_nodes"] = ORACLES["node_status"]
+ORACLES["stream_cache_retain"] = ORACLES["cache_retain"]
+ORACLES["bm25_segments_topk"] = ORACLES["bm25_topk"]
+ORACLES["anomaly_cells_report"] = ORACLES["anomaly_report"]
+ORACLES["latency_sketch_report"] = f"""
+WITH {RUNS}
+SELECT node, count(*) AS spans, count_if(type = 'node_error')::BIGINT AS errors, round(avg(elapsed_ms), 6) AS mean_ms,
+       max(elapsed_ms) AS max_ms, true AS p95_within
+FROM runs WHERE type IN ('node_end', 'node_error') GROUP BY node"""
+_ROW_TOPK = """
+WITH s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label,
+                  round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) AS score
+           FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s {where})
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= {k}"""
+ORACLES["dense_topk_rows"] = _ROW_TOPK.format(where="", k=20)
+ORACLES["dense_topk_rows_filtered"] = _ROW_TOPK.format(where="WHERE label = 3", k=10)
+# the index finds each query's own vector; that it reaches the recall asked for is part of the result
+ORACLES["vector_index_hits"] = """
+SELECT vec_id AS query_id, 20::BIGINT AS hits, 1.0::DOUBLE AS best, true AS recall_reached FROM embeddings WHERE vec_id % 100 = 0"""
+ORACLES["missing_columns"] = f"""
+WITH {ITEMS}, n AS (SELECT count(DISTINCT market) AS markets, count(DISTINCT order_status) AS states FROM items),
+c AS (SELECT unnest(['none', 'market', 'late_delivery_risk', 'order_status']) AS lacking)
+SELECT lacking, 'late' AS figure, CASE WHEN lacking IN ('none', 'order_status') THEN markets ELSE 0 END AS rows FROM c, n
+UNION ALL SELECT lacking, 'status', CASE WHEN lacking <> 'order_status' THEN states ELSE 0 END FROM c, n
+UNION ALL SELECT lacking, 'fraud', CASE WHEN lacking IN ('none', 'late_delivery_risk') THEN markets ELSE 0 END FROM c, n"""
+ORACLES["metric_thresholds"] = f"""
+WITH {SCORES}
+SELECT tool, metric, threshold, low AS lower_is_better, count_if(passed)::BIGINT AS met, count(*) AS scored FROM passes GROUP BY ALL"""

@@ -198,7 +198,7 @@ def _prepared(spark, sf, columns=DETECTOR_COLUMNS):
     return anomaly.prepare_orders(fx.order_items(spark, sf, columns))
 
 
-def _shown(found: DataFrame, *extra: str) -> DataFrame:
+def shown_anomalies(found: DataFrame, *extra: str) -> DataFrame:
     pairs = F.transform(F.map_entries("supporting_data"), lambda e: F.format_string("%s=%.3f", e["key"], e["value"]))
     supporting = F.array_join(F.array_sort(pairs), ",").alias("supporting")
     shown = found.select(*extra, *SHOWN, "description", "recommendation", supporting)
@@ -208,44 +208,44 @@ def _shown(found: DataFrame, *extra: str) -> DataFrame:
 @query
 def late_delivery_spikes(spark, sf):
     orders = _prepared(spark, sf, ["market", "shipping_mode", "late_delivery_risk"])
-    return _shown(anomaly.late_delivery_spikes(orders))
+    return shown_anomalies(anomaly.late_delivery_spikes(orders))
 
 
 @query
 def shipping_gap_outliers(spark, sf):
     orders = _prepared(spark, sf, ["shipping_mode", "days_real", "days_scheduled"])
-    return _shown(anomaly.shipping_gap_outliers(orders, LOW))
+    return shown_anomalies(anomaly.shipping_gap_outliers(orders, LOW))
 
 
 @query
 def cancellation_surges(spark, sf):
-    return _shown(anomaly.cancellation_surges(_prepared(spark, sf, ["market", "order_status"]), LOW))
+    return shown_anomalies(anomaly.cancellation_surges(_prepared(spark, sf, ["market", "order_status"]), LOW))
 
 
 @query
 def fraud_clusters(spark, sf):
-    return _shown(anomaly.fraud_clusters(_prepared(spark, sf, ["market", "region", "order_status"])))
+    return shown_anomalies(anomaly.fraud_clusters(_prepared(spark, sf, ["market", "region", "order_status"])))
 
 
 @query
 def profit_erosion(spark, sf):
-    return _shown(anomaly.profit_erosion(_prepared(spark, sf, ["category", "profit"]), LOW))
+    return shown_anomalies(anomaly.profit_erosion(_prepared(spark, sf, ["category", "profit"]), LOW))
 
 
 @query
 def demand_spikes(spark, sf):
-    return _shown(anomaly.demand_spikes(_prepared(spark, sf, ["category", "quantity"]), LOW))
+    return shown_anomalies(anomaly.demand_spikes(_prepared(spark, sf, ["category", "quantity"]), LOW))
 
 
 @query
 def anomaly_report(spark, sf):
-    return _shown(anomaly.run_all(_prepared(spark, sf), LOW), "anomaly_id", "position")
+    return shown_anomalies(anomaly.run_all(_prepared(spark, sf), LOW), "anomaly_id", "position")
 
 
 @query
 def category_filtered_report(spark, sf):
     orders = category_filter(_prepared(spark, sf), CATEGORY)
-    return _shown(anomaly.run_all(orders, LOW), "anomaly_id", "position")
+    return shown_anomalies(anomaly.run_all(orders, LOW), "anomaly_id", "position")
 
 
 @query
@@ -264,7 +264,7 @@ def correlated_risks(spark, sf):
 @query
 def threshold_report(spark, sf):
     own = Thresholds(late_delivery_rate=0.5, fraud_rate=0.001, profit_negative_rate=0.2, min_segment_orders=200)
-    return _shown(anomaly.run_all(_prepared(spark, sf), own), "anomaly_id", "position")
+    return shown_anomalies(anomaly.run_all(_prepared(spark, sf), own), "anomaly_id", "position")
 
 
 @query
@@ -299,7 +299,7 @@ def report_header(spark, sf):
 
 @query
 def high_severity_anomalies(spark, sf):
-    return _shown(anomaly.high_only(anomaly.run_all(_prepared(spark, sf), LOW)), "anomaly_id")
+    return shown_anomalies(anomaly.high_only(anomaly.run_all(_prepared(spark, sf), LOW)), "anomaly_id")
 
 
 # ------------------------------------------------------------------ guards
@@ -426,7 +426,7 @@ def hashed_embedding(spark, sf):
 
 
 def _vectors(spark, sf):
-    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
+    return fx.vectors(spark, sf)
 
 
 def _centroids(spark, sf):
@@ -455,6 +455,16 @@ def dense_topk_filtered(spark, sf):
     return rounded(dense.dense_search(_centroids(spark, sf), _vectors(spark, sf), 10, where={"label": 3}), "score")
 
 
+@query
+def dense_topk_rows(spark, sf):
+    return rounded(dense.dense_search(fx.vector_queries(spark, sf), _vectors(spark, sf)), "score")
+
+
+@query
+def dense_topk_rows_filtered(spark, sf):
+    return rounded(dense.dense_search(fx.vector_queries(spark, sf), _vectors(spark, sf), 10, where={"label": 3}), "score")
+
+
 @query
 def dense_topk_approx(spark, sf):
     return rounded(dense.dense_search_ann(_centroids(spark, sf), _vectors(spark, sf)), "score")
@@ -548,13 +558,7 @@ def semantic_cache_hits(spark, sf):
 
 @query
 def cache_retain(spark, sf):
-    stamp = (F.col("conv_id") * 1000 + F.col("turn")).cast("double")
-    entries = fx.table(spark, sf, "conversations").select(
-        F.col("text").alias("query"),
-        F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("payload"),
-        stamp.alias("store_ts"),
-        F.when(F.col("role") == "assistant", stamp + 5000).alias("hit_ts"),
-    )
+    entries = fx.cache_entries(fx.table(spark, sf, "conversations"))
     return ranking.cache_retain(entries, 100)
 
 

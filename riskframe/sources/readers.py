@@ -8,9 +8,11 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from riskframe import schemas
 from riskframe.functions.columns import WHITESPACE
+from riskframe.session import materialise
 
 # Cell texts that stand for a missing value in delimited files.
 MISSING_TEXTS = (
@@ -133,30 +135,106 @@ def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_csv_with_fallback(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """SRC5: utf-8, or latin-1 when some line is not valid utf-8.
+    """SRC5: each file as utf-8, or as latin-1 when some line of it is not valid utf-8.
 
-    One aggregate over the lines, whose bytes are kept as they are, tells
-    which encoding to use.
+    One aggregate over the lines, whose bytes are kept as they are, tells the
+    files apart; types are those that fit all files. Files of either encoding
+    are read together and have the same columns in the same order.
     """
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"'}
+
+    def read(where, encoding: str, schema: T.StructType | None = None) -> DataFrame:
+        reader = spark.read.options(**options, encoding=encoding)
+        return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(where)
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = lines.groupBy("file").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid")).collect()  # a row for each file
+    plain, other = ([r["file"] for r in files if r["valid"] is not valid] for valid in (False, True))
+    if not other or not plain:
+        df = read(path, "ISO-8859-1" if other else "UTF-8")
+    else:
+        each = [read(plain, "UTF-8").schema, read(other, "ISO-8859-1").schema]
+        types = [_common_type(f.dataType, g.dataType) for f, g in zip(*(x.fields for x in each))]
+        schema = T.StructType([T.StructField(f.name, t) for f, t in zip(each[0].fields, types)])
+        df = read(plain, "UTF-8", schema).unionByName(read(other, "ISO-8859-1", schema))
+    return normalise_headers(blank_missing(df))
+
+
+def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that values of both have: the wider number or time, else text."""
+    for order in (["int", "bigint", "double"], ["date", "timestamp"]):
+        if {a.simpleString(), b.simpleString()} <= set(order):
+            return max(a, b, key=lambda t: order.index(t.simpleString()))
+    return a if a == b else T.StringType()
+
+
+#: What ends a fragment of a JSON array read in parallel.
+_CLOSE = "}"
+
+
+def array_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value): the objects of JSON arrays, each as a text of its own; an array may be one line of any length.
+
+    The bytes are cut at every closing brace, whatever it stands in, so Spark
+    splits a file like any text. What a fragment does to the nesting depth
+    depends on whether it begins inside a string, and whether the next one does
+    follows from the number of its quotes; both are summed up per split, the
+    sums handed on from split to split (a few numbers each), and a record ends
+    where the depth comes back to that of the array. Elements of an array must
+    be objects.
+    """
+    raw = spark.read.option("lineSep", _CLOSE).text(path)
+    # an escaped character never opens, closes or ends anything
+    parts = F.split(F.regexp_replace("value", r"\\.", ""), '"')
+    rows = raw.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+        "value",
+        parts.alias("parts"),
+    )
 
-    def read(encoding: str) -> DataFrame:
-        options = {"header": True, "sep": sep, "encoding": encoding, "inferSchema": True, "quote": '"', "escape": '"'}
-        return spark.read.options(**options).csv(path)
-
-    valid = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value"))).first()[0]
-    return normalise_headers(blank_missing(read("ISO-8859-1" if valid is False else "UTF-8")))
+    def depth(side: int) -> Column:
+        """What the fragment, its closing brace included, adds to the depth if it begins outside (0) or inside (1) a string."""
+        bare = F.array_join(F.filter("parts", lambda x, i: i % 2 == side), "")
+        count = lambda chars: F.length(bare) - F.length(F.translate(bare, chars, ""))
+        ends_outside = F.when((F.size("parts") - 1 + side) % 2 == 0, 1).otherwise(0)
+        return (count("{[") - count("]") - ends_outside).cast("long")
+
+    rows = rows.select("file", "block", "at", "value", (F.size("parts") - 1).cast("long").alias("quotes"), depth(0).alias("out"), depth(1).alias("in"))
+    before = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    for start in (0, 1):  # the depth if the split begins outside or inside a string
+        rows = rows.withColumn(f"step{start}", F.when(F.col("odd") == start, F.col("out")).otherwise(F.col("in")))
+        rows = rows.withColumn(f"depth{start}", F.sum(f"step{start}").over(upto))
+    splits = rows.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"), F.sum("step0").alias("sum0"), F.sum("step1").alias("sum1"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("begins", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2)
+    own = F.when(F.col("begins") == 0, F.col("sum0")).otherwise(F.col("sum1"))
+    splits = splits.withColumn("own", own).select("file", "block", "begins", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("base"))
+    here = rows.join(splits, ["file", "block"])
+    level = F.col("base") + F.when(F.col("begins") == 0, F.col("depth0")).otherwise(F.col("depth1"))
+    here = here.select("file", "block", "at", "value", (level == 1).cast("int").alias("ends"))
+    here = here.withColumn("nth", F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    totals = here.groupBy("file", "block").agg(F.sum("ends").alias("n"))
+    totals = totals.select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
+    numbered = here.join(totals, ["file", "block"]).withColumn("record", F.col("first") + F.col("nth"))
+    whole = numbered.groupBy("file", "record").agg(
+        F.max("ends").alias("ended"), F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("parts")
+    )
+    text = F.concat(F.array_join(F.col("parts.value"), _CLOSE), F.lit(_CLOSE))
+    return whole.where("ended = 1").select("file", F.regexp_replace(text, r"^[\s,\[]+", "").alias("value"))
 
 
 def read_json_any(spark: SparkSession, path: str) -> DataFrame:
-    """SRC4: one JSON array, or JSON Lines.
-
-    A file whose first character opens an array is read as a whole (an array
-    has no line structure to split on); anything else is read line by line,
-    in parallel.
-    """
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    whole = bool(first) and first[0][0].lstrip().startswith("[")
-    return spark.read.option("multiLine", whole).json(path)
+    """SRC4: JSON arrays of objects, or JSON Lines; both are read in parallel, whatever the length of a line."""
+    first = spark.read.option("lineSep", _CLOSE).text(path).filter(F.trim("value") != "").limit(1).collect()
+    if not (first and first[0][0].lstrip(WHITESPACE).startswith("[")):
+        return spark.read.json(path)
+    records = materialise(array_records(spark, path).select("value"))
+    strings = getattr(records._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark._jsparkSession.read().json(strings), spark)
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
