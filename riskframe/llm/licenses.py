@@ -1,13 +1,15 @@
-"""Licence scan: sparse TF-IDF cosine of licence lines to templates, then inheritance along directories.
-
-Lines with a term that any match of a template needs are cut into terms; each
-distinct line is compared once with the templates by a join on terms, and the
-best template is taken if its cosine reaches the bound. Whole files are compared
-with whole licence texts in the same way. A file that is such a text, is named
-as a licence or consists of a notice for a fifth of its words speaks for its
-directory. A file without a licence of its own takes that of the nearest
-directory above it that has one: directories are resolved
-once each, by joins of path prefixes.
+"""Licence scan: sparse TF-IDF cosine of licence lines and files to templates, then inheritance along directories.
+
+A term weighs by how few templates have it and by the share of the corpus's
+documents that lack it, so that common words of the corpus weigh little. Lines
+with a term that any match of a template needs are cut into terms; each
+distinct line is compared once with the templates by a join on terms. The best
+template is taken if its cosine reaches the bound and the line covers enough
+of the template's weight. Whole files are compared with whole licence texts in
+the same way. A file that is such a text or is named as a licence speaks for
+its directory; a file without a licence of its own takes that of the nearest
+directory above it that has one: directories are resolved once each, by joins
+of path prefixes.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.session import materialise
@@ -45,16 +47,17 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
     "Proprietary": ("All rights reserved", "Unauthorized copying of this file is strictly prohibited"),
 }
-COSINE = 0.5
+#: Least cosine, and least share of a template's squared length that a line must cover.
+COSINE, COVER = 0.5, 0.5
 #: Whole texts of licences, one file each; a file with this cosine to one of them is that licence.
 TEXTS = Path(__file__).resolve().parent / "license_texts"
 WHOLE = 0.8
-#: Distinct licence files whose digests are broadcast (about 100 bytes each).
+#: Distinct licence lines or files whose digests are broadcast (about 100 bytes each).
 MANY = 10_000
-#: What most notices contain (the SQL twin reads these lines alone; `needed` has the lines that are compared), and the share
-#: of a file's words that makes it a licence file.
-SPEAKS = r"(?i)licen[sc]e|copyright|spdx|public domain|rights reserved"
-SHARE = 0.2
+#: Tasks over which rows of one digest are dealt beyond that.
+SALT = 16
+#: Terms of templates: runs of letters and digits.
+_WORD = re.compile(r"[^\W_]+")
 
 
 def terms(text: Column) -> Column:
@@ -62,33 +65,39 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
 
 
-def template_terms(spark: SparkSession, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """(license, template, term, weight, norm, idf); idf is ln(1 + templates / templates with the term), weight is count * idf."""
-    listed = [(name, f"{name} {i}", text) for name, texts in templates.items() for i, text in enumerate(texts)]
-    rows = spark.createDataFrame(listed, "license string, template string, words string")
-    counts = rows.select("license", "template", F.explode(terms(F.col("words"))).alias("term"))
-    counts = counts.groupBy("license", "template", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = counts.join(df, "term").withColumn("idf", F.log(1 + F.lit(float(len(listed))) / F.col("df")))
-    weighed = weighed.withColumn("weight", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("template")))
-    return weighed.select("license", "template", "term", "weight", norm.alias("norm"), "idf")
+def counted_terms(templates: dict[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[str, str, Counter]]:
+    """(license, template, count of each term) of every template."""
+    return [(name, f"{name} {i}", Counter(_WORD.findall(text.lower()))) for name, texts in templates.items() for i, text in enumerate(texts)]
 
 
-def needed(cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> str:
-    """A pattern that lower-case text contains if a template's cosine with it can reach ``cosine``.
+def shares(texts: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> dict[str, float]:
+    """For each term of the templates the texts (column ``text``, nulls left out) that have it, as a share of all and one more."""
+    listed = sorted({t for *_, c in counted_terms(templates) for t in c})
+    known = texts.where("text IS NOT NULL").select(F.array_intersect(F.array_distinct(terms(F.col("text"))), F.array(*map(F.lit, listed))).alias("own"))
+    # a row for each text besides those for its terms, so that one scan counts both
+    found = known.select(F.explode(F.concat(F.array(F.lit("")), F.col("own"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    n = {r["term"]: r["n"] for r in found.collect()}
+    return {t: n.get(t, 0) / (n.get("", 0) + 1) for t in listed}
 
-    The cosine is at most the length of the part of the template that the text
-    shares. So the shortest terms of each template are left out as long as they
-    are too light together: a text with none of the others stays below the bound.
-    """
-    counts = [Counter(re.findall(r"[^\W_]+", text.lower())) for texts in templates.values() for text in texts]
+
+def weights(share: dict[str, float], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> dict[str, float]:
+    """ln(1 + templates / templates with the term) * (1 - share of documents with it)."""
+    counts = [c for *_, c in counted_terms(templates)]
     df = Counter(t for c in counts for t in c)
+    return {t: math.log(1 + len(counts) / n) * (1 - share.get(t, 0.0)) for t, n in df.items()}
+
+
+def needed(weight: dict[str, float], cover: float = COVER, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> str:
+    """A pattern that lower-case text contains if it covers the share ``cover`` of any template.
+
+    The lightest terms of each template are left out as long as they are too
+    light together: a text with none of the others stays below the share.
+    """
     asked: set[str] = set()
-    for c in counts:
-        squares = {t: (n * math.log(1 + len(counts) / df[t])) ** 2 for t, n in c.items()}
-        room = max(cosine - 1e-5, 0) ** 2 * sum(squares.values())
-        for t in sorted(squares, key=lambda t: (len(t), t)):
+    for *_, c in counted_terms(templates):
+        squares = {t: (n * weight[t]) ** 2 for t, n in c.items()}
+        room = max(cover - 1e-5, 0) * sum(squares.values())
+        for t in sorted(squares, key=lambda t: (squares[t], t)):
             if squares[t] < room:
                 room -= squares[t]
             else:
@@ -96,84 +105,84 @@ def needed(cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPL
     return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(sorted(map(re.escape, asked)))})(?:$|[^\p{{L}}\p{{N}}])"
 
 
-def near_lines(lines: DataFrame, cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """The rows of ``lines`` (line, ...) that can reach ``cosine`` with a template, judged row by row.
+def matched(
+    lines: DataFrame, weight: dict[str, float], cosine: float = COSINE, cover: float = COVER, templates: dict[str, tuple[str, ...]] = TEMPLATES
+) -> DataFrame:
+    """(digest, license, score) of each line of ``lines`` (digest, line; distinct) that matches its best template.
 
-    The cosine is computed with every term that no template has counted once,
-    which can only make it larger.
+    A term that no template has weighs like one that a single template and no
+    document has; equal scores go to the first identifier.
     """
-    counts = [Counter(re.findall(r"[^\W_]+", text.lower())) for texts in templates.values() for text in texts]
-    idf = {t: math.log(1 + len(counts) / n) for t, n in Counter(t for c in counts for t in c).items()}
-    rare = math.log(1 + len(counts))
-    table = lambda weights: F.create_map(*(F.lit(x) for item in weights.items() for x in item))
-    rows = lines.withColumn("x_", terms(F.col("line"))).withColumn("own_", F.array_intersect("x_", F.array(*map(F.lit, idf))))
-    weigh = lambda t: F.struct(t.alias("t"), (F.size(F.filter("x_", lambda y: y == t)) * F.element_at(table(idf), t)).alias("w"))
-    rows = rows.withColumn("w_", F.transform("own_", weigh)).withColumn("alien_", F.size(F.array_distinct("x_")) - F.size("own_"))
-    zero = F.lit(0.0)
-    rows = rows.withColumn("length_", F.sqrt(F.aggregate("w_", zero, lambda a, s: a + s["w"] * s["w"]) + F.col("alien_") * rare * rare))
-    dot = lambda known: F.aggregate("w_", zero, lambda a, s: a + s["w"] * F.coalesce(F.element_at(known, s["t"]), zero))
-    can = F.lit(False)
-    for c in counts:
-        weights = {t: n * idf[t] for t, n in c.items()}
-        norm = math.sqrt(sum(w * w for w in weights.values()))
-        can = can | (dot(table(weights)) >= F.col("length_") * (norm * (cosine - 1e-5)))
-    # by explode, as a filter would be pushed below the columns and compute them anew for every template
-    kept = F.explode(F.when(can & (F.size("own_") > 0), F.array("line"))).alias("line")
-    return rows.select(*[c for c in lines.columns if c != "line"], kept)
-
-
-def matched(lines: DataFrame, cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """(line, license, score) of each distinct ``line`` whose best template reaches ``cosine``.
-
-    A term that no template has is weighed like one that a single template
-    has; equal scores go to the first identifier.
-    """
-    own = template_terms(lines.sparkSession, templates)
-    rare = math.log(1 + sum(map(len, templates.values())))
-    counts = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf = own.select("term", "idf").distinct()
+    spark, rare = lines.sparkSession, math.log(1 + sum(map(len, templates.values())))
+    rows = []
+    for name, template, c in counted_terms(templates):
+        norm = math.sqrt(sum((n * weight[t]) ** 2 for t, n in c.items()))
+        rows += [(name, template, t, n * weight[t], norm) for t, n in c.items()]
+    listed = spark.createDataFrame(rows, "license string, template string, term string, weight double, norm double")
+    idf = spark.createDataFrame(list(weight.items()), "term string, idf double")
+    counts = lines.select("digest", F.explode(terms(F.col("line"))).alias("term")).groupBy("digest", "term").agg(F.count(F.lit(1)).alias("tf"))
     weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norms = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("line_norm"))
-    shared = weighed.join(F.broadcast(own.drop("idf")), "term").groupBy("line", "license", "template", "norm")
-    dots = shared.agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    score = F.round(F.col("dot") / (F.col("norm") * F.col("line_norm")), 6)
-    scored = dots.join(norms, "line").withColumn("score", score).where(F.col("score") >= cosine)
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
-    return best.select("line", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
+    norms = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
+    shared = weighed.join(F.broadcast(listed), "term").groupBy("digest", "license", "template", "norm")
+    dots = shared.agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.sum(F.col("weight") * F.col("weight")).alias("covered"))
+    score = F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 6)
+    part = F.round(F.col("covered") / (F.col("norm") * F.col("norm")), 6)
+    scored = dots.join(norms, "digest").withColumn("score", score).where((F.col("score") >= cosine) & (part >= cover))
+    best = scored.groupBy("digest").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
+    return best.select("digest", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
 def whole_texts() -> dict[str, dict[str, float]]:
     """Per licence the weight of each term of its whole text: (1 + ln of its count) * ln(1 + texts / texts with it)."""
-    counts = {p.stem: Counter(re.findall(r"[^\W_]+", p.read_text().lower())) for p in sorted(TEXTS.glob("*.txt"))}
+    counts = {p.stem: Counter(_WORD.findall(p.read_text().lower())) for p in sorted(TEXTS.glob("*.txt"))}
     df = Counter(t for c in counts.values() for t in c)
     return {name: {t: (1 + math.log(n)) * math.log(1 + len(counts) / df[t]) for t, n in c.items()} for name, c in counts.items()}
 
 
+def guards(texts: dict[str, dict[str, float]], bound: float = WHOLE) -> list[str]:
+    """Terms of which every text that reaches ``bound`` with a whole licence has at least one.
+
+    The terms shared hold at least the square of the bound of the licence's
+    squared length, so of its heaviest terms that hold more than the rest one
+    at least is shared.
+    """
+    out: set[str] = set()
+    for own in texts.values():
+        room = (1 - (bound - 1e-5) ** 2) * sum(w * w for w in own.values())
+        for t in sorted(own, key=lambda t: (-own[t], -len(t), t)):
+            out.add(t)
+            room -= own[t] ** 2
+            if room < 0:
+                break
+    return sorted(out)
+
+
 def whole_licenses(plain: DataFrame, bound: float = WHOLE) -> DataFrame:
     """(digest, license, score) of the distinct texts of ``plain`` (text) whose best whole licence text reaches ``bound``.
 
-    The terms shared hold at least the square of the bound of the licence's
-    squared length, so a text has at least as many of its terms as the
-    heaviest that make up this share; only such texts are weighed. A term that
-    no licence has counts as one of a single licence.
+    Only texts with a guard term and as many of a licence's terms as its
+    heaviest that make up the square of the bound are weighed. A term that no
+    licence has counts as one of a single licence.
     """
     spark, texts = plain.sparkSession, whole_texts()
-    own = F.array_distinct(terms(F.col("text")))
     enough = F.lit(False)
-    for weights in texts.values():
-        squares = sorted((w * w for w in weights.values()), reverse=True)
+    for own in texts.values():
+        squares = sorted((w * w for w in own.values()), reverse=True)
         total, least = 0.0, 0
         while least < len(squares) and total < (bound - 1e-5) ** 2 * sum(squares):
             total += squares[least]
             least += 1
-        shared = F.array_intersect(F.col("own"), F.array(*map(F.lit, sorted(weights))))
+        shared = F.array_intersect(F.col("own"), F.array(*map(F.lit, sorted(own))))
         enough = enough | ((F.size("own") >= least) & (F.size(shared) >= least))
-    near = plain.where("text IS NOT NULL").select("text", own.alias("own")).where(enough)
+    guarded = F.arrays_overlap(F.col("own"), F.array(*map(F.lit, guards(texts, bound))))
+    near = plain.where("text IS NOT NULL").select("text", F.array_distinct(terms(F.col("text"))).alias("own"))
+    # by explode, as a filter would be pushed below the column and cut the texts into terms for every condition
+    near = near.select(F.explode(F.when(guarded & enough, F.array("text"))).alias("text"))
     near = near.select(F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["digest"])
     counts = near.select("digest", F.explode(terms(F.col("text"))).alias("term")).groupBy("digest", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
-    df = Counter(t for weights in texts.values() for t in weights)
+    df = Counter(t for own in texts.values() for t in own)
     idf = spark.createDataFrame([(t, math.log(1 + len(texts) / n)) for t, n in df.items()], "term string, idf double")
-    rows = [(name, t, w, math.sqrt(sum(x * x for x in weights.values()))) for name, weights in texts.items() for t, w in weights.items()]
+    rows = [(name, t, w, math.sqrt(sum(x * x for x in own.values()))) for name, own in texts.items() for t, w in own.items()]
     listed = spark.createDataFrame(rows, "license string, term string, weight double, norm double")
     weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log(1 + len(texts)))))
     norms = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
@@ -183,6 +192,23 @@ def whole_licenses(plain: DataFrame, bound: float = WHOLE) -> DataFrame:
     return best.select("digest", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
+def _best(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, license, score): the best of ``found`` (digest, license, score) for each id of ``rows`` (id, digest).
+
+    What was found is broadcast up to ``MANY`` rows. Beyond that rows of one
+    digest are dealt over several tasks, so a digest that a third of all rows
+    bear is no hot key.
+    """
+    found = materialise(found)
+    if found.count() <= MANY:
+        joined = rows.join(F.broadcast(found), "digest")
+    else:
+        copies = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(copies, ["digest", "salt"])
+    top = joined.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("top"))
+    return top.select("id", F.col("top.license").alias("license"), (-F.col("top.minus")).alias("score"))
+
+
 def ancestors(path: Column) -> Column:
     """The directories above a path, nearest first, "" (the root) last."""
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
@@ -191,52 +217,56 @@ def ancestors(path: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, path: Column, text: str = "text", id_col: str = "doc_id", cosine: float = COSINE, templates: dict[str, tuple[str, ...]] = TEMPLATES
+    docs: DataFrame,
+    path: Column,
+    text: str = "text",
+    id_col: str = "doc_id",
+    cosine: float = COSINE,
+    cover: float = COVER,
+    templates: dict[str, tuple[str, ...]] = TEMPLATES,
 ) -> DataFrame:
     """(id, path, own_license, score, license, licensed_by, is_license_file) for every row of ``docs``.
 
-    ``own_license`` is the licence whose whole text a document is, else the best of its lines, ``license`` that
-    or the one inherited; ``licensed_by`` is the path of the document or
-    directory it comes from. Of several licence files in a directory the one
-    with the highest score speaks, then the first identifier. Null and empty
-    texts have no licence of their own; a null path lies in the root; ids name
-    rows, so rows that repeat an id share the best line of all of them.
+    ``own_license`` is the licence whose whole text a document is, else the best
+    of its lines, ``license`` that or the one inherited; ``licensed_by`` is the
+    path of the document or directory it comes from. A licence file is a whole
+    licence text, or a file named as one with a licence of its own; of several
+    in a directory the one with the highest score speaks, then the first
+    identifier. Null and empty texts have no licence of their own; a null path
+    lies in the root; ids name rows, so rows that repeat an id share the best
+    line of all of them; a null id has no licence of its own. Further columns
+    are left out, so none can clash; an empty table gives an empty result.
     """
-    pattern = needed(cosine, templates)
-    speaking = F.lower("text").rlike(pattern)
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).cast("string").alias("text"))
+    weight = weights(shares(plain, templates), templates)
+    pattern = needed(weight, cover, templates)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.lower(x).rlike(pattern))
-    size = F.size(F.filter(F.split("text", "\\s+"), lambda w: w != ""))
-    found = plain.where(speaking).select("id", size.alias("words"), F.explode(F.array_distinct(lines)).alias("line"))
-    found = materialise(near_lines(found, cosine, templates))
-    best = matched(found.select("line").distinct(), cosine, templates)
-    top = F.min(F.struct((-F.col("score")).alias("minus"), "license", "line"))
-    own = found.join(best, "line").groupBy("id").agg(top.alias("top"), F.max("words").alias("words"))
-    named = F.coalesce(F.element_at(F.split("path", "/"), -1), F.lit("")).rlike(r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$")
-    own = own.select(
-        "id", F.col("top.license").alias("own_license"), (-F.col("top.minus")).alias("score"), F.size(terms(F.col("top.line"))).alias("said"), "words"
-    )
+    found = plain.where(F.lower("text").rlike(pattern)).select("id", F.explode(F.array_distinct(lines)).alias("line"))
+    found = materialise(found.select("id", F.sha2("line", 256).alias("digest"), "line"))
+    best = matched(found.select("digest", "line").dropDuplicates(["digest"]), weight, cosine, cover, templates)
+    own = _best(found.select("id", "digest"), best).withColumnsRenamed({"license": "line_license", "score": "line_score"})
     files = materialise(whole_licenses(plain))
-    if files.isEmpty():
-        whole = plain.select("id").limit(0).select("id", F.lit(None).cast("string").alias("text_license"), F.lit(None).cast("double").alias("text_score"))
-    else:
-        licensed = plain.select("id", F.sha2("text", 256).alias("digest")).join(F.broadcast(files) if files.count() <= MANY else files, "digest")
-        top = licensed.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("top"))
-        whole = top.select("id", F.col("top.license").alias("text_license"), (-F.col("top.minus")).alias("text_score"))
+    digests = plain.select("id", F.sha2("text", 256).alias("digest")) if not files.isEmpty() else plain.select("id", F.lit("").alias("digest")).limit(0)
+    whole = _best(digests, files).withColumnsRenamed({"license": "text_license", "score": "text_score"})
+    named = F.coalesce(F.element_at(F.split("path", "/"), -1), F.lit("")).rlike(r"(?i)^(licen[sc]e|copying|notice)([._-].*)?$")
     marked = plain.select("id", "path").join(own, "id", "left").join(whole, "id", "left")
-    text = F.col("text_license").isNotNull()
-    marked = marked.withColumn("own_license", F.coalesce("text_license", "own_license")).withColumn("score", F.coalesce("text_score", "score"))
-    speaks_alone = named | F.coalesce(F.col("said") >= SHARE * F.col("words"), F.lit(False)) | text
-    marked = marked.withColumn("is_license_file", F.col("own_license").isNotNull() & speaks_alone).drop("text_license", "text_score")
-    marked = materialise(marked.withColumn("above", ancestors(F.col("path"))).withColumn("folder", F.element_at("above", 1)).drop("above"))
-
+    marked = marked.select(
+        "id",
+        "path",
+        F.coalesce("text_license", "line_license").alias("own_license"),
+        F.coalesce("text_score", "line_score").alias("score"),
+        (F.col("text_license").isNotNull() | (named & F.col("line_license").isNotNull())).alias("is_license_file"),
+        F.element_at(ancestors(F.col("path")), 1).alias("folder"),
+    )
+    marked = materialise(marked)
     speaks = (
         marked.where("is_license_file").groupBy("folder").agg(F.min(F.struct((-F.col("score")).alias("minus"), "own_license")).alias("top"))
     ).select(F.col("folder").alias("above"), F.col("top.own_license").alias("folder_license"))
     folders = marked.select("folder").distinct()
     steps = folders.select("folder", F.posexplode(F.concat(F.array("folder"), ancestors(F.col("folder")))).alias("far", "above"))
     nearest = steps.join(speaks, "above").groupBy("folder").agg(F.min(F.struct("far", "above", "folder_license")).alias("near"))
-    whole = marked.join(nearest, "folder", "left")
+    nearest = materialise(nearest)  # one row per directory
+    whole = marked.join(F.broadcast(nearest) if nearest.count() <= MANY else nearest, "folder", "left")
     taken = F.coalesce("own_license", "near.folder_license")
     by = F.when(F.col("own_license").isNotNull(), F.col("path")).otherwise(F.col("near.above"))
     return whole.select(F.col("id").alias(id_col), "path", "own_license", "score", taken.alias("license"), by.alias("licensed_by"), "is_license_file")

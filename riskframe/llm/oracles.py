@@ -6,7 +6,7 @@ those queries are tested against brute-force versions in ``tests/llm``.
 
 from __future__ import annotations
 
-from riskframe.llm.licenses import COSINE, SHARE, SPEAKS, TEMPLATES
+from riskframe.llm.licenses import COSINE, COVER, TEMPLATES, WHOLE, whole_texts
 
 ORACLES: dict[str, str] = {}
 
@@ -67,38 +67,43 @@ def _quoted(text: str) -> str:
 
 _LISTED = [(name, f"{name} {i}", text) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
 _TERMS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_WHOLE = whole_texts()
+_BEST = "QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1"
 ORACLES["op8_license_scan"] = rf"""
 WITH templates(license, template, words) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)}, {_quoted(c)})" for a, b, c in _LISTED)}),
-tt AS (SELECT license, template, unnest({_TERMS.format("words")}) AS term FROM templates),
-tc AS (SELECT license, template, term, count(*) AS tf FROM tt GROUP BY ALL),
-idf AS (SELECT term, ln(1 + {len(_LISTED)}::DOUBLE / count(*)) AS idf FROM tc GROUP BY term),
-tw AS (SELECT license, template, term, tf * idf AS w, sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY template)) AS norm
-       FROM tc JOIN idf USING (term)),
-spoken AS (SELECT DISTINCT doc_id, words, trim(l) AS line
-           FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS words,
-                        unnest(string_split(text, chr(10))) AS l FROM documents)
-           WHERE regexp_matches(l, {_quoted(SPEAKS)})),
-lc AS (SELECT line, term, count(*) AS tf
-       FROM (SELECT line, unnest({_TERMS.format("line")}) AS term FROM (SELECT DISTINCT line FROM spoken)) GROUP BY ALL),
+tc AS (SELECT license, template, term, count(*) AS tf FROM (SELECT license, template, unnest({_TERMS.format("words")}) AS term FROM templates) GROUP BY ALL),
+owned AS (SELECT DISTINCT doc_id, unnest({_TERMS.format("text")}) AS term FROM documents),
+had AS (SELECT term, count(*) AS n FROM owned GROUP BY term),
+idf AS (SELECT term, any_value(ln(1 + {len(_LISTED)}::DOUBLE / m) * (1 - coalesce(n, 0)::DOUBLE / ((SELECT count(text) FROM documents) + 1))) AS idf
+        FROM (SELECT term, count(*) AS m FROM tc GROUP BY term) LEFT JOIN had USING (term) GROUP BY term),
+tw AS (SELECT license, template, term, tf * idf AS w, sum(pow(tf * idf, 2)) OVER (PARTITION BY template) AS square FROM tc JOIN idf USING (term)),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+lc AS (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest({_TERMS.format("line")}) AS term FROM (SELECT DISTINCT line FROM lines)) GROUP BY ALL),
 lw AS (SELECT line, term, tf * coalesce(idf, ln(1 + {len(_LISTED)}::DOUBLE)) AS w FROM lc LEFT JOIN idf USING (term)),
 ln AS (SELECT line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY line),
-scored AS (SELECT line, license, template, round(sum(lw.w * tw.w) / (any_value(tw.norm) * any_value(ln.norm)), 6) AS score
-           FROM lw JOIN tw USING (term) JOIN ln USING (line) GROUP BY ALL),
-best AS (SELECT line, license, score FROM scored WHERE score >= {COSINE}
-         QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1),
-own AS (SELECT doc_id, words, line, license, score FROM spoken JOIN best USING (line)
-        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, line) = 1),
-files AS (SELECT doc_id, source || '/' || lang AS folder, license AS own_license, score,
-                 license IS NOT NULL AND coalesce(len({_TERMS.format("line")}) >= {SHARE} * words, false) AS is_license_file
-          FROM documents LEFT JOIN own USING (doc_id)),
-speaks AS (SELECT folder, own_license AS said FROM files WHERE is_license_file
+scored AS (SELECT line, license, round(sum(lw.w * tw.w) / (sqrt(any_value(square)) * any_value(ln.norm)), 6) AS score,
+                  round(sum(tw.w * tw.w) / any_value(square), 6) AS covered
+           FROM lw JOIN tw USING (term) JOIN ln USING (line) GROUP BY line, license, template),
+said AS (SELECT doc_id, license, score FROM lines JOIN scored USING (line) WHERE score >= {COSINE} AND covered >= {COVER} {_BEST}),
+known(license, term, weight) AS (VALUES {", ".join(f"({_quoted(a)}, {_quoted(t)}, {w!r}::DOUBLE)" for a, own in _WHOLE.items() for t, w in own.items())}),
+kn AS (SELECT license, sqrt(sum(weight * weight)) AS norm FROM known GROUP BY license),
+ki AS (SELECT term, ln(1 + {len(_WHOLE)}::DOUBLE / count(*)) AS idf FROM known GROUP BY term),
+dc AS (SELECT doc_id, term, (1 + ln(count(*))) * coalesce(any_value(idf), ln(1 + {len(_WHOLE)}::DOUBLE)) AS w
+       FROM (SELECT doc_id, unnest({_TERMS.format("text")}) AS term FROM documents) LEFT JOIN ki USING (term) GROUP BY doc_id, term),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dc GROUP BY doc_id),
+dots AS (SELECT doc_id, license, sum(w * weight) AS dot FROM dc JOIN known USING (term) GROUP BY doc_id, license),
+texts AS (SELECT doc_id, license, round(dot / (kn.norm * dn.norm), 6) AS score FROM dots JOIN kn USING (license) JOIN dn USING (doc_id)
+          WHERE round(dot / (kn.norm * dn.norm), 6) >= {WHOLE} {_BEST}),
+files AS (SELECT doc_id, source || '/' || lang AS folder, coalesce(t.license, s.license) AS own_license, coalesce(t.score, s.score) AS score,
+                 t.license IS NOT NULL AS is_license_file
+          FROM documents LEFT JOIN said s USING (doc_id) LEFT JOIN texts t USING (doc_id)),
+speaks AS (SELECT folder, own_license AS given FROM files WHERE is_license_file
            QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, own_license) = 1)
-SELECT doc_id, folder || '/' || doc_id || '.txt' AS path, own_license, score, coalesce(own_license, said) AS license,
-       CASE WHEN own_license IS NOT NULL THEN folder || '/' || doc_id || '.txt' WHEN said IS NOT NULL THEN folder END AS licensed_by,
+SELECT doc_id, folder || '/' || doc_id || '.txt' AS path, own_license, score, coalesce(own_license, given) AS license,
+       CASE WHEN own_license IS NOT NULL THEN folder || '/' || doc_id || '.txt' WHEN given IS NOT NULL THEN folder END AS licensed_by,
        is_license_file
 FROM files LEFT JOIN speaks USING (folder)"""
 
-
 _BYTES = "list_transform(range(len(h) // 2), lambda i: 16 * (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1)"
 ORACLES["op11_importance_resampling"] = rf"""
 WITH RECURSIVE steps AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
