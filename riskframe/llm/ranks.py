@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.llm.common import fresh
+
 #: At most so many buckets besides one per key, and at least so many rows in a bucket.
 BUCKETS, LEAST_ROWS = 65_536, 256
 
 
-def ranked(df: DataFrame, key: str, priority: str, counts: dict[int, int]) -> DataFrame:
-    """``df`` with ``rank``: 0, 1, ... inside each ``key`` in the order of ``priority``.
+def ranked(df: DataFrame, key: str, priority: str, counts: dict[int, int]) -> tuple[DataFrame, str]:
+    """``df`` with a column of ranks 0, 1, ... inside each ``key`` in the order of ``priority``, and that column's name.
 
     ``counts`` has the rows of each key; keys come from a small fixed domain.
     ``priority`` is a well-mixed long, taken as unsigned, so equal ranges of it hold about equal
     rows. Each key is cut into ranges, a range is ordered on its own, and the
     rows of the ranges before it are added. The result does not depend on how
     many ranges there are. Rows that share a priority are ordered arbitrarily.
+    Columns of any name may be there: those that are added get other names.
     """
-    spark = df.sparkSession
+    rank, part, parts, before, inside, n = fresh(df, "rank", "part", "parts", "before", "inside", "n")
     total = sum(counts.values())
     size = max(LEAST_ROWS, -(-total // BUCKETS))
-    parts = spark.createDataFrame([(int(k), int(-(-n // size))) for k, n in counts.items()], f"{key} long, parts long")
-    share = (F.shiftrightunsigned(F.col(priority), 12).cast("double")) / F.lit(float(1 << 52))
-    df = df.join(F.broadcast(parts), key).withColumn("part", F.floor(share * F.col("parts")).cast("long")).drop("parts")
-    before = F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (
-        df.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n")).select(key, "part", F.coalesce(before, F.lit(0)).alias("before"))
-    )
-    inside = F.row_number().over(Window.partitionBy(key, "part").orderBy(F.col(priority) < 0, priority))
-    return (
-        df.withColumn("inside", inside)
-        .join(offsets, [key, "part"])
-        .withColumn("rank", F.col("before") + F.col("inside") - 1)
-        .drop("part", "inside", "before")
-    )
+    cut = df.sparkSession.createDataFrame([(int(k), int(-(-m // size))) for k, m in counts.items()], f"`{key}` long, `{parts}` long")
+    share = (F.shiftrightunsigned(F.col(f"`{priority}`"), 12).cast("double")) / F.lit(float(1 << 52))
+    dealt = df.join(F.broadcast(cut), key).withColumn(part, F.floor(share * F.col(parts)).cast("long")).drop(parts)
+    sums = F.sum(n).over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = dealt.groupBy(key, part).agg(F.count(F.lit(1)).alias(n)).select(key, part, F.coalesce(sums, F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(key, part).orderBy(F.col(f"`{priority}`") < 0, F.col(f"`{priority}`")))
+    done = dealt.withColumn(inside, place).join(offsets, [key, part]).withColumn(rank, F.col(before) + F.col(inside) - 1)
+    return done.drop(part, inside, before), rank

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import fresh
-from riskframe.llm.ranks import ranked
+from riskframe.llm.ranks import LEAST_ROWS, ranked
 from riskframe.session import materialise
 
 POINTS = 128
 #: Positions on the ring; a key is placed by the upper bits of its hash.
 BITS = 32
+#: A key with more than this part of all rows is a group of its own; so there are at most as many such keys.
+HEAVY = 4096
 
 
 def ring(shards: int, points: int = POINTS) -> list[tuple[int, int]]:
@@ -47,27 +49,32 @@ def bounds(total: int, shards: int, slack: float = 0.0) -> list[int]:
     return [total // shards + (s < total % shards) for s in range(shards)]
 
 
-def flow(counts: dict[int, int], nodes: list[tuple[int, int]], room: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(arc, first rank, end rank, shard, first slot): where each arc's rows go.
+def flow(
+    counts: dict[int, int], nodes: list[tuple[int, int]], room: list[int], arcs: dict[int, int] | None = None
+) -> list[tuple[int, int, int, int, int]]:
+    """(group, first rank, end rank, shard, first slot): where the rows of each group go.
 
-    Rows come to shards in waves: first all arcs' own rows, then what found no
-    room, one point further, and so on. Within a wave arcs are served in ring
-    order. The rows of an arc with the lowest ranks find room first.
+    A group lies on the arc of its own number, or on that named in ``arcs``.
+    Rows come to shards in waves: first all groups' own rows, then what found
+    no room, one point further, and so on. Within a wave groups are served in
+    ring order. The rows of a group with the lowest ranks find room first.
     """
     room, filled = list(room), [0] * len(room)
-    waiting = {a: (0, n) for a, n in counts.items() if n}
+    arc = lambda g: (arcs or {}).get(g, g)
+    order = sorted(counts, key=lambda g: (arc(g), g))
+    waiting = {g: (0, counts[g]) for g in order if counts[g]}
     out = []
     for step in range(len(nodes)):
-        for a in sorted(waiting):
-            start, n = waiting.pop(a)
-            s = nodes[(a + step) % len(nodes)][1]
+        for g in [g for g in order if g in waiting]:
+            start, n = waiting.pop(g)
+            s = nodes[(arc(g) + step) % len(nodes)][1]
             take = min(n, room[s])
             if take:
-                out.append((a, start, start + take, s, filled[s]))
+                out.append((g, start, start + take, s, filled[s]))
                 room[s] -= take
                 filled[s] += take
             if n > take:
-                waiting[a] = (start + take, n - take)
+                waiting[g] = (start + take, n - take)
         if not waiting:
             break
     return out
@@ -78,30 +85,40 @@ def shard_rows(
 ) -> DataFrame:
     """``docs`` with ``shard``, ``slot`` (0, 1, ... inside the shard) and ``arc``.
 
-    Rows are placed by the hash of ``key`` (null: by its own), so equal keys
-    stay together as long as their shard has room; a key that holds more rows
-    than a shard may take is cut where the shard is full. With ``slack`` 0 row
+    Rows are placed by the hash of ``key`` (null: by its own) and ordered by it
+    within an arc, so equal keys stay together but where a shard is full: such
+    a cut parts the rows of one key at most. A key of more than one row in
+    ``HEAVY`` is a group of its own, ordered by id. With ``slack`` 0 row
     counts differ by at most one; with more, less moves when shards are added.
     An empty table gives an empty result; repeated rows are rows like others;
     clashing names get new columns with ``_`` appended.
     """
     nodes = ring(shards, points)
-    shard_c, slot_c, arc_c, pri = fresh(docs, "shard", "slot", "arc", "priority_")
-    at = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\x00"))), 64 - BITS)
-    placed = docs.withColumn(arc_c, _arcs(nodes)(at))
-    placed = materialise(placed.withColumn(pri, F.xxhash64(F.col(id_col).cast("string"), F.lit("ring"))))
-    counts = {r[0]: r[1] for r in placed.groupBy(arc_c).count().collect()}
-    plan = flow(counts, nodes, bounds(sum(counts.values()), shards, slack))
-    rows = ranked(placed, arc_c, pri, counts)
-    spark = docs.sparkSession
-    way = spark.createDataFrame(plan, f"{arc_c} long, first_ long, end_ long, {shard_c} int, base_ long")
-    hit = (F.col("rank") >= F.col("first_")) & (F.col("rank") < F.col("end_"))
-    joined = rows.alias("r").join(F.broadcast(way).alias("w"), (F.col(f"r.{arc_c}") == F.col(f"w.{arc_c}")) & hit)
+    shard_c, slot_c, arc_c, hash_c, pri, group_c, first_c, end_c, base_c = fresh(
+        docs, "shard", "slot", "arc", "hash", "priority", "group", "first", "end", "base"
+    )
+    text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\x00"))
+    placed = docs.withColumn(hash_c, F.xxhash64(text))
+    placed = materialise(placed.withColumn(arc_c, _arcs(nodes)(F.shiftrightunsigned(hash_c, 64 - BITS))))
+    total = placed.count()
+    heavy = placed.groupBy(arc_c, hash_c).count().where(F.col("count") > max(LEAST_ROWS, total // HEAVY)).collect()
+    arcs = {len(nodes) + i: r[0] for i, r in enumerate(sorted(heavy, key=lambda r: r[1]))}
+    own = docs.sparkSession.createDataFrame(
+        [(r[1], len(nodes) + i) for i, r in enumerate(sorted(heavy, key=lambda r: r[1]))], f"`{hash_c}` long, `{group_c}` long"
+    )
+    by_id = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit("ring"))
+    by_key = F.xxhash64(hash_c, F.lit("order")).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.shiftrightunsigned(by_id, 32))
+    rows = placed.join(F.broadcast(own), hash_c, "left")
+    rows = rows.withColumn(pri, F.when(F.col(group_c).isNotNull(), by_id).otherwise(by_key)).withColumn(group_c, F.coalesce(group_c, arc_c))
+    rows = materialise(rows) if heavy else rows
+    counts = {r[0]: r[1] for r in rows.groupBy(group_c).count().collect()}
+    plan = flow(counts, nodes, bounds(total, shards, slack), arcs)
+    rows, rank = ranked(rows, group_c, pri, counts)
+    way = docs.sparkSession.createDataFrame(plan, f"`{group_c}` long, `{first_c}` long, `{end_c}` long, `{shard_c}` int, `{base_c}` long")
+    hit = (F.col(rank) >= F.col(first_c)) & (F.col(rank) < F.col(end_c))
+    joined = rows.alias("r").join(F.broadcast(way).alias("w"), (F.col(f"r.{group_c}") == F.col(f"w.{group_c}")) & hit)
     return joined.select(
-        *[F.col(f"r.`{c}`") for c in docs.columns],
-        F.col(f"w.{shard_c}"),
-        (F.col("base_") + F.col("rank") - F.col("first_")).alias(slot_c),
-        F.col(f"r.{arc_c}"),
+        *[F.col(f"r.`{c}`") for c in docs.columns], F.col(shard_c), (F.col(base_c) + F.col(rank) - F.col(first_c)).alias(slot_c), F.col(arc_c)
     )
 
 
