@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -87,24 +88,24 @@ class Remembered(dict):
     It lives as long as a task.
     """
 
-    def __init__(self, make: Callable[[list[bytes]], list[bytes]], limit: int = 60_000, step: int = 5_000):
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], limit: int = 100_000, step: int = 5_000):
         super().__init__()
         self.make, self.limit, self.step = make, limit, step
 
     def of(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of distinct words."""
-        new = [w for w in words if w not in self]
-        if not new:
-            return [self[w] for w in words]
-        held = {w: self[w] for w in words if w in self}
+        held = list(map(self.get, words))
+        new = [i for i, ids in enumerate(held) if ids is None]
         if len(self) + len(new) > self.limit:
             self.clear()
+            self.update(islice(((w, ids) for w, ids in zip(words, held) if ids is not None), self.limit))
         for at in range(0, len(new), self.step):
-            some = new[at : at + self.step]
-            held.update(zip(some, self.make(some)))
-        room = self.limit - len(self)
-        self.update(held if len(held) <= room else dict(list(held.items())[:room]))
-        return [held[w] for w in words]
+            some = [words[i] for i in new[at : at + self.step]]
+            made = self.make(some)
+            for i, ids in zip(new[at : at + self.step], made):
+                held[i] = ids
+            self.update(islice(zip(some, made), max(0, self.limit - len(self))))
+        return held
 
     def tokens(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in order (unsigned 32 bit), and how many ids each word has."""

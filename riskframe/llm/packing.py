@@ -11,7 +11,7 @@ places by their rank among the pieces of their length.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -19,101 +19,121 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskframe.llm.common import LOWER, parts, utf8
+from riskframe.llm import flat
+from riskframe.llm.common import LOWER, fresh
 from riskframe.llm.ranks import ranked
 from riskframe.session import materialise
 
 LENGTH = 2048
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a Python worker in each of two generations, and new words encoded in one go.
-WORDS, NEW = 300_000, 5_000
+#: Words remembered by a task.
+WORDS = 150_000
 #: ASCII punctuation that may follow a word of letters; the tokenizer parts the two.
 _TAIL = b".,!?;:|#$%&*()-+=/"
-_WORKERS: dict[str, WordIds] = {}
-#: A full stop or comma between a letter and a blank: a token run of its own, so a blank may be put before it.
-_STOP = re.compile(rb"(?<=[a-z])[.,](?=[ \n])")
+_LOWER = np.frombuffer(LOWER, np.uint8)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class WordIds(dict):
-    """Words as packed token ids (little-endian unsigned 32 bit).
+class LetterWords:
+    """A tokenizer with word ends as merges of bytes: a word's end is a line feed after it, joined to its last byte first.
+
+    For lower-case words of letters below U+0180, which the tokenizer leaves as they are.
+    """
+
+    def __init__(self, spec: dict):
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(plain)]
+        letter = {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+        byte, vocabulary = {c: b for b, c in letter.items()}, spec["model"]["vocab"]
+        raw = lambda token: bytes(byte[c] for c in token.removesuffix("</w>")) + b"\n" * token.endswith("</w>")
+        merged = (a + b for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]))
+        tokens = [*(letter[b] for b in range(256)), *(f"{c}</w>" for b, c in letter.items() if b != 10), *merged]
+        ranks = {bytes([b]): b for b in range(256)}
+        for token in tokens[256:]:
+            ranks[raw(token)] = len(ranks)
+        if len(ranks) != len(tokens):
+            raise ValueError("two tokens of the same bytes")
+        self.ids = np.array([vocabulary[t] for t in tokens], "<u4")
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def known(spec: dict) -> bool:
+        """Whether a tokenizer is of the kind that is read here."""
+        model, parts = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        return model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and bool(parts) and parts[-1]["type"] == "ByteLevel"
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The ids of all words one after another."""
+        return self.ids[self.merger.encode_to_numpy("\n".join(words) + "\n", disallowed_special=())]
+
+
+class WordIds:
+    """Token ids of texts, each distinct word of a slice of texts looked up once.
 
     White space is dropped by the tokenizer and no token spans it, so the ids
     of a text are those of its words one after the other; likewise those of a
-    word of letters and the punctuation after it. When a generation of words
-    is full it becomes the older one, from which what is used again returns.
+    word of letters and the punctuation after it. Words are remembered as
+    packed ids (little-endian unsigned 32 bit) as long as a task lasts.
     """
 
     def __init__(self, tokenizer: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
-        self.older: dict[bytes, bytes] = {}
         self.encoder = Tokenizer.from_file(tokenizer)
         vocabulary = self.encoder.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = flat.Remembered(self._made, WORDS)
+        with open(tokenizer, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.words = LetterWords(spec) if LetterWords.known(spec) else None
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _letters(self, words: list[bytes]) -> None:
-        """Encode words of letters only: each is one run of tokens, the last of which ends a word."""
-        for start in range(0, len(words), NEW):
-            some = words[start : start + NEW]
-            ids = self._ids(" ".join(w.decode() for w in some))
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) == len(some):
-                for w, a, b in zip(some, [0, *ends], ends):
-                    self[w] = ids[a:b].tobytes()
-            else:  # a letter whose lower case is more than letters
-                for w in some:
-                    self[w] = self._ids(w.decode()).tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure that all of ``words`` are known."""
-        if len(self) > WORDS:
-            self.older = dict(self)
-            self.clear()
-        split, letters = [], set()
-        for w in words.difference(self):
-            if w in self.older:
-                self[w] = self.older[w]
-                continue
-            if _of_letters(w.decode()):
-                letters.add(w)
-                continue
-            stem = w.rstrip(_TAIL)
-            if stem and _of_letters(stem.decode()):
-                split.append((w, stem, w[len(stem) :]))
-                if stem not in self:
-                    letters.add(stem)
-            else:
-                self[w] = self._ids(w.decode()).tobytes()
-        self._letters([w for w in letters if not self._again(w)])
-        for w, stem, tail in split:
-            if tail and tail not in self:
-                self[tail] = self._ids(tail.decode()).tobytes()
-            self[w] = self[stem] + self[tail] if tail else self[stem]
-
-    def _again(self, word: bytes) -> bool:
-        if word in self.older:
-            self[word] = self.older[word]
-        return word in self
-
-    def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The packed ids of each text."""
-        words = [_words(t or b"") for t in texts]
-        self.learn(set().union(*words))
-        for own in words:
-            yield b"".join(map(self.__getitem__, own))
-
-
-def _words(text: bytes) -> list[bytes]:
-    """What is encoded apart; lower case and blanks before stops leave the ids as they are but for special tokens."""
-    if b"<|" in text:
-        return text.split()
-    return _STOP.sub(rb" \g<0>", text.translate(LOWER)).split()
+    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of letters only: each is one run of tokens, the last of which ends a word."""
+        texts = [w.decode() for w in words]
+        if self.words is None:
+            return self._split(words, self._ids(" ".join(texts)))
+        plain = [k for k, t in enumerate(texts) if max(t) < "\u0180"]
+        done = self._split([words[k] for k in plain], self.words.of([texts[k].lower() for k in plain])) if plain else {}
+        rest = [w for w in words if w not in done]
+        return done | self._split(rest, self._ids(" ".join(w.decode() for w in rest))) if rest else done
+
+    def _split(self, words: list[bytes], ids: np.ndarray) -> dict[bytes, bytes]:
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):  # a letter whose lower case is more than letters
+            return {w: self._ids(w.decode()).tobytes() for w in words}
+        raw, ends = ids.tobytes(), (4 * ends).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+
+    def _made(self, words: list[bytes]) -> list[bytes]:
+        stems = [w.rstrip(_TAIL) for w in words]
+        own = [bool(s) and _of_letters(s.decode()) for s in stems]
+        letters = self._letters(list(dict.fromkeys(s for s, whole in zip(stems, own) if whole)))
+        rest = {w[len(s) :] if whole else w for w, s, whole in zip(words, stems, own)}
+        others = {w: self._ids(w.decode()).tobytes() if w else b"" for w in rest}
+        return [letters[s] + others[w[len(s) :]] if whole else others[w] for w, s, whole in zip(words, stems, own)]
+
+    def of(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts between ``edges``, and the edges of the texts among them."""
+        data, plain = _LOWER[data], data
+        marks = np.flatnonzero((plain[:-1] == 60) & (plain[1:] == 124))
+        for k in np.unique(np.searchsorted(edges, marks, side="right") - 1).tolist():  # "<|" may begin a special token
+            data[edges[k] : edges[k + 1]] = plain[edges[k] : edges[k + 1]]
+        blank = _BLANK[data]
+        stop = np.zeros(0, np.int64)
+        if len(data) > 2:  # a full stop or comma between a letter and a blank is a token of its own
+            letter = (data[:-2] >= 97) & (data[:-2] <= 122)
+            stop = np.flatnonzero(letter & ((data[1:-1] == 46) | (data[1:-1] == 44)) & blank[2:]) + 1
+        starts, ends = flat.runs(~blank, np.concatenate([edges, stop]))
+        ids, counts = self.known.tokens(data, starts, ends)
+        return ids, np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, edges)]
 
 
 def _of_letters(word: str) -> bool:
@@ -121,13 +141,6 @@ def _of_letters(word: str) -> bool:
     return word.isalpha() and word.lower().isalpha()
 
 
-def word_ids(tokenizer: str) -> WordIds:
-    """The words known to this Python worker, whatever task it runs."""
-    if tokenizer not in _WORKERS:
-        _WORKERS[tokenizer] = WordIds(tokenizer)
-    return _WORKERS[tokenizer]
-
-
 def tokenizer_path(path: str | None) -> str:
     if path:
         return path
@@ -143,13 +156,21 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None)
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_path(tokenizer))
-        for batch in parts(batches):
+        words = WordIds(tokenizer_path(tokenizer))
+        for batch in flat.slices(batches, 1):
+            data, edges = flat.flat(batch.column(1))
+            if batch.num_rows == 1 and len(data) > flat.STRETCH:
+                parts = (np.frombuffer(part, np.uint8) for part in flat.chunks(data.tobytes()))
+                ids = np.concatenate([words.of(part, np.array([0, len(part)]))[0] for part in parts])
+                edges = np.array([0, len(ids)])
+            else:
+                ids, edges = words.of(data, edges)
+            raw, ends = ids.astype("<u4").tobytes(), (4 * edges).tolist()
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, ids in enumerate(words.of(utf8(batch.column(1)))):
-                ids += b"\0\0\0\0"
-                for piece, start in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[start : start + 4 * length]
+            for i, (begin, end) in enumerate(zip(ends, ends[1:])):
+                own = raw[begin:end] + b"\0\0\0\0"
+                for piece, start in enumerate(range(0, len(own), 4 * length)):
+                    part = own[start : start + 4 * length]
                     for column, value in zip(out, (i, piece, start // 4, len(part) // 4, zlib.crc32(part))):
                         column.append(value)
             rows = batch.column(0).take(pa.array(out[0], pa.int64()))
@@ -239,30 +260,30 @@ def pack(cut: DataFrame, length: int = LENGTH, id_cols: tuple[str, ...] = ("doc_
     """``cut`` (any rows with a ``length`` of 1 to ``length``) with ``sequence_id`` and ``offset``.
 
     An empty table gives an empty result; pieces of one length are dealt in an
-    order fixed by their ids, and those of equal ids as they come.
+    order fixed by their ids, and those of equal ids as they come. Clashing
+    names get new columns with ``_`` appended.
     """
+    (pri,) = fresh(cut, "priority")
+    sequence_c, offset_c = fresh(cut, "sequence_id", "offset")
     priority = F.xxhash64(*[F.col(c).cast("string") for c in id_cols], F.lit("pack"))
-    kept = materialise(cut.withColumn("priority_", priority))
+    kept = materialise(cut.withColumn(pri, priority))
     counts = {r[0]: r[1] for r in kept.groupBy("length").count().collect()}
     runs = places(plan(counts, length), length)
     columns = cut.columns
+    rows, rank = ranked(kept, "length", pri, counts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            sequence, offset = np.zeros_like(rank), np.zeros_like(rank)
+            size, at = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", rank))
+            sequence, offset = np.zeros_like(at), np.zeros_like(at)
             for x in np.unique(size):
-                rows = np.flatnonzero(size == x)
+                own = np.flatnonzero(size == x)
                 first, seq, off = runs[int(x)]
-                run = np.searchsorted(first, rank[rows], side="right") - 1
-                sequence[rows] = seq[run] + rank[rows] - first[run]
-                offset[rows] = off[run]
+                run = np.searchsorted(first, at[own], side="right") - 1
+                sequence[own] = seq[run] + at[own] - first[run]
+                offset[own] = off[run]
             keep = [b.column(b.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"]
-            )
-
-    schema = cut.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    for f in schema.fields[-2:]:
-        f.nullable = True
-    return ranked(kept, "length", "priority_", counts).mapInArrow(place, schema)
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], names=[*columns, sequence_c, offset_c])
+
+    schema = T.StructType([*cut.schema.fields, T.StructField(sequence_c, T.LongType()), T.StructField(offset_c, T.LongType())])
+    return rows.mapInArrow(place, schema)

@@ -1,10 +1,12 @@
 """The ring and the packing: laws, exact round trips, lower bounds."""
 
+import bisect
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import docs_of, no_docs
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -16,9 +18,13 @@ from riskframe.llm.ranks import ranked
 
 def test_ranks_are_gapless_and_follow_the_priority(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("pri"), "id")
-    rows = ranked(df, "k", "pri", {0: 1667, 1: 1667, 2: 1666}).collect()
+    for name in ("rank", "part", "parts", "before", "inside", "n"):
+        df = df.withColumn(name, F.lit("own"))
+    ranks, rank = ranked(df, "k", "pri", {0: 1667, 1: 1667, 2: 1666})
+    rows = ranks.collect()
+    assert rank == "rank_" and ranks.columns[-1] == rank and all(r["rank"] == r.part == r.n == "own" for r in rows)
     for k in range(3):
-        own = sorted(((r.pri % 2**64, r["rank"]) for r in rows if r.k == k))
+        own = sorted(((r.pri % 2**64, r[rank]) for r in rows if r.k == k))
         assert [x for _, x in own] == list(range(len(own)))
 
 
@@ -59,11 +65,61 @@ def test_equal_texts_stay_together_while_there_is_room(spark):
     assert all(len(s) == 1 for s in shards.values())
 
 
+def walked(docs: list[tuple[int, str | None]], shards: int) -> dict[int, int]:
+    """{id: shard} by walking the ring row by row; ids differ."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    hash_of = lambda *raw: xxhash.xxh64_intdigest(raw[-1], seed=hash_of(*raw[:-1]) if raw[:-1] else 42)
+    nodes, room = ring.ring(shards), ring.bounds(len(docs), shards)
+    edges = [at for at, _ in nodes]
+    text = Counter("\0" if t is None else t for _, t in docs)
+    heavy = {t for t, n in text.items() if n > max(256, len(docs) // 4096)}
+    rows = []
+    for i, t in docs:
+        t = "\0" if t is None else t
+        h = hash_of(t.encode())
+        by_id = hash_of(str(i).encode(), b"ring")
+        low = hash_of(signed(h).to_bytes(8, "little", signed=True), b"order") >> 32 << 32 | by_id >> 32
+        arc = bisect.bisect_left(edges, h >> 32) % len(nodes)
+        rows.append((arc, t in heavy, signed(h) if t in heavy else 0, by_id if t in heavy else low, i))
+    rows.sort()
+    place, step = {}, 0
+    while rows:
+        left = []
+        for r in rows:
+            s = nodes[(r[0] + step) % len(nodes)][1]
+            if room[s]:
+                room[s] -= 1
+                place[r[-1]] = s
+            else:
+                left.append(r)
+        rows, step = left, step + 1
+    return place
+
+
+def test_shards_are_those_of_a_plain_walk(spark):
+    rng = np.random.default_rng(4)
+    texts = ["hot"] * 900 + ["warm"] * 300 + [None] * 40 + [""] * 5 + [f"t{i}" for i in rng.integers(0, 900, 1500)]
+    rows = ring.shard_rows(docs_of(spark, texts), 8).collect()
+    assert {r.doc_id: r.shard for r in rows} == walked(list(enumerate(texts)), 8)
+
+
+def test_few_texts_lie_on_two_shards_without_slack(spark):
+    texts = [f"text {i % 1000}" for i in range(4000)]
+    shards = {}
+    for r in ring.shard_rows(docs_of(spark, texts), 8).collect():
+        shards.setdefault(r.text, Counter())[r.shard] += 1
+    assert sum(len(s) > 1 for s in shards.values()) <= 8
+    assert max(sum((shards[t] for t in shards), Counter()).values()) == 500
+
+
 def test_one_text_for_a_third_of_all_rows_nulls_and_clashes(spark):
     texts = ["hot"] * 300 + [None] * 50 + [""] * 5 + [f"t{i}" for i in range(548)]
-    df = docs_of(spark, texts).withColumn("shard", F.lit(7)).withColumn("rank", F.lit(1))
-    df = df.drop("rank")
-    rows = ring.shard_rows(df, 8).collect()
+    df = docs_of(spark, texts)
+    for name in ("shard", "rank", "part", "parts", "inside", "before", "first", "end", "base", "hash", "group", "priority", "n", "first_", "base_"):
+        df = df.withColumn(name, F.lit(-7))
+    placed = ring.shard_rows(df, 8)
+    rows = placed.collect()
+    assert placed.columns == [*df.columns, "shard_", "slot", "arc"] and all(r["rank"] == r.part == r.base == r.shard == -7 for r in rows)
     sizes = Counter(r.shard_ for r in rows)
     assert len(rows) == 903 and max(sizes.values()) - min(sizes.values()) <= 1
     for s in sizes:
@@ -156,3 +212,14 @@ def test_packing_an_empty_table_and_repeated_rows(spark):
     df = docs_of(spark, ["same text"] * 700)
     rows = packing.pack(packing.pieces(df.withColumn("doc_id", F.lit(1).cast("long")).withColumn("piece", F.lit("x")))).collect()
     assert len(rows) == 700 and len({(r.sequence_id, r.offset) for r in rows}) == 700
+
+
+def test_packing_beside_clashing_names_and_a_very_long_text(spark):
+    texts = ["one two three. four, " * 150_000, "short", None]
+    cut = packing.pieces(docs_of(spark, texts))
+    for name in ("rank", "priority", "priority_", "sequence_id", "offset", "part", "n"):
+        cut = cut.withColumn(name, F.lit("x"))
+    done = packing.pack(cut)
+    rows = done.withColumnsRenamed({"sequence_id": "a", "offset": "b", "sequence_id_": "sequence_id", "offset_": "offset"}).collect()
+    assert done.columns == [*cut.columns, "sequence_id_", "offset_"] and {r["rank"] + r.part + r.priority for r in rows} == {"xxx"}
+    check_packing(dict(enumerate(texts)), rows)
