@@ -839,3 +839,4 @@ UNION ALL SELECT lacking, 'fraud', CASE WHEN lacking IN ('none', 'late_delivery_
 ORACLES["metric_thresholds"] = f"""
 WITH {SCORES}
 SELECT tool, metric, threshold, low AS lower_is_better, count_if(passed)::BIGINT AS met, count(*) AS scored FROM passes GROUP BY ALL"""
+ORACLES["store_hybrid_search"] = ORACLES["hybrid_search"]

@@ -15,7 +15,7 @@ from riskframe.operators.incidents import ORDER_SOURCE
 from riskframe.plans import fixtures as fx
 from riskframe.plans import ingest, store
 from riskframe.plans.hybrid import embed
-from riskframe.plans.queries import DETECTOR_COLUMNS, LOW, query, rounded, shown_anomalies
+from riskframe.plans.queries import DETECTOR_COLUMNS, LOW, RETRY_BELOW, query, rounded, shown_anomalies
 from riskframe.session import checkpoint_dir, materialise
 from riskframe.sources import inventory, readers
 from riskframe.sources.tables import last_write_wins
@@ -202,6 +202,16 @@ def store_cleared(spark, sf):
     return store.read_corpus(spark, root).select(F.col("id").cast("long").alias("doc_id"), "text")
 
 
+@query
+def store_hybrid_search(spark, sf):
+    root, docs = _folder(spark, "store"), _as_documents(fx.corpus(spark, sf))
+    padded = docs.withColumn("id", F.lpad("id", 12, "0"))  # texts of one length are in the order of the numbers
+    store.apply(spark, root, padded, "all")
+    hits = store.search(spark, root, fx.search_queries(spark, sf), fx.rewritten_queries(spark, sf), threshold=RETRY_BELOW)
+    shown = hits.select("query_id", F.col("doc_id").cast("long").alias("doc_id"), "rank", "rerank_score", "max_score", "reformulated_from")
+    return rounded(shown, "rerank_score", "max_score")
+
+
 @query
 def bm25_segments_topk(spark, sf):
     root, docs = _folder(spark, "index"), fx.corpus(spark, sf).select("doc_id", "text")
