@@ -3,10 +3,16 @@
 An entity's canonical form (the digits of a number, an address in lower case,
 a name part) is replaced by a keyed digest of it, so the same entity has the
 same surrogate in every document, and each occurrence is written in the form
-it was found in. Surrogates of all entities of the corpus are checked against
-one another and against all originals; where two meet or a surrogate is itself
-an original, one draws again, until none do. What drew more than once is told
-to the documents as a table of (kind, entity, number of the draw).
+it was found in. A given name that is announced now as a man's, now as a
+woman's has one gender in the whole corpus, that of most occurrences.
+Surrogates of all entities of the corpus are checked against one another and
+against all originals, names of every kind together; where two meet or a
+surrogate is itself an original, one draws again, until none do. What drew
+more than once or has another gender is told to the documents as a table of
+(kind, entity, kind it counts as, number of the draw).
+
+Names keep their script if it is listed in ``_SCRIPTS``; names of other
+scripts are written in Latin letters.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,8 +55,17 @@ _TITLES = {
     "n": "Dr Prof",
 }
 _GENDER = {t: g for g, ts in _TITLES.items() for t in ts.split()}
-_UPPER_WORD = r"[^\W\d_a-zà-öø-ÿа-яё][\w'’-]*"
-_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, _GENDER), key=len, reverse=True))})\.?[  ]({_UPPER_WORD}(?: {_UPPER_WORD}){{0,2}})")
+_UPPER_WORD = r"[^\W\d_a-zà-öø-ÿа-яёα-ωά-ώ][\w'’-]*"
+#: Titles that are words of other meaning unless a full stop follows, and what follows a title that announces no person.
+_SHORT = ("M", "κ")
+_ROLES = frozenset(
+    "Developer Engineer Manager Director Analyst Architect Designer Scientist Consultant Associate Editor Officer Advisor Administrator "
+    "Street Avenue Road Lane".split()
+)
+_NAME = re.compile(
+    rf"(?<!\w)((?:{'|'.join(sorted((re.escape(t) for t in _GENDER if t not in _SHORT), key=len, reverse=True))})\.?|(?:{'|'.join(_SHORT)})\.)"
+    rf"[  ]({_UPPER_WORD}(?: {_UPPER_WORD}){{0,2}})"
+)
 _HINT = re.compile("|".join(rf"\b{re.escape(t)}\b" for t in sorted(_GENDER, key=len, reverse=True)))
 
 
@@ -64,8 +80,8 @@ def digits_of(text: str) -> str:
 
 def script(word: str) -> str:
     first = next((c for c in word if c.isalpha()), "a")
-    name = unicodedata.name(first, "LATIN").split(" ")[0]
-    return name.lower() if name in ("LATIN", "CYRILLIC", "GREEK") else "latin"
+    name = unicodedata.name(first, "LATIN").split(" ")[0].lower()
+    return name if name in _CONSONANTS or name in _SCRIPTS else "latin"
 
 
 def _numbers(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -83,8 +99,10 @@ def _names(text: str) -> Iterator[tuple[int, int, str, str]]:
     """Name parts after a title, and the same parts where they stand alone in the text."""
     known: dict[str, str] = {}
     for m in _NAME.finditer(text):
-        gender, at = _GENDER[m.group(1)], m.start(2)
+        gender, at = _GENDER[m.group(1).removesuffix(".")], m.start(2)
         parts = m.group(2).split(" ")
+        stop = next((i for i, part in enumerate(parts) if part[0].islower() or part in _ROLES), len(parts))
+        parts = parts[:stop]
         for i, part in enumerate(parts):
             if i + 1 == len(parts):
                 kind = f"surname:{script(part)}"
@@ -141,6 +159,13 @@ _ENDINGS = {
 }
 
 
+#: Scripts without case whose names are written in letters of a range: first and last letter, letters of a name part.
+_SCRIPTS = {
+    "arabic": ("ب", "غ", 5), "hebrew": ("א", "ת", 5), "cjk": ("一", "龥", 2), "hangul": ("가", "힣", 2), "hiragana": ("か", "と", 4),
+    "katakana": ("カ", "ト", 4), "devanagari": ("क", "ह", 4), "thai": ("ก", "ฮ", 5),
+}
+
+
 class Stream:
     """Numbers drawn from the keyed digest of (kind, entity, draw)."""
 
@@ -162,6 +187,8 @@ class Stream:
 _HEX = set("0123456789abcdef")
 #: After so many draws a surrogate may differ in form (longer, another private range), so that no set of entities uses up its values.
 WIDER = 8
+#: After so many draws originals are no longer avoided.
+LAST = 40
 
 
 def _swap(s: Stream, text: str, hexes: bool = False) -> str:
@@ -205,6 +232,8 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
     if kind == "phone":
         keep = 1 if len(entity) == 11 and entity[0] == "1" else 2 if len(entity) > 11 else 0
         return entity[:keep] + "".join(str(s.below(10)) for _ in entity[keep:])
+    if kind == "ssn" and wider:  # beyond the areas that are never given out
+        return f"{s.below(1000):03d}{s.below(100):02d}{s.below(10_000):04d}"
     if kind == "ssn":
         return f"{900 + s.below(100):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
     if kind == "iban":
@@ -215,6 +244,9 @@ def surrogate(key: bytes, kind: str, entity: str, draw: int = 0) -> str:
         hexes = set(entity.lower()) <= _HEX
         return _swap(s, entity, hexes) + _swap(s, ("a" if hexes else "x") * wider, hexes)
     role, _, alphabet = kind.partition(":")
+    if alphabet in _SCRIPTS:
+        low, high, size = _SCRIPTS[alphabet]
+        return "".join(chr(ord(low) + s.below(ord(high) - ord(low) + 1)) for _ in range(size + wider))
     word = "".join(s.pick(_CONSONANTS[alphabet]) + s.pick(_VOWELS[alphabet]) for _ in range(2 + s.below(2) + wider))
     sex = role.rpartition("-")[2]
     if sex == "m":
@@ -237,11 +269,12 @@ def written(new: str, kind: str, found: str) -> str:
     return new
 
 
-def replace(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple[str, list[str]]:
-    """The text with surrogates, and the kinds replaced."""
+def replace(text: str, key: bytes, draws: dict[tuple[str, str], tuple[str, int]]) -> tuple[str, list[str]]:
+    """The text with surrogates, and the kinds replaced. ``draws``: the kind that an entity counts as, and its draw."""
     out, at, kinds = [], 0, []
     for start, end, kind, entity in detect(text):
-        new = surrogate(key, kind, entity, draws.get((kind, entity), 0))
+        as_kind, draw = draws.get((kind, entity), (kind, 0))
+        new = surrogate(key, as_kind, entity, draw)
         out += [text[at:start], written(new, kind, text[start:end])]
         at = end
         kinds.append(kind.partition(":")[0])
@@ -250,22 +283,36 @@ def replace(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple[s
 
 # ---------------------------------------------------------------- over the corpus
 def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, entity): the distinct entities of all texts."""
+    """(kind, entity, n): the distinct entities of all texts and in how many they stand, added up in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            seen = {(k, e) for raw in utf8(b.column(0)) if raw for _, _, k, e in detect(raw.decode())}
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in seen], pa.string()), "entity": pa.array([e for _, e in seen], pa.string())})
+            seen = Counter(e for raw in utf8(b.column(0)) if raw for e in {f[2:] for f in detect(raw.decode())})
+            columns = [pa.array([k for k, _ in seen], pa.string()), pa.array([e for _, e in seen], pa.string()), pa.array(list(seen.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "entity", "n"])
+
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "kind string, entity string, n long")
+    return found.groupBy("kind", "entity").agg(F.sum("n").alias("n"))
+
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "kind string, entity string").distinct()
+def counted_as(found: DataFrame) -> DataFrame:
+    """``found`` (kind, entity, n) with ``as_kind``: given names have the gender that most of their texts give them, a woman's among equals."""
+    given = F.col("kind").startswith("given-")
+    same = F.when(given, F.concat(F.lit("given:"), F.substring_index("kind", ":", -1))).otherwise(F.col("kind"))
+    named = found.withColumn("same", same)
+    chosen = named.groupBy("same", "entity").agg(F.min(F.struct((-F.col("n")).alias("less"), "kind")).alias("most"))
+    return named.join(chosen, ["same", "entity"]).select("kind", "entity", F.col("most.kind").alias("as_kind"))
 
 
 def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, entity, draw) of the entities that may not keep their first surrogate.
+    """(kind, entity, as_kind, draw) of the entities that count as another kind or may not keep their first surrogate.
 
     Of entities that drew the same surrogate the one with the fewest draws
     keeps it, then the smallest; the others and those whose surrogate is an
-    original draw again, against all that stand, until all are distinct.
+    original draw again, against all that stand, until all are distinct. Names
+    are compared as words, whatever their kind. After ``LAST`` draws an
+    original of the corpus may be a surrogate of another entity, so that a
+    kind whose values are nearly all in use settles, too.
     """
 
     @F.pandas_udf("string")
@@ -275,18 +322,22 @@ def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
     def with_surrogate(df: DataFrame) -> DataFrame:
         return df.withColumn("new", drawn("kind", "entity", "draw"))
 
-    now = materialise(with_surrogate(found.withColumn("draw", F.lit(0))))
-    originals = now.select("kind", F.col("entity").alias("new"))
+    told = materialise(counted_as(materialise(found)))
+    family = F.when(F.col("kind").contains(":"), "name").otherwise(F.col("kind"))
+    now = told.select(F.col("as_kind").alias("kind"), "entity").distinct().withColumns({"family": family, "draw": F.lit(0)})
+    now = materialise(with_surrogate(now))
+    originals = now.select("family", F.col("entity").alias("new")).distinct()
     while True:
-        first = now.groupBy("kind", "new").agg(F.min(F.struct("draw", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = now.join(first, ["kind", "new"]).where("struct(draw, entity) <> first").select("kind", "entity")
-        real = now.join(originals, ["kind", "new"], "left_semi").select("kind", "entity")
+        first = now.groupBy("family", "new").agg(F.min(F.struct("draw", "entity", "kind")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = now.join(first, ["family", "new"]).where("struct(draw, entity, kind) <> first").select("kind", "entity")
+        real = now.where(F.col("draw") < LAST).join(originals, ["family", "new"], "left_semi").select("kind", "entity")
         again = materialise(met.union(real).distinct())
         if again.isEmpty():
-            return now.where("draw > 0").select("kind", "entity", "draw")
+            settled = now.select(F.col("kind").alias("as_kind"), "entity", "draw")
+            return told.join(settled, ["as_kind", "entity"]).where("draw > 0 OR kind <> as_kind").select("kind", "entity", "as_kind", "draw")
         rest = now.join(again, ["kind", "entity"], "left_anti")
-        more = with_surrogate(now.join(again, ["kind", "entity"], "left_semi").select("kind", "entity", F.col("draw") + 1).toDF("kind", "entity", "draw"))
-        now = materialise(rest.union(more.select(*rest.columns)))
+        more = now.join(again, ["kind", "entity"], "left_semi").withColumn("draw", F.col("draw") + 1).drop("new")
+        now = materialise(rest.union(with_surrogate(more).select(*rest.columns)))
 
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = KEY, id_col: str = "doc_id", limit: int = REDRAWN) -> DataFrame:
@@ -299,7 +350,7 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = KEY, id_col:
     new, kinds, told, row = fresh(docs, "new_text", "pii_kinds", "draws_", "row_")
     fields = [T.StructField(new, T.StringType()), T.StructField(kinds, T.ArrayType(T.StringType()))]
     if redrawn.count() <= limit:
-        share = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): r.draw for r in redrawn.collect()})
+        share = docs.sparkSession.sparkContext.broadcast({(r.kind, r.entity): (r.as_kind, r.draw) for r in redrawn.collect()})
 
         def run(column: pa.Array) -> list[pa.Array]:
             return _replaced(column, [share.value] * len(column), key)
@@ -311,7 +362,7 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: bytes = KEY, id_col:
         told_rows = _told(keyed, redrawn, text, row, told)
 
         def run_told(column: pa.Array, draws: pa.Array) -> list[pa.Array]:
-            return _replaced(column, [{(d["kind"], d["entity"]): d["draw"] for d in ds or []} for ds in draws.to_pylist()], key)
+            return _replaced(column, [{(d["kind"], d["entity"]): (d["as_kind"], d["draw"]) for d in ds or []} for ds in draws.to_pylist()], key)
 
         out = with_columns(keyed.join(told_rows, row, "left"), [text, told], fields, run_told)
     columns = [F.col(new).alias(c) if c == text else F.col(c) for c in docs.columns]
@@ -330,7 +381,7 @@ def _told(docs: DataFrame, redrawn: DataFrame, text: str, row: str, name: str) -
             )
 
     pairs = docs.select(F.col(row).alias("id_"), F.col(text).cast("string")).mapInArrow(own, "id_ long, kind string, entity string").distinct()
-    return pairs.join(redrawn, ["kind", "entity"]).groupBy(F.col("id_").alias(row)).agg(F.collect_list(F.struct("kind", "entity", "draw")).alias(name))
+    return pairs.join(redrawn, ["kind", "entity"]).groupBy(F.col("id_").alias(row)).agg(F.collect_list(F.struct("kind", "entity", "as_kind", "draw")).alias(name))
 
 
 def _replaced(column: pa.Array, draws: list[dict], key: bytes) -> list[pa.Array]:

@@ -74,11 +74,49 @@ def test_a_number_in_two_forms_has_one_surrogate():
     assert a.replace("-", "") == b
 
 
+def settled(spark, rows, times=None):
+    found = spark.createDataFrame([(*r, (times or {}).get(r, 1)) for r in rows], "kind string, entity string, n long")
+    return {(r.kind, r.entity): r.draw for r in S.settle(found, KEY).collect()}
+
+
+def test_names_of_all_kinds_are_told_apart(spark):
+    words = [f"name{i}" for i in range(3000)]
+    rows = [(k, w) for k in ("given-m:latin", "surname:latin") for w in words]
+    # some surrogates are made originals of another kind
+    rows += [("given-f:latin", S.surrogate(KEY, "surname:latin", w)) for w in words[:50]]
+    draws = settled(spark, rows)
+    new = [S.surrogate(KEY, k, e, draws.get((k, e), 0)) for k, e in rows]
+    assert len(set(new)) == len(rows) and not set(new) & {e for _, e in rows} and len(draws) >= 50
+
+
+def test_a_given_name_has_one_gender_in_the_corpus(spark):
+    texts = ["Dr Alexis Roy and Ms Alexis Roy", "Mrs Alexis Roy", "Mr Alexis Roy. Mr Marek Roy"]
+    rows = [r.text for r in S.pseudonymised(docs_of(spark, texts), key=KEY).collect()]
+    names = {re.search(rf"{t} (\w+) ", x).group(1) for t, x in (("Dr", rows[0]), ("Ms", rows[0]), ("Mrs", rows[1]), ("Mr", rows[2]))}
+    assert len(names) == 1 and names.pop().endswith("a")
+    assert not re.search(r"\. Mr (\w+) ", rows[2]).group(1).endswith("a")
+
+
+@pytest.mark.parametrize("text, first, last", [("Frau 王芳", "一", "龥"), ("Mr أحمد", "ا", "ي"), ("Dr 김철수", "가", "힣"), ("Mrs मीरा", "ऀ", "ॿ")])
+def test_names_of_other_scripts_keep_them(text, first, last):
+    new, [kind] = S.replace(text, KEY, {})
+    assert kind == "surname" and new != text and all(first <= c <= last for c in new.split(" ")[1])
+
+
+@pytest.mark.parametrize("text", ["κ. και το", "M Street", "Sr. Developer", "the Sr Engineer said", "κ Street", "Mr łukasz"])
+def test_what_is_no_name_is_left_alone(text):
+    assert kinds(text) == []
+
+
+def test_numbers_of_many_draws_use_all_digits():
+    assert any(not S.surrogate(KEY, "ssn", f"{i}", S.WIDER).startswith("9") for i in range(20))
+    assert all(S.surrogate(KEY, "ssn", f"{i}").startswith("9") for i in range(20))
+
+
 def test_collisions_draw_again_until_all_differ(spark):
     # Phones of two free digits: a hundred surrogates for sixty entities collide for certain.
     rows = [("phone", f"{i:02d}") for i in range(45)]
-    found = spark.createDataFrame(rows, "kind string, entity string")
-    draws = {(r.kind, r.entity): r.draw for r in S.settle(found, KEY).collect()}
+    draws = settled(spark, rows)
     new = [S.surrogate(KEY, k, e, draws.get((k, e), 0)) for k, e in rows]
     assert draws and len(set(new)) == len(rows) and not set(new) & {e for _, e in rows}
 
@@ -99,7 +137,7 @@ def test_entities_with_all_values_of_their_form_settle(spark):
     # All ten of one form, and addresses whose domains take all 26 values, leave no free value of the same form.
     rows = [("secret", f"-------{i}") for i in range(10)] + [("email", f"{a}@b.com") for a in "abcdefghijklmnopqrstuvwxyz"]
     rows += [("email", f"__@{a}.com") for a in "abcdefghijklmnopqrstuvwxyz"]
-    draws = {(r.kind, r.entity): r.draw for r in S.settle(spark.createDataFrame(rows, "kind string, entity string"), KEY).collect()}
+    draws = settled(spark, rows)
     new = [(k, S.surrogate(KEY, k, e, draws.get((k, e), 0))) for k, e in rows]
     assert len(set(new)) == len(rows) and not set(new) & set(rows)
     assert S.surrogate(KEY, "ip", "192.168.1.9", S.WIDER).startswith("10.")
@@ -155,3 +193,8 @@ def test_query_leaves_no_original_and_touches_nothing_else(spark, sf):
             originals.setdefault(kind, set()).add(e)
     assert len(set(mapped.items())) == len({(k, v) for (k, _), v in mapped.items()})
     assert not any(v in originals[k] for (k, _), v in mapped.items())
+    # names of all kinds over the whole corpus: as many surrogates as entities, none of them an original
+    role = lambda k: f"{k.partition('-')[0]}:{k.partition(':')[2]}" if k.startswith("given") else k
+    names = {(role(k), e): v for (k, e), v in mapped.items() if ":" in k}
+    words = {e for _, e in names}
+    assert len(set(names.values())) == len(names) and not words & set(names.values())
