@@ -3,8 +3,8 @@
 The benchmark's vocabulary numbers its words; a document word outside it is 0
 and no window crosses it. Windows of numbered words are looked up by a 64-bit
 hash and verified word by word. A benchmark whose windows pass ``SLICE`` is
-cut into slices by hash, which are scanned one after the other in the same
-pass over the documents, so no task holds more than one slice of the set.
+cut into slices by hash; the documents pass one slice after the other, and what
+was found is stored in between, so no task holds more than one slice of the set.
 """
 
 from __future__ import annotations
@@ -184,6 +184,8 @@ def find(
         (step,) = fresh(docs, f"slice_{s}_")
         docs = _scan(docs, text, step, share, last)
         docs = docs.drop(last) if last else docs
+        if s + 1 < slices:
+            docs = materialise(docs)
         last = step
     return docs.withColumnRenamed(last, name), name
 

@@ -85,9 +85,14 @@ class Block:
         self.root = self.ids.copy()
         self.meet(self.ids, self.weights, self.x, inner=True)
 
-    def meet(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Compare with the block; (ids, links) of the comers, and the block's own counts are raised."""
+    def meet(self, ids: np.ndarray, weights: np.ndarray, x: np.ndarray, inner: bool = False) -> list[tuple[int, int, int]]:
+        """Compare with the block; (id, links, root) of the comers that link. The block's own counts are raised.
+
+        A comer is not kept: it is given out with one tree of the block that it
+        links with, and the other trees it touches are united with that one.
+        """
         found = np.zeros(len(ids), np.int64)
+        tree: dict[int, int] = {}
         for a in range(0, len(ids), TILE):
             rows = x[a : a + TILE]
             near = rows.astype(np.float32) @ self.single.T >= self.cosine - MARGIN
@@ -102,17 +107,17 @@ class Block:
             i, j = i[hit] + a, j[hit]
             np.add.at(found, i, self.weights[j])
             np.add.at(self.links, j, weights[i])
-            self.unite(ids, i, j)
+            self.unite(ids, i, j, None if inner else tree)
         if inner:
             self.links += found
-        return ids[found > 0], found[found > 0]
+        return [(int(ids[i]), int(found[i]), self.forest.find(tree[i])) for i in tree]
 
-    def unite(self, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-        """Add links to the forest; a comer is united once with each tree of the block that it touches."""
+    def unite(self, ids: np.ndarray, i: np.ndarray, j: np.ndarray, tree: dict[int, int] | None) -> None:
+        """Add links to the forest of the block's own vectors, each row once with each tree that it touches."""
         for s in range(0, len(i), 4096):
-            pairs = np.unique(np.stack([ids[i[s : s + 4096]], self.root[j[s : s + 4096]]]), axis=1)
+            pairs = np.unique(np.stack([i[s : s + 4096], self.root[j[s : s + 4096]]]), axis=1)
             for a, b in pairs.T.tolist():
-                self.forest.join(a, b)
+                self.forest.join(int(ids[a]) if tree is None else tree.setdefault(a, b), b)
             touched = np.unique(j[s : s + 4096])
             self.root[touched] = [self.forest.find(int(v)) for v in self.root[touched]]
 
@@ -211,8 +216,7 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
                 elif block.parts:
                     if block.ids is None:
                         block.close()
-                    met = block.meet(*part)
-                    yield give([(int(i), int(n), int(i)) for i, n in zip(*met)])
+                    yield give(block.meet(*part))
         if block and block.parts:
             if block.ids is None:
                 block.close()

@@ -1,5 +1,7 @@
 """Held-out accuracy, shrinkage, and degenerate tables."""
 
+import math
+
 import numpy as np
 import pytest
 from helpers import docs_of, no_docs
@@ -73,3 +75,54 @@ def test_query(spark, sf):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert np.mean([r.keep == bool(labels[r.doc_id]) for r in rows if r.doc_id in labels]) > 0.95
+
+
+def plain(rows, model):
+    """{id: (p_doc, host_rate, path_rate, p_quality)} of (id, text, host, path) in plain loops."""
+    clip = lambda x: min(max(x, 1e-6), 1 - 1e-6)
+    logit = lambda p: math.log(p / (1 - p))
+    chance = lambda o: 1 / (1 + math.exp(-o))
+    z = {}
+    for i, text, _, _ in rows:
+        x = Q.features(text.encode())
+        total = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.scale, model.weights))
+        z[i] = min(max(total - logit(clip(model.rate)), -12), 12) if text.split() else 0.0
+    p = {i: chance(z[i] + logit(clip(model.rate))) for i in z}
+    hosts, paths = {}, {}
+    for i, _, host, path in rows:
+        for table, key in ((hosts, host), (paths, (host, path))):
+            n, s, w = table.get(key, (0, 0.0, 0.0))
+            table[key] = (n + 1, s + p[i], w + p[i] * (1 - p[i]))
+    rate = clip(sum(s for _, s, _ in hosts.values()) / len(rows))
+
+    def strength(groups):
+        spread = sum(n * ((s / n - mean) ** 2 - w / n**2) for (n, s, w), mean in groups) / len(rows)
+        return min(max(rate * (1 - rate) / max(spread, 1e-6) - 1, 1.0), 1e4) if len(groups) > 1 else 1.0
+
+    of_host = strength([(g, rate) for g in hosts.values()])
+    of_path = strength([(g, hosts[h][1] / hosts[h][0]) for (h, _), g in paths.items()])
+    out = {}
+    for i, _, host, path in rows:
+        (hn, hs, _), (n, s, _) = hosts[host], paths[host, path]
+        site = lambda less, one: (of_path * (of_host * rate + hs - less) / (of_host + hn - one) + s - less) / (of_path + n - one)
+        own = site(p[i], 1)
+        odds = math.log(max(own, 1e-6) / max(1 - own, 1e-6))
+        out[i] = (p[i], (of_host * rate + hs) / (of_host + hn), site(0.0, 0), chance(z[i] + odds))
+    return out
+
+
+def test_query_against_plain_loops(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.text, r.source, f"{r.source}/{r.lang}") for r in docs.collect()]
+    want = plain(rows, Q.fit(docs, labels))
+    got = {r.doc_id: r for r in QUERIES["op7_hierarchical_quality"](spark, sf).collect()}
+    assert set(got) == set(want)
+    for i, values in want.items():
+        r = got[i]
+        assert np.allclose((r.p_doc, r.host_rate, r.path_rate, r.p_quality), values, rtol=1e-6, atol=1e-9) and r.keep == (r.p_quality >= 0.5)
+
+
+def test_a_very_long_text(spark):
+    docs = docs_of(spark, ["plain words that read well. " * 200_000, "%%% $$$ " * 300_000, "short text"])
+    rows = Q.judged(docs, spark.createDataFrame([(0, 1, 0), (1, 0, 0)], LABELS), **site(docs)).collect()
+    assert len(rows) == 3 and all(0 < r.p_quality < 1 for r in rows)

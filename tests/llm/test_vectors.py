@@ -49,6 +49,21 @@ def test_many_cells_and_blocks(spark, monkeypatch):
     assert joined(spark.createDataFrame(rows, FIELDS)) == brute(rows)
 
 
+def test_a_block_holds_its_own_vectors_only():
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    own = unit(np.repeat(rng.normal(size=(4, 8)), 5, axis=0) + 0.01 * rng.normal(size=(20, 8)))
+    block = metric_join.Block(0.95)
+    block.add(np.arange(20), np.ones(20, np.int64), own)
+    block.close()
+    out = []
+    for k in range(50):  # comers between two of the clusters join them
+        comers = unit(np.repeat(own[:1], 100, axis=0) + 0.01 * rng.normal(size=(100, 8)))
+        out += block.meet(1000 + 100 * k + np.arange(100), np.ones(100, np.int64), comers)
+    assert len(out) == 5000 and len(block.forest.parent) <= 20 and {r for _, _, r in out} == {0}
+    assert all(n == 5 for _, n, _ in out)
+
+
 def test_equal_vectors_count_each_other(spark):
     rows = [(i, [1.0, 2.0]) for i in range(5)] + [(10, [2.0, 4.0]), (11, [-1.0, 2.0])]
     got = joined(spark.createDataFrame(rows, FIELDS))
