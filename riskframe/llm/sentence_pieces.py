@@ -12,6 +12,7 @@ all occurrences are gathered from these.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,7 @@ class Pieces:
         self.byte = np.array([p.type == _BYTE for p in model.pieces])
         self.text = [b"" if p.type == _CONTROL else self.unknown if p.type == _UNKNOWN else s for p, s in zip(model.pieces, self.surface)]
         self.width = np.array([len(s) for s in self.surface], np.int64)
+        self.pool, self.start = np.frombuffer(b"".join(self.surface), np.uint8), np.cumsum(self.width) - self.width
         self.whole = np.array([p.type == _NORMAL for p in model.pieces])
         #: No piece has a blank after another character, so merging never reaches over the start of a run of blanks.
         self.cuts = not any(b" " in s.lstrip(b" ") for s in self.surface)
@@ -123,7 +125,10 @@ class Pieces:
 
     def _merged(self, segments: list[bytes]) -> list[bytes]:
         """Packed ids of normalised segments."""
-        return [np.array(ids, "<u4").tobytes() for ids in self.merger.encode([s.decode() for s in segments], num_threads=1)]
+        lists = self.merger.encode([s.decode() for s in segments], num_threads=1)
+        raw = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+        ends = list(accumulate(4 * len(ids) for ids in lists))
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def normalised(self, text: bytes, prefix: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that are encoded, blanks plain, and the source byte of each (and of the end)."""
@@ -214,6 +219,10 @@ class Pieces:
         begin = np.concatenate([[0], stop[:-1]])[: len(stop)]
         return ids, tokens, align[begin + row], align[stop + row], data, edges
 
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        """The normalised bytes that these ids stand for, blanks plain."""
+        return self.pool[flat.indices(self.start[ids], self.width[ids])]
+
     def decoded(self, ids: np.ndarray) -> bytes:
         """The text of a list of ids in UTF-8; bytes that are no character become U+FFFD each."""
         parts = [self.text[i] for i in ids.tolist()]

@@ -1,7 +1,9 @@
 """Alignment of two tokenizers' tokens over a corpus, with corpus-wide counts of linked token pairs.
 
-Two tokens link where their bytes overlap. The first pass over the documents
-counts pairs inside each task. The distinct pairs are cut into slices by hash,
+Two tokens link where their bytes overlap. Texts are cut where both tokenizers
+cut, before a blank between letters or digits. The first pass counts the
+distinct segments of the corpus and aligns each of them once, which gives the
+pairs and how many links hold them, added up inside each task. The distinct pairs are cut into slices by hash,
 each with a minimal perfect hash function; the tasks' counts become dense
 vectors indexed by that function, which are added up in a tree. The second
 pass aligns the documents again and looks every link up, the pair stored at
@@ -12,8 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import flat, perfect_hash
 from riskframe.llm.common import mix, utf8
-from riskframe.llm.sentence_pieces import Pieces
+from riskframe.llm.sentence_pieces import BLANK, Pieces
 from riskframe.session import materialise
 
 MODEL_A = "byte_bpe_50k.json"
@@ -32,7 +35,12 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 HELD, SLICE, LEAF, FAN = 400_000, 4096, 500_000, 32
 #: Pairs up to which the functions, pairs and counts (17 bytes a pair) are broadcast; beyond it links are joined with them.
 BROADCAST = 4_000_000
+#: Segments remembered by a task (about 300 bytes each), and segments of slices that it adds up at a time.
+SEGMENTS, SEEN = 120_000, 300_000
 _LOW32 = np.int64(0xFFFFFFFF)
+_PLAIN = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
+#: A segment that may stand beside others of the kind without a token reaching over.
+_BESIDE = re.compile(rb" [A-Za-z0-9](?:.*[A-Za-z0-9])?\Z", re.DOTALL)
 
 
 class ByteLevel:
@@ -74,24 +82,6 @@ class ByteLevel:
         return self.pool[flat.indices(self.start[ids], self.width[ids])]
 
 
-@dataclass
-class Aligned:
-    """Tokens of a slice of texts, text after text, with their links; texts that do not join to space + text have none."""
-
-    a: np.ndarray
-    b: np.ndarray
-    text_a: np.ndarray  # the text of each token
-    text_b: np.ndarray
-    group_a: np.ndarray  # the group of each token, counted over the slice
-    group_b: np.ndarray
-    link_a: np.ndarray  # per link the places of its tokens
-    link_b: np.ndarray
-
-    @property
-    def keys(self) -> np.ndarray:
-        return pair_keys(self.a[self.link_a], self.b[self.link_b])
-
-
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Well-mixed 64-bit keys of pairs of ids; no two pairs share one."""
     return mix(((a.astype(np.int64) << 32) | b.astype(np.int64)).view(np.uint64))
@@ -107,8 +97,13 @@ def unmixed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x >> 32, x & _LOW32
 
 
+#: What is known of a segment, a stretch of text that both tokenizers read apart from what stands around it: the numbers of
+#: its first and second tokens and of its groups, the keys of its links (64 bit each), its groups as text (a1,a2|b1;a3|b2).
+Segment = tuple[int, int, int, bytes, str]
+
+
 class Aligner:
-    """Both tokenizers, and the alignment of what they give."""
+    """Both tokenizers, and the alignment of the segments of texts."""
 
     def __init__(self, path_a: str | None = None, path_b: str | None = None):
         if path_a is None:
@@ -118,76 +113,139 @@ class Aligner:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         if self.b.map is not None or self.b.squeeze or not self.b.prefix:
             raise ValueError("the second tokenizer must keep every byte and put a blank before a text")
-
-    def aligned(self, texts: list[bytes], first: bool = True) -> Aligned:
-        """``first``: the texts are whole or begin one, so they get a blank before them."""
-        front = b" " if first else b""
-        spaced = [front + t if t else b"" for t in texts]
-        ids_a = [self.a.ids(t.decode()) for t in spaced]
-        ids_b, edges_b, _, _, norm, at = self.b.encoded(texts, [first] * len(texts))
-        counts_a, counts_b = np.array([len(x) for x in ids_a], np.int64), np.diff(edges_b)
-        all_a, all_b = np.concatenate([np.zeros(0, np.int64), *ids_a]), ids_b.astype(np.int64)
-        good = np.ones(len(texts), bool)
-        whole = b"".join(spaced)
-        if self.a.joined(all_a).tobytes() != whole or norm.tobytes() != whole:
-            for k, t in enumerate(spaced):
-                good[k] = self.a.joined(ids_a[k]).tobytes() == t and norm[at[k] : at[k + 1]].tobytes() == t
-        text_a, text_b = (np.repeat(np.arange(len(texts)), n) for n in (counts_a, counts_b))
-        a, text_a = all_a[good[text_a]], text_a[good[text_a]]
-        b, text_b = all_b[good[text_b]], text_b[good[text_b]]
+        self.known = flat.Remembered(self.aligned, SEGMENTS)
+        # every id in decimal, as it stands inside a group and as its last
+        listed = lambda n, end: np.array([f"{i}{c}" for i in range(n) for c in (",", end)], object)
+        self.text_a, self.text_b = listed(len(self.a.surface), "|"), listed(len(self.b.surface), ";")
+
+    def segments(self, texts: list[bytes], first: bool = True) -> tuple[np.ndarray, np.ndarray, list[Segment]]:
+        """(number of each segment among the distinct ones, edges of the texts among the segments, distinct segments)."""
+        codes, edges, words = cut(texts, first)
+        return codes, edges, self.known.of(words.to_pylist())
+
+    def aligned(self, segments: list[bytes], said: bool = True) -> list[Segment]:
+        """The alignment of each of some distinct segments; without ``said`` their groups are not written out."""
+        match = _BESIDE.match
+        order = [k for k, s in enumerate(segments) if not match(s)]
+        apart = len(order)
+        if apart:
+            alone = set(order)
+            order += [k for k in range(len(segments)) if k not in alone]
+            texts = [segments[k] for k in order]
+        else:
+            texts = segments
+        whole, n = b"".join(texts), len(texts)
+        row = b"".join(texts[apart:])
+        ids_a = [self.a.ids(t.decode()) for t in texts[:apart]]
+        counts = [len(x) for x in ids_a]
+        ids_a.append(self.a.ids(row.decode()))
+        ends = np.cumsum(np.fromiter(map(len, texts[apart:]), np.int64, n - apart))
+        counts_a = np.concatenate([counts, np.diff(np.searchsorted(np.cumsum(self.a.width[ids_a[-1]]), ends, side="right"), prepend=0)]).astype(np.int64)
+        a = np.concatenate(ids_a)
+        ids_b = self.b.merger.encode([t.decode() for t in texts], num_threads=1)
+        counts_b = np.fromiter(map(len, ids_b), np.int64, n)
+        b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(counts_b.sum()))
+        if self.a.joined(a).tobytes() != whole or self.b.joined(b).tobytes() != whole:
+            raise ValueError("tokens that do not join to their text")
         end_a, end_b = np.cumsum(self.a.width[a]), np.cumsum(self.b.width[b])
-        cuts = np.union1d(end_a, end_b)  # each stretch between cuts lies in one token of either kind
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        return Aligned(
-            a, b, text_a, text_b, np.searchsorted(common, end_a), np.searchsorted(common, end_b), np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
-        )
-
-    def written(self, x: Aligned) -> tuple[np.ndarray, np.ndarray]:
-        """All groups as tokens of text (``a1,a2|b1;``) and the text that each belongs to."""
-        n = len(x.a) + len(x.b)
-        groups = np.arange(int(x.group_a[-1]) + 2 if len(x.a) else 1)
-        begin_b, end_a = np.searchsorted(x.group_b, groups), np.searchsorted(x.group_a, groups, side="right")
-        out, owner = np.empty(n, object), np.empty(n, np.int64)
-        place = np.arange(len(x.a)) + begin_b[x.group_a]
-        closes = np.append(x.group_a[1:] != x.group_a[:-1], True)[: len(x.a)]
-        out[place], owner[place] = np.where(closes, self._listed("a", "|")[x.a], self._listed("a", ",")[x.a]), x.text_a
-        place = np.arange(len(x.b)) + end_a[x.group_b]
-        closes = np.append(x.group_b[1:] != x.group_b[:-1], True)[: len(x.b)]
-        out[place], owner[place] = np.where(closes, self._listed("b", ";")[x.b], self._listed("b", ",")[x.b]), x.text_b
-        return out, owner
-
-    def _listed(self, side: str, end: str) -> np.ndarray:
-        """Every id in decimal with ``end`` after it."""
-        held = self.__dict__.setdefault("_lists", {})
-        if (side, end) not in held:
-            held[side, end] = np.array([f"{i}{end}" for i in range(len(getattr(self, side).surface))], object)
-        return held[side, end]
+        both = np.concatenate([end_a, end_b])
+        both.sort(kind="stable")  # two ascending runs are merged
+        twice = both[1:] == both[:-1]
+        common, cuts = both[1:][twice], both[np.append(True, ~twice)[: len(both)]]
+        link_a, link_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)  # a stretch between cuts lies in one token of either
+        closes = np.cumsum(np.fromiter(map(len, texts), np.int64, n))  # where the segments end
+        keys = pair_keys(a[link_a], b[link_b]).tobytes()
+        at_k = [0, *(8 * np.searchsorted(cuts, closes, side="right")).tolist()]
+        own_keys = [keys[s:e] for s, e in zip(at_k, at_k[1:])]
+        n_groups = np.diff(np.searchsorted(common, closes, side="right"), prepend=0)
+        listed = self._listed(a, b, end_a, end_b, common, counts_a + counts_b) if said else [""] * n
+        made = zip(counts_a.tolist(), counts_b.tolist(), n_groups.tolist(), own_keys, listed)
+        if not apart:
+            return list(made)
+        out: list = [None] * n
+        for i, one in zip(order, made):
+            out[i] = one
+        return out
+
+    def _listed(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, common: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Tokens as text, group by group, those of the first tokenizer before those of the second."""
+        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True)[: len(a)], np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
+        before_b = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=len(common)))])
+        upto_a = np.cumsum(np.bincount(group_a, minlength=len(common)))
+        words = np.empty(len(a) + len(b), object)
+        words[np.arange(len(a)) + before_b[group_a]] = self.text_a[2 * a + last_a]
+        words[np.arange(len(b)) + upto_a[group_b]] = self.text_b[2 * b + last_b]
+        words, at = words.tolist(), [0, *np.cumsum(counts).tolist()]
+        return ["".join(words[s:e])[:-1] for s, e in zip(at, at[1:])]
+
+
+def cut(texts: list[bytes], first: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each segment among the distinct ones, edges of the texts among the segments, distinct segments).
+
+    ``first``: the texts are whole or begin one, so they get a blank before
+    them. Texts with U+2581, which reads as a blank, have no segments.
+    """
+    spaced = [b"" if BLANK in t else b" " + t if t and first else t for t in texts]
+    data = np.frombuffer(b"".join(spaced), np.uint8)
+    size = np.fromiter(map(len, spaced), np.int64, len(spaced))
+    edges = np.concatenate([[0], np.cumsum(size)])
+    begins = np.zeros(len(data) + 1, bool)
+    if len(data) > 2:
+        plain = _PLAIN[data]
+        begins[1:-2] = plain[:-2] & (data[1:-1] == 32) & plain[2:]
+    begins[edges[:-1][size > 0]] = True
+    starts = np.flatnonzero(begins[:-1])
+    codes, words = flat.numbered(data, starts, np.append(starts[1:], len(data))[: len(starts)])
+    return codes, np.searchsorted(starts, edges), words
 
 
 def _documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[bytes], bool]]]]:
     """Slices of rows with their texts to align: all at once, or a single very long text in parts."""
     for batch in flat.slices(batches, column):
         texts = [t or b"" for t in utf8(batch.column(column))]
-        if len(texts) > 1 or len(texts[0]) <= flat.STRETCH or b"\xe2\x96\x81" in texts[0]:
+        if len(texts) > 1 or len(texts[0]) <= flat.STRETCH or BLANK in texts[0]:
             yield batch, [(texts, True)]
         else:
             yield batch, [([part], k == 0) for k, part in enumerate(flat.chunks(texts[0]))]
 
 
+def distinct_segments(docs: DataFrame) -> DataFrame:
+    """(segment, n): the distinct segments of all texts (column ``text``) and how often they occur, added up in the tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def give() -> Iterator[pa.RecordBatch]:
+            if held:
+                sums = pa.concat_tables(held).group_by("segment").aggregate([("n", "sum")])
+                yield from sums.select(["segment", "n_sum"]).rename_columns(["segment", "n"]).to_batches(max_chunksize=50_000)
+            held.clear()
+
+        for _, parts in _documents(batches, 0):
+            for texts, first in parts:
+                codes, _, words = cut(texts, first)
+                held.append(pa.table({"segment": words.cast(pa.binary()), "n": np.bincount(codes, minlength=len(words))}))
+                if sum(t.num_rows for t in held) > SEEN:
+                    yield from give()
+        yield from give()
+
+    return docs.select("text").mapInArrow(run, "segment binary, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+
+
 def pair_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """(key, n): links of each pair, added up in the tasks only; a pair comes once for each task that has it, or a few times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(path_a, path_b)
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        new: list[np.ndarray] = []
+        new: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
         def merge() -> None:
             nonlocal keys, counts, new, waiting
-            joined = np.concatenate([keys, *new])
-            times = np.concatenate([counts, np.ones(len(joined) - len(keys), np.int64)])
-            order = np.argsort(joined, kind="stable")
+            joined, times = np.concatenate([keys, *(k for k, _ in new)]), np.concatenate([counts, *(n for _, n in new)])
+            order = np.argsort(joined)
             joined, times = joined[order], times[order]
             first = np.flatnonzero(np.append(True, joined[1:] != joined[:-1])[: len(joined)])
             keys, counts = joined[first], np.add.reduceat(times, first) if len(first) else times
@@ -196,10 +254,12 @@ def pair_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
         def give() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
-        for _, parts in _documents(batches, 0):
-            for texts, first in parts:
-                new.append(aligner.aligned(texts, first).keys)
-                waiting += len(new[-1])
+        for batch in batches:
+            for part in flat.slices(iter([batch]), 0, rows=5000):
+                own_keys = [s[3] for s in aligner.aligned(part.column(0).to_pylist(), said=False)]
+                own = np.frombuffer(b"".join(own_keys), np.uint64)
+                new.append((own, np.repeat(part.column(1).to_numpy(), np.fromiter(map(len, own_keys), np.int64, len(own_keys)) // 8)))
+                waiting += len(own)
                 if waiting > 1 << 20:
                     merge()
                     if len(keys) > HELD:
@@ -208,7 +268,7 @@ def pair_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
         merge()
         yield give()
 
-    return docs.select("text").mapInArrow(run, "key long, n long")
+    return distinct_segments(docs).mapInArrow(run, "key long, n long")
 
 
 def _packed(words: np.ndarray, sizes: np.ndarray) -> tuple[bytes, list[int]]:
@@ -325,35 +385,30 @@ def _summary(docs: DataFrame, path_a: str | None, path_b: str | None, shared=Non
         for batch, parts in _documents(batches, 1):
             n = batch.num_rows
             sums = np.zeros((6, n), np.int64)
-            digest = [hashlib.sha256() for _ in range(n)]
-            tail = [""] * n
-            pairs: list[np.ndarray] = []
+            digest, tail = [hashlib.sha256() for _ in range(n)], [""] * n
+            pairs: list[list] = [[] for _ in range(n)]
             for texts, first in parts:
-                x = aligner.aligned(texts, first)
-                edges = np.arange(len(texts) + 1)
-                last = np.append(x.group_a[1:] != x.group_a[:-1], True)[: len(x.a)]
-                link_text, keys = x.text_a[x.link_a], x.keys
-                for row, at in ((0, x.text_a), (1, x.text_b), (2, x.text_a[last]), (3, link_text)):
-                    sums[row] += np.bincount(at, minlength=n)
-                bounds = np.searchsorted(link_text, edges)
+                codes, edges, found = aligner.segments(texts, first)
+                *sizes, own_keys, said = zip(*found) if found else [()] * 5
+                sizes = [np.array(x, np.int64) for x in sizes]
+                sizes.append(np.fromiter(map(len, own_keys), np.int64, len(own_keys)) // 8)
                 if looked:
-                    count, best = table.of(keys)
-                    sums[4] += flat.spread(best.astype(np.int64), bounds)
-                    sums[5] += flat.spread(count, bounds)
-                else:
-                    pairs += [keys[s:e] for s, e in zip(bounds, bounds[1:])]
-                words, owner = aligner.written(x)
-                for k, (s, e) in enumerate(zip(*(lambda c: (c[:-1], c[1:]))(np.searchsorted(owner, edges).tolist()))):
-                    text = "".join(words[s:e].tolist())
-                    if text:
-                        digest[k].update((tail[k] + text[:-1]).encode())
-                        tail[k] = ";"
+                    count, best = table.of(np.frombuffer(b"".join(own_keys), np.uint64))
+                    bounds = np.concatenate([[0], np.cumsum(sizes[3])])
+                    sizes += [flat.spread(best.astype(np.int64), bounds), flat.spread(count, bounds)]
+                for row, own in enumerate(sizes):
+                    sums[row] += flat.spread(own[codes], edges)
+                codes, ends = codes.tolist(), edges.tolist()
+                for k in np.flatnonzero(np.diff(edges) > 0).tolist():
+                    own = codes[ends[k] : ends[k + 1]]
+                    digest[k].update((tail[k] + ";".join([said[c] for c in own])).encode())
+                    tail[k] = ";"
+                    if not looked:
+                        pairs[k] += [own_keys[c] for c in own]
             if looked:
                 middle = [pa.array(sums[4]), pa.array(sums[5])]
             else:
-                if len(parts) > 1:
-                    pairs = [np.concatenate(pairs)]
-                own = [np.unique(p, return_counts=True) for p in pairs]
+                own = [np.unique(np.frombuffer(b"".join(p), np.uint64), return_counts=True) for p in pairs]
                 lists = pa.list_(pa.int64())
                 middle = [pa.array([k.view(np.int64) for k, _ in own], lists), pa.array([c for _, c in own], lists)]
             made = pa.array([d.hexdigest() if t else "" for d, t in zip(digest, tail)])
