@@ -3,7 +3,8 @@
 import re
 
 import pytest
-from helpers import docs_of, near_components
+from helpers import docs_of, near_components, no_docs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -41,7 +42,7 @@ def test_quality_drops_labelled_junk_only(stages, spark, sf):
 
 def test_one_of_each_group(stages):
     before, after = texts(stages[1]), texts(stages[2])
-    component = near_components(list(before.items()))
+    component = near_components(list(before.items()), percent=corpus_pipeline.SIMILAR)
     assert set(after) == {i for i in before if component[i] == i}
 
 
@@ -95,3 +96,32 @@ def test_run_gives_the_last_stage(stages, spark, sf):
     got = corpus_pipeline.run(spark, sf)
     key = lambda df: sorted((r.doc_id, r.piece, r.ids_crc32, r.length) for r in df.collect())
     assert key(got) == key(stages[5])
+
+
+CLASHES = ["gone_id", "host", "path", "p_doc", "keep", "z_", "rank", "part", "priority", "spans", "decontamination", "pii_kinds", "new_text", "piece", "length"]
+
+
+def test_odd_rows_and_clashing_names_pass_all_stages(spark, sf, tmp_path):
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    some = base.first()
+    odd = [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "   "), (None, some.text), (some.doc_id, some.text), (10**6 + 3, "word " * 200_000)]
+    rows = spark.createDataFrame([(i, t, some.lang, some.source, len(t or "")) for i, t in odd], base.schema)
+    docs = base.unionByName(rows)
+    for name in CLASHES:
+        docs = docs.withColumn(name, F.lit(7))
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert docs.columns == before.columns and docs.where(" OR ".join(f"{c} <> 7" for c in CLASHES)).count() == 0
+    kept = before.select("doc_id").collect()
+    assert docs.select("doc_id").distinct().count() == len({r.doc_id for r in kept}) and None in {r.doc_id for r in kept}
+
+
+def test_empty_tables_pass_all_stages(spark, sf, tmp_path):
+    docs = no_docs(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    assert docs.count() == 0 and "sequence_id" in docs.columns
