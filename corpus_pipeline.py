@@ -3,6 +3,12 @@
 quality (rejected documents go), near duplicates (one document of each group
 stays), benchmark decontamination (documents that share a window with the
 benchmark go), PII (entities get surrogates), packing.
+
+Every stage takes tables of any size, also empty ones. A null or empty text has
+no duplicates, no window of the benchmark and no personal data, is judged by
+its site's record, and is packed as the one id that ends a document. Rows that
+repeat an id are treated alike; a null id is nobody's duplicate. Further columns
+are kept until packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import decontaminate, minhash, packing, quality, surrogates
-from riskframe.llm.common import table
+from riskframe.llm.common import fresh, table
 from riskframe.llm.queries import site
 from riskframe.session import checkpoint_dir
 
@@ -30,8 +36,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group linked at ``SIMILAR``; documents without words or id all stay."""
-    gone = minhash.near_duplicates(docs, percent=SIMILAR).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = minhash.near_duplicates(docs, percent=SIMILAR).where("NOT kept").select(F.col("doc_id").alias(gone_id))
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
