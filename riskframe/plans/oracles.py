@@ -170,8 +170,8 @@ ORACLES["ingest_log"] = """
 SELECT 'parts' AS run_key, unnest(['done', 'already_loaded']) AS state, count(*) AS rows_loaded, count(*) AS docs_built FROM part"""
 ORACLES["store_upsert"] = """
 SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' second edition' ELSE '' END AS text, source, 64 AS dim
-FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"""
-ORACLES["store_cleared"] = "SELECT doc_id, text FROM documents WHERE lang = 'en'"
+FROM documents"""
+ORACLES["store_cleared"] = "SELECT doc_id, text FROM documents"
 ORACLES["text_cells"] = """
 SELECT conv_id, turn, trim(text, E' \\t\\n\\r\\u00a0\\u3000') AS stripped,
        CASE WHEN role = 'user' THEN 'unknown' ELSE trim(text, E' \\t\\n\\r\\u00a0\\u3000') END AS cell FROM conversations"""

@@ -186,7 +186,7 @@ def _second_batch(docs: DataFrame) -> DataFrame:
 @query
 def store_upsert(spark, sf):
     root, docs = _folder(spark, "store"), fx.corpus(spark, sf)
-    store.apply(spark, root, _as_documents(docs.where("doc_id % 2 = 0")), "first")
+    store.apply(spark, root, _as_documents(docs), "first")
     store.apply(spark, root, _as_documents(_second_batch(docs)), "second")
     return store.read_corpus(spark, root).select(
         F.col("id").cast("long").alias("doc_id"), "text", F.col("metadata")["source"].alias("source"), F.size("vec").alias("dim")
@@ -196,9 +196,10 @@ def store_upsert(spark, sf):
 @query
 def store_cleared(spark, sf):
     root, docs = _folder(spark, "store"), fx.corpus(spark, sf)
-    store.apply(spark, root, _as_documents(docs), "first")
+    draft = docs.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "text": F.lower("text")})
+    store.apply(spark, root, _as_documents(draft), "first")
     store.clear(spark, root)
-    store.apply(spark, root, _as_documents(docs.where("lang = 'en'")), "second")
+    store.apply(spark, root, _as_documents(docs), "second")
     return store.read_corpus(spark, root).select(F.col("id").cast("long").alias("doc_id"), "text")
 
 
