@@ -28,9 +28,11 @@ from riskframe.llm.common import LOWER, fresh, mix, utf8
 from riskframe.session import materialise
 
 #: Least words of a line or paragraph that goes, and of a passage inside a line.
-MIN_LINE, MIN_WORDS = 10, 20
+MIN_LINE, MIN_WORDS = 16, 20
 #: Words of a window, and successive windows of which one is a unit (at most as many as a window has words).
 WINDOW, SPREAD = 16, 16
+#: Keepers' windows up to which they are sent to the texts (about 20 bytes each); beyond it the texts are shuffled to them.
+MANY = 1_000_000
 #: Kinds of units besides windows, as bits of a place.
 LINE, PARAGRAPH = 1 << 28, 1 << 29
 _LOWER = np.frombuffer(LOWER, np.uint8)
@@ -180,8 +182,9 @@ def _surroundings(docs: DataFrame, keepers: DataFrame) -> DataFrame:
 
     Both lists begin beside the window and end with the text or after ``SPREAD`` words.
     """
+    keepers = materialise(keepers)
     wanted = keepers.groupBy("doc_id").agg(F.collect_list(F.struct("at", "digest")).alias("marks"))
-    texts = docs.join(wanted, "doc_id").select("text", "marks")
+    texts = docs.join(F.broadcast(wanted) if keepers.count() <= MANY else wanted, "doc_id").select("text", "marks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in _parts(batches, 0):

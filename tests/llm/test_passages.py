@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from helpers import docs_of, low, no_docs
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ def prose(n, tag):
     return " ".join(f"{rng.choice('abcdefgh')}{tag}{rng.randint(0, 10**6)}" + ("." if rng.random() < 0.1 else "") for _ in range(n))
 
 
-def rows_of(spark, texts):
-    return {r.doc_id: r for r in P.without_repeats(docs_of(spark, texts)).collect()}
+def rows_of(spark, texts, **options):
+    return {r.doc_id: r for r in P.without_repeats(docs_of(spark, texts), **options).collect()}
 
 
 def rebuilt(text, row):
@@ -30,7 +31,9 @@ def words(text):
     return [(low(m.group()), *m.span()) for m in re.finditer(r"[^\t-\r ]+", text)]
 
 
-def test_passages_in_the_middle_of_lines_go_with_their_edges(spark):
+@pytest.mark.parametrize("many", [1_000_000, 0])
+def test_passages_in_the_middle_of_lines_go_with_their_edges(spark, monkeypatch, many):
+    monkeypatch.setattr(P, "MANY", many)
     texts, planted = [], []
     for i in range(300):
         passage = prose(rng.randrange(31, 80), f"p{i}x")
@@ -47,11 +50,12 @@ def test_passages_in_the_middle_of_lines_go_with_their_edges(spark):
             assert [tuple(x) for x in r.removed] == [planted[i]]
 
 
-def test_lines_and_paragraphs_of_ten_words_go_and_shorter_ones_stay(spark):
-    line, short = prose(12, "l"), "Released under the same short licence line."
-    stanza = "\n".join(prose(4, f"s{k}") for k in range(4))
+@pytest.mark.parametrize("least", [10, 12, P.MIN_LINE])
+def test_lines_and_paragraphs_of_the_least_size_go_and_shorter_ones_stay(spark, least):
+    line, short = prose(least, "l"), prose(least - 1, "short")
+    stanza = "\n".join(prose(least // 2, f"s{k}") for k in range(2))
     texts = [f"{prose(30, i)}\n{line}\n{prose(6, 50 + i)}\n{short}\n{prose(6, 80 + i)}\n\n{stanza}\n\n{prose(25, 100 + i)}" for i in range(6)]
-    rows = rows_of(spark, texts)
+    rows = rows_of(spark, texts, min_line=least)
     assert rows[0].text == texts[0]
     for i in range(1, 6):
         gone = [texts[i][a:b] for a, b in rows[i].removed]
