@@ -179,3 +179,13 @@ def test_tables_in_folders_of_parts_are_read_whole(spark, sf, tmp_path):
     for name in ("stream_cache_retain", "stream_guarded", "stream_hourly_events"):
         got, want = (QUERIES[name](spark, d).toPandas() for d in (str(tmp_path), sf))
         assert len(want) and compare(got, want) is None, name
+
+
+def test_a_log_of_one_batch_is_read_as_it_is(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(x, "id string, text string")
+    rows(("a", "1"), ("b", "1")).write.parquet(f"{tmp_path}/log/batch_id=0")
+    one = jobs.read_update_log(spark, f"{tmp_path}/log", ["id"])
+    assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, one.collect())) == [("a", "1"), ("b", "1")]
+    rows(("a", "2")).write.parquet(f"{tmp_path}/log/batch_id=1")
+    assert sorted(map(tuple, jobs.read_update_log(spark, f"{tmp_path}/log", ["id"]).collect())) == [("a", "2"), ("b", "1")]
