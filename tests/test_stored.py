@@ -154,3 +154,24 @@ def test_a_table_of_many_files_is_not_dealt_anew(spark, tmp_path):
     spark.range(100).repartition(12).write.parquet(f"{tmp_path}/t")
     df = spark.read.parquet(f"{tmp_path}/t")
     assert fx.spread(df) is df
+
+
+def test_postings_stay_with_their_document(spark, tmp_path):
+    """The texts move once, as they are; scores are added up without another shuffle of matches."""
+    from riskframe.operators import lexical
+
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(1, 2 + i % 9))) for i in range(60)] + [(60, None), (61, ""), (5, "w1 w1 w2"), (5, "w1 w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(1, "w1 w2"), (2, "w10 w10 w3"), (3, "unknown")], "query_id long, text string")
+    index = lexical.build_bm25(docs, compute=True)
+    for dealt in (index.postings, lexical.bm25_search(queries, index, 5, pad=False)):
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(doc_id" in plan and "dl#" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x)
+        assert not any("Exchange hashpartitioning(query_id" in x and "doc_id" in x.split("), ")[0] for x in plan.splitlines())
+    lexical.write_index(index, f"{tmp_path}/index")
+    files = spark.read.parquet(f"{tmp_path}/index/postings").select("doc_id", F.input_file_name().alias("file"))
+    assert files.groupBy("doc_id").agg(F.count_distinct("file").alias("n")).where("n > 1").isEmpty()
+    shown = lambda df: sorted((r.query_id, r["rank"], r.doc_id, round(r.score, 6)) for r in df.collect())
+    got = shown(lexical.bm25_search(queries, lexical.read_index(spark, f"{tmp_path}/index"), 70))
+    assert got == shown(lexical.bm25_search(queries, index, 70))
+    assert [g for g in got if g[1] <= 5] == shown(lexical.bm25_search(queries, index, 5))
