@@ -294,3 +294,25 @@ def test_hybrid_with_hot_copies_filter_and_stored_index(spark, tmp_path):
     lexical.write_index(lexical.build_bm25(d), str(tmp_path))
     stored = hybrid_search(q, embed(d), again, threshold=0.99, index=lexical.read_index(spark, str(tmp_path)))
     assert sorted(map(str, stored.collect())) == sorted(map(str, hits))
+
+
+def test_vectors_are_counted_a_stretch_at_a_time(spark, monkeypatch):
+    """Batches of long, short and empty texts give the vectors of plain counting; buckets cross in one byte."""
+    import hashlib
+
+    import numpy as np
+
+    from riskframe.functions import vectors
+
+    monkeypatch.setattr(vectors, "STRETCH", 7)
+    texts = ["", None, "a b c " * 9, "x", "one two three four five six seven", "", "q w e r t y u i o p"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    for dim in (64, 300):
+        made = rows.select("i", vectors.hashed_vector("text", dim).alias("v"))
+        kind = "tinyint" if dim == 64 else "smallint"
+        assert f"array<{kind}>" in made._jdf.queryExecution().analyzed().toString()
+        for i, v in made.collect():
+            want = np.zeros(dim)
+            for t in (texts[i] or "").split():
+                want[int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dim] += 1
+            assert np.allclose(v, want / (np.linalg.norm(want) or 1))
