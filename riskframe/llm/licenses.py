@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,22 +114,42 @@ def matched(
     A term that no template has weighs like one that a single template and no
     document has; equal scores go to the first identifier.
     """
-    spark, rare = lines.sparkSession, math.log(1 + sum(map(len, templates.values())))
-    rows = []
-    for name, template, c in counted_terms(templates):
-        norm = math.sqrt(sum((n * weight[t]) ** 2 for t, n in c.items()))
-        rows += [(name, template, t, n * weight[t], norm) for t, n in c.items()]
-    listed = spark.createDataFrame(rows, "license string, template string, term string, weight double, norm double")
-    idf = spark.createDataFrame(list(weight.items()), "term string, idf double")
+    rare = math.log(1 + sum(map(len, templates.values())))
+    kinds = [(name, {t: n * weight[t] for t, n in c.items()}) for name, _, c in counted_terms(templates)]
     counts = lines.select("digest", F.explode(terms(F.col("line"))).alias("term")).groupBy("digest", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norms = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
-    shared = weighed.join(F.broadcast(listed), "term").groupBy("digest", "license", "template", "norm")
-    dots = shared.agg(F.sum(F.col("w") * F.col("weight")).alias("dot"), F.sum(F.col("weight") * F.col("weight")).alias("covered"))
-    score = F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 6)
-    part = F.round(F.col("covered") / (F.col("norm") * F.col("norm")), 6)
-    scored = dots.join(norms, "digest").withColumn("score", score).where((F.col("score") >= cosine) & (part >= cover))
-    best = scored.groupBy("digest").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
+    return best_of(counts, weight, rare, kinds, cosine, cover)
+
+
+def best_of(counts: DataFrame, idf: dict[str, float], rare: float, kinds: list[tuple[str, dict[str, float]]], cosine: float, cover: float) -> DataFrame:
+    """(digest, license, score) of the best of ``kinds`` (license, weight of each term) for each digest of ``counts`` (digest, term, tf).
+
+    A term is listed once, with its weights in all kinds, so the join makes no
+    more rows than there are counts; what a digest gathers is bounded by the
+    kinds' terms. A term without ``idf`` has ``rare``; a kind below ``cosine``,
+    or of whose squared length less than ``cover`` is shared, is out.
+    """
+    kinds = [(name, own) for name, own in kinds if any(own.values())]
+    listed: dict[str, list] = {t: [] for t in idf}
+    for i, (_, own) in enumerate(kinds):
+        for t, x in own.items():
+            listed[t].append({"kind": i, "x": x})
+    weights = pa.list_(pa.struct([("kind", pa.int32()), ("x", pa.float64())]))
+    table = pa.table({"term": pa.array(listed, pa.string()), "idf": pa.array(idf.values(), pa.float64()), "own": pa.array(listed.values(), weights)})
+    weighed = counts.join(F.broadcast(counts.sparkSession.createDataFrame(table)), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
+    products = F.transform("own", lambda o: F.struct(o.kind.alias("kind"), (F.col("w") * o.x).alias("dot"), (o.x * o.x).alias("covered")))
+    gathered = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"), F.collect_list(products).alias("shared"))
+    gathered = gathered.where(F.size("shared") > 0).select("digest", "own_norm", F.flatten("shared").alias("shared"))
+    norms = [math.sqrt(sum(x * x for x in own.values())) for _, own in kinds]
+    all_kinds = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(name).alias("license"), F.lit(n).alias("norm")) for i, ((name, _), n) in enumerate(zip(kinds, norms))])
+
+    def scored(k: Column) -> Column:
+        own = F.filter("shared", lambda s: s.kind == k.kind)
+        total = lambda column: F.aggregate(own, F.lit(0.0), lambda a, s: a + s[column])
+        score, part = F.round(total("dot") / (k.norm * F.col("own_norm")), 6), F.round(total("covered") / (k.norm * k.norm), 6)
+        return F.struct((-score).alias("minus"), k.license.alias("license"), part.alias("part"))
+
+    fits = F.filter(F.transform(all_kinds, scored), lambda s: (-s.minus >= cosine) & (s.part >= cover))
+    best = gathered.select("digest", F.array_min(fits).alias("best")).where("best IS NOT NULL")
     return best.select("digest", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
 
 
@@ -164,7 +185,7 @@ def whole_licenses(plain: DataFrame, bound: float = WHOLE) -> DataFrame:
     heaviest that make up the square of the bound are weighed. A term that no
     licence has counts as one of a single licence.
     """
-    spark, texts = plain.sparkSession, whole_texts()
+    texts = whole_texts()
     enough = F.lit(False)
     for own in texts.values():
         squares = sorted((w * w for w in own.values()), reverse=True)
@@ -181,15 +202,8 @@ def whole_licenses(plain: DataFrame, bound: float = WHOLE) -> DataFrame:
     near = near.select(F.sha2("text", 256).alias("digest"), "text").dropDuplicates(["digest"])
     counts = near.select("digest", F.explode(terms(F.col("text"))).alias("term")).groupBy("digest", "term").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
     df = Counter(t for own in texts.values() for t in own)
-    idf = spark.createDataFrame([(t, math.log(1 + len(texts) / n)) for t, n in df.items()], "term string, idf double")
-    rows = [(name, t, w, math.sqrt(sum(x * x for x in own.values()))) for name, own in texts.items() for t, w in own.items()]
-    listed = spark.createDataFrame(rows, "license string, term string, weight double, norm double")
-    weighed = counts.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log(1 + len(texts)))))
-    norms = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("own_norm"))
-    dots = weighed.join(F.broadcast(listed), "term").groupBy("digest", "license", "norm").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, "digest").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("own_norm")), 6)).where(F.col("score") >= bound)
-    best = scored.groupBy("digest").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
-    return best.select("digest", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"))
+    idf = {t: math.log(1 + len(texts) / n) for t, n in df.items()}
+    return best_of(counts, idf, math.log(1 + len(texts)), list(texts.items()), bound, 0.0)
 
 
 def _best(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -175,3 +175,15 @@ def test_query(spark, sf):
         want = min((said[x] for x in d.text.split("\n") if said[x]), default=None)
         assert rows[i].own_license == (want and want[1]) and rows[i].license == rows[i].own_license
     assert sum(r.own_license is not None for r in rows.values()) > 1
+
+
+def test_join_on_terms_makes_a_row_for_each_term_of_a_text(spark):
+    """Near copies of a licence: no row for each of the licences that have a term."""
+    gpl = (L.TEXTS / "GPL-3.0.txt").read_text()
+    lines = spark.createDataFrame([(f"{i}", f"{gpl} copy{i}".replace("\n", " ")) for i in range(20)], "digest string, line string")
+    weight = L.weights({})
+    for found in (L.matched(lines, weight, cosine=0.0, cover=0.0), L.whole_licenses(lines.select(F.col("line").alias("text")))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == plan.count("Join LeftOuter") == 1
+        assert found.count() == 20
+    assert {r.license for r in found.collect()} == {"GPL-3.0"}
