@@ -50,19 +50,24 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def with_columns(
-    df: DataFrame, read: list[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]]
+    df: DataFrame, read: list[str], fields: list[T.StructField], fn: Callable[..., list[pa.Array]], once: Callable | None = None
 ) -> DataFrame:
     """``df`` with further columns that ``fn`` makes, batch by batch, of the columns named in ``read``.
 
-    A narrow map: every row stays where it is, with all its columns.
+    A narrow map: every row stays where it is, with all its columns. What
+    ``once`` returns is made once by each task that has rows, and is the first
+    argument of all its calls of ``fn``.
     """
     schema = T.StructType([*df.schema.fields, *fields])
     at = [df.columns.index(c) for c in read]
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for b in parts(batches):
-            yield pa.RecordBatch.from_arrays([*b.columns, *fn(*(b.column(i) for i in at))], names=names)
+            if once and not held:
+                held.append(once())
+            yield pa.RecordBatch.from_arrays([*b.columns, *fn(*held, *(b.column(i) for i in at))], names=names)
 
     return df.mapInArrow(run, schema)
 

@@ -145,8 +145,7 @@ def built(docs: DataFrame, text: str = "text", leaf: int = LEAF, ranks: str | No
     """``docs`` with a struct column of the tree's ``chars`` and ``tokens``, and its name. A null text has an empty tree."""
     (name,) = fresh(docs, "tree")
 
-    def run(column: pa.Array) -> list[pa.Array]:
-        counter = Counter(ranks)
+    def run(counter: Counter, column: pa.Array) -> list[pa.Array]:
         out = []
         for value in column.to_pylist():
             sizes = leaves(value or "", leaf)
@@ -157,7 +156,7 @@ def built(docs: DataFrame, text: str = "text", leaf: int = LEAF, ranks: str | No
         return [pa.array(out, kind)]
 
     field = T.StructField(name, T.StructType([T.StructField("chars", _NODES), T.StructField("tokens", _NODES)]))
-    return with_columns(docs, [text], [field], run), name
+    return with_columns(docs, [text], [field], run, lambda: Counter(ranks)), name
 
 
 def edited(trees: DataFrame, tree: str, edits: str, text: str = "text", ranks: str | None = None) -> tuple[DataFrame, list[str]]:
@@ -172,8 +171,7 @@ def edited(trees: DataFrame, tree: str, edits: str, text: str = "text", ranks: s
     """
     names = fresh(trees, "tokens_before", "tokens_after", "chars_recounted")
 
-    def run(texts: pa.Array, states: pa.Array, changes: pa.Array) -> list[pa.Array]:
-        counter = Counter(ranks)
+    def run(counter: Counter, texts: pa.Array, states: pa.Array, changes: pa.Array) -> list[pa.Array]:
         out: list[tuple] = []
         for value, state, todo in zip(texts.to_pylist(), states.to_pylist(), changes.to_pylist()):
             kept = Tree.of(state["chars"], state["tokens"])
@@ -188,7 +186,7 @@ def edited(trees: DataFrame, tree: str, edits: str, text: str = "text", ranks: s
     new_text, new_tree = fresh(trees, "new_text_", "new_tree_")
     fields = [T.StructField(new_text, T.StringType()), T.StructField(new_tree, trees.schema[tree].dataType)]
     fields += [T.StructField(n, T.LongType()) for n in names]
-    done = with_columns(trees, [text, tree, edits], fields, run)
+    done = with_columns(trees, [text, tree, edits], fields, run, lambda: Counter(ranks))
     swap = {text: new_text, tree: new_tree}
     return done.select(*[F.col(swap.get(c, c)).alias(c) for c in trees.columns], *names), names
 

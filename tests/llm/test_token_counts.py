@@ -84,3 +84,24 @@ def test_query(spark, sf, counter):
             start = min(e.start, len(text))
             text = text[:start] + e.new + text[max(start, min(e.stop, len(text))) :]
         assert (r.tokens_before, r.tokens_after, r.chars_after) == (before, whole(counter, text), len(text))
+
+
+def test_one_counter_for_a_task(spark, tmp_path):
+    """Many slices of rows, one vocabulary read by each of the two steps of a task."""
+    made = str(tmp_path)
+
+    class Noted(TT.Counter):
+        def __init__(self, ranks=None):
+            import tempfile
+
+            super().__init__(ranks)
+            tempfile.mkstemp(dir=made)
+
+    before, TT.Counter = TT.Counter, Noted
+    try:
+        docs = docs_of(spark, [f"some text {i}" for i in range(1500)]).coalesce(1)
+        trees, tree = TT.built(docs.withColumn("edits", TT.revisions(F.col("text"), F.col("source"))))
+        assert TT.edited(trees, tree, "edits")[0].select("tree.tokens").count() == 1500
+    finally:
+        TT.Counter = before
+    assert len(list(tmp_path.iterdir())) <= 2
