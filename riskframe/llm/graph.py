@@ -36,7 +36,7 @@ class Forest:
 CHUNK = 500_000
 
 
-def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the edges of a task by a forest of the same components, chunk by chunk."""
 
     def emit(forest: Forest) -> pa.RecordBatch:
@@ -81,7 +81,7 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = now.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    now = materialise(now.mapInArrow(_unite, "u long, v long"))
+    now = materialise(now.mapInArrow(unite, "u long, v long"))
     before = None
     while True:
         now = materialise(_small_star(_large_star(now)))

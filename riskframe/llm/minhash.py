@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import LOWER, WordHashes, fresh, mix, parts, utf8, windows
-from riskframe.llm.graph import Forest, components
+from riskframe.llm.graph import Forest, components, unite
 from riskframe.session import materialise
 
 SHINGLE = 5
@@ -175,7 +175,7 @@ def linked_in_blocks(docs: DataFrame, members: DataFrame, k: int, percent: int)
             yield give()
 
     together = texts.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return together.mapInArrow(run, "a long, b long")
+    return together.mapInArrow(lambda batches: unite(run(batches)), "u long, v long").toDF("a", "b")
 
 
 def block_links(left: list[tuple], right: list[tuple], same: bool, percent: int) -> Iterator[tuple[int, int]]:
@@ -240,7 +240,8 @@ def near_duplicates(
     sizes = known.groupBy("doc_id").agg(F.max("n").alias("n"))
     members = materialise(members.join(crowd, "grp").join(sizes, "doc_id").select("grp", "doc_id", "n"))
     if not members.isEmpty():
-        more = linked_in_blocks(plain, members, k, percent)
+        # stored, so that no task keeps one Python worker for the blocks and one for the components
+        more = materialise(linked_in_blocks(plain, members, k, percent))
         united = components(more.union(united.select("node", "component")))
 
     rep, comp, own = fresh(marks, "rep", "component", "own")

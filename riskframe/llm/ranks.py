@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +25,9 @@ def ranked(df: DataFrame, key: str, priority: str, counts: dict[int, int]) -> tu
     rank, part, parts, before, inside, n = fresh(df, "rank", "part", "parts", "before", "inside", "n")
     total = sum(counts.values())
     size = max(LEAST_ROWS, -(-total // BUCKETS))
-    cut = df.sparkSession.createDataFrame([(int(k), int(-(-m // size))) for k, m in counts.items()], f"`{key}` long, `{parts}` long")
+    # an Arrow table, as a list of rows goes through Python workers of its own on the executors
+    listed = {key: pa.array([int(k) for k in counts], pa.int64()), parts: pa.array([int(-(-m // size)) for m in counts.values()], pa.int64())}
+    cut = df.sparkSession.createDataFrame(pa.table(listed))
     share = (F.shiftrightunsigned(F.col(f"`{priority}`"), 12).cast("double")) / F.lit(float(1 << 52))
     dealt = df.join(F.broadcast(cut), key).withColumn(part, F.floor(share * F.col(parts)).cast("long")).drop(parts)
     sums = F.sum(n).over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))

@@ -24,7 +24,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -315,12 +314,11 @@ def settle(found: DataFrame, key: bytes = KEY) -> DataFrame:
     kind whose values are nearly all in use settles, too.
     """
 
-    @F.pandas_udf("string")
-    def drawn(kind: pd.Series, entity: pd.Series, draw: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, k, e, int(d)) for k, e, d in zip(kind, entity, draw)], dtype=object)
+    def drawn(*columns: pa.Array) -> list[pa.Array]:
+        return [pa.array([surrogate(key, *row) for row in zip(*(c.to_pylist() for c in columns))], pa.string())]
 
     def with_surrogate(df: DataFrame) -> DataFrame:
-        return df.withColumn("new", drawn("kind", "entity", "draw"))
+        return with_columns(df, ["kind", "entity", "draw"], [T.StructField("new", T.StringType())], drawn)
 
     told = materialise(counted_as(materialise(found)))
     family = F.when(F.col("kind").contains(":"), "name").otherwise(F.col("kind"))

@@ -121,3 +121,13 @@ def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     want = near_components(rows)
     assert {r.doc_id: r.component_id for r in QUERIES["op10_superminhash"](spark, sf).collect()} == want
+
+
+def test_blocks_and_components_do_not_share_a_task(spark, monkeypatch):
+    """Two chained steps in Python would hold two workers for each task."""
+    plans = []
+    monkeypatch.setattr(minhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or components(edges))
+    words = [f"x{i}" for i in range(140)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 100])) for i in range(12)]
+    check(spark, rows)
+    assert len(plans) == 2 and not any("MapInArrow" in p for p in plans)

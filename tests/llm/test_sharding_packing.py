@@ -28,6 +28,13 @@ def test_ranks_are_gapless_and_follow_the_priority(spark):
         assert [x for _, x in own] == list(range(len(own)))
 
 
+def test_ranks_need_no_python_on_the_executors(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.xxhash64("id").alias("pri"))
+    plan = ranked(df, "k", "pri", {0: 34, 1: 33, 2: 33})[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "ExternalRDD" not in plan
+    assert ranked(df.limit(0), "k", "pri", {})[0].count() == 0
+
+
 def test_flow_fills_shards_to_their_bounds():
     nodes = ring.ring(4, 16)
     room = ring.bounds(1003, 4)

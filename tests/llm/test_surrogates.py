@@ -1,6 +1,9 @@
 """Surrogates: types, forms, coreference, distinctness."""
 
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from helpers import docs_of, no_docs
@@ -198,3 +201,9 @@ def test_query_leaves_no_original_and_touches_nothing_else(spark, sf):
     names = {(role(k), e): v for (k, e), v in mapped.items() if ":" in k}
     words = {e for _, e in names}
     assert len(set(names.values())) == len(names) and not words & set(names.values())
+
+
+def test_workers_need_no_pandas():
+    """Each Python worker of the stage would hold it as long as it lives."""
+    code = "import sys, riskframe.llm.surrogates; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2]).returncode == 0
