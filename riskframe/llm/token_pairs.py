@@ -1,8 +1,9 @@
 """Alignment of two tokenizers' tokens over a corpus, with corpus-wide counts of linked token pairs.
 
 Two tokens link where their bytes overlap. Texts are cut where both tokenizers
-cut, before a blank between letters or digits. The first pass counts the
-distinct segments of the corpus and aligns each of them once, which gives the
+cut, which the bytes on either side tell: between kinds of characters, if no
+piece of the second tokenizer holds these bytes together. The first pass counts
+the distinct segments of the corpus and aligns each of them once, which gives the
 pairs and how many links hold them, added up inside each task. The distinct pairs are cut into slices by hash,
 each with a minimal perfect hash function; the tasks' counts become dense
 vectors indexed by that function, which are added up in a tree. The second
@@ -16,6 +17,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,12 +37,20 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 HELD, SLICE, LEAF, FAN = 400_000, 4096, 500_000, 32
 #: Pairs up to which the functions, pairs and counts (17 bytes a pair) are broadcast; beyond it links are joined with them.
 BROADCAST = 4_000_000
-#: Segments remembered by a task (about 300 bytes each), and segments of slices that it adds up at a time.
-SEGMENTS, SEEN = 120_000, 300_000
+#: Bytes of texts whose segments are numbered together, and segments that a task adds up at a time.
+TEXTS, SEEN = 4 << 20, 300_000
+#: Segments that are aligned at a time, and of these in one text for the second tokenizer.
+STEP, ROW = 5_000, 16
 _LOW32 = np.int64(0xFFFFFFFF)
-_PLAIN = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in range(256)])
-#: A segment that may stand beside others of the kind without a token reaching over.
-_BESIDE = re.compile(rb" [A-Za-z0-9](?:.*[A-Za-z0-9])?\Z", re.DOTALL)
+_LETTER, _DIGIT, _OTHER, _BLANK = 1, 2, 3, 4
+#: What ``PARTS`` takes a byte for; 0: more than this byte decides, or it doesn't matter.
+_KIND = np.zeros(256, np.int64)
+_KIND[33:127] = _OTHER
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[[*b" \t\n\r"]] = _BLANK
+#: The UTF-8 bytes, as numbers, of blanks beyond ASCII.
+_WIDE = np.array([int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
 
 
 class ByteLevel:
@@ -97,9 +107,27 @@ def unmixed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x >> 32, x & _LOW32
 
 
-#: What is known of a segment, a stretch of text that both tokenizers read apart from what stands around it: the numbers of
-#: its first and second tokens and of its groups, the keys of its links (64 bit each), its groups as text (a1,a2|b1;a3|b2).
-Segment = tuple[int, int, int, bytes, str]
+#: Of segments, stretches of text that both tokenizers read apart from what stands around them: the numbers of first and second
+#: tokens, groups and links (a row each), the keys of the links of all, the groups of each as text (a1,a2|b1;a3|b2).
+Segments = tuple[np.ndarray, np.ndarray, list[str]]
+
+
+def breaks(pieces: Pieces) -> np.ndarray:
+    """Whether a text may be cut between two bytes, by the first and the second: no token of either tokenizer reaches over.
+
+    The first tokenizer parts where one kind of characters ends; blanks are
+    left with what follows, letters with an apostrophe. After a byte beyond
+    ASCII only blanks are told, and `cut` sees to blanks beyond ASCII.
+    """
+    before, after = _KIND[:, None], _KIND[None, :]
+    out = (before != after) & (before > 0) & (after > 0) & (before != _BLANK)
+    out[ord("'"), _KIND == _LETTER] = False
+    out[128:, _KIND == _BLANK] = True
+    inside = np.ones(len(pieces.pool), bool)
+    inside[pieces.start[pieces.width > 0]] = False
+    inside = np.flatnonzero(inside)
+    out[pieces.pool[inside - 1], pieces.pool[inside]] = False
+    return out
 
 
 class Aligner:
@@ -113,66 +141,69 @@ class Aligner:
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         if self.b.map is not None or self.b.squeeze or not self.b.prefix:
             raise ValueError("the second tokenizer must keep every byte and put a blank before a text")
-        self.known = flat.Remembered(self.aligned, SEGMENTS)
+        self.breaks = breaks(self.b)
+        fronts = bytes(c for c in b" \t\n\r" if self.breaks[33:127, c].all() and self.breaks[128:192, c].all())
+        # a segment that may stand beside others of the kind without a token reaching over: from a blank to a character that is none
+        last = rb"(?:[!-~]|[\xc3-\xdf].|[\xe0\xe4-\xef]..)"
+        self.beside = re.compile(rb"[" + re.escape(fronts) + rb"](?=[!-~\x80-\xff]).*" + last + rb"\Z" if fronts else rb"(?!)", re.DOTALL)
         # every id in decimal, as it stands inside a group and as its last
         listed = lambda n, end: np.array([f"{i}{c}" for i in range(n) for c in (",", end)], object)
         self.text_a, self.text_b = listed(len(self.a.surface), "|"), listed(len(self.b.surface), ";")
 
-    def segments(self, texts: list[bytes], first: bool = True) -> tuple[np.ndarray, np.ndarray, list[Segment]]:
-        """(number of each segment among the distinct ones, edges of the texts among the segments, distinct segments)."""
-        codes, edges, words = cut(texts, first)
-        return codes, edges, self.known.of(words.to_pylist())
+    def segments(self, texts: list[bytes], first: bool = True) -> tuple[np.ndarray, np.ndarray, Segments]:
+        """(number of each segment among the distinct ones, edges of the texts among the segments, the distinct segments aligned)."""
+        codes, edges, words = cut(texts, self.breaks, first)
+        return codes, edges, self.aligned(words.to_pylist())
 
-    def aligned(self, segments: list[bytes], said: bool = True) -> list[Segment]:
-        """The alignment of each of some distinct segments; without ``said`` their groups are not written out."""
-        match = _BESIDE.match
+    def aligned(self, segments: list[bytes], said: bool = True) -> Segments:
+        """The alignment of some distinct segments; without ``said`` their groups are not written out."""
+        done = [self._aligned(segments[at : at + STEP], said) for at in range(0, len(segments), STEP)]
+        sizes = np.concatenate([np.zeros((4, 0), np.int64), *(s for s, _, _ in done)], axis=1)
+        return sizes, np.concatenate([np.zeros(0, np.uint64), *(k for _, k, _ in done)]), [*chain.from_iterable(t for *_, t in done)]
+
+    def _aligned(self, segments: list[bytes], said: bool) -> Segments:
+        match, n = self.beside.match, len(segments)
         order = [k for k, s in enumerate(segments) if not match(s)]
-        apart = len(order)
+        apart, texts = len(order), segments
         if apart:
             alone = set(order)
-            order += [k for k in range(len(segments)) if k not in alone]
+            order += [k for k in range(n) if k not in alone]
             texts = [segments[k] for k in order]
-        else:
-            texts = segments
-        whole, n = b"".join(texts), len(texts)
-        row = b"".join(texts[apart:])
-        ids_a = [self.a.ids(t.decode()) for t in texts[:apart]]
-        counts = [len(x) for x in ids_a]
-        ids_a.append(self.a.ids(row.decode()))
-        ends = np.cumsum(np.fromiter(map(len, texts[apart:]), np.int64, n - apart))
-        counts_a = np.concatenate([counts, np.diff(np.searchsorted(np.cumsum(self.a.width[ids_a[-1]]), ends, side="right"), prepend=0)]).astype(np.int64)
-        a = np.concatenate(ids_a)
-        ids_b = self.b.merger.encode([t.decode() for t in texts], num_threads=1)
-        counts_b = np.fromiter(map(len, ids_b), np.int64, n)
-        b = np.fromiter(chain.from_iterable(ids_b), np.int64, int(counts_b.sum()))
+        single = [t.decode() for t in texts[:apart]]
+        rows = [b"".join(texts[at : at + ROW]).decode() for at in range(apart, n, ROW)]
+        a = np.concatenate([*map(self.a.ids, single), self.a.ids("".join(rows))])
+        b = np.fromiter(chain.from_iterable(self.b.merger.encode(single + rows, num_threads=1)), np.int64)
+        whole = b"".join(texts)
         if self.a.joined(a).tobytes() != whole or self.b.joined(b).tobytes() != whole:
             raise ValueError("tokens that do not join to their text")
-        end_a, end_b = np.cumsum(self.a.width[a]), np.cumsum(self.b.width[b])
-        both = np.concatenate([end_a, end_b])
-        both.sort(kind="stable")  # two ascending runs are merged
-        twice = both[1:] == both[:-1]
-        common, cuts = both[1:][twice], both[np.append(True, ~twice)[: len(both)]]
-        link_a, link_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)  # a stretch between cuts lies in one token of either
-        closes = np.cumsum(np.fromiter(map(len, texts), np.int64, n))  # where the segments end
-        keys = pair_keys(a[link_a], b[link_b]).tobytes()
-        at_k = [0, *(8 * np.searchsorted(cuts, closes, side="right")).tolist()]
-        own_keys = [keys[s:e] for s, e in zip(at_k, at_k[1:])]
-        n_groups = np.diff(np.searchsorted(common, closes, side="right"), prepend=0)
-        listed = self._listed(a, b, end_a, end_b, common, counts_a + counts_b) if said else [""] * n
-        made = zip(counts_a.tolist(), counts_b.tolist(), n_groups.tolist(), own_keys, listed)
+        of_a, of_b = np.zeros(len(whole) + 1, bool), np.zeros(len(whole) + 1, bool)
+        of_a[np.cumsum(self.a.width[a])] = of_b[np.cumsum(self.b.width[b])] = True
+        cuts = np.flatnonzero(of_a | of_b)  # a stretch between cuts lies in one token of either
+        of_a, of_b = of_a[cuts], of_b[cuts]
+        both = of_a & of_b
+        upto = np.array([np.cumsum(of_a), np.cumsum(of_b), np.cumsum(both)])
+        keys = pair_keys(a[upto[0] - of_a], b[upto[1] - of_b])
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, n))
+        closes = np.searchsorted(cuts, ends)
+        if not (both[closes] & (cuts[closes] == ends)).all():
+            raise ValueError("a token that reaches over a segment's end")
+        sizes = np.diff(np.vstack([upto[:, closes], closes + 1]), prepend=0)
+        listed = [""] * n
+        if said:
+            group = upto[2] - both
+            listed = self._listed(a, b, group[of_a], group[of_b], int(upto[2, -1]), sizes[0] + sizes[1])
         if not apart:
-            return list(made)
-        out: list = [None] * n
-        for i, one in zip(order, made):
-            out[i] = one
-        return out
+            return sizes, keys, listed
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        starts = np.cumsum(sizes[3]) - sizes[3]
+        return sizes[:, place], keys[flat.indices(starts[place], sizes[3][place])], [listed[k] for k in place.tolist()]
 
-    def _listed(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, common: np.ndarray, counts: np.ndarray) -> list[str]:
+    def _listed(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, groups: int, counts: np.ndarray) -> list[str]:
         """Tokens as text, group by group, those of the first tokenizer before those of the second."""
-        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         last_a, last_b = np.append(group_a[1:] != group_a[:-1], True)[: len(a)], np.append(group_b[1:] != group_b[:-1], True)[: len(b)]
-        before_b = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=len(common)))])
-        upto_a = np.cumsum(np.bincount(group_a, minlength=len(common)))
+        before_b = np.concatenate([[0], np.cumsum(np.bincount(group_b, minlength=groups))])
+        upto_a = np.cumsum(np.bincount(group_a, minlength=groups))
         words = np.empty(len(a) + len(b), object)
         words[np.arange(len(a)) + before_b[group_a]] = self.text_a[2 * a + last_a]
         words[np.arange(len(b)) + upto_a[group_b]] = self.text_b[2 * b + last_b]
@@ -180,11 +211,18 @@ class Aligner:
         return ["".join(words[s:e])[:-1] for s, e in zip(at, at[1:])]
 
 
-def cut(texts: list[bytes], first: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+@lru_cache(maxsize=1)
+def aligner(path_a: str | None = None, path_b: str | None = None) -> Aligner:
+    """One of them for all tasks of a Python worker: it takes longer to read than many a task."""
+    return Aligner(path_a, path_b)
+
+
+def cut(texts: list[bytes], table: np.ndarray, first: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(number of each segment among the distinct ones, edges of the texts among the segments, distinct segments).
 
-    ``first``: the texts are whole or begin one, so they get a blank before
-    them. Texts with U+2581, which reads as a blank, have no segments.
+    ``table`` tells where to cut (see `breaks`). ``first``: the texts are whole
+    or begin one, so they get a blank before them. Texts with U+2581, which
+    reads as a blank, have no segments.
     """
     spaced = [b"" if BLANK in t else b" " + t if t and first else t for t in texts]
     data = np.frombuffer(b"".join(spaced), np.uint8)
@@ -192,8 +230,10 @@ def cut(texts: list[bytes], first: bool = True) -> tuple[np.ndarray, np.ndarray,
     edges = np.concatenate([[0], np.cumsum(size)])
     begins = np.zeros(len(data) + 1, bool)
     if len(data) > 2:
-        plain = _PLAIN[data]
-        begins[1:-2] = plain[:-2] & (data[1:-1] == 32) & plain[2:]
+        begins[1:-1] = table.ravel()[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        after = np.flatnonzero(begins[1:-1] & (data[:-1] > 127)) + 1
+        last = data[after - 3].astype(np.int64) << 16 | data[after - 2].astype(np.int64) << 8 | data[after - 1]
+        begins[after[np.isin(last, _WIDE) | np.isin(last & 0xFFFF, _WIDE)]] = False
     begins[edges[:-1][size > 0]] = True
     starts = np.flatnonzero(begins[:-1])
     codes, words = flat.numbered(data, starts, np.append(starts[1:], len(data))[: len(starts)])
@@ -202,7 +242,7 @@ def cut(texts: list[bytes], first: bool = True) -> tuple[np.ndarray, np.ndarray,
 
 def _documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[bytes], bool]]]]:
     """Slices of rows with their texts to align: all at once, or a single very long text in parts."""
-    for batch in flat.slices(batches, column):
+    for batch in flat.slices(batches, column, TEXTS):
         texts = [t or b"" for t in utf8(batch.column(column))]
         if len(texts) > 1 or len(texts[0]) <= flat.STRETCH or BLANK in texts[0]:
             yield batch, [(texts, True)]
@@ -210,7 +250,7 @@ def _documents(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple
             yield batch, [([part], k == 0) for k, part in enumerate(flat.chunks(texts[0]))]
 
 
-def distinct_segments(docs: DataFrame) -> DataFrame:
+def distinct_segments(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
     """(segment, n): the distinct segments of all texts (column ``text``) and how often they occur, added up in the tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +264,7 @@ def distinct_segments(docs: DataFrame) -> DataFrame:
 
         for _, parts in _documents(batches, 0):
             for texts, first in parts:
-                codes, _, words = cut(texts, first)
+                codes, _, words = cut(texts, aligner(path_a, path_b).breaks, first)
                 held.append(pa.table({"segment": words.cast(pa.binary()), "n": np.bincount(codes, minlength=len(words))}))
                 if sum(t.num_rows for t in held) > SEEN:
                     yield from give()
@@ -237,7 +277,6 @@ def pair_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
     """(key, n): links of each pair, added up in the tasks only; a pair comes once for each task that has it, or a few times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         new: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -256,9 +295,8 @@ def pair_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
 
         for batch in batches:
             for part in flat.slices(iter([batch]), 0, rows=5000):
-                own_keys = [s[3] for s in aligner.aligned(part.column(0).to_pylist(), said=False)]
-                own = np.frombuffer(b"".join(own_keys), np.uint64)
-                new.append((own, np.repeat(part.column(1).to_numpy(), np.fromiter(map(len, own_keys), np.int64, len(own_keys)) // 8)))
+                sizes, own, _ = aligner(path_a, path_b).aligned(part.column(0).to_pylist(), said=False)
+                new.append((own, np.repeat(part.column(1).to_numpy(), sizes[3])))
                 waiting += len(own)
                 if waiting > 1 << 20:
                     merge()
@@ -268,7 +306,7 @@ def pair_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None =
         merge()
         yield give()
 
-    return distinct_segments(docs).mapInArrow(run, "key long, n long")
+    return distinct_segments(docs, path_a, path_b).mapInArrow(run, "key long, n long")
 
 
 def _packed(words: np.ndarray, sizes: np.ndarray) -> tuple[bytes, list[int]]:
@@ -374,7 +412,6 @@ def _summary(docs: DataFrame, path_a: str | None, path_b: str | None, shared=Non
     kinds = [kind, *["long"] * 4, *(["long"] * 2 if looked else ["array<long>"] * 2), "string"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
         table = None
         if looked:
             rows, best = shared.value
@@ -386,29 +423,26 @@ def _summary(docs: DataFrame, path_a: str | None, path_b: str | None, shared=Non
             n = batch.num_rows
             sums = np.zeros((6, n), np.int64)
             digest, tail = [hashlib.sha256() for _ in range(n)], [""] * n
-            pairs: list[list] = [[] for _ in range(n)]
+            pairs: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(n)]
             for texts, first in parts:
-                codes, edges, found = aligner.segments(texts, first)
-                *sizes, own_keys, said = zip(*found) if found else [()] * 5
-                sizes = [np.array(x, np.int64) for x in sizes]
-                sizes.append(np.fromiter(map(len, own_keys), np.int64, len(own_keys)) // 8)
+                codes, edges, (sizes, keys, said) = aligner(path_a, path_b).segments(texts, first)
+                bounds = np.concatenate([[0], np.cumsum(sizes[3])])
                 if looked:
-                    count, best = table.of(np.frombuffer(b"".join(own_keys), np.uint64))
-                    bounds = np.concatenate([[0], np.cumsum(sizes[3])])
-                    sizes += [flat.spread(best.astype(np.int64), bounds), flat.spread(count, bounds)]
+                    count, best = table.of(keys)
+                    sizes = [*sizes, flat.spread(best.astype(np.int64), bounds), flat.spread(count, bounds)]
                 for row, own in enumerate(sizes):
                     sums[row] += flat.spread(own[codes], edges)
-                codes, ends = codes.tolist(), edges.tolist()
+                numbers, ends = codes.tolist(), edges.tolist()
                 for k in np.flatnonzero(np.diff(edges) > 0).tolist():
-                    own = codes[ends[k] : ends[k + 1]]
-                    digest[k].update((tail[k] + ";".join([said[c] for c in own])).encode())
+                    digest[k].update((tail[k] + ";".join([said[c] for c in numbers[ends[k] : ends[k + 1]]])).encode())
                     tail[k] = ";"
                     if not looked:
-                        pairs[k] += [own_keys[c] for c in own]
+                        own = codes[ends[k] : ends[k + 1]]
+                        pairs[k].append(keys[flat.indices(bounds[own], sizes[3][own])])
             if looked:
                 middle = [pa.array(sums[4]), pa.array(sums[5])]
             else:
-                own = [np.unique(np.frombuffer(b"".join(p), np.uint64), return_counts=True) for p in pairs]
+                own = [np.unique(np.concatenate(p), return_counts=True) for p in pairs]
                 lists = pa.list_(pa.int64())
                 middle = [pa.array([k.view(np.int64) for k, _ in own], lists), pa.array([c for _, c in own], lists)]
             made = pa.array([d.hexdigest() if t else "" for d, t in zip(digest, tail)])

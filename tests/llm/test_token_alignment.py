@@ -154,3 +154,17 @@ def test_empty_tables_repeated_ids_and_clashes(spark):
     for limit in (0, 10):
         rows = token_pairs.alignment(df, limit=limit).collect()
         assert sorted((r.n_a, r.count_sum) for r in rows) == [(0, 0), (2, 4), (2, 4)]
+
+
+def test_segments_end_where_kinds_of_characters_do(spark):
+    texts = ["one, two. one, two (one) 12,5 one", "déjà one, déjà two", "one\u00a0 two", "it's"]
+    got = {bytes(r.segment).decode(): r.n for r in token_pairs.distinct_segments(docs_of(spark, texts)).collect()}
+    want = {" one": 4, ",": 4, " two": 3, ".": 1, " (": 1, "one": 1, ")": 1, " 12": 1, "5": 1, " déjà": 2, " one\u00a0 two": 1, " it": 1, "'s": 1}
+    assert got == want
+
+
+def test_random_texts_of_all_kinds_of_characters_against_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    kinds = ["a", "Z", "s", "t", "ll", "the", "7", "42", "'", "'s", "'RE", ".", ",", "--", "(", "_", " ", " ", "  ", "\n", "\t", "\r", ".\r", "\x0b", "\x1c", "\x85", "\u00a0", "\u2003", "\u3000", "\u2019", "é", "ß", "Ж", "世", "가", "😀", "\u0301", "×", "٣", "\x7f"]
+    texts = ["".join(rng.choice(kinds, rng.integers(1, 40))) for _ in range(1500)]
+    assert values(token_pairs.alignment(docs_of(spark, texts)).collect()) == dict(enumerate(brute(texts)))
