@@ -220,3 +220,19 @@ def test_headers_are_trimmed(spark):
     df = spark.createDataFrame([("M", 1)], "`market ` string, ` Late_delivery_risk` int")
     assert anomaly.prepare_orders(df).columns[:2] == ["market", "Late_delivery_risk"]
     assert anomaly.prepare_orders(df).select(F.col("late_delivery_risk")).first()[0] == 1.0
+
+
+def test_rows_of_an_order_come_together_and_are_settled_without_another_shuffle(spark, sf):
+    from riskframe.plans import fixtures as fx
+    from riskframe.sources.tables import last_write_wins
+
+    plain, gathered = (fx.order_items(spark, sf, gathered=x) for x in (False, True))
+    assert gathered.columns == plain.columns and gathered.exceptAll(plain).isEmpty() and plain.exceptAll(gathered).isEmpty()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        settled = last_write_wins(fx.order_items(spark, sf, gathered=True), ["order_id", "order_item_id"], ["ship_date", "sales"])
+        plan = settled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(l_orderkey" in plan and "hashpartitioning(order_id" not in plan

@@ -316,3 +316,17 @@ def test_vectors_are_counted_a_stretch_at_a_time(spark, monkeypatch):
             for t in (texts[i] or "").split():
                 want[int(hashlib.md5(t.encode()).hexdigest()[:4], 16) % dim] += 1
             assert np.allclose(v, want / (np.linalg.norm(want) or 1))
+
+
+def test_texts_are_counted_into_vectors_where_they_are(spark, monkeypatch):
+    from riskframe.functions import text, vectors
+    from riskframe.plans.hybrid import embed
+
+    rng = random.Random(5)
+    texts = [None, "", "...", "a", *["".join(rng.choice("abAB9 -éКK\n") for _ in range(rng.randrange(40))) for _ in range(200)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(2)
+    assert "md5" not in embed(rows)._jdf.queryExecution().optimizedPlan().toString()  # not token by token in the JVM
+    want = {r.i: r.v for r in rows.select("i", vectors.hashed_vector("text").alias("v")).collect()}
+    for stretch in (3, 1 << 20):
+        monkeypatch.setattr(text.token_codes, "__defaults__", (stretch,))
+        assert {r.i: r.vec for r in embed(rows).collect()} == want

@@ -238,3 +238,29 @@ def test_a_cluster_needs_a_shared_folder():
     from riskframe.session import is_local
 
     assert is_local("local[8]") and is_local("local") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
+
+
+@pytest.mark.parametrize("bad", [0, 2])
+def test_a_file_is_read_again_for_rejected_lines_only_if_it_has_some(spark, tmp_path, monkeypatch, bad):
+    root, path = f"{tmp_path}/store", tmp_path / "orders.csv"
+    order_csv(path, [{"Order Id": i, "Order Item Id": 1, "Market": "LATAM"} for i in range(8)])
+    with open(path, "a") as f:
+        f.write("too,few\n" * bad)
+    seen, real = spark.sparkContext.accumulator(0), ing._load
+
+    def counted(*args):
+        df = real(*args)
+
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(count, df.schema)
+
+    monkeypatch.setattr(ing, "_load", counted)
+    monkeypatch.setattr(ing.readers, "read_order", lambda: F.struct(F.monotonically_increasing_id().alias("place")))
+    log = ing.ingest(spark, ORDER_SOURCE, str(path), root, key="orders").first()
+    assert (log.state, log.rows_loaded, log.docs_built) == ("done", 8 + bad, 8)
+    assert spark.read.parquet(f"{root}/rejects").count() == bad and ing.read_corpus(spark, root).count() == 8
+    assert seen.value == (8 + bad) * (2 if bad else 1)
