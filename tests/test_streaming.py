@@ -189,3 +189,29 @@ def test_a_log_of_one_batch_is_read_as_it_is(spark, tmp_path):
     assert sorted(map(tuple, one.collect())) == [("a", "1"), ("b", "1")]
     rows(("a", "2")).write.parquet(f"{tmp_path}/log/batch_id=1")
     assert sorted(map(tuple, jobs.read_update_log(spark, f"{tmp_path}/log", ["id"]).collect())) == [("a", "2"), ("b", "1")]
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_only_rows_of_repeated_ids_are_shuffled(spark, monkeypatch, most):
+    from riskframe.operators.incidents import SEQUENCE
+
+    monkeypatch.setattr(jobs, "MAX_REPEATED", most)
+    order = lambda i, item, market, place: (i, item, market, ("t", place))
+    schema = f"order_id long, order_item_id int, market string, {SEQUENCE} struct<time: string, place: int>"
+    ids = lambda rows: sorted((r.metadata["order_id"], r.metadata["market"]) for r in rows)
+    alone = spark.createDataFrame([order(i, 1, f"m{i}", 0) for i in range(20)] + [order(None, None, "none", 0)], schema).repartition(3)
+    docs = jobs._latest_documents(alone)
+    assert "SortAggregate" not in docs._jdf.queryExecution().executedPlan().toString()  # no row moves
+    assert ids(docs.collect()) == sorted([(str(i), f"m{i}") for i in range(20)] + [("0", "none")])
+    more = spark.createDataFrame([order(3, 1, "new", 2), order(3, 1, "mid", 1), order(None, None, "last", 9), order(4, 2, "item", 0)], schema)
+    got = jobs._latest_documents(alone.unionByName(more)).collect()
+    want = [(str(i), "new" if i == 3 else f"m{i}") for i in range(20)] + [("0", "last"), ("4", "item")]
+    assert ids(got) == sorted(want) and len({r.id for r in got}) == len(got)
+
+
+def test_shuffle_files_are_let_go_when_order_files_are_written(spark, sf, monkeypatch):
+    from riskframe.plans import round_trips
+
+    seen, real = [], round_trips.release
+    monkeypatch.setattr(round_trips, "release", lambda s: seen.append(real(s)))
+    assert round_trips._order_files(spark, sf) and seen
